@@ -15,10 +15,12 @@ any other; repeated rows are packed once each; an empty table gives no pieces; o
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,49 +41,87 @@ _CACHES: dict[str, "WordIds"] = {}
 class WordIds(dict):
     """Blank-delimited chunk -> its ids as little-endian uint32 bytes.
 
-    The tokenizer never merges across blanks, so a text's ids are those of its chunks in turn. ASCII chunks are
-    put together from cached pieces; any other chunk goes to the tokenizer whole.
+    The tokenizer never merges across blanks, so a text's ids are those of its chunks in turn. Chunks not seen
+    before are learnt together: cut into the tokenizer's pieces where that is plain (letters, then a full stop or
+    comma; ASCII), all new pieces encoded in one call, and told apart by the mark that ends each piece's last id.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.pieces: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
-        if got is None:
-            got = self.pieces[text] = self.encode(text)
-        return got
-
-    def __missing__(self, chunk: str) -> bytes:
-        end = chunk[-1] if chunk[-1] in ",." else ""
-        body = chunk[: len(chunk) - len(end)]
-        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-            got = self.piece(body.lower() if body.isascii() else body)
-            if end:  # letters and what follows them are never merged
-                got += self.piece(end)
-        elif chunk.isascii() and "<|" not in chunk:
-            got = b"".join(map(self.piece, _ASCII_PIECES.findall(chunk.lower())))
-        else:
-            got = self.encode(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
+    def learn_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) == len(some):
+                flat = ids.tobytes()
+                self.pieces.update(zip(some, map(flat.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+            else:
+                self.pieces.update((p, self.encode(p)) for p in some)
+
+    def learn(self, chunks: set[str]) -> None:
         if len(self) > self.most:
             self.clear()
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        if _SEPARATORS.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        plain: dict[str, str] = {}
+        ends: dict[str, str] = {}
+        odd: dict[str, list[str]] = {}
+        for chunk in chunks:
+            end = chunk[-1]
+            body = chunk[:-1] if end in ",." else chunk
+            if body.isalpha():
+                if body.isascii():
+                    plain[chunk] = body.lower()
+                elif max(body) < "\u0250":
+                    plain[chunk] = body
+                else:
+                    self[chunk] = self.encode(chunk)
+                    continue
+                if body is not chunk:
+                    ends[chunk] = end
+            elif chunk.isascii() and "<|" not in chunk:
+                odd[chunk] = _ASCII_PIECES.findall(chunk.lower())
+            else:
+                self[chunk] = self.encode(chunk)
+        self.learn_pieces(list({",", ".", *plain.values(), *chain.from_iterable(odd.values())} - self.pieces.keys()))
+        of = self.pieces.__getitem__
+        self.update(zip(plain, map(of, plain.values()), strict=True))
+        for chunk, end in ends.items():
+            self[chunk] += of(end)
+        for chunk, parts in odd.items():
+            self[chunk] = b"".join(map(of, parts))
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, learning what is new in groups of texts of about a million characters."""
+        for group in _groups(texts, 1 << 20):
+            chunks = [None if _SEPARATORS.search(t) else t.split() for t in group]
+            self.learn(set().union(*filter(None, chunks)) - self.keys())
+            for text, words in zip(group, chunks, strict=True):
+                yield self.encode(text) if words is None else b"".join(map(self.__getitem__, words))
+
+
+def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def pack_block(lengths: list[int], capacity: int, linear: float, quadratic: float, look: int = 16) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -141,11 +181,13 @@ def _packer(tokenizer: str, capacity: int, linear: float, quadratic: float, bloc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _CACHES.get(tokenizer) or _CACHES.setdefault(tokenizer, WordIds(tokenizer))
+        gc.disable()  # millions of live strings and no cycles
         sequence = TaskContext.get().partitionId() << 40
         block, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = ids.ids(text.as_py() or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, got in zip(batch.column(0).to_pylist(), ids.ids(texts), strict=True):
+                got += end
                 if held and held + len(got) > 4 * block_tokens:
                     out, sequence = emit(block, sequence)
                     block, held = [], 0
