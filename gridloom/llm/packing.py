@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ class WordIds(dict):
 
     The tokenizer never merges across blanks, so a text's ids are those of its chunks in turn. Chunks not seen
     before are learnt together: cut into the tokenizer's pieces where that is plain (letters, then a full stop or
-    comma; ASCII), all new pieces encoded in one call, and told apart by the mark that ends each piece's last id.
+    comma; ASCII), and each new piece is given to the tokenizer's own merges.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -52,23 +53,25 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.pieces: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        # Byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.table = {b: 256 + i for i, b in enumerate(hidden)}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) == len(some):
-                flat = ids.tobytes()
-                self.pieces.update(zip(some, map(flat.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+    def learn_pieces(self, new: set[str]) -> None:
+        """Lower-case Latin letters need no normaliser and are one piece each, so they go to the merges at once."""
+        tokenize, pieces = self.model.tokenize, self.pieces
+        for p in new:
+            if p.isascii() and p.isprintable():
+                shown = p
             else:
-                self.pieces.update((p, self.encode(p)) for p in some)
+                shown = p.encode().decode("latin-1").translate(self.table)
+            ids = [t.id for t in tokenize(shown)]
+            pieces[p] = pack(f"<{len(ids)}I", *ids)
 
     def learn(self, chunks: set[str]) -> None:
         if len(self) > self.most:
@@ -84,8 +87,8 @@ class WordIds(dict):
             if body.isalpha():
                 if body.isascii():
                     plain[chunk] = body.lower()
-                elif max(body) < "\u0250":
-                    plain[chunk] = body
+                elif max(body) < "\u0250" and (low := body.lower()).isalpha():
+                    plain[chunk] = low
                 else:
                     self[chunk] = self.encode(chunk)
                     continue
@@ -95,7 +98,7 @@ class WordIds(dict):
                 odd[chunk] = _ASCII_PIECES.findall(chunk.lower())
             else:
                 self[chunk] = self.encode(chunk)
-        self.learn_pieces(list({",", ".", *plain.values(), *chain.from_iterable(odd.values())} - self.pieces.keys()))
+        self.learn_pieces({",", ".", *plain.values(), *chain.from_iterable(odd.values())} - self.pieces.keys())
         of = self.pieces.__getitem__
         self.update(zip(plain, map(of, plain.values()), strict=True))
         for chunk, end in ends.items():
