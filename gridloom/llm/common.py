@@ -50,11 +50,8 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_CLASS + "+"), lambda w: w != "")
+    """Array of the words; empty for null and blank texts."""
+    cut = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), BLANK_CLASS + "+")
+    return let(cut, lambda w: F.when((F.size(w) == 1) & (F.get(w, F.lit(0)) == ""), F.array().cast("array<string>")).otherwise(w))
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns of these names, whatever their case."""
-    low = {n.lower() for n in names}
-    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, BLANKS, let, read
+from .common import let, read, words_of
 
 K, SIZE = 3, 64
 
@@ -70,12 +70,10 @@ def signature(text: Column, k: int = K, size: int = SIZE) -> Column:
 
     def of_words(w: Column) -> Column:
         n = F.size(w)
-        blank = (n == 1) & (F.get(w, F.lit(0)) == "")
         mers = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])), F.lit(1), n - (k - 1))
-        return F.when(blank, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(w))).otherwise(mers)
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(w))).otherwise(mers)
 
-    words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), BLANK_CLASS + "+")
-    return let(let(words, of_words), of_hashes)
+    return let(let(words_of(text), of_words), of_hashes)
 
 
 def fingerprint(sig: Column) -> Column:

@@ -59,7 +59,7 @@ def repeated_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == m, 0).otherwise(let(keys, twice))
 
-    windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)]))
+    windows = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, 5)])), F.lit(1), n - 4)
     return F.when(n < 6, 0).otherwise(let(windows, count)).cast("long")
 
 
