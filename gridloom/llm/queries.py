@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, pii, quality, urls
+from . import jaccard, lines, mixing, order_minhash, packing, pii, quality, toxicity, urls, weak_labels
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
+    "op4_weak_labels": weak_labels.op4_weak_labels,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_pii": pii.op8_pii,
     "op9_urls": urls.op9_urls,
+    "op10_order_minhash": order_minhash.op10_order_minhash,
 }
 
 ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op9_urls": urls.ORACLE_OP9}
