@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import common, lines, mixing, packing, quality
+from gridloom.llm import common, jaccard, lines, mixing, packing, quality
 
 #: SQL cannot express the quality and packing stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -18,6 +18,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.strip_boilerplate(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
@@ -26,7 +30,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(docs, packing.default_tokenizer())
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("mixing sources to target weights", mixing_sources), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard_join), ("mixing sources to target weights", mixing_sources), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
