@@ -20,7 +20,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from operator import itemgetter
 from struct import pack
 
 import numpy as np
@@ -36,23 +36,23 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # The tokenizer's own split pattern, for lower-case ASCII (fixed values).
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_TOUCHING = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 _CACHES: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
     """Blank-delimited chunk -> its ids as little-endian uint32 bytes.
 
-    The tokenizer never merges across blanks, so a text's ids are those of its chunks in turn. Chunks not seen
-    before are learnt together: cut into the tokenizer's pieces where that is plain (letters, then a full stop or
-    comma; ASCII), and each new piece is given to the tokenizer's own merges.
+    The tokenizer never merges across blanks, so a text's ids are those of its chunks in turn. Where it makes no
+    difference to the tokenizer's pieces, texts are lower-cased and full stops and commas set apart first, so that
+    most chunks are one piece and go to the tokenizer's own merges; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.pieces: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         # Byte-level BPE writes bytes as characters: printable ones as themselves, the others from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -62,57 +62,52 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn_pieces(self, new: set[str]) -> None:
-        """Lower-case Latin letters need no normaliser and are one piece each, so they go to the merges at once."""
-        tokenize, pieces = self.model.tokenize, self.pieces
-        for p in new:
-            if p.isascii() and p.isprintable():
-                shown = p
-            else:
-                shown = p.encode().decode("latin-1").translate(self.table)
-            ids = [t.id for t in tokenize(shown)]
-            pieces[p] = pack(f"<{len(ids)}I", *ids)
+    def piece(self, text: str) -> bytes:
+        """The ids of one lower-case piece."""
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self) > self.most:
-            self.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        plain: dict[str, str] = {}
-        ends: dict[str, str] = {}
-        odd: dict[str, list[str]] = {}
+        piece = self.piece
         for chunk in chunks:
-            end = chunk[-1]
-            body = chunk[:-1] if end in ",." else chunk
-            if body.isalpha():
-                if body.isascii():
-                    plain[chunk] = body.lower()
-                elif max(body) < "\u0250" and (low := body.lower()).isalpha():
-                    plain[chunk] = low
-                else:
-                    self[chunk] = self.encode(chunk)
-                    continue
-                if body is not chunk:
-                    ends[chunk] = end
+            if chunk.isalpha() and (chunk.isascii() and chunk.islower() or _latin_lower(chunk)):
+                self[chunk] = piece(chunk)
             elif chunk.isascii() and "<|" not in chunk:
-                odd[chunk] = _ASCII_PIECES.findall(chunk.lower())
+                self[chunk] = b"".join([self.get(p) or piece(p) for p in _ASCII_PIECES.findall(chunk.lower())])
             else:
                 self[chunk] = self.encode(chunk)
-        self.learn_pieces({",", ".", *plain.values(), *chain.from_iterable(odd.values())} - self.pieces.keys())
-        of = self.pieces.__getitem__
-        self.update(zip(plain, map(of, plain.values()), strict=True))
-        for chunk, end in ends.items():
-            self[chunk] += of(end)
-        for chunk, parts in odd.items():
-            self[chunk] = b"".join(map(of, parts))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, learning what is new in groups of texts of about a million characters."""
         for group in _groups(texts, 1 << 20):
-            chunks = [None if _SEPARATORS.search(t) else t.split() for t in group]
+            chunks = [None if _SEPARATORS.search(t) else _plain(t).split() for t in group]
+            if len(self) > self.most:
+                self.clear()
             self.learn(set().union(*filter(None, chunks)) - self.keys())
             for text, words in zip(group, chunks, strict=True):
-                yield self.encode(text) if words is None else b"".join(map(self.__getitem__, words))
+                if words is None:
+                    yield self.encode(text)
+                elif len(words) < 2:
+                    yield b"".join([self[w] for w in words])
+                else:
+                    yield b"".join(itemgetter(*words)(self))
+
+
+def _latin_lower(chunk: str) -> bool:
+    return max(chunk) < "\u0100" and chunk.islower()
+
+
+def _plain(text: str) -> str:
+    """Lower-cased, full stops and commas set apart, if these touch no other sign and all is Latin-1; else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    if "<|" in text or _TOUCHING.search(text):
+        return text
+    return text.lower().replace(",", " ,").replace(".", " .")
 
 
 def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
