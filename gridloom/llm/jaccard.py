@@ -9,7 +9,7 @@ sets just below it are in both. The global order puts shingles that many documen
 last, so their lists are scanned only for texts that consist of them.
 
 Dense groups. A large group of near copies has quadratically many links, but components need only some of them. First
-every set is compared with one partner per list (rounds of leaders: the best by a 512-bit sketch that bounds the
+every set is compared with one partner per list (rounds of leaders: the best by a 1024-bit sketch that bounds the
 intersection from above), and links found join sets into components. Then the exact step compares every pair that
 shares a list entry and is not joined yet. Its join tests size and sketch inside the join, so pairs inside a component
 are never made. No pair of sets that links is left out: it is either compared, or its ends are already joined.
@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize, read
+from .common import discard, materialize, read, release
 from .components import components
 
 WIDTH = 5
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 BITMAP_BITS = 22
 LARGEST_SMALL = 64  # beyond this size subsets of a prefix are always more than scan steps
 POSTING_COST = 8  # of shuffling a posting, in scan steps
@@ -179,7 +179,7 @@ def _lister(order, bits_only: bool = False):
                 s = shingles(text)
                 k, p = keys_of(ordered(s, frequent, rank), boundary)
                 bits = np.zeros(64 * SKETCH_WORDS, bool)
-                bits[s >> np.uint64(55)] = True
+                bits[s >> np.uint64(54)] = True
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 sketches.append(np.packbits(bits).view(np.int64))
@@ -197,25 +197,13 @@ def _lister(order, bits_only: bool = False):
     return run
 
 
-def _setter(wanted):
-    """row, node, items of the rows whose place in the bitmap is set; others are skipped before any work."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
-        for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(bitmap[slot])
-            if not len(at):
-                continue
-            texts = batch.column(1).take(pa.array(at)).to_pylist()
-            sets = [shingles(t) for t in texts]
+def _setter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column(0).to_pylist()]
+        if sets:
             ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sets))))],
-                names=["row", "node", "items"],
-            )
-
-    return run
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(nodes)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sets))))], names=["node", "items"])
 
 
 def _slot(row: Column) -> Column:
@@ -249,8 +237,9 @@ class Join:
         exploded = self.sets.select("node", "n", F.posexplode("keys").alias("i", "key"), "places").select("key", "node", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("places")[F.col("i")]).alias("np"))
         shared = exploded.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
         self.lists = materialize(exploded.join(shared, "key", "left_semi").distinct(), "lists")
-        listed = self.lists.select("node").distinct()
-        self.nodes = materialize(self.sets.select("node", "n", "sketch").join(listed, "node", "left_semi").dropDuplicates(["node"]), "nodes")
+        del exploded, shared
+        release(self.spark)
+        self.nodes = materialize(self.sets.select("node", "n", "sketch").join(self.lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
         self.links = None
 
     def side(self, name: str, of: DataFrame) -> DataFrame:
@@ -263,17 +252,21 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b, an, bn) that link, by their whole sets, as edges (u, v)."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.reps, "node")
-        bits = wanted.select(_slot(F.col("row")).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int"))).alias("bits"))
-        bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-        for r in bits.collect():  # 2**(BITMAP_BITS - 6) words at most
-            bitmap[r.w] = r.bits
-        sent = self.spark.sparkContext.broadcast(bitmap.tobytes())
-        found = self.rows.select("row", "text", _slot(F.col("row")).alias("slot")).mapInArrow(_setter(sent), "row long, node long, items array<long>")
-        sets = materialize(found.join(wanted.select("row"), "row", "left_semi").select("node", "items"), "items")
+        slots = wanted.select(_slot(F.col("row")).alias("s"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int"))
+        bits = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(bit).alias("bits"))  # 2**(BITMAP_BITS - 6) rows at most
+        read = self.rows.withColumn("s", _slot(F.col("row"))).withColumn("w", F.shiftright("s", 6))
+        hit = read.join(F.broadcast(bits), "w").filter(F.col("bits").bitwiseAND(bit) != 0)
+        sets = materialize(hit.select("text").mapInArrow(_setter, "node long, items array<long>"), "items")
         a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         both = pairs.select("a", "b", "an", "bn").join(a, "a").join(b, "b")
-        return both.filter(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.col("an") + F.col("bn"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        linked = both.filter(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.col("an") + F.col("bn")))
+        edges = materialize(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        discard(sets, pairs)
+        del both, linked, a, b, sets, hit, read
+        release(self.spark)
+        return edges
 
     def labelled(self) -> DataFrame:
         """lists with the label of each node (the node itself until it is joined)."""
@@ -282,7 +275,6 @@ class Join:
         return self.lists.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def add(self, edges: DataFrame) -> None:
-        edges = materialize(edges, "links")
         self.links = edges if self.links is None else self.links.unionByName(edges)
         self.labels = materialize(components(self.links), "labels")
 
@@ -318,7 +310,7 @@ class Join:
         return named.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
 
 
-def joined(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def joined(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """row, doc_id, n, label of each row of docs (doc_id, text)."""
     run = Join(docs)
     for seed in range(rounds):
