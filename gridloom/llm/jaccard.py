@@ -11,8 +11,9 @@ last, so their lists are scanned only for texts that consist of them.
 Dense groups. A large group of near copies has quadratically many links, but components need only some of them. First
 every set is compared with one partner per list (rounds of leaders: the best by a 1024-bit sketch that bounds the
 intersection from above), and links found join sets into components. Then the exact step compares every pair that
-shares a list entry and is not joined yet. Its join tests size and sketch inside the join, so pairs inside a component
-are never made. No pair of sets that links is left out: it is either compared, or its ends are already joined.
+shares a list entry and is not joined yet: its join tests size and sketch inside the join, so pairs inside a component
+are never made; a 4096-bit sketch then leaves few pairs that do not link; the likeliest pair of each node and
+component is verified first, the rest where that did not join them. No pair of sets that links is left out: it is either compared, or its ends are already joined.
 
 Scale: texts are read by three narrow passes; only 64-bit keys are shuffled, not texts. Exact copies are one node.
 Lists with a single node are dropped by a map-side combined count before anything is joined. What is broadcast is
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import comb
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from .components import components
 
 WIDTH = 5
 SKETCH_WORDS = 16
+WIDE_WORDS = 64
 BITMAP_BITS = 22
 LARGEST_SMALL = 64  # beyond this size subsets of a prefix are always more than scan steps
 POSTING_COST = 8  # of shuffling a posting, in scan steps
@@ -70,7 +73,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.array(itemgetter(*words)(_WORDS) if len(words) > 1 else [_WORDS[words[0]]], np.uint64)
     n = min(WIDTH, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
@@ -167,19 +170,22 @@ def global_order(texts: DataFrame, least: int = 1000, most: int = 1 << 18) -> tu
     return h[by], rank, boundary
 
 
-SETS = "row long, doc_id long, node long, n long, keys array<long>, places array<int>, sketch array<long>"
+SETS = "row long, doc_id long, node long, n long, keys array<long>, places array<int>, sketch array<long>, wide array<long>"
 
 
 def _lister(order, bits_only: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank, boundary = order.value
         for batch in batches:
-            nodes, sizes, sketches, lengths, keys, places = [], [], [], [0], [], []
+            nodes, sizes, sketches, wides, lengths, keys, places = [], [], [], [], [0], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 k, p = keys_of(ordered(s, frequent, rank), boundary)
                 bits = np.zeros(64 * SKETCH_WORDS, bool)
                 bits[s >> np.uint64(54)] = True
+                wide = np.zeros(64 * WIDE_WORDS, bool)
+                wide[s >> np.uint64(52)] = True
+                wides.append(np.packbits(wide).view(np.int64))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 sketches.append(np.packbits(bits).view(np.int64))
@@ -188,10 +194,10 @@ def _lister(order, bits_only: bool = False):
                 places.append(p)
             flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
             lists = lambda values: pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)
-            sketch = pa.ListArray.from_arrays(pa.array(range(0, SKETCH_WORDS * len(nodes) + 1, SKETCH_WORDS), pa.int32()), pa.array(flat(sketches, np.int64)))
+            fixed = lambda x, k: pa.ListArray.from_arrays(pa.array(range(0, k * len(nodes) + 1, k), pa.int32()), pa.array(flat(x, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists(pa.array(_signed(flat(keys, np.uint64)))), lists(pa.array(flat(places, np.int32))), sketch],
-                names=["row", "doc_id", "node", "n", "keys", "places", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists(pa.array(_signed(flat(keys, np.uint64)))), lists(pa.array(flat(places, np.int32))), fixed(sketches, SKETCH_WORDS), fixed(wides, WIDE_WORDS)],
+                names=["row", "doc_id", "node", "n", "keys", "places", "sketch", "wide"],
             )
 
     return run
@@ -239,7 +245,7 @@ class Join:
         self.lists = materialize(exploded.join(shared, "key", "left_semi").distinct(), "lists")
         del exploded, shared
         release(self.spark)
-        self.nodes = materialize(self.sets.select("node", "n", "sketch").join(self.lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+        self.nodes = materialize(self.sets.select("node", "n", "sketch", "wide").join(self.lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
         self.links = None
 
     def side(self, name: str, of: DataFrame) -> DataFrame:
@@ -294,7 +300,7 @@ class Join:
         of = materialize(self.labelled().withColumn("n", F.shiftright("np", 32)), "labelled")
         parts = of.groupBy("key", "label").agg(F.count("*").alias("k"))
         main = parts.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", "main")
-        mixed = materialize(of.join(main, "key").join(self.nodes.drop("n"), "node"), "mixed")
+        mixed = materialize(of.join(main, "key").join(self.nodes.drop("n", "wide"), "node"), "mixed")
         cols = lambda s: [F.col("key"), F.col("node").alias(s), F.col("label").alias(f"{s}l"), F.col("n").alias(f"{s}n"), F.col("np").bitwiseAND((1 << 32) - 1).alias(f"{s}p"), (F.col("label") == F.col("main")).alias(f"{s}m"), *_sketch_columns(s)]
         a = mixed.filter("label <> main").select(*cols("a"))
         b = mixed.select(*cols("b"))
@@ -302,7 +308,23 @@ class Join:
         once = F.col("bm") | (F.col("a") < F.col("b"))
         rest = 1 + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) + F.least("ap", "bp")
         pairs = a.join(b, "key").filter((F.col("al") != F.col("bl")) & once & _possible() & (7 * rest >= 3 * (F.col("an") + F.col("bn"))))
-        self.add(self.verified(materialize(pairs.select("a", "b", "an", "bn").distinct(), "pairs")))
+        pairs = materialize(pairs.select("a", "b", "an", "bn", "al", "bl").distinct(), "pairs")
+        discard(of, mixed)
+        # A wider sketch leaves few pairs that do not link.
+        wide = self.nodes.select("node", "wide")
+        both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
+        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+        likely = materialize(both.select("a", "b", "an", "bn", "al", "bl", (apart / (F.col("an") + F.col("bn"))).alias("apart")).filter("7 * apart <= 1"), "likely")
+        discard(pairs)
+        del a, b, both, pairs, mixed, of
+        release(self.spark)
+        # The likeliest pair of a node and a component first: where it links, the others need no look.
+        best = likely.groupBy("a", "bl").agg(F.min_by(F.struct("b", "an", "bn"), F.struct("apart", "b")).alias("x"))
+        self.add(self.verified(materialize(best.select("a", "x.*"), "pairs")))
+        named = lambda s: self.labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}l"))
+        left = likely.drop("al", "bl").join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("al", "a") != F.coalesce("bl", "b"))
+        left = left.join(best.select("a", "x.b"), ["a", "b"], "left_anti")
+        self.add(self.verified(materialize(left.select("a", "b", "an", "bn"), "pairs")))
 
     def result(self) -> DataFrame:
         """row, doc_id, n, label: of every row; label is a node, or null for texts without words."""
