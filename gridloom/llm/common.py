@@ -62,3 +62,6 @@ def words_of(text: Column) -> Column:
     return let(cut, lambda w: F.when((F.size(w) == 1) & (F.get(w, F.lit(0)) == ""), F.array().cast("array<string>")).otherwise(w))
 
 
+def content_id() -> Column:
+    """A hash of doc_id and text: the same in every reading of a table, and for repeated rows."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")

@@ -17,8 +17,8 @@ component is verified first, the rest where that did not join them. No pair of s
 
 Scale: texts are read by three narrow passes; only 64-bit keys are shuffled, not texts. Exact copies are one node.
 Lists with a single node are dropped by a map-side combined count before anything is joined. What is broadcast is
-bounded: the order of at most ``2**18`` frequent shingles and a bitmap of ``2**22`` bits. Sets and nodes are named by
-64-bit hashes. Nothing is collected.
+bounded: the order of at most ``2**18`` frequent shingles and a bitmap of ``2**22`` bits. Rows, sets and nodes are named by
+64-bit hashes of their content, so any input may be read again in another order. Nothing is collected.
 
 Defined results: a null or blank text has no shingles and links with nothing; a text of fewer than five words is one
 shingle; null doc_ids take part and only count where no other doc_id is in their component; repeated rows are
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import discard, materialize, read, release
+from .common import content_id, discard, materialize, read, release
 from .components import components
 
 WIDTH = 5
@@ -204,11 +204,20 @@ def _lister(order, bits_only: bool = False):
 
 
 def _setter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and items of texts; repeated rows once a task."""
+    done: set[int] = set()
     for batch in batches:
-        sets = [shingles(t) for t in batch.column(0).to_pylist()]
-        if sets:
+        named = {}
+        for t in batch.column(0).to_pylist():
+            s = shingles(t)
+            name = xxhash.xxh3_64_intdigest(s.tobytes())
+            if len(s) and name not in done:
+                named[name] = s
+        done.update(named)
+        if named:
+            sets = list(named.values())
             ends = np.cumsum([0, *map(len, sets)])
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            nodes = np.array(list(named), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(nodes)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sets))))], names=["node", "items"])
 
 
@@ -217,7 +226,7 @@ def _slot(row: Column) -> Column:
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return docs.select(content_id().alias("row"), "doc_id", "text")
 
 
 def _sketch_columns(side: str) -> list[Column]:
@@ -356,8 +365,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component of docs the row with the smallest doc_id; texts without words all stay."""
     rows = joined(docs).withColumn("c", _component_key())
     first = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row"))
-    return own.join(first, "_row", "left_semi").select("doc.*")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), content_id().alias("_row"))
+    return own.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select("doc.*")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, let, materialize, read
 
-TEXT_KEY = F.xxhash64(F.lit(7), "text")
+
+def _text_key() -> Column:
+    return F.xxhash64(F.lit(7), "text")
 
 
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """doc_id, site, text_key, pos, h1, h2 of every line that is long enough."""
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    split = docs.select("doc_id", site.alias("site"), TEXT_KEY.alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    split = docs.select("doc_id", site.alias("site"), _text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     cut = split.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter(F.length("line") >= least_chars)
     return cut.select("doc_id", "site", "text_key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -56,7 +58,7 @@ def dedup_lines(docs: DataFrame, least_sites: int = 5, least_chars: int = 20) ->
     drop = hits.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when(away, F.col("pos"))).alias("drop"), F.countDistinct("pos").alias("n_spread")
     ).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "drop", "n_spread")
-    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("i"), TEXT_KEY.alias("t"))
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("i"), _text_key().alias("t"))
     both = doc.join(drop, F.col("i").eqNullSafe(F.col("d")) & (F.col("t") == F.col("k")), "left")
     n = F.coalesce(F.size(F.col("drop")), F.lit(0))
 

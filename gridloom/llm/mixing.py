@@ -4,7 +4,8 @@ Method: documents are aggregated by the set of sources they count for (their mem
 flows from patterns to source quotas; a pattern's first use is free and each repetition costs more than the last
 (convex), so no document is repeated while a fresh one could serve. The flow of each pattern then becomes whole
 passes over its documents and a rest, which is filled with documents in seeded order: a prefix of the order whose
-words fit, then a prefix of those that fit into the remaining gap, and so on.
+words fit, then a prefix of those that fit into the remaining gap, and so on. What then remains is filled the same way
+with documents that may be in use already, as long as none exceeds its passes.
 
 Scale: one pass counts words and writes (pattern, size, key) per row. A prefix is found by three histogram levels
 of 20 bits of the key, each a map-side combined aggregation, so a source with a third of all rows is never in one
@@ -122,24 +123,38 @@ def plan_mix(rows: DataFrame, members: dict[int, tuple[Source, ...]], quota: dic
     given = flow(words, {p: members[p] for p in words}, {s: round(q) for s, q in quota.items()}, most)
     passes = {p: g // words[p] if words[p] else 0 for p, g in given.items()}
     gaps = {p: g - passes[p] * words[p] for p, g in given.items()}
-    cuts: dict[int, list[tuple[int, int]]] = {p: [] for p in given}
-    open_ = rows
-    for _ in range(rounds):
-        live = {p: g for p, g in gaps.items() if g > 0}
-        if not live:
-            break
-        fits = open_.join(F.broadcast(rows.sparkSession.createDataFrame(list(live.items()), "p int, most long")), "p").filter((F.col("size") > 0) & (F.col("size") <= F.col("most"))).drop("most")
-        found = _prefix(fits, live)
-        for p, (key, gap) in found.items():
-            cuts[p].append((gaps[p], key))
-            gaps[p] = gap
-        taken = rows.sparkSession.createDataFrame([(p, *cuts[p][-1]) for p in live], "p int, most long, upto long")
-        open_ = open_.join(F.broadcast(taken), "p").filter((F.col("size") > F.col("most")) | (F.col("key") >= F.col("upto"))).drop("most", "upto")
-    return rows.sparkSession.createDataFrame([(p, passes[p], cuts[p]) for p in given], "p int, passes int, cuts array<struct<most:long,upto:long>>")
-
-
-def taken_words(size: Column, key: Column) -> Column:
-    return size * (F.col("passes") + F.exists("cuts", lambda c: (size <= c["most"]) & (key < c["upto"])).cast("int"))
+    spark = rows.sparkSession
+
+    def fill(open_: DataFrame, rounds: int, live_if) -> dict[int, list[tuple[int, int]]]:
+        cuts: dict[int, list[tuple[int, int]]] = {p: [] for p in given}
+        for _ in range(rounds):
+            live = {p: g for p, g in gaps.items() if g > 0 and live_if(p)}
+            if not live:
+                break
+            fits = open_.join(F.broadcast(spark.createDataFrame(list(live.items()), "p int, most long")), "p").filter((F.col("size") > 0) & (F.col("size") <= F.col("most"))).drop("most")
+            for p, (key, gap) in _prefix(fits, live).items():
+                cuts[p].append((gaps[p], key))
+                gaps[p] = gap
+            taken = spark.createDataFrame([(p, *cuts[p][-1]) if cuts[p] else (p, 0, 0) for p in live], "p int, most long, upto long")
+            open_ = open_.join(F.broadcast(taken), "p").filter((F.col("size") > F.col("most")) | (F.col("key") >= F.col("upto"))).drop("most", "upto")
+        return cuts
+
+    cuts = fill(rows, rounds, lambda p: True)
+    again = fill(rows, rounds // 2, lambda p: passes[p] + 2 <= most)
+    plan = spark.createDataFrame([(p, passes[p], cuts[p], again[p], gaps[p]) for p in given], "p int, passes int, cuts array<struct<most:long,upto:long>>, again array<struct<most:long,upto:long>>, gap long")
+    # One more document where that comes nearer: the one whose size is closest to the gap.
+    used = rows.join(F.broadcast(plan.filter("gap > 0")), "p").withColumn("used", taken_words(F.col("size"), F.col("key"), last=False))
+    free = used.filter((F.col("used") + F.col("size") <= most * F.col("size")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    best = free.groupBy("p").agg(F.min_by(F.struct("size", "key"), F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("one")).collect()
+    one = {r.p: (r.one["size"], r.one["key"]) for r in best}
+    last = spark.createDataFrame([(p, *one.get(p, (-1, -1))) for p in given], "p int, one_size long, one_key long")
+    return plan.drop("gap").join(F.broadcast(last), "p")
+
+
+def taken_words(size: Column, key: Column, last: bool = True) -> Column:
+    within = lambda cuts: F.exists(cuts, lambda c: (size <= c["most"]) & (key < c["upto"])).cast("int")
+    one = ((size == F.col("one_size")) & (key == F.col("one_key"))).cast("int") if last else F.lit(0)
+    return size * (F.col("passes") + within("cuts") + within("again") + one)
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), sources: Column | None = None, max_patterns: int = 100_000, with_doc: bool = False) -> DataFrame:

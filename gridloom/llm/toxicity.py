@@ -82,7 +82,7 @@ class Net:
         self.shift = np.float32(-2.0)
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
-        """Rectified filter values at each position; the last two positions are padding only."""
+        """Rectified filter values at each position; none at padding."""
         m = self.emb[ids] @ self.filters
         out, at = np.empty((len(ids), len(self.bias)), np.float32), 0
         for k, w in enumerate(WIDTHS):
@@ -92,6 +92,7 @@ class Net:
                 part[:-j] += m[j:, at + j * FILTERS : at + (j + 1) * FILTERS]
             at += w * FILTERS
         out += self.bias
+        out[ids == _PAD] = 0  # a window that starts in the padding may reach the next text
         return np.maximum(out, 0, out=out)
 
     def pooled(self, texts: list[np.ndarray], block: int = 1 << 17) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import read
+from .common import content_id, read
 
 BUCKETS = 1 << 16
 SYMBOLS = b"#*$%&|<>"
@@ -173,8 +173,8 @@ def score_quality(docs: DataFrame, most_rows: int = 4096, most_words: int = 1638
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, that score at least this much."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    good = score_quality(keyed, key="_row").filter(F.col("score") >= least).select(F.col("row").alias("_row"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), content_id().alias("_row"), "doc_id", "text")
+    good = score_quality(keyed, key="_row").filter(F.col("score") >= least).select(F.col("row").alias("_row")).distinct()
     return keyed.select("doc", "_row").join(good, "_row", "left_semi").select("doc.*")
 
 
