@@ -12,8 +12,8 @@ Dense groups. A large group of near copies has quadratically many links, but com
 every set is compared with one partner per list (rounds of leaders: the best by a 1024-bit sketch that bounds the
 intersection from above), and links found join sets into components. Then the exact step compares every pair that
 shares a list entry and is not joined yet: its join tests size and sketch inside the join, so pairs inside a component
-are never made; a 4096-bit sketch then leaves few pairs that do not link; the likeliest pair of each node and
-component is verified first, the rest where that did not join them. No pair of sets that links is left out: it is either compared, or its ends are already joined.
+are never made; a 4096-bit sketch then leaves few pairs that do not link; the likeliest pair of each node is verified
+first, twice, then all others whose nodes these did not join. No pair of sets that links is left out: it is either compared, or its ends are already joined.
 
 Scale: texts are read by three narrow passes; only 64-bit keys are shuffled, not texts. Exact copies are one node.
 Lists with a single node are dropped by a map-side combined count before anything is joined. What is broadcast is
@@ -255,6 +255,10 @@ class Join:
         del exploded, shared
         release(self.spark)
         self.nodes = materialize(self.sets.select("node", "n", "sketch", "wide").join(self.lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+        slim = materialize(self.sets.select("row", "doc_id", "node", "n"), "rows")
+        reps = materialize(self.reps, "reps")  # both no longer need the keys
+        discard(self.sets)
+        self.sets, self.reps = slim, reps
         self.links = None
 
     def side(self, name: str, of: DataFrame) -> DataFrame:
@@ -264,7 +268,7 @@ class Join:
         """pairs (a, b) that can link."""
         return pairs.join(self.side("a", self.nodes), "a").join(self.side("b", self.nodes), "b").filter(_possible())
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, keep_pairs: bool = False, parts: int = 1) -> DataFrame:
         """Those of the distinct pairs (a, b, an, bn) that link, by their whole sets, as edges (u, v)."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.reps, "node")
         slots = wanted.select(_slot(F.col("row")).alias("s"))
@@ -273,14 +277,16 @@ class Join:
         read = self.rows.withColumn("s", _slot(F.col("row"))).withColumn("w", F.shiftright("s", 6))
         hit = read.join(F.broadcast(bits), "w").filter(F.col("bits").bitwiseAND(bit) != 0)
         sets = materialize(hit.select("text").mapInArrow(_setter, "node long, items array<long>"), "items")
-        a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        both = pairs.select("a", "b", "an", "bn").join(a, "a").join(b, "b")
-        linked = both.filter(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.col("an") + F.col("bn")))
-        edges = materialize(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        discard(sets, pairs)
-        del both, linked, a, b, sets, hit, read
-        release(self.spark)
+        edges = None
+        for part in range(parts):  # in turn, so that only a part of the sets is on disk beside their pairs
+            mine = pairs.select("a", "b", "an", "bn").filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
+            both = mine.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+            linked = both.filter(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.col("an") + F.col("bn")))
+            found = materialize(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+            edges = found if edges is None else edges.unionByName(found)
+            del mine, both, linked
+            release(self.spark)
+        discard(sets, *([] if keep_pairs else [pairs]))
         return edges
 
     def labelled(self) -> DataFrame:
@@ -323,17 +329,24 @@ class Join:
         wide = self.nodes.select("node", "wide")
         both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
         apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-        likely = materialize(both.select("a", "b", "an", "bn", "al", "bl", (apart / (F.col("an") + F.col("bn"))).alias("apart")).filter("7 * apart <= 1"), "likely")
+        likely = materialize(both.select("a", "b", "an", "bn", "al", "bl", (apart / (F.col("an") + F.col("bn"))).alias("apart")).filter("7 * apart <= 1").drop("al", "bl"), "likely")
         discard(pairs)
         del a, b, both, pairs, mixed, of
         release(self.spark)
-        # The likeliest pair of a node and a component first: where it links, the others need no look.
-        best = likely.groupBy("a", "bl").agg(F.min_by(F.struct("b", "an", "bn"), F.struct("apart", "b")).alias("x"))
-        self.add(self.verified(materialize(best.select("a", "x.*"), "pairs")))
+        # The likeliest pair of each node first, twice: what these join needs no further look.
+        left = likely
+        for _ in range(2):
+            best = left.groupBy("a").agg(F.min_by(F.struct("b", "an", "bn"), F.struct("apart", "b")).alias("x")).select("a", "x.*")
+            best = materialize(best, "pairs")
+            left = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
+            self.add(self.verified(best, keep_pairs=True))
+            left = materialize(self.apart(left), "likely")
+        self.add(self.verified(left, parts=4))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, ...) whose nodes are in different components."""
         named = lambda s: self.labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}l"))
-        left = likely.drop("al", "bl").join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("al", "a") != F.coalesce("bl", "b"))
-        left = left.join(best.select("a", "x.b"), ["a", "b"], "left_anti")
-        self.add(self.verified(materialize(left.select("a", "b", "an", "bn"), "pairs")))
+        return pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("al", "a") != F.coalesce("bl", "b")).select(*pairs.columns)
 
     def result(self) -> DataFrame:
         """row, doc_id, n, label: of every row; label is a node, or null for texts without words."""
