@@ -341,11 +341,11 @@ class Join:
             left = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
             self.add(self.verified(best, keep_pairs=True))
             left = materialize(self.apart(left), "likely")
-        # In as many parts as it takes for each to carry no more than all these sets once.
+        # In as many parts as it takes for each to carry no more than all these sets once, twelve at most (each is a round of jobs).
         carried = left.agg(F.sum("an")).head()[0] or 0
         ends = left.select(F.col("a").alias("node"), F.col("an").alias("n")).unionByName(left.select(F.col("b").alias("node"), F.col("bn").alias("n"))).distinct()
         once = ends.agg(F.sum("n")).head()[0] or 1
-        self.add(self.verified(left, parts=max(1, -(-carried // once))))
+        self.add(self.verified(left, parts=max(1, min(12, -(-carried // once)))))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, ...) whose nodes are in different components."""
