@@ -9,11 +9,11 @@ sets just below it are in both. The global order puts shingles that many documen
 last, so their lists are scanned only for texts that consist of them.
 
 Dense groups. A large group of near copies has quadratically many links, but components need only some of them. First
-every set is compared with one partner per list (rounds of leaders: the best by a 1024-bit sketch that bounds the
-intersection from above), and links found join sets into components. Then the exact step compares every pair that
+every set is compared with one partner per list (rounds of leaders: the best by a 1024-bit parity sketch that bounds the
+symmetric difference from below), and links found join sets into components. Then the exact step compares every pair that
 shares a list entry and is not joined yet: its join tests size and sketch inside the join, so pairs inside a component
-are never made; a 4096-bit sketch then leaves few pairs that do not link; the likeliest pair of each node is verified
-first, twice, then all others whose nodes these did not join. No pair of sets that links is left out: it is either compared, or its ends are already joined.
+are never made; one of two bits a shingle or more then leaves few pairs that do not link; the likeliest pair of each node is verified
+first, then all others whose nodes these did not join. No pair of sets that links is left out: it is either compared, or its ends are already joined.
 
 Scale: texts are read by three narrow passes; only 64-bit keys are shuffled, not texts. Exact copies are one node.
 Lists with a single node are dropped by a map-side combined count before anything is joined. What is broadcast is
@@ -43,7 +43,7 @@ from .components import components
 
 WIDTH = 5
 SKETCH_WORDS = 16
-WIDE_WORDS = 64
+MIN_WIDE, MAX_WIDE = 64, 4096
 BITMAP_BITS = 22
 LARGEST_SMALL = 64  # beyond this size subsets of a prefix are always more than scan steps
 POSTING_COST = 8  # of shuffling a posting, in scan steps
@@ -97,6 +97,19 @@ def ordered(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray
     return np.concatenate([s[~hit], s[hit][np.argsort(rank[at[hit]], kind="stable")]])
 
 
+def parities(s: np.ndarray, words: int) -> np.ndarray:
+    """Of each of 64 * words slots whether an odd number of shingles fall in it. What two sets share cancels out of the
+    slots in which they differ, so these are at most as many as the shingles that only one of them has. The halves of a
+    sketch, xored, are the sketch of half the words."""
+    slots = (s & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=64 * words) & 1).astype(bool)).view(np.int64)
+
+
+def wide_words(n: int) -> int:
+    """Words of the wide sketch of a set of n: two to four slots a shingle, within bounds."""
+    return min(max(MIN_WIDE, 1 << (n >> 4).bit_length()), MAX_WIDE)
+
+
 def keys_of(s: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set in the global order, and the place in the set of each (of the first of two)."""
     n = len(s)
@@ -173,7 +186,7 @@ def global_order(texts: DataFrame, least: int = 1000, most: int = 1 << 18) -> tu
 SETS = "row long, doc_id long, node long, n long, keys array<long>, places array<int>, sketch array<long>, wide array<long>"
 
 
-def _lister(order, bits_only: bool = False):
+def _lister(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank, boundary = order.value
         for batch in batches:
@@ -181,22 +194,18 @@ def _lister(order, bits_only: bool = False):
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 k, p = keys_of(ordered(s, frequent, rank), boundary)
-                bits = np.zeros(64 * SKETCH_WORDS, bool)
-                bits[s >> np.uint64(54)] = True
-                wide = np.zeros(64 * WIDE_WORDS, bool)
-                wide[s >> np.uint64(52)] = True
-                wides.append(np.packbits(wide).view(np.int64))
+                wides.append(parities(s, wide_words(len(s))))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 sizes.append(len(s))
-                sketches.append(np.packbits(bits).view(np.int64))
+                sketches.append(parities(s, SKETCH_WORDS))
                 lengths.append(lengths[-1] + len(k))
                 keys.append(k)
                 places.append(p)
             flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
             lists = lambda values: pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)
-            fixed = lambda x, k: pa.ListArray.from_arrays(pa.array(range(0, k * len(nodes) + 1, k), pa.int32()), pa.array(flat(x, np.int64)))
+            each = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(flat(x, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists(pa.array(_signed(flat(keys, np.uint64)))), lists(pa.array(flat(places, np.int32))), fixed(sketches, SKETCH_WORDS), fixed(wides, WIDE_WORDS)],
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists(pa.array(_signed(flat(keys, np.uint64)))), lists(pa.array(flat(places, np.int32))), each(sketches), each(wides)],
                 names=["row", "doc_id", "node", "n", "keys", "places", "sketch", "wide"],
             )
 
@@ -239,6 +248,12 @@ def _possible() -> Column:
     return (4 * F.least("an", "bn") >= 3 * F.greatest("an", "bn")) & (7 * apart <= F.col("an") + F.col("bn"))
 
 
+def _folded(x: str, y: str) -> Column:
+    """The wide sketch x at the width of y, if y is narrower (by half at most, as the sizes are near)."""
+    half = F.shiftright(F.size(x), 1)
+    return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x))
+
+
 class Join:
     """One run of the join; the steps share the written tables."""
 
@@ -296,6 +311,8 @@ class Join:
         return self.lists.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def add(self, edges: DataFrame) -> None:
+        if self.links is not None and edges.isEmpty():
+            return
         self.links = edges if self.links is None else self.links.unionByName(edges)
         self.labels = materialize(components(self.links), "labels")
 
@@ -328,24 +345,21 @@ class Join:
         # A wider sketch leaves few pairs that do not link.
         wide = self.nodes.select("node", "wide")
         both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
-        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+        apart = F.aggregate(F.zip_with(_folded("x", "y"), _folded("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
         likely = materialize(both.select("a", "b", "an", "bn", "al", "bl", (apart / (F.col("an") + F.col("bn"))).alias("apart")).filter("7 * apart <= 1").drop("al", "bl"), "likely")
         discard(pairs)
         del a, b, both, pairs, mixed, of
         release(self.spark)
-        # The likeliest pair of each node first, twice: what these join needs no further look.
-        left = likely
-        for _ in range(2):
-            best = left.groupBy("a").agg(F.min_by(F.struct("b", "an", "bn"), F.struct("apart", "b")).alias("x")).select("a", "x.*")
-            best = materialize(best, "pairs")
-            left = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
-            self.add(self.verified(best, keep_pairs=True))
-            left = materialize(self.apart(left), "likely")
-        # In as many parts as it takes for each to carry no more than all these sets once, twelve at most (each is a round of jobs).
+        # The likeliest pair of each node first: what these join needs no further look.
+        best = likely.groupBy("a").agg(F.min_by(F.struct("b", "an", "bn"), F.struct("apart", "b")).alias("x")).select("a", "x.*")
+        best = materialize(best, "pairs")
+        left = likely.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        self.add(self.verified(best, keep_pairs=True))
+        left = materialize(self.apart(left), "likely")
+        # In as many parts as it takes for each to carry no more than half of all sets, twelve at most (each is a round of jobs).
         carried = left.agg(F.sum("an")).head()[0] or 0
-        ends = left.select(F.col("a").alias("node"), F.col("an").alias("n")).unionByName(left.select(F.col("b").alias("node"), F.col("bn").alias("n"))).distinct()
-        once = ends.agg(F.sum("n")).head()[0] or 1
-        self.add(self.verified(left, parts=max(1, min(12, -(-carried // once)))))
+        half = (self.sets.agg(F.sum("n")).head()[0] or 0) // 2
+        self.add(self.verified(left, parts=max(1, min(12, -(-carried // max(1, half))))))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, ...) whose nodes are in different components."""
