@@ -27,9 +27,10 @@ copies; an empty table gives no rows; other columns are ignored by the join and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +52,16 @@ POSTING_COST = 8  # of shuffling a posting, in scan steps
 _ODD = (np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([i])) for i in range(WIDTH)), dtype=">u8").astype(np.uint64)) | np.uint64(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+BLOCK = 1 << 16  # bytes of text hashed at once, more where a word is longer
+_STEP = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided by
+_OF_BYTE = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([i]), seed=1) for i in range(256)), dtype=">u8").astype(np.uint64)
+_IS_BLANK = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"])
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-_WORDS = _Words()
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _STEP, np.uint64)), np.cumprod(np.full(n, pow(_STEP, -1, 1 << 64), np.uint64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,17 +70,48 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _words_in(block: bytes) -> np.ndarray:
+    """Hashes of the words of a block in order: differences of one running polynomial sum, divided by their place."""
+    b = np.frombuffer(block, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~_IS_BLANK[b]
+    turn = np.diff(inside)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) - 1
+    up, down = _powers(max(BLOCK, 1 << (len(b) - 1).bit_length()))
+    value = _OF_BYTE[b] * up[: len(b)]
+    run = np.cumsum(value)
+    return _mix((run[end] - run[start] + value[start]) * down[start])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a text in order (A-Z lower-cased, cut at ASCII blanks)."""
+    data = (text or "").encode().lower()
+    out, at = [], 0
+    while at < len(data):
+        cut = len(data)
+        if cut - at > BLOCK:
+            found = _BLANK.search(data, at + BLOCK // 2)
+            cut = found.end() if found else cut
+        out.append(_words_in(data[at:cut]))
+        at = cut
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text (A-Z lower-cased, cut at ASCII blanks)."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.array(itemgetter(*words)(_WORDS) if len(words) > 1 else [_WORDS[words[0]]], np.uint64)
+    """Sorted distinct hashes of the word shingles of a text."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
     n = min(WIDTH, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
         h += w[k : len(w) - n + 1 + k] * _ODD[k]
-    return np.unique(_mix(h))
+    return _distinct(_mix(h))
 
 
 def _least(n: int) -> int:
@@ -274,6 +307,7 @@ class Join:
         reps = materialize(self.reps, "reps")  # both no longer need the keys
         discard(self.sets)
         self.sets, self.reps = slim, reps
+        release(self.spark)
         self.links = None
 
     def side(self, name: str, of: DataFrame) -> DataFrame:
@@ -317,12 +351,14 @@ class Join:
         self.labels = materialize(components(self.links), "labels")
 
     def lead(self, seed: int) -> None:
-        """Compare each node with the likeliest of the leaders of its lists, where not yet joined."""
+        """Compare each node with the likeliest of the four leaders it shares most keys with, where not yet joined."""
         of = self.labelled()
         draw = F.xxhash64(F.lit(seed), "node")
         leader = of.groupBy("key").agg(F.min_by(F.struct("node", "label"), draw).alias("to"))
-        pairs = of.join(leader, "key").filter(F.col("label") != F.col("to.label")).select(F.col("node").alias("a"), F.col("to.node").alias("b")).distinct()
-        near = self.sketched(pairs)
+        pairs = of.join(leader, "key").filter(F.col("label") != F.col("to.label")).select(F.col("node").alias("a"), F.col("to.node").alias("b"))
+        shared = pairs.repartition("a").groupBy("a", "b").agg(F.count("*").alias("k"))  # one shuffle; a node has no more keys than its text
+        most = shared.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), False), 1, 4).alias("to"))
+        near = self.sketched(most.select("a", F.explode("to.b").alias("b")))
         apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
         best = near.groupBy("a").agg(F.min_by(F.struct("b", "an", "bn"), F.struct(apart / (F.col("an") + F.col("bn")), "b")).alias("x"))
         self.add(self.verified(materialize(best.select("a", "x.*"), "pairs")))
