@@ -44,7 +44,7 @@ from .components import components
 
 WIDTH = 5
 SKETCH_WORDS = 16
-MIN_WIDE, MAX_WIDE = 64, 4096
+MIN_WIDE, MAX_WIDE = 32, 4096
 BITMAP_BITS = 22
 LARGEST_SMALL = 64  # beyond this size subsets of a prefix are always more than scan steps
 POSTING_COST = 8  # of shuffling a posting, in scan steps
@@ -140,7 +140,7 @@ def parities(s: np.ndarray, words: int) -> np.ndarray:
 
 def wide_words(n: int) -> int:
     """Words of the wide sketch of a set of n: two to four slots a shingle, within bounds."""
-    return min(max(MIN_WIDE, 1 << (n >> 4).bit_length()), MAX_WIDE)
+    return min(max(MIN_WIDE, 1 << (n >> 5).bit_length()), MAX_WIDE)
 
 
 def keys_of(s: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -372,9 +372,10 @@ class Join:
         cols = lambda s: [F.col("key"), F.col("node").alias(s), F.col("label").alias(f"{s}l"), F.col("n").alias(f"{s}n"), F.col("np").bitwiseAND((1 << 32) - 1).alias(f"{s}p"), (F.col("label") == F.col("main")).alias(f"{s}m"), *_sketch_columns(s)]
         a = mixed.filter("label <> main").select(*cols("a"))
         b = mixed.select(*cols("b"))
-        # Of two nodes outside the main component each pair is taken once; positions bound what can still follow.
+        # Of two nodes outside the main component each pair is taken once. The first key that two sets share, in the global
+        # order, has nothing shared before it, so what follows it in both must suffice; other keys need not yield the pair.
         once = F.col("bm") | (F.col("a") < F.col("b"))
-        rest = 1 + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) + F.least("ap", "bp")
+        rest = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
         pairs = a.join(b, "key").filter((F.col("al") != F.col("bl")) & once & _possible() & (7 * rest >= 3 * (F.col("an") + F.col("bn"))))
         pairs = materialize(pairs.select("a", "b", "an", "bn", "al", "bl").distinct(), "pairs")
         discard(of, mixed)
