@@ -9,10 +9,10 @@ sets just below it are in both. The global order puts shingles that many documen
 last, so their lists are scanned only for texts that consist of them.
 
 Dense groups. A large group of near copies has quadratically many links, but components need only some of them. First
-every set is compared with one partner per list (rounds of leaders: the best by a 1024-bit parity sketch that bounds the
+every set is compared with one partner per list (two rounds of leaders: the best by a 1024-bit parity sketch that bounds the
 symmetric difference from below), and links found join sets into components. Then the exact step compares every pair that
 shares a list entry and is not joined yet: its join tests size and sketch inside the join, so pairs inside a component
-are never made; one of two bits a shingle or more then leaves few pairs that do not link; the likeliest pair of each node is verified
+are never made; one of two bits a shingle then leaves few pairs that do not link; the likeliest pair of each node is verified
 first, then all others whose nodes these did not join. No pair of sets that links is left out: it is either compared, or its ends are already joined.
 
 Scale: texts are read by three narrow passes; only 64-bit keys are shuffled, not texts. Exact copies are one node.
@@ -409,7 +409,7 @@ class Join:
         return named.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
 
 
-def joined(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def joined(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """row, doc_id, n, label of each row of docs (doc_id, text)."""
     run = Join(docs)
     for seed in range(rounds):
