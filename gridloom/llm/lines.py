@@ -1,6 +1,6 @@
 """Cross-site boilerplate lines: HyperLogLog spread per line, exact counts near the threshold.
 
-Method: every line of at least ``least_chars`` characters is hashed (128 bits). Sketches of the sites that carry a
+Method: every line that is not blank (or, with ``least_chars``, of so many characters at least) is hashed (128 bits). Sketches of the sites that carry a
 line merge by aggregation, map-side first. A line whose estimate is clearly above or below ``least_sites`` is
 decided by it; lines within three standard errors (and at least one) of the threshold get an exact distinct
 count. A line on that many sites is boilerplate: it stays in the document with the smallest doc_id that has it
@@ -11,8 +11,8 @@ shuffled for the decision; the text is shuffled once, to be joined with the posi
 or broadcast by hand.
 
 Defined results: a null text stays null and has no lines; a null source is a site of its own; a null doc_id comes
-after all others; repeated rows share their fate; an empty table gives no rows; blank and short lines always
-stay; other columns pass through unchanged.
+after all others; repeated rows share their fate; an empty table gives no rows; blank lines (and those under
+``least_chars``) always stay; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def spread_lines(docs: DataFrame, least_sites: int, least_chars: int, lg_k: int
     return spread.filter(F.col("sites") > high).select("h1", "h2", "first").unionByName(near)
 
 
-def dedup_lines(docs: DataFrame, least_sites: int = 5, least_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_sites: int = 5, least_chars: int = 1) -> DataFrame:
     """doc (all columns of docs), clean (its text without boilerplate), n_lines, n_spread, n_removed."""
     spread = spread_lines(docs, least_sites, least_chars)
     hits = _lines(docs, least_chars).join(spread, ["h1", "h2"])
@@ -83,10 +83,19 @@ def strip_boilerplate(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs).select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def _columns(cleaned: DataFrame) -> DataFrame:
     clean = F.coalesce("clean", F.lit(""))
-    return dedup_lines(docs).select("doc.doc_id", "n_lines", "n_spread", "n_removed", F.length(clean).cast("long").alias("n_chars"), F.sha2(clean, 256).alias("clean_sha256"))
+    return cleaned.select("doc.doc_id", "n_lines", "n_spread", "n_removed", F.length(clean).cast("long").alias("n_chars"), F.sha2(clean, 256).alias("clean_sha256"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL has it: lines under 20 characters are left out."""
+    return _columns(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), least_chars=20))
+
+
+def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is not blank, as in the pipeline."""
+    return _columns(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 ORACLE_OP2 = r"""
@@ -104,3 +113,5 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spr
        CAST(length(coalesce(clean, '')) AS BIGINT) AS n_chars, sha256(coalesce(clean, '')) AS clean_sha256
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+ORACLE_OP2_WHOLE = ORACLE_OP2.replace("length(line) >= 20", "line <> ''")

@@ -7,6 +7,7 @@ from . import jaccard, lines, mixing, order_minhash, packing, pii, quality, toxi
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op2_line_dedup_whole": lines.op2_line_dedup_whole,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_weak_labels": weak_labels.op4_weak_labels,
     "op5_quality_rules": quality.op5_quality_rules,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_order_minhash": order_minhash.op10_order_minhash,
 }
 
-ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op9_urls": urls.ORACLE_OP9}
+ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op2_line_dedup_whole": lines.ORACLE_OP2_WHOLE, "op9_urls": urls.ORACLE_OP9}

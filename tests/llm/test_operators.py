@@ -182,6 +182,13 @@ def test_lines_odd(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    docs = spark.createDataFrame([(i, f"own line number {i} of this site\nLes.\n \nOf.", f"s{i}" if i < 6 else "s0") for i in range(8)] + [(8, "Hm.\nOf.", "s1"), (9, "Hm.", "s2")], "doc_id long, text string, source string")
+    got = {r.doc.doc_id: (r.clean, r.n_spread, r.n_removed) for r in lines.dedup_lines(docs).collect()}
+    want = {i: (f"own line number {i} of this site\n ", 2, 2) for i in range(1, 8)}
+    assert got == want | {0: ("own line number 0 of this site\nLes.\n \nOf.", 2, 0), 8: ("Hm.", 1, 1), 9: ("Hm.", 0, 0)}
+
+
 def test_mixing(spark, odd, empty):
     rows = mixing.op6_mixing(spark, DIR).collect()
     source = {d: s for d, _, s in texts()}
