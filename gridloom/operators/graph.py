@@ -60,3 +60,15 @@ def line(x0: str, y0: str, x1: str, y1: str) -> Column:
     dx, dy = f"({x1} - {x0})", f"({y1} - {y0})"
     n = f"greatest(abs{dx}, abs{dy}, 1)"
     return F.expr(f"transform(sequence(1L, cast({n} as bigint)), i -> named_struct('x', {x0} + cast(floor({dx} * i / {n}) as bigint), 'y', {y0} + cast(floor({dy} * i / {n}) as bigint)))")
+
+
+def walk(start: tuple[str, str, str], end: tuple[str, str, str], world: int = 3072) -> Column:
+    """Array of the tiles (x, y, z) of a straight walk on the wrapping world: the longest way in unit steps.
+
+    The other two ways are rounded towards the start; going nowhere has no tiles.
+    """
+    raw = [f"({b} - {a})" for a, b in zip(start, end, strict=True)]
+    ways = [f"(case when {d} >= {world // 2} then {d} - {world} when {d} <= -{world // 2} then {d} + {world} else {d} end)" for d in raw]
+    n = "cast(greatest({}) as bigint)".format(", ".join(f"abs{d}" for d in ways))
+    tile = ", ".join(f"'{c}', cast(pmod({a} + cast(sign{d} as bigint) * (i * abs{d} div {n}), {world}) as bigint)" for c, a, d in zip("xyz", start, ways, strict=True))
+    return F.expr(f"transform(filter(sequence(0L, {n}), i -> i > 0), i -> named_struct({tile}))")

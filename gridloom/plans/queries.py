@@ -293,6 +293,16 @@ def g3(spark, d):
     return walk.select("id", "t.x", "t.y")
 
 
+@query("g3_straight_walk_whole")
+def g3_whole(spark, d):
+    """From every object to its successor, in three dimensions over the seams; too long for SQL in a test."""
+    obj = view(spark, d, "obj")
+    to = obj.select((F.col("id") - 1).alias("id"), F.col("tx").alias("x1"), F.col("ty").alias("y1"), F.col("tz").alias("z1"))
+    tiles = graph.walk(("tx", "ty", "tz"), ("x1", "y1", "z1"))
+    walk = obj.join(to, "id").select("id", F.posexplode(tiles).alias("step", "t"))
+    return walk.select("id", (F.col("step") + 1).alias("step"), "t.x", "t.y", "t.z")
+
+
 @query("f22_checksums", "SELECT p_partkey, md5(p_name) AS digest, sha256(p_name) AS sha FROM part")
 def f22(spark, d):
     return _table(spark, d, "part").select("p_partkey", F.md5("p_name").alias("digest"), F.sha2("p_name", 256).alias("sha"))

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions import exprs as E
-from gridloom.operators import spatial
+from gridloom.operators import graph, spatial
 from gridloom.plans import queries as world
 from gridloom.sources import archives
 
@@ -74,3 +75,29 @@ def test_edge_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = edges(df, "k", ["due", "event_id"], F.col("inside")).select("k", "event_id", "entered", "left").collect()
     assert sorted(spark.table("edge_out").collect()) == sorted(want)
+
+
+def zombie(a, b):
+    """The steps of pathfinder/Zombie.cc, one after the other."""
+    d = [v - 3072 if v >= 1536 else v + 3072 if v <= -1536 else v for v in (q - p for p, q in zip(a, b, strict=True))]
+    cur, sums, major = list(a), [0, 0, 0], max(map(abs, d))
+    for _ in range(major):
+        for k in range(3):
+            sums[k] += abs(d[k])
+            cur[k] = (cur[k] + (1 if d[k] >= 0 else -1) * (sums[k] // major)) % 3072
+            sums[k] %= major
+        yield tuple(cur)
+
+
+def test_walk(spark):
+    ends = [((0, 0, 0), (5, 2, 1)), ((3070, 1, 3), (2, 3069, 0)), ((7, 7, 7), (7, 7, 7)), ((10, 10, 15), (12, 9, 0)), ((0, 0, 0), (1536, 1535, 2)), ((1536, 9, 0), (0, 9, 0)), ((100, 900, 4), (63, 2, 9))]
+    df = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(ends)], "id long, a long, b long, c long, d long, e long, f long")
+    got = {r.id: [tuple(t) for t in r.w] for r in df.select("id", graph.walk(("a", "b", "c"), ("d", "e", "f")).alias("w")).collect()}
+    assert got == {i: list(zombie(a, b)) for i, (a, b) in enumerate(ends)}
+
+
+def test_every_object_walks(spark):
+    obj = {r.id: (r.tx, r.ty, r.tz) for r in world.view(spark, DIR, "obj").collect()}
+    got = {r.id: (r.n, (r.last.x, r.last.y, r.last.z)) for r in world.QUERIES["g3_straight_walk_whole"](spark, DIR).groupBy("id").agg(F.count("*").alias("n"), F.max_by(F.struct("x", "y", "z"), "step").alias("last")).collect()}
+    gap = lambda p, q: max(min(abs(u - v), 3072 - abs(u - v)) for u, v in zip(p, q, strict=True))
+    assert got == {i: (gap(p, obj[i + 1]), obj[i + 1]) for i, p in obj.items() if i + 1 in obj}
