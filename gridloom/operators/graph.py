@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,82 @@ def grid_costs(searches: DataFrame, blocked: DataFrame, size: int, bound: int) -
     return searches.select("search", "x", "y").mapInPandas(run, "search long, x int, y int, cost int")
 
 
+_AROUND = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]  # the reference's order
+
+
+def step_cost(old: tuple, new: tuple) -> int:
+    """Cost of a step between neighbours (blocked, avoid, lift, poison, paved), -1 where blocked."""
+    if new[0]:
+        return -1
+    cost = 3 * (1 + bool(new[1]) + (old[2] != new[2]))
+    return cost * (2 if new[3] and new[2] == 0 else 1) - bool(new[4])
+
+
+def find_path(tiles: dict[tuple[int, int], tuple], start: tuple[int, int], goal: tuple[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """(cost, tiles after start) by A* as in the reference, ties last in first out; (-1, []) without a path in bounds."""
+
+    def estimate(t: tuple[int, int]) -> int:
+        dx, dy = abs(goal[0] - t[0]), abs(goal[1] - t[1])
+        return 2 * max(dx, dy) + min(dx, dy)
+
+    most = max(74, 3 * estimate(start))
+    # A chain for each total cost, the first one on the left; node: cost, total, parent, open
+    chains, nodes, best = [deque() for _ in range(most + 1)], {start: [0, estimate(start), None, True]}, estimate(start)
+    chains[best].append(start)
+    while True:
+        while best < most and not chains[best]:
+            best += 1
+        if best >= most:
+            return -1, []
+        tile = chains[best].popleft()
+        node = nodes[tile]
+        node[3] = False
+        if tile == goal:
+            path = []
+            while nodes[tile][2] is not None:
+                path.append(tile)
+                tile = nodes[tile][2]
+            return node[0], path[::-1]
+        for dx, dy in _AROUND:
+            to = tile[0] + dx, tile[1] + dy
+            if to not in tiles or (step := step_cost(tiles[tile], tiles[to])) < 0:
+                continue
+            cost, seen = node[0] + step, nodes.get(to)
+            if seen and seen[0] <= cost or (total := cost + estimate(to)) >= most:
+                continue
+            if seen and seen[3]:
+                chain = chains[seen[1]]
+                was_last = chain[-1] == to
+                chain.remove(to)
+                if was_last:
+                    chain.rotate(-1)  # the reference's chain then ends with its first one
+            nodes[to] = [cost, total, tile, True]
+            chains[total].appendleft(to)
+            best = min(best, total)
+
+
+def paths(searches: DataFrame, tiles: DataFrame, parts: int = 8) -> DataFrame:
+    """(search, cost, path) of each search (search, grid, x0, y0, x1, y1) over tiles (grid, x, y, blocked, avoid, lift, poison, paved).
+
+    Tiles that are not there are blocked. Grids lie in tasks of their own, each in so many parts of its searches.
+    """
+    ship(searches.sparkSession)
+
+    def run(looked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        at = {(r.x, r.y): (r.blocked, r.avoid, r.lift, r.poison, r.paved) for r in held.itertuples()}
+        outside = (False, False, 0, False, False)
+        out = []
+        for s in looked.itertuples():
+            here = at if (s.x0, s.y0) in at else at | {(s.x0, s.y0): outside}
+            cost, path = find_path(here, (s.x0, s.y0), (s.x1, s.y1))
+            out.append((s.search, cost, [{"x": x, "y": y} for x, y in path]))
+        return pd.DataFrame(out, columns=["search", "cost", "path"])
+
+    dealt = searches.withColumn("deal", F.pmod(F.xxhash64("search"), F.lit(parts)).cast("int"))
+    copied = tiles.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.groupBy("grid", "deal").cogroup(copied.groupBy("grid", "deal")).applyInPandas(run, "search long, cost int, path array<struct<x:int,y:int>>")
+
+
 def line(x0: str, y0: str, x1: str, y1: str) -> Column:
     """Array of the tiles of a straight walk: the longer way in unit steps, the other rounded down."""
     dx, dy = f"({x1} - {x0})", f"({y1} - {y0})"

@@ -284,6 +284,18 @@ def g1(spark, d):
     return graph.grid_costs(start, blocked, 24, 30).drop("search")
 
 
+@query("g1_grid_costs_whole")
+def g1_whole(spark, d):
+    """Each part is a tile of a 64 x 64 grid, a grid for every 4,096 keys, and searches a path from there to a tile at most 15 away."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    x, y = (p % 64).cast("int"), (F.call_function("div", p, F.lit(64)) % 64).cast("int")
+    part = _table(spark, d, "part").select(p, size, F.call_function("div", p, F.lit(4096)).alias("grid"), x.alias("x"), y.alias("y"))
+    tiles = part.select("grid", "x", "y", (size % 4 == 1).alias("blocked"), (size % 5 == 2).alias("avoid"), (size % 3).alias("lift"), (size % 7 == 3).alias("poison"), (size % 11 == 4).alias("paved"))
+    near = lambda c, by: F.least(F.greatest(F.col(c) + (by % 31 - 15), F.lit(0)), F.lit(63)).cast("int")
+    searches = part.select(p.alias("search"), "grid", F.col("x").alias("x0"), F.col("y").alias("y0"), near("x", size).alias("x1"), near("y", p * 7).alias("y1"))
+    return graph.paths(searches, tiles)
+
+
 @query("g3_straight_walk", f"""{having('obj')}, w AS (SELECT p.id, p.tx AS x0, p.ty AS y0, o.tx AS x1, o.ty AS y1, greatest(abs(o.tx - p.tx), abs(o.ty - p.ty), 1) AS n FROM obj p JOIN obj o ON o.id = p.id + 1 WHERE p.id % 1000 = 0),
 s AS (SELECT w.*, unnest(range(1, n + 1)) AS i FROM w) SELECT id, x0 + CAST(floor((x1 - x0) * i / n) AS BIGINT) AS x, y0 + CAST(floor((y1 - y0) * i / n) AS BIGINT) AS y FROM s""")
 def g3(spark, d):
