@@ -174,6 +174,15 @@ def p8(spark, d):
     return _table(spark, d, "part").filter(F.instr(F.lower("p_name"), "a") > 0).select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
 
 
+@query("p8_substring_whole")
+def p8_whole(spark, d):
+    """Every part name and every document whose text holds the letters, in any case; where is the place of the first hit, from 1."""
+    named = _table(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    told = _table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    hit = named.unionByName(told).withColumn("where", F.instr(F.lower("text"), "a"))
+    return hit.filter(F.col("where") > 0).select("kind", "id", "where")
+
+
 @query("a1_recursive_count", f"{having('item')} SELECT owner, sum(quantity)::BIGINT AS n FROM item WHERE shape = 17 AND frame % 32 = 3 GROUP BY owner")
 def a1(spark, d):
     return hierarchy.count_objects(view(spark, d, "item"), 17, 3)

@@ -149,3 +149,9 @@ def test_every_part_searches(spark):
     out = {r.search: (r.cost, len(r.path)) for r in world.QUERIES["g1_grid_costs_whole"](spark, DIR).collect()}
     assert sorted(out) == sorted(r.p_partkey for r in spark.read.parquet(f"{DIR}/part.parquet").collect())
     assert sum(c > 0 for c, _ in out.values()) > 20 and all((c > 0) == (n > 0) for c, n in out.values())
+
+
+def test_every_name_and_text_is_searched(spark):
+    got = sorted(map(tuple, world.QUERIES["p8_substring_whole"](spark, DIR).collect()))
+    sql = "SELECT 'part', p_partkey, instr(lower(p_name), 'a') FROM '{0}/part.parquet' WHERE contains(lower(p_name), 'a') UNION ALL SELECT 'document', doc_id, instr(lower(text), 'a') FROM '{0}/documents.parquet' WHERE contains(lower(text), 'a')"
+    assert got == sorted(duckdb.sql(sql.format(DIR)).fetchall()) and len(got) > 40 and {r[0] for r in got} == {"part", "document"}
