@@ -3,16 +3,19 @@
 Method: documents are aggregated by the set of sources they count for (their membership pattern). Word capacity
 flows from patterns to source quotas; a pattern's first use is free and each repetition costs more than the last
 (convex), so no document is repeated while a fresh one could serve. The flow of each pattern then becomes whole
-passes over its documents and a rest, which is filled with documents in seeded order: a prefix of the order whose
-words fit, then a prefix of those that fit into the remaining gap, and so on. What then remains is filled the same way
-with documents that may be in use already, as long as none exceeds its passes.
-
-Scale: one pass counts words and writes (pattern, size, key) per row. A prefix is found by three histogram levels
-of 20 bits of the key, each a map-side combined aggregation, so a source with a third of all rows is never in one
-task. What the driver holds is one row a pattern, at most ``max_patterns`` (an error beyond it).
-
-Defined results: a null text has size 0 and is never taken; a null source comes last; a null doc_id is drawn like
-any other; repeated rows are drawn one by one; an empty table gives no rows; other columns pass through ``mixed``.
+passes over its documents and a rest, which is filled with documents in seeded order: the longest prefix of the order
+whose words fit up to a short run of documents, of that run whatever still fits (once more where repetition is allowed),
+and one more document where that comes nearer.
+
+Scale: one pass counts words and writes each row with its size and key. The prefix is found by histogram levels of four
+bits of the key, each a map-side combined aggregation of at most 16 sums a pattern, until the run is short (so the
+number of levels grows with the logarithm of the rows); a source with a third of all rows is never in one task. What
+the driver holds is a row a pattern, at most ``max_patterns``; where there are more, the patterns of fewest words
+count for the first of their sources alone.
+
+Defined results: a null text has size 0 and is never taken; a null source comes last; the order of sources in a row
+and their repetition do not matter; a row without sources is not taken; a null doc_id is drawn like any other;
+repeated rows are drawn one by one; an empty table gives no rows; other columns pass through ``mixed``.
 """
 
 from __future__ import annotations
@@ -21,12 +24,11 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialize, read
+from .common import materialize, read, small_table
 
 Source = str | None
-LEVELS = (40, 20, 0)  # shifts of the 60-bit key
+KEY_BITS, LEVEL_BITS = 60, 4
 
 
 def targets_of(sizes: dict[Source, int], weights: dict[Source, float], most: float = 3.0) -> dict[Source, float]:
@@ -45,116 +47,148 @@ def targets_of(sizes: dict[Source, int], weights: dict[Source, float], most: flo
 
 
 def flow(capacity: dict[int, int], members: dict[int, tuple[Source, ...]], quota: dict[Source, int], most: int = 3) -> dict[int, int]:
-    """Words that each pattern gives in a maximum flow of least cost; use k of a pattern costs k - 1 a word."""
-    nodes: dict = {"from": 0, "to": 1}
-    arcs: list[list[int]] = []  # to, capacity left, cost; the reverse arc is at index ^ 1
-    out: list[list[int]] = [[], []]
-
-    def node(key) -> int:
-        if key not in nodes:
-            nodes[key] = len(out)
-            out.append([])
-        return nodes[key]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            out[x].append(len(arcs))
-            arcs.append([y, r, c])
-
-    firsts = {}
-    for p, n in capacity.items():
-        firsts[p] = len(arcs)
-        for k in range(most):
-            arc(0, node(("p", p)), n, k)
+    """Words that each pattern gives in a maximum flow of least cost; use k of a pattern costs k - 1 a word.
+
+    Only arcs out of the start have a cost and no shortest way comes back to it, so the cheapest ways are those through
+    the first uses, then those through the second, and so on: a maximum flow is found for each use in turn, on what the
+    uses before it left, by blocking flows on the layers of shortest ways.
+    """
+    patterns = sorted(capacity)
+    sources = sorted({s for p in patterns for s in members[p]}, key=lambda s: (s is None, s or ""))
+    number = {s: len(patterns) + i for i, s in enumerate(sources)}
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    out: list[list[int]] = [[] for _ in range(end + 1)]
+    to: list[int] = []
+    room: list[int] = []  # of arc i; the way back is arc i ^ 1
+
+    def arc(a: int, b: int, n: int) -> int:
+        for x, y, r in ((a, b, n), (b, a, 0)):
+            out[x].append(len(to))
+            to.append(y)
+            room.append(r)
+        return len(to) - 2
+
+    first = [arc(start, i, 0) for i in range(len(patterns))]
+    for i, p in enumerate(patterns):
         for s in members[p]:
-            arc(node(("p", p)), node(("s", s)), most * n, 0)
-    for s, n in quota.items():
-        arc(node(("s", s)), 1, n, 0)
-    while True:
-        far, via, queue, queued = {0: 0}, {}, deque([0]), {0}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for i in out[a]:
-                b, room, cost = arcs[i]
-                if room and far[a] + cost < far.get(b, 1 << 60):
-                    far[b], via[b] = far[a] + cost, i
-                    if b not in queued:
-                        queued.add(b)
-                        queue.append(b)
-        if 1 not in far:
-            return {p: sum(arcs[i + 1][1] for i in range(first, first + 2 * most, 2)) for p, first in firsts.items()}
-        path, b = [], 1
-        while b:
-            path.append(via[b])
-            b = arcs[via[b] ^ 1][0]
-        room = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= room
-            arcs[i ^ 1][1] += room
+            arc(i, number[s], most * capacity[p])
+    for s in sources:
+        arc(number[s], end, quota[s])
+    for _ in range(most):
+        for i, p in enumerate(patterns):
+            room[first[i]] += capacity[p]
+        while True:
+            depth, queue = {start: 0}, deque([start])
+            while queue and end not in depth:
+                a = queue.popleft()
+                for i in out[a]:
+                    if room[i] and to[i] not in depth:
+                        depth[to[i]] = depth[a] + 1
+                        queue.append(to[i])
+            if end not in depth:
+                break
+            todo = [0] * len(out)  # arcs of each node that are used up for these layers
+            way: list[int] = []
+            while True:
+                a = to[way[-1]] if way else start
+                if a == end:
+                    n = min(room[i] for i in way)
+                    for i in way:
+                        room[i] -= n
+                        room[i ^ 1] += n
+                    del way[next(k for k, i in enumerate(way) if not room[i]) :]
+                elif todo[a] == len(out[a]):
+                    if not way:
+                        break
+                    way.pop()
+                    todo[to[way[-1]] if way else start] += 1
+                elif room[i := out[a][todo[a]]] and depth.get(to[i]) == depth[a] + 1:
+                    way.append(i)
+                else:
+                    todo[a] += 1
+    return {p: room[first[i] ^ 1] for i, p in enumerate(patterns)}
 
 
 def order_key(seed: int) -> Column:
-    """60 bits: 40 from the doc_id, 20 from the row's place, which only part repeated rows."""
-    top = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 40) - 1)
+    """60 bits: 40 from the row's content, 20 from its place, which only part repeated rows."""
+    top = F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").bitwiseAND((1 << 40) - 1)
     low = F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).bitwiseAND((1 << 20) - 1)
     return F.shiftleft(top, 20).bitwiseOR(low)
 
 
-def _prefix(rows: DataFrame, gaps: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """For each pattern the first key beyond the longest prefix of at most gap words, and the gap it leaves."""
+def _crossing(rows: DataFrame, gaps: dict[int, int], counts: dict[int, int], most_run: int) -> dict[int, tuple[int, int, int]]:
+    """For each pattern: (the first key of a run of documents, the first after it, the gap): what comes before the run
+    fits, what comes before its end does not. A pattern that fits whole has an empty run at the end of all keys."""
+    spark = rows.sparkSession
+    end = 1 << KEY_BITS
+    out: dict[int, tuple[int, int, int]] = {}
+    out |= {p: (0, end, g) for p, g in gaps.items() if counts[p] <= most_run}
+    state = {p: (0, g) for p, g in gaps.items() if p not in out}  # the bits found so far, and the gap behind them
+    bits = 0
+    while state:
+        bits += LEVEL_BITS
+        shift = KEY_BITS - bits
+        at = small_table(spark, [(p, high, gap) for p, (high, gap) in state.items()], "p int;high long;gap long")
+        own = rows.join(F.broadcast(at), "p").filter((F.shiftright("key", shift + LEVEL_BITS) == F.col("high")) & (F.col("size") > 0))
+        sums = own.groupBy("p", "gap", F.shiftright("key", shift).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("k"))
+        listed = sums.groupBy("p", "gap").agg(F.sort_array(F.collect_list(F.struct("b", "n", "k"))).alias("bins"))  # 16 bins at most
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("k"))
+        step = lambda acc, x: F.when(acc["b"].isNull() & (acc["used"] + x["n"] <= F.col("gap")), F.struct((acc["used"] + x["n"]).alias("used"), acc["b"].alias("b"), acc["k"].alias("k"))).when(
+            acc["b"].isNull(), F.struct(acc["used"].alias("used"), x["b"].alias("b"), x["k"].alias("k"))
+        ).otherwise(acc)
+        got = {r.p: r.x for r in listed.select("p", F.aggregate("bins", start, step).alias("x")).collect()}
+        new = {}
+        for p, (high, gap) in state.items():
+            x = got.get(p)
+            if x is None or x["b"] is None:  # all of it fits
+                out[p] = ((high + 1) << (shift + LEVEL_BITS),) * 2 + (gap - (x["used"] if x else 0),)
+            elif x["k"] <= most_run or not shift:
+                out[p] = (x["b"] << shift, min(end, (x["b"] + 1) << shift), gap - x["used"])
+            else:
+                new[p] = (x["b"], gap - x["used"])
+        state = new
+    return out
+
+
+def plan_mix(rows: DataFrame, given: dict[int, int], words: dict[int, int], counts: dict[int, int], most: int = 3) -> DataFrame:
+    """From rows (p, size, key): p, passes, upto (keys below are taken once more), picked and again (so are these before until), one (this key once more still)."""
     spark = rows.sparkSession
-    state = {p: (0, g) for p, g in gaps.items()}
-    for shift in LEVELS:
-        at = spark.createDataFrame([(p, k >> (shift + 20), g) for p, (k, g) in state.items()], "p int, high long, gap long")
-        left = rows.join(F.broadcast(at), "p").filter(F.shiftright("key", shift + 20) == F.col("high"))
-        sums = left.groupBy("p", "gap", F.shiftright("key", shift).alias("b")).agg(F.sum("size").alias("n"))
-        upto = sums.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("b")))
-        over = upto.groupBy("p").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("b"))).alias("b"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("used"), F.max("b").alias("last"))
-        for r in over.collect():
-            key = (r.b if r.b is not None else r.last + 1) << shift
-            state[r.p] = (key, state[r.p][1] - (r.used or 0))
-    return state
-
-
-def plan_mix(rows: DataFrame, members: dict[int, tuple[Source, ...]], quota: dict[Source, float], most: int = 3, rounds: int = 8) -> DataFrame:
-    """From rows (p, size, key): p, passes, and cuts: for each round the largest size and the first key left out."""
-    words = {r.p: r.n or 0 for r in rows.groupBy("p").agg(F.sum("size").alias("n")).collect()}
-    given = flow(words, {p: members[p] for p in words}, {s: round(q) for s, q in quota.items()}, most)
     passes = {p: g // words[p] if words[p] else 0 for p, g in given.items()}
     gaps = {p: g - passes[p] * words[p] for p, g in given.items()}
-    spark = rows.sparkSession
-
-    def fill(open_: DataFrame, rounds: int, live_if) -> dict[int, list[tuple[int, int]]]:
-        cuts: dict[int, list[tuple[int, int]]] = {p: [] for p in given}
-        for _ in range(rounds):
-            live = {p: g for p, g in gaps.items() if g > 0 and live_if(p)}
-            if not live:
-                break
-            fits = open_.join(F.broadcast(spark.createDataFrame(list(live.items()), "p int, most long")), "p").filter((F.col("size") > 0) & (F.col("size") <= F.col("most"))).drop("most")
-            for p, (key, gap) in _prefix(fits, live).items():
-                cuts[p].append((gaps[p], key))
-                gaps[p] = gap
-            taken = spark.createDataFrame([(p, *cuts[p][-1]) if cuts[p] else (p, 0, 0) for p in live], "p int, most long, upto long")
-            open_ = open_.join(F.broadcast(taken), "p").filter((F.col("size") > F.col("most")) | (F.col("key") >= F.col("upto"))).drop("most", "upto")
-        return cuts
-
-    cuts = fill(rows, rounds, lambda p: True)
-    again = fill(rows, rounds // 2, lambda p: passes[p] + 2 <= most)
-    plan = spark.createDataFrame([(p, passes[p], cuts[p], again[p], gaps[p]) for p in given], "p int, passes int, cuts array<struct<most:long,upto:long>>, again array<struct<most:long,upto:long>>, gap long")
+    runs = _crossing(rows, {p: g for p, g in gaps.items() if g > 0}, counts, max(16, (1 << 16) // max(1, len(gaps))))
+    plan = small_table(spark, [(p, passes[p], *runs.get(p, (0, 0, gaps[p]))) for p in given], "p int;passes int;upto long;until long;gap long")
+    # Of the run, a short list: in order of key as long as the largest still fits, then the largest that fit, then again those that may be repeated.
+    run = rows.join(F.broadcast(plan), "p").filter((F.col("key") >= F.col("upto")) & (F.col("key") < F.col("until")) & (F.col("size") > 0))
+    units = run.groupBy("p", "passes", "gap", "key").agg(F.sum("size").alias("n")).groupBy("p", "passes", "gap").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("units"))
+    none = F.array().cast("array<bigint>")
+    fits = lambda acc, x: F.struct((acc["left"] - x["n"]).alias("left"), F.concat(acc["keys"], F.array(x["key"])).alias("keys"), acc["open"].alias("open"))
+    shut = lambda acc: F.struct(acc["left"].alias("left"), acc["keys"].alias("keys"), F.lit(False).alias("open"))
+    ordered = lambda x: F.sort_array(F.transform(x, lambda u: F.struct(u["n"].alias("n"), u["key"].alias("key"))), False)
+    greedy = lambda x, left: F.aggregate(x, F.struct(left.alias("left"), none.alias("keys"), F.lit(True).alias("open")), lambda acc, u: F.when(u["n"] <= acc["left"], fits(acc, u)).otherwise(acc))
+    prefix = F.aggregate("units", F.struct(F.col("gap").alias("left"), none.alias("keys"), F.lit(True).alias("open")), lambda acc, u: F.when(~acc["open"], acc).when(u["n"] + F.col("big") <= acc["left"], fits(acc, u)).otherwise(shut(acc)))
+    got = units.withColumn("big", F.array_max(F.transform("units", lambda u: u["n"]))).select("p", "passes", "units", prefix.alias("a"))
+    rest = F.filter("units", lambda u: ~F.array_contains(F.col("a.keys"), u["key"]))
+    got = got.withColumn("b", greedy(ordered(rest), F.col("a.left")))
+    free = F.filter("units", lambda u: (F.col("passes") + F.when(F.array_contains(F.col("a.keys"), u["key"]) | F.array_contains(F.col("b.keys"), u["key"]), 2).otherwise(1)) <= most)
+    got = got.withColumn("c", greedy(ordered(free), F.col("b.left")))
+    picked = got.select("p", F.concat("a.keys", "b.keys").alias("picked"), F.col("c.keys").alias("again"), F.col("c.left").alias("left"))
+    plan = plan.join(F.broadcast(picked), "p", "left")
+    plan = plan.select("p", "passes", "upto", "until", F.coalesce("picked", none).alias("picked"), F.coalesce("again", none).alias("again"), F.coalesce("left", "gap").alias("gap"))
+    plan = materialize(plan, "mix-plan")
     # One more document where that comes nearer: the one whose size is closest to the gap.
     used = rows.join(F.broadcast(plan.filter("gap > 0")), "p").withColumn("used", taken_words(F.col("size"), F.col("key"), last=False))
     free = used.filter((F.col("used") + F.col("size") <= most * F.col("size")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
-    best = free.groupBy("p").agg(F.min_by(F.struct("size", "key"), F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("one")).collect()
-    one = {r.p: (r.one["size"], r.one["key"]) for r in best}
-    last = spark.createDataFrame([(p, *one.get(p, (-1, -1))) for p in given], "p int, one_size long, one_key long")
+    best = free.groupBy("p").agg(F.min_by(F.struct("size", "key"), F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("one"))
+    one = {r.p: (r.one["size"], r.one["key"]) for r in best.collect()}
+    last = small_table(spark, [(p, *one.get(p, (-1, -1))) for p in given], "p int;one_size long;one_key long")
     return plan.drop("gap").join(F.broadcast(last), "p")
 
 
 def taken_words(size: Column, key: Column, last: bool = True) -> Column:
-    within = lambda cuts: F.exists(cuts, lambda c: (size <= c["most"]) & (key < c["upto"])).cast("int")
+    run = (key >= F.col("upto")) & (key < F.col("until"))
+    once = (key < F.col("upto")).cast("int") + F.when(run, F.array_contains("picked", key).cast("int") + F.array_contains("again", key).cast("int")).otherwise(0)
     one = ((size == F.col("one_size")) & (key == F.col("one_key"))).cast("int") if last else F.lit(0)
-    return size * (F.col("passes") + within("cuts") + within("again") + one)
+    return size * (F.col("passes") + once + one)
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), sources: Column | None = None, max_patterns: int = 100_000, with_doc: bool = False) -> DataFrame:
@@ -163,30 +197,36 @@ def mix_sources(docs: DataFrame, seed: int = 17, most: int = 3, weights: tuple[i
     sources: array of the sources a document counts for; by default its source alone.
     """
     spark = docs.sparkSession
-    sources = F.array(F.col("source")) if sources is None else sources
+    of = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(F.coalesce(sources.cast("array<string>"), F.array().cast("array<string>"))))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if with_doc else F.col("doc_id")
-    counted = lambda own: docs.select(own, sources.alias("sources"), size.alias("size"), order_key(seed).alias("key"))
-    rows = materialize(counted(F.col("doc_id")), "mix")
-    found = rows.groupBy("sources").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
+    rows = materialize(docs.select(own, of.alias("sources"), size.alias("size"), order_key(seed).alias("key")), "mix")
+    counted = rows.groupBy("sources").agg(F.sum("size").alias("n"), F.count("*").alias("k"))
+    found = counted.orderBy(F.desc("n"), "sources").limit(max_patterns + 1).collect()
+    effective = F.col("sources")
     if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+        kept = materialize(counted.orderBy(F.desc("n"), "sources").limit(max_patterns).select(F.col("sources").alias("of")), "mix-patterns")
+        rows = rows.join(F.broadcast(kept), F.col("sources").eqNullSafe(F.col("of")), "left").withColumn("pattern", F.when(F.col("of").isNotNull(), F.col("sources")).otherwise(F.slice("sources", 1, 1))).drop("of")
+        effective = F.col("pattern")
+        found = rows.groupBy(effective.alias("sources")).agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
     found.sort(key=lambda r: [(s is None, s or "") for s in r.sources])
     members = {p: tuple(r.sources) for p, r in enumerate(found)}
+    words = {p: r.n or 0 for p, r in enumerate(found)}
+    counts = {p: r.k for p, r in enumerate(found)}
     sizes: dict[Source, int] = {}
-    for r in found:
-        for s in set(r.sources):
-            sizes[s] = sizes.get(s, 0) + r.n
+    for p, names in members.items():
+        for s in names:
+            sizes[s] = sizes.get(s, 0) + words[p]
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    total = sum(r.n for r in found)
+    total = sum(words[p] for p in members if members[p])
     quota = targets_of(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, most)
     if sum(sizes.values()) > total:  # overlapping sources share what there is once
         quota = {s: q * total / sum(sizes.values()) for s, q in quota.items()}
-    of = spark.createDataFrame([(p, list(m), sizes[m[0]], float(quota[m[0]])) for p, m in members.items() if m], "p int, of array<string>, source_size long, target double")
-    keyed = rows.join(F.broadcast(of.select("p", "of")), F.col("sources").eqNullSafe(F.col("of"))).select("p", "size", "key")
-    plan = of.join(plan_mix(keyed, members, quota, most), "p")
-    whole = rows if not with_doc else counted(own)
-    joined = whole.join(F.broadcast(plan), F.col("sources").eqNullSafe(F.col("of")), "left")
+    given = flow(words, members, {s: round(q) for s, q in quota.items()}, most)
+    known = small_table(spark, [(p, list(m), sizes[m[0]] if m else None, float(quota[m[0]]) if m else None) for p, m in members.items()], "p int;of array<string>;source_size long;target double")
+    keyed = rows.join(F.broadcast(known.select("p", "of")), effective.eqNullSafe(F.col("of"))).select("p", "size", "key")
+    plan = known.join(F.broadcast(plan_mix(keyed, given, words, counts, most)), "p")
+    joined = rows.join(F.broadcast(plan), effective.eqNullSafe(F.col("of")), "left")
     return joined.select("doc" if with_doc else "doc_id", "size", "sources", "source_size", "target", F.coalesce(taken_words(F.col("size"), F.col("key")), F.lit(0)).alias("taken"))
 
 
