@@ -1,15 +1,19 @@
 """Quality rules: base counts of each text, and a robust multivariate outlier test per language and source.
 
 Method: word, symbol and repetition counts are transformed to a vector of ``len(FEATURES)`` statistics. For each
-(lang, source) the minimum covariance determinant is approached by concentration steps: from a coordinate-wise
-median and spread, keep the share ``h`` of rows with the smallest Mahalanobis distance, take their mean and
-covariance, repeat. The covariance is scaled to be consistent at the median, and a text is rejected if its squared
-distance exceeds ``cutoff`` times the number of statistics and at least one statistic lies on its bad side.
+(lang, source) the minimum covariance determinant is sought from three deterministic starts around the medians (quartile
+spreads alone, correlations of the hyperbolic tangents, correlations of the spatial signs). A concentration step takes
+the mean and covariance of the share ``keep_share`` of rows that are nearest by Mahalanobis distance (whole distance
+bins, 64 for each doubling); after two steps the start of least determinant goes on until its determinant falls no
+more. The covariance is scaled to be consistent at the median, and a text is rejected if its squared distance lies
+beyond the ``quantile`` of the chi-square distribution.
 
 Scale: DataFrame functions only. Counting is a narrow pass over the texts; the vectors (a few numbers a row) are
 written once, and every step is a map-side combined aggregation by group and by distance bin, so a source that
-holds a third of all rows costs each task one partial row. Groups of fewer than ``least_rows`` rows take the
-estimate of their language, and a language of fewer that of all rows. Nothing is collected.
+holds a third of all rows costs each task a few partial rows. What is joined to the rows is written first, so that
+Spark knows its size before it picks a join. Groups of fewer than ``least_rows`` rows are pooled by language, and pools
+of fewer than that together; a text in a last pool of fewer is not put to the test. Only the number of groups still
+moving is collected.
 
 Defined results: a null text has no words and so fails the base rule; null lang and null source are groups of
 their own; null doc_ids and repeated rows are judged like any other; an empty table gives no rows; other columns
@@ -18,6 +22,8 @@ pass through ``keep_good`` unchanged.
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,11 +31,28 @@ from pyspark.sql import Window as W
 from .common import BLANK_CLASS, let, materialize, read, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Median of the chi-square distribution by degrees of freedom (fixed values).
-CHI2_MEDIAN = {1: 0.4549, 2: 1.3863, 3: 2.3660, 4: 3.3567, 5: 4.3515, 6: 5.3481}
-#: Statistic: (least standard deviation, side that is bad).
-FEATURES = {"word_len": (0.08, 0), "symbols": (0.05, 1), "dup_lines": (0.25, 1), "repeats": (0.25, 1), "length": (0.50, 0)}
-BINS = 8  # distance bins for each doubling
+#: Statistic: least standard deviation.
+FEATURES = {"word_len": 0.08, "symbols": 0.05, "dup_lines": 0.25, "repeats": 0.25, "length": 0.50}
+BINS = 64  # distance bins for each doubling
+
+
+def chi2_quantile(p: float, d: int) -> float:
+    """Of the chi-square distribution with d degrees of freedom, by its series and bisection."""
+
+    def below(x: float) -> float:
+        a, term, total = d / 2, 1.0, 1.0
+        for n in range(1, 1000):
+            term *= x / 2 / (a + n)
+            total += term
+            if term < 1e-16 * total:
+                break
+        return total * exp(a * log(x / 2) - x / 2 - lgamma(a + 1))
+
+    low, high = 1e-9, 400.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid) < p else (low, mid)
+    return low
 
 
 def repeated_words(words: Column) -> Column:
@@ -55,7 +78,9 @@ def repeated_words(words: Column) -> Column:
         def twice(keys: Column) -> Column:
             of = lambda i: F.call_function("div", F.get(keys, i), width)
             hit = F.filter(keys, lambda k, i: ((i > 0) & (of(i) == of(i - 1))) | ((i < m - 1) & (of(i) == of(i + 1))))
-            return covered(F.sort_array(F.transform(hit, lambda k: (k % width).cast("int"))))
+            # the hashes in the keys are cut: what may be equal is compared by its whole hash
+            whole = F.sort_array(F.transform(hit, lambda k: let((k % width).cast("int"), lambda p: F.struct(F.get(h, p).alias("h"), p.alias("p")))))
+            return let(whole, lambda c: covered(F.sort_array(F.transform(F.filter(c, lambda x, i: (x["h"] == F.get(c, i - 1)["h"]) | (x["h"] == F.get(c, i + 1)["h"])), lambda x: x["p"]))))
 
         return F.when(F.size(F.array_distinct(h)) == m, 0).otherwise(let(keys, twice))
 
@@ -93,19 +118,23 @@ X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
+M = [f"m{i}" for i in range(D)]
+L = [f"l{i}_{j}" for i, j in PAIRS]
+
+
 def _cholesky(stats: DataFrame) -> DataFrame:
-    """From columns m{i} and c{i}_{j} of a group: its mean and the lower triangle l{i}_{j} of its covariance."""
-    floors = [f[0] for f in FEATURES.values()]
+    """From columns m{i} and c{i}_{j} of a group: its mean, the lower triangle l{i}_{j} of its covariance, and logdet."""
+    floors = list(FEATURES.values())
     for i, j in PAIRS:
         v = F.col(f"c{i}_{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
         for k in range(j):
             v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
         stats = stats.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}_{j}"))
-    return stats
+    return stats.withColumn("logdet", sum((2 * F.log(f"l{i}_{i}") for i in range(1, D)), 2 * F.log("l0_0"))).drop(*[f"c{i}_{j}" for i, j in PAIRS])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, and z{i}, by how many deviations each statistic is off."""
+    """Adds d2, the squared Mahalanobis distance."""
     for i in range(D):
         v = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -114,57 +143,95 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0")))
 
 
-def estimate(vectors: DataFrame, keep_share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Per group g of vectors (g, x0, x1, ...): size n, mean m{i}, scaled triangle l{i}_{j}."""
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Three first estimates of each group, by start s."""
+    floors = list(FEATURES.values())
     quart = vectors.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(F.round(x, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(X)])
-    spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
-    stats = quart.select("g", "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(spread(i) * spread(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS])
-    params = _cholesky(stats)
-    for step in range(steps):
-        # Concentration: sums by distance bin are enough to find the nearest share and its moments.
-        near = _distance(vectors.join(params.drop("n"), "g")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
-        sums = near.groupBy("g", "bin").agg(F.count("*").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"t{i}_{j}") for i, j in PAIRS])
-        up = W.partitionBy("g").orderBy("bin")
-        whole = W.partitionBy("g")
-        sums = sums.withColumn("n", F.sum("k").over(whole)).withColumn("before", F.sum("k").over(up) - F.col("k"))
-        median = F.min(F.when(F.col("before") + F.col("k") >= 0.5 * F.col("n"), F.col("bin")))
-        kept = F.col("before") < keep_share * F.col("n")
-        part = lambda c: F.sum(F.when(kept, F.col(c)))
-        got = sums.groupBy("g").agg(F.max("n").alias("n"), part("k").alias("h"), median.alias("mid"), *[part(f"s{i}").alias(f"s{i}") for i in range(D)], *[part(f"t{i}_{j}").alias(f"t{i}_{j}") for i, j in PAIRS])
-        # Consistent at the median: the middle squared distance under the old triangle is that of a chi-square.
-        mean = {i: F.col(f"s{i}") / F.col("h") for i in range(D)}
-        scale = F.lit(1.0) if step == 0 else F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 0.5) / BINS) / CHI2_MEDIAN[D])
-        stats = got.select("g", "n", *[mean[i].alias(f"m{i}") for i in range(D)], *[((F.col(f"t{i}_{j}") / F.col("h") - mean[i] * mean[j]) * scale).alias(f"c{i}_{j}") for i, j in PAIRS])
-        params = materialize(_cholesky(stats).drop(*[f"c{i}_{j}" for i, j in PAIRS]), "mcd")
-    return params
-
-
-def judge_quality(docs: DataFrame, with_doc: bool = True, least_words: int = 10, most_repeats: int = 20, least_rows: int = 50, cutoff: float = 5.0, least_z: float = 3.0) -> DataFrame:
+    quart = materialize(quart.select("g", "n", *[F.col(f"q{i}")[1].alias(M[i]) for i in range(D)], *[F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])).alias(f"w{i}") for i in range(D)]), "mcd")
+    z = vectors.join(quart.drop("n"), "g").select("g", *[((F.col(X[i]) - F.col(M[i])) / F.col(f"w{i}")).alias(f"z{i}") for i in range(D)])
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, D)), F.col("z0") * F.col("z0")))
+    z = z.select("g", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(D)], *[(F.col(f"z{i}") / F.greatest(size, F.lit(1e-9))).alias(f"u{i}") for i in range(D)])
+    sums = z.groupBy("g").agg(*[F.avg(f"t{i}").alias(f"a{i}") for i in range(D)], *[F.avg(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}_{j}") for i, j in PAIRS], *[F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"u{i}_{j}") for i, j in PAIRS])
+    got = quart.join(sums, "g")
+    spread = lambda i, j: F.col(f"t{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")
+    kinds = [lambda i, j: F.lit(0.0), spread, lambda i, j: F.col(f"u{i}_{j}")]
+    out = None
+    for s, kind in enumerate(kinds):
+        related = lambda i, j, kind=kind: kind(i, j) / F.greatest(F.sqrt(F.greatest(kind(i, i) * kind(j, j), F.lit(0.0))), F.lit(1e-9))
+        cov = [(F.col(f"w{i}") * F.col(f"w{j}") * (F.lit(1.0) if i == j else related(i, j))).alias(f"c{i}_{j}") for i, j in PAIRS]
+        part = got.select("g", F.lit(s).alias("s"), "n", *M, *cov)
+        out = part if out is None else out.unionByName(part)
+    return materialize(_cholesky(out), "mcd")
+
+
+def _concentrated(vectors: DataFrame, params: DataFrame, keep_share: float) -> DataFrame:
+    """g, s, n, now (the estimate given, with mid, the bin of its middle distance) and next (that of the nearest rows)."""
+    near = _distance(vectors.join(params.drop("n", "logdet"), "g")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
+    sums = near.groupBy("g", "s", "bin").agg(F.count("*").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"t{i}_{j}") for i, j in PAIRS])
+    whole = W.partitionBy("g", "s")
+    sums = sums.withColumn("n", F.sum("k").over(whole)).withColumn("before", F.sum("k").over(whole.orderBy("bin")) - F.col("k"))
+    median = F.min(F.when(F.col("before") + F.col("k") >= 0.5 * F.col("n"), F.col("bin")))
+    part = lambda c: F.sum(F.when(F.col("before") < keep_share * F.col("n"), F.col(c)))
+    got = sums.groupBy("g", "s").agg(F.max("n").alias("n"), part("k").alias("h"), median.alias("mid"), *[part(f"s{i}").alias(f"s{i}") for i in range(D)], *[part(f"t{i}_{j}").alias(f"t{i}_{j}") for i, j in PAIRS])
+    mean = {i: F.col(f"s{i}") / F.col("h") for i in range(D)}
+    new = _cholesky(got.select("g", "s", "n", "mid", *[mean[i].alias(M[i]) for i in range(D)], *[(F.col(f"t{i}_{j}") / F.col("h") - mean[i] * mean[j]).alias(f"c{i}_{j}") for i, j in PAIRS]))
+    new = new.select("g", "s", "n", "mid", F.struct(*M, *L, "logdet").alias("next"))
+    old = params.select("g", "s", F.struct(*M, *L, "logdet").alias("now"))
+    return materialize(new.join(old, ["g", "s"]), "mcd")
+
+
+def estimate(vectors: DataFrame, keep_share: float = 0.75, most_steps: int = 30) -> DataFrame:
+    """Per group g of vectors (g, x0, x1, ...): size n, mean m{i}, triangle l{i}_{j}, logdet, scale (of squared distances)."""
+    params = _starts(vectors)
+    for _ in range(2):
+        got = _concentrated(vectors, params, keep_share)
+        params = got.select("g", "s", "n", "next.*")
+    best = got.groupBy("g").agg(F.min_by(F.struct("s", "n", "next"), F.struct("next.logdet", "s")).alias("x"))
+    params = materialize(best.select("g", "x.s", "x.n", "x.next.*"), "mcd")
+    done = None
+    for step in range(most_steps):
+        got = _concentrated(vectors, params, keep_share)
+        settled = (F.col("next.logdet") >= F.col("now.logdet") - 1e-6) | F.lit(step == most_steps - 1)
+        final = got.filter(settled)
+        done = final if done is None else done.unionByName(final)
+        params = got.filter(~settled).select("g", "s", "n", "next.*")
+        if params.isEmpty():
+            break
+    # Consistent at the median: the middle squared distance is that of a chi-square.
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 0.5) / BINS) / chi2_quantile(0.5, D))
+    return materialize(done.select("g", "n", "now.*", scale.alias("scale")), "mcd")
+
+
+def _group(level: int, lang: Column, source: Column) -> Column:
+    return F.to_json(F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source")))
+
+
+def pooled(rows: DataFrame, least_rows: int) -> DataFrame:
+    """own, g: the group that the rows (own) of a language and source are judged in, and its number of rows."""
+    none = F.lit(None).cast("string")
+    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("k"))
+    small = counts.withColumn("few", F.col("k") < least_rows)
+    of_lang = small.groupBy(F.col("lang").alias("of")).agg(F.sum(F.when(F.col("few"), F.col("k"))).alias("pool"))
+    both = small.join(of_lang, F.col("lang").eqNullSafe(F.col("of")))
+    g = F.when(~F.col("few"), _group(0, F.col("lang"), F.col("source"))).when(F.col("pool") >= least_rows, _group(1, F.col("lang"), none)).otherwise(_group(2, none, none))
+    return materialize(both.select(_group(0, F.col("lang"), F.col("source")).alias("own"), g.alias("g")), "groups")
+
+
+def judge_quality(docs: DataFrame, with_doc: bool = True, least_words: int = 10, most_repeats: int = 20, least_rows: int = 50, quantile: float = 0.9999) -> DataFrame:
     """doc (all columns of docs, or doc_id alone), the counts, base_failed, d2 and kept."""
     if not with_doc:
         docs = docs.select("doc_id", "text", "lang", "source")
     counted = base_counts(docs)
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    group = F.struct(F.lit(0).alias("level"), F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
-    rows = counted.select("doc" if with_doc else F.struct("doc.doc_id").alias("doc"), *COUNTS, base.alias("base_failed"), group.alias("own"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
+    lang, source = F.col("doc.lang").cast("string"), F.col("doc.source").cast("string")
+    rows = counted.select("doc" if with_doc else F.struct("doc.doc_id").alias("doc"), *COUNTS, base.alias("base_failed"), lang.alias("lang"), source.alias("source"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
     rows = materialize(rows, "quality")
-    key = lambda level, lang, source: F.to_json(F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source")))
-    none = F.lit(None).cast("string")
-    keys = [key(0, F.col("own.lang"), F.col("own.source")), key(1, F.col("own.lang"), none), key(2, none, none)]
-    vectors = rows.filter(~F.col("base_failed")).select(F.explode(F.array(*keys)).alias("g"), *X)
-    params = estimate(vectors)
-    # Each (lang, source) takes the estimate of its own rows, else of its language, else of all rows.
-    groups = rows.groupBy("own").count().select(F.posexplode(F.array(*keys)).alias("level", "g"), "own")
-    pick = groups.join(params, "g").filter((F.col("n") >= least_rows) | (F.col("level") == 2))
-    best = pick.groupBy("own").agg(F.min_by(F.struct(*[f"`{c}`" for c in params.columns if c not in ("g", "n")]), "level").alias("p"))
-    best = best.select(F.to_json("own").alias("g"), "p.*")
-    far = _distance(rows.withColumn("g", F.to_json("own")).join(best, "g", "left"))
-    deviation = lambda i: F.sqrt(sum((F.col(f"l{i}_{k}") * F.col(f"l{i}_{k}") for k in range(i)), F.col(f"l{i}_{i}") * F.col(f"l{i}_{i}")))
-    bad = F.lit(False)
-    for i, (_, side) in enumerate(FEATURES.values()):
-        if side:
-            bad = bad | (F.col(f"x{i}") - F.col(f"m{i}") > least_z * deviation(i))
-    outlier = F.coalesce((F.col("d2") > cutoff * D) & bad, F.lit(False))
+    groups = pooled(rows.filter(~F.col("base_failed")), least_rows)
+    keyed = rows.withColumn("own", _group(0, F.col("lang"), F.col("source")))
+    params = estimate(materialize(keyed.filter(~F.col("base_failed")).join(groups, "own").select("g", *X), "vectors"))
+    best = materialize(groups.join(params.filter(F.col("n") >= least_rows), "g").drop("g", "n", "logdet"), "groups")
+    far = _distance(keyed.join(best, "own", "left")).withColumn("d2", F.col("d2") / F.col("scale"))
+    outlier = F.coalesce(F.col("d2") > chi2_quantile(quantile, D), F.lit(False))
     return far.select("doc", *COUNTS, "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
 
 
