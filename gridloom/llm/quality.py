@@ -26,7 +26,6 @@ from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import BLANK_CLASS, let, materialize, read, words_of
 
@@ -124,57 +123,46 @@ L = [f"l{i}_{j}" for i, j in PAIRS]
 
 def _cholesky(stats: DataFrame) -> DataFrame:
     """From columns m{i} and c{i}_{j} of a group: its mean, the lower triangle l{i}_{j} of its covariance, and logdet."""
-    floors = list(FEATURES.values())
-    for i, j in PAIRS:
-        v = F.col(f"c{i}_{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
-        for k in range(j):
-            v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        stats = stats.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}_{j}"))
-    return stats.withColumn("logdet", sum((2 * F.log(f"l{i}_{i}") for i in range(1, D)), 2 * F.log("l0_0"))).drop(*[f"c{i}_{j}" for i, j in PAIRS])
+    floors, lower = list(FEATURES.values()), []
+    for i, j in PAIRS:  # each refers to those before it in the same select
+        v = f"c{i}_{j}" + (f" + {floors[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+        lower.append(f"sqrt(greatest({v}, 1e-9D)) AS l{i}_{j}" if i == j else f"({v}) / l{j}_{j} AS l{i}_{j}")
+    others = [c for c in stats.columns if c not in {f"c{i}_{j}" for i, j in PAIRS}]
+    return stats.selectExpr(*others, *lower, " + ".join(f"2 * ln(l{i}_{i})" for i in range(D)) + " AS logdet")
 
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance."""
-    for i in range(D):
-        v = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            v = v - F.col(f"l{i}_{k}") * F.col(f"y{k}")
-        rows = rows.withColumn(f"y{i}", v / F.col(f"l{i}_{i}"))
-    return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0")))
+    steps = [f"(x{i} - m{i}" + "".join(f" - l{i}_{k} * y{k}" for k in range(i)) + f") / l{i}_{i} AS y{i}" for i in range(D)]
+    return rows.selectExpr("*", *steps, " + ".join(f"y{i} * y{i}" for i in range(D)) + " AS d2")
 
 
 def _starts(vectors: DataFrame) -> DataFrame:
     """Three first estimates of each group, by start s."""
     floors = list(FEATURES.values())
-    quart = vectors.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(F.round(x, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(X)])
-    quart = materialize(quart.select("g", "n", *[F.col(f"q{i}")[1].alias(M[i]) for i in range(D)], *[F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])).alias(f"w{i}") for i in range(D)]), "mcd")
-    z = vectors.join(quart.drop("n"), "g").select("g", *[((F.col(X[i]) - F.col(M[i])) / F.col(f"w{i}")).alias(f"z{i}") for i in range(D)])
-    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, D)), F.col("z0") * F.col("z0")))
-    z = z.select("g", *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(D)], *[(F.col(f"z{i}") / F.greatest(size, F.lit(1e-9))).alias(f"u{i}") for i in range(D)])
-    sums = z.groupBy("g").agg(*[F.avg(f"t{i}").alias(f"a{i}") for i in range(D)], *[F.avg(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}_{j}") for i, j in PAIRS], *[F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"u{i}_{j}") for i, j in PAIRS])
+    quart = vectors.groupBy("g").agg(F.expr("count(*) AS n"), *[F.expr(f"percentile(round({x}, 2), array(0.25D, 0.5D, 0.75D)) AS q{i}") for i, x in enumerate(X)])
+    quart = materialize(quart.selectExpr("g", "n", *[f"q{i}[1] AS m{i}" for i in range(D)], *[f"greatest((q{i}[2] - q{i}[0]) / 1.349D, {floors[i]!r}D) AS w{i}" for i in range(D)]), "mcd")
+    z = vectors.join(quart.drop("n"), "g").selectExpr("g", *[f"(x{i} - m{i}) / w{i} AS z{i}" for i in range(D)], "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(D)) + "), 1e-9D) AS size")
+    z = z.selectExpr("g", *[f"tanh(z{i}) AS t{i}" for i in range(D)], *[f"z{i} / size AS u{i}" for i in range(D)])
+    sums = z.groupBy("g").agg(*[F.expr(e) for e in [f"avg(t{i}) AS a{i}" for i in range(D)] + [f"avg({v}{i} * {v}{j}) AS {v}{i}_{j}" for v in "tu" for i, j in PAIRS]])
     got = quart.join(sums, "g")
-    spread = lambda i, j: F.col(f"t{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")
-    kinds = [lambda i, j: F.lit(0.0), spread, lambda i, j: F.col(f"u{i}_{j}")]
+    kinds = [lambda i, j: "0D", lambda i, j: f"(t{i}_{j} - a{i} * a{j})", lambda i, j: f"u{i}_{j}"]
     out = None
     for s, kind in enumerate(kinds):
-        related = lambda i, j, kind=kind: kind(i, j) / F.greatest(F.sqrt(F.greatest(kind(i, i) * kind(j, j), F.lit(0.0))), F.lit(1e-9))
-        cov = [(F.col(f"w{i}") * F.col(f"w{j}") * (F.lit(1.0) if i == j else related(i, j))).alias(f"c{i}_{j}") for i, j in PAIRS]
-        part = got.select("g", F.lit(s).alias("s"), "n", *M, *cov)
+        cov = [f"w{i} * w{j} * " + ("1D" if i == j else f"{kind(i, j)} / greatest(sqrt(greatest({kind(i, i)} * {kind(j, j)}, 0D)), 1e-9D)") + f" AS c{i}_{j}" for i, j in PAIRS]
+        part = got.selectExpr("g", f"{s} AS s", "n", *M, *cov)
         out = part if out is None else out.unionByName(part)
     return materialize(_cholesky(out), "mcd")
 
 
 def _concentrated(vectors: DataFrame, params: DataFrame, keep_share: float) -> DataFrame:
     """g, s, n, now (the estimate given, with mid, the bin of its middle distance) and next (that of the nearest rows)."""
-    near = _distance(vectors.join(params.drop("n", "logdet"), "g")).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
-    sums = near.groupBy("g", "s", "bin").agg(F.count("*").alias("k"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"t{i}_{j}") for i, j in PAIRS])
-    whole = W.partitionBy("g", "s")
-    sums = sums.withColumn("n", F.sum("k").over(whole)).withColumn("before", F.sum("k").over(whole.orderBy("bin")) - F.col("k"))
-    median = F.min(F.when(F.col("before") + F.col("k") >= 0.5 * F.col("n"), F.col("bin")))
-    part = lambda c: F.sum(F.when(F.col("before") < keep_share * F.col("n"), F.col(c)))
-    got = sums.groupBy("g", "s").agg(F.max("n").alias("n"), part("k").alias("h"), median.alias("mid"), *[part(f"s{i}").alias(f"s{i}") for i in range(D)], *[part(f"t{i}_{j}").alias(f"t{i}_{j}") for i, j in PAIRS])
-    mean = {i: F.col(f"s{i}") / F.col("h") for i in range(D)}
-    new = _cholesky(got.select("g", "s", "n", "mid", *[mean[i].alias(M[i]) for i in range(D)], *[(F.col(f"t{i}_{j}") / F.col("h") - mean[i] * mean[j]).alias(f"c{i}_{j}") for i, j in PAIRS]))
+    near = _distance(vectors.join(params.drop("n", "logdet"), "g")).selectExpr("g", "s", f"floor(log2(d2 + 1e-6D) * {BINS}) AS bin", *X)
+    sums = near.groupBy("g", "s", "bin").agg(*[F.expr(e) for e in ["count(*) AS k"] + [f"sum(x{i}) AS s{i}" for i in range(D)] + [f"sum(x{i} * x{j}) AS t{i}_{j}" for i, j in PAIRS]])
+    sums = sums.selectExpr("*", "sum(k) OVER (PARTITION BY g, s) AS n", "sum(k) OVER (PARTITION BY g, s ORDER BY bin) - k AS before")
+    part = lambda c: f"sum({c}) FILTER (WHERE before < {keep_share} * n)"
+    got = sums.groupBy("g", "s").agg(*[F.expr(e) for e in ["max(n) AS n", f"{part('k')} AS h", "min(bin) FILTER (WHERE before + k >= 0.5 * n) AS mid"] + [f"{part(c)} AS {c}" for c in [f"s{i}" for i in range(D)] + [f"t{i}_{j}" for i, j in PAIRS]]])
+    new = _cholesky(got.selectExpr("g", "s", "n", "mid", *[f"s{i} / h AS m{i}" for i in range(D)], *[f"t{i}_{j} / h - (s{i} / h) * (s{j} / h) AS c{i}_{j}" for i, j in PAIRS]))
     new = new.select("g", "s", "n", "mid", F.struct(*M, *L, "logdet").alias("next"))
     old = params.select("g", "s", F.struct(*M, *L, "logdet").alias("now"))
     return materialize(new.join(old, ["g", "s"]), "mcd")
@@ -191,7 +179,7 @@ def estimate(vectors: DataFrame, keep_share: float = 0.75, most_steps: int = 30)
     done = None
     for step in range(most_steps):
         got = _concentrated(vectors, params, keep_share)
-        settled = (F.col("next.logdet") >= F.col("now.logdet") - 1e-6) | F.lit(step == most_steps - 1)
+        settled = (F.col("next.logdet") >= F.col("now.logdet") - 1e-4) | F.lit(step == most_steps - 1)
         final = got.filter(settled)
         done = final if done is None else done.unionByName(final)
         params = got.filter(~settled).select("g", "s", "n", "next.*")
