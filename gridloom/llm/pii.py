@@ -2,7 +2,8 @@
 
 Method: one automaton pass finds at-signs, schemes, plus-signs, digits and identifier cues. Each anchor is given
 to a parser that only looks at the run of characters the kind allows around it, and then validates the span
-(octets of an address, Luhn digits of a card, digit counts). The base kinds are found exactly as a leftmost,
+(octets of an address, Luhn digits of a card, digit counts, the checksum of a bank account number, which may be spaced;
+other account values have six signs or more and a digit). Schemes and cues count in any case. The base kinds are found exactly as a leftmost,
 non-overlapping scan of the whole text by their patterns would find them; ``url`` and ``account`` come on top.
 
 Scale: one pass over each row in Arrow batches, nothing shuffled, memory of one batch.
@@ -34,8 +35,24 @@ _DOTTED_RUN = re.compile(r"[0-9.]+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_URL = re.compile(r"(?:https?|ftp)://[^\s<>\"'`]+")
-_ACCOUNT = re.compile(r"[ \t]{0,3}(?:no\.?|number|id|key)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9-]{5,63})(?![A-Za-z0-9-])")
+_URL = re.compile(r"(?i:https?|ftp)://[^\s<>\"'`]+")
+_LEAD = re.compile(r"[ \t]{0,3}(?i:no\.?|number|id|key)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?")
+_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]{5,}")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")  # 34 signs at most, by its standard
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _iban_end(text: str, at: int) -> int:
+    """Where the longest account number of that form whose checksum holds ends; 0 if none starts here."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return 0
+    ends = [i + 1 for i in range(at, m.end()) if text[i] != " "]
+    signs = m[0].replace(" ", "").upper()
+    for n in range(len(signs), 14, -1):
+        if (n == len(ends) or text[ends[n - 1] : ends[n - 1] + 1] == " ") and int("".join(str(int(c, 36)) for c in signs[4:n] + signs[:4])) % 97 == 1:
+            return ends[n - 1]
+    return 0
 
 
 def _luhn(digits: str) -> bool:
@@ -62,11 +79,9 @@ def _automaton():
     for d in "0123456789":
         a.add_word(d, ("0", 1))
     for s in ("http://", "https://", "ftp://"):
-        for v in (s, s.upper()):
-            a.add_word(v, ("url", len(v)))
+        a.add_word(s, ("url", len(s)))
     for c in CUES:
-        for v in {c, c.upper(), c.capitalize()}:
-            a.add_word(v, ("cue", len(v)))
+        a.add_word(c, ("cue", len(c)))
     a.make_automaton()
     return a
 
@@ -74,9 +89,9 @@ def _automaton():
 def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of one text, in order of start and kind."""
     out: list[tuple[str, int, int]] = []
-    done = dict.fromkeys((*KINDS, "dotted"), 0)
-    n = len(text)
-    for last, (what, size) in automaton.iter(text):
+    done = dict.fromkeys((*KINDS, "dotted", "no digit"), 0)
+    low = text.lower() if text.isascii() else text.translate(_LOWER)  # as long as the text
+    for last, (what, size) in automaton.iter(low):
         at = last - size + 1
         if what == "0":
             if at >= done["dotted"]:  # a run of digits and dots, seen once
@@ -103,14 +118,23 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
                 if 10 <= sum(map(str.isdigit, m[0])) <= 15:
                     out.append(("phone", m.start(), m.end()))
         elif what == "url":
-            if at >= done["url"] and (m := _URL.match(text.lower() if text[at].isupper() and text.isascii() else text, at)):
+            if at >= done["url"] and (m := _URL.match(text, at)):
                 end = at + len(m[0].rstrip(".,;:!?)]}"))
                 out.append(("url", at, end))
                 done["url"] = end
-        elif at >= done["account"] and (at == 0 or not text[at - 1].isalnum()) and last + 1 < n and (m := _ACCOUNT.match(text, last + 1)):
-            if any("0" <= c <= "9" for c in m[1]):
-                out.append(("account", m.start(1), m.end(1)))
-                done["account"] = m.end()
+        elif at >= done["account"] and (at == 0 or not text[at - 1].isalnum()):
+            start = _LEAD.match(text, last + 1).end()
+            if start == last + 1:  # the cue is part of a longer word
+                continue
+            if end := _iban_end(text, start):
+                out.append(("account", start, end))
+                done["account"] = end
+            elif start >= done["no digit"] and (m := _VALUE.match(text, start)):
+                if any("0" <= c <= "9" for c in m[0]):
+                    out.append(("account", start, m.end()))
+                    done["account"] = m.end()
+                else:
+                    done["no digit"] = m.end()  # what starts within has none either
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s[1], order[s[0]], s[2]))
 
@@ -145,4 +169,4 @@ def redact(text: Column, found: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(F.col("found"), BASE_KINDS), 256).alias("base_sha256"), joined(F.col("found"), KINDS).alias("spans"))
+    return found.select("doc_id", *map(count, BASE_KINDS), F.size("found").cast("long").alias("n_spans"), F.sha2(joined(F.col("found"), BASE_KINDS), 256).alias("base_sha256"), joined(F.col("found"), KINDS).alias("spans"))
