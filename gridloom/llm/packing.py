@@ -1,9 +1,9 @@
 """Cost-balanced packing of tokenised documents into fixed-length sequences.
 
 Method: the cost of a piece of n tokens is ``linear * n + quadratic * n**2`` (projections, and attention within
-the document). Pieces are taken in descending cost; each goes to the sequence of lowest cost that has room for
-it. A piece that none of the cheapest sequences can hold is cut, so that every sequence but the last few of a
-block is full.
+the document). Pieces are taken in descending cost (equal ones in the order of the rows); each goes to the sequence of
+lowest cost that has room for it, found by a tree over the tokens of room. Only a piece that no sequence can hold is cut:
+the lowest sequence takes what it has room for. So every sequence but the last few of a block is full.
 
 Scale: nothing is shuffled. Each task tokenises its own rows and packs them in blocks of at most
 ``block_tokens`` tokens (a longer document is a block of its own), so memory is bounded by the block and padding
@@ -122,7 +122,43 @@ def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
         yield group
 
 
-def pack_block(lengths: list[int], capacity: int, linear: float, quadratic: float, look: int = 16) -> tuple[list[tuple[int, int, int, int, int]], int]:
+class _Open:
+    """Sequences with room left: the lowest (load, sequence) of those with at least n tokens of room, by a tree over rooms."""
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.none = (float("inf"), -1)
+        self.tree = [self.none] * (2 * self.size)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+
+    def _climb(self, room: int) -> None:
+        tree, heap, i = self.tree, self.heaps[room], room + self.size
+        tree[i] = heap[0] if heap else self.none
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def put(self, room: int, load: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (load, sequence))
+        self._climb(room)
+
+    def take(self, room: int) -> None:
+        """Remove the lowest of those with just this room."""
+        heapq.heappop(self.heaps[room])
+        self._climb(room)
+
+    def lowest(self, n: int) -> tuple[float, int]:
+        tree, best, low, high = self.tree, self.none, n + self.size, 2 * self.size
+        while low < high:
+            if low & 1:
+                best = min(best, tree[low])
+                low += 1
+            low >>= 1
+            high >>= 1
+        return best
+
+
+def pack_block(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) of one block, and how many sequences it fills."""
     out, n_seq, rest = [], 0, []
     for d, n in enumerate(lengths):
@@ -131,31 +167,25 @@ def pack_block(lengths: list[int], capacity: int, linear: float, quadratic: floa
             n_seq += 1
         if n % capacity:
             rest.append((-(linear * (n % capacity) + quadratic * (n % capacity) ** 2), d, n - n % capacity, n % capacity))
-    total = sum(r[3] for r in rest)
-    bins = -(-total // capacity)
-    heap = [(0.0, n_seq + b) for b in range(bins)]
+    bins = -(-sum(r[3] for r in rest) // capacity)
     used = dict.fromkeys(range(n_seq, n_seq + bins), 0)
+    open_ = _Open(capacity)
+    for s in reversed(used):
+        open_.heaps[capacity].append((0.0, s))
+    heapq.heapify(open_.heaps[capacity])
+    open_._climb(capacity)
     heapq.heapify(rest)
     while rest:
         cost, d, start, n = heapq.heappop(rest)
-        passed = []
-        take = None
-        while heap and len(passed) < look:
-            load, s = heapq.heappop(heap)
-            if capacity - used[s] >= n:
-                take = (load, s)
-                break
-            passed.append((load, s))
-        if take is None:  # cut: the cheapest sequence takes what it has room for
-            take, passed = passed[0], passed[1:]
-        for p in passed:
-            heapq.heappush(heap, p)
-        load, s = take
+        load, s = open_.lowest(n)
+        if s < 0:  # cut: the lowest sequence takes what it has room for
+            load, s = open_.lowest(1)
+        open_.take(capacity - used[s])
         part = min(n, capacity - used[s])
         out.append((d, start, part, s, used[s]))
         used[s] += part
         if used[s] < capacity:
-            heapq.heappush(heap, (load + linear * part + quadratic * part * part, s))
+            open_.put(capacity - used[s], load + linear * part + quadratic * part * part, s)
         if part < n:
             left = n - part
             heapq.heappush(rest, (-(linear * left + quadratic * left * left), d, start + part, left))
@@ -179,7 +209,15 @@ def _packer(tokenizer: str, capacity: int, linear: float, quadratic: float, bloc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _CACHES.get(tokenizer) or _CACHES.setdefault(tokenizer, WordIds(tokenizer))
+        collects = gc.isenabled()
         gc.disable()  # millions of live strings and no cycles
+        try:
+            yield from blocks(batches, ids)
+        finally:
+            if collects:
+                gc.enable()
+
+    def blocks(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         block, held = [], 0
         for batch in batches:
