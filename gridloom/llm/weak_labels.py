@@ -2,10 +2,12 @@
 
 Method: eight heuristic labellers vote good, bad or abstain on every text. A document's votes are one of 3**8
 patterns; patterns are counted over all documents, and expectation-maximisation on the counts estimates the share of
-good texts and each labeller's vote probabilities given either class, from overlaps alone (no given labels); the one
-assumption is that a labeller condemns at most ``most_false`` of good texts. The
+good texts and each labeller's vote probabilities given either class, from overlaps alone (no given labels). The estimate is
+the most probable one under a prior: that a labeller condemns few good texts is worth ``trust`` votes with ``false_rate``
+of them wrong for every vote cast (kinds of bad text exclude each other, so without it one of them becomes "good"). The
 posterior of its pattern is the soft label on which a logistic scorer over hashed words and binned statistics is
-trained, on a bounded sample (``most_rows`` rows of at most ``most_words`` words, by a hash of the row).
+trained, on a bounded sample: by a hash of the content, so whatever the files are cut to, ``most_rows`` rows of at most
+``most_words`` words each and ``most_chars`` characters together.
 
 Scale: two narrow passes over the texts in Arrow batches; what is aggregated is at most 6,561 counts, what is broadcast
 a weight vector of ``BUCKETS`` floats. Nothing else is shuffled or collected.
@@ -86,7 +88,7 @@ def features(words: list[bytes], s: tuple[float, ...]) -> tuple[np.ndarray, np.n
     return np.concatenate([ids, extra]), np.concatenate([np.full(len(ids), 1 / max(len(ids), 1)), np.ones(len(extra))])
 
 
-def learn_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, most_false: float = 0.005) -> tuple[float, np.ndarray, np.ndarray]:
+def learn_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, trust: float = 16.0, false_rate: float = 0.005) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior of good, vote probabilities [labeller, class (good, bad), vote] of those who vote, posterior of good by pattern given."""
     cast = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     post = np.where((cast == BAD).any(axis=1), 0.1, 0.9)  # labellers are trusted to start with
@@ -96,9 +98,10 @@ def learn_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100,
         prob = np.empty((len(LABELLERS), 2, 3))
         for v in (GOOD, BAD):
             prob[:, :, v] = ((cast == v)[:, :, None] * soft[:, None, :]).sum(axis=0) + 0.5
+        believed = trust * prob[:, :, 1:].sum(axis=(1, 2))
+        prob[:, 0, BAD] += believed * false_rate
+        prob[:, 0, GOOD] += believed * (1 - false_rate)
         prob[:, :, 1:] /= prob[:, :, 1:].sum(axis=2, keepdims=True)
-        prob[:, 0, BAD] = np.minimum(prob[:, 0, BAD], most_false)  # kinds of bad text exclude each other; without this one becomes "good"
-        prob[:, 0, GOOD] = 1 - prob[:, 0, BAD]
         prob[:, :, ABSTAIN] = 1.0  # says nothing of either class
         logs = np.log(prob)[np.arange(len(LABELLERS))[None, :], :, cast].sum(axis=1)
         post = 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0] + np.log((1 - prior) / prior), -50, 50)))
@@ -152,7 +155,7 @@ def _scorer(model):
     return run
 
 
-def score_quality(docs: DataFrame, most_rows: int = 4096, most_words: int = 16384, key: str = "doc_id") -> DataFrame:
+def score_quality(docs: DataFrame, most_rows: int = 4096, most_words: int = 16384, most_chars: int = 1 << 25, key: str = "doc_id") -> DataFrame:
     """row (of type long, from key), pattern, posterior and score (probability of good) of each row of docs."""
     spark = docs.sparkSession
     ship(spark)
@@ -161,10 +164,15 @@ def score_quality(docs: DataFrame, most_rows: int = 4096, most_words: int = 1638
     posterior = np.full(N_PATTERNS, 0.5)
     if len(patterns):
         posterior[patterns] = learn_labellers(patterns, counts)[2]
-    place = F.xxhash64("doc_id", F.monotonically_increasing_id())
-    drawn = docs.select(place.alias("place"), "text").withColumn("n", F.length("text"))
-    edge = drawn.select("place").orderBy("place").limit(most_rows).agg(F.max("place")).head()[0]
-    got = drawn.filter(F.col("place") <= (edge if edge is not None else 0)).select("place", "text").mapInArrow(_sampler(most_words), "place long, pattern int, ids array<long>, x array<double>").toPandas().sort_values("place", kind="stable")
+    drawn = docs.select(content_id().alias("place"), "text").withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+    edge, held = None, 0
+    for r in drawn.filter(F.col("n") <= 64 * most_words).select("place", "n").orderBy("place").limit(most_rows).collect():
+        held += r.n
+        if held > most_chars:
+            break
+        edge = r.place
+    fitting = drawn.filter((F.col("n") <= 64 * most_words) & (F.col("place") <= (edge if edge is not None else -(1 << 63)))).limit(most_rows)
+    got = fitting.select("place", "text").mapInArrow(_sampler(most_words), "place long, pattern int, ids array<long>, x array<double>").toPandas().sort_values("place", kind="stable")
     rows = [(np.asarray(i), np.asarray(x)) for i, x in zip(got.ids, got.x, strict=True)]
     w, shift = train_scorer(rows, posterior[got.pattern.to_numpy(int)])
     model = spark.sparkContext.broadcast((w, shift, posterior))
