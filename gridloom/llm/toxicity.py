@@ -2,7 +2,7 @@
 
 Method: words hash to embeddings; filters one, two and three words wide run over them, each is max-pooled over the
 whole text, and a logistic layer scores the pooled values. Embeddings, filters and layer are trained by Adagrad on a
-bounded sample of labelled rows (``most_rows`` rows of at most ``most_words`` words, chosen by a hash of doc_id);
+bounded sample of labelled rows (``most_rows`` rows of at most ``most_words`` words and ``most_chars`` characters together, chosen by a hash of doc_id);
 the first embedding coordinate starts at the word's log-odds in the training rows. A quarter of the sample is set
 aside to choose a threshold for each language. The language is guessed from the text's own small words, so no column
 but text enters a score. Scores are stretched so that each language's threshold lies at 0.7.
@@ -201,12 +201,19 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["fold", "label", "ids"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8192, most_words: int = 16384) -> tuple[Net | None, np.ndarray | float]:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8192, most_words: int = 16384, most_chars: int = 1 << 26) -> tuple[Net | None, np.ndarray | float]:
     """A trained net and thresholds by language, from labels (doc_id, toxic); None and the share if it can't be trained."""
     named = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = named.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).orderBy("fold", "doc_id").limit(most_rows)
     short = F.length("text") <= 8 * most_words
-    rows = docs.join(F.broadcast(sample), "doc_id").filter(short).dropDuplicates(["doc_id"]).select("fold", "label", "text")
+    rows = docs.join(F.broadcast(sample), "doc_id").filter(short).groupBy("doc_id", "fold", "label").agg(F.min("text").alias("text"))
+    edge, held = -1, 0
+    for r in rows.select("fold", F.length("text").alias("n")).orderBy("fold", "n").collect():  # most_rows at most
+        held += r.n
+        if held > most_chars:
+            break
+        edge = r.fold
+    rows = rows.filter(F.col("fold") <= edge).select("fold", "label", "text")
     got = rows.mapInArrow(_encode, "fold long, label int, ids array<int>").filter(F.size("ids") <= most_words).toPandas().sort_values("fold", kind="stable")
     y = got.label.to_numpy(np.float32)
     texts = [np.asarray(t, np.int32) for t in got.ids]
