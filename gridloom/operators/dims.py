@@ -25,3 +25,46 @@ def lookup(rows: DataFrame, dim: DataFrame, value: str) -> DataFrame:
         out = out.join(side, (F.col("shape") == F.col(f"s{i}")) & (f == F.col(f"f{i}")) & (q == F.col(f"q{i}")), "left").drop(f"s{i}", f"f{i}", f"q{i}")
         picks.append(F.col(f"v{i}"))
     return out.withColumn(value, F.coalesce(*picks)).drop("v0", "v1", "v2", "v3")
+
+
+def lookup_one(rows: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds the value of the dim row (key, value, invalid) of the key, else of the wildcard -1; two left joins.
+
+    An invalid row of the key falls through to the wildcard row; key, value and invalid are unique by key.
+    """
+    live = dim.filter("NOT invalid")
+    exact = live.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    wild = live.filter(F.col(key) == -1).groupBy(F.col(key).cast("int").alias("_any")).agg(F.max(value).alias("_w"))  # one row at most
+    out = rows.join(exact, F.col(key) == F.col("_k"), "left").withColumn("_any", F.lit(-1)).join(F.broadcast(wild), "_any", "left")
+    return out.withColumn(value, F.coalesce("_v", "_w")).drop("_k", "_v", "_w", "_any")
+
+
+def names_of(rows: DataFrame, frames: DataFrame, messages: DataFrame, shapes: DataFrame) -> DataFrame:
+    """id, name of rows (id, shape, frame): of the frame's row its message, else the shape's name; a chain of left joins.
+
+    frames: shape, frame, kind, msg, other. Kind -255 or a message that is missing: the shape's name; other negative kinds:
+    no name; 0: the message; odd: other message then message; even: message then other message (the shape's name where
+    that is missing). messages: idx, text; shapes: shape, name.
+    """
+    said = lambda c: messages.select(F.col("idx").alias(c), F.col("text").alias(f"{c}_text"))
+    all_ = rows.join(frames, ["shape", "frame"], "left").join(shapes, "shape", "left").join(said("msg"), "msg", "left").join(said("other"), "other", "left")
+    kind, plain = F.coalesce("kind", F.lit(-255)), F.coalesce("name", F.lit(""))
+    other = F.coalesce("other_text", plain)
+    name = F.when((kind < 0) & (kind != -255), "").when((kind == -255) | F.col("msg_text").isNull(), plain).when(kind == 0, F.col("msg_text"))
+    return all_.select("id", name.when(kind % 2 == 1, F.concat(other, "msg_text")).otherwise(F.concat("msg_text", other)).alias("name"))
+
+
+def with_groups(shapes: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """A row (shape, group) for each group that a shape is in."""
+    named = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in groups.items()]), lambda g: g.isNotNull())
+    return shapes.select("shape", F.explode(named).alias("group"))
+
+
+LEADER = -356  # fixed value
+
+
+def resolved(refs: DataFrame, known: DataFrame, leader: int) -> DataFrame:
+    """Adds found to refs (ref): the row of known that the leader's number, a negative number or an id stands for, else null."""
+    ref = F.col("ref")
+    wanted = refs.withColumn("_id", F.when(ref == LEADER, leader).when(ref < 0, -ref).otherwise(ref))
+    return wanted.join(known, F.col("_id") == F.col("found"), "left").drop("_id")

@@ -132,13 +132,6 @@ def paths(searches: DataFrame, tiles: DataFrame, parts: int = 8) -> DataFrame:
     return dealt.groupBy("grid", "deal").cogroup(copied.groupBy("grid", "deal")).applyInPandas(run, "search long, cost int, path array<struct<x:int,y:int>>")
 
 
-def line(x0: str, y0: str, x1: str, y1: str) -> Column:
-    """Array of the tiles of a straight walk: the longer way in unit steps, the other rounded down."""
-    dx, dy = f"({x1} - {x0})", f"({y1} - {y0})"
-    n = f"greatest(abs{dx}, abs{dy}, 1)"
-    return F.expr(f"transform(sequence(1L, cast({n} as bigint)), i -> named_struct('x', {x0} + cast(floor({dx} * i / {n}) as bigint), 'y', {y0} + cast(floor({dy} * i / {n}) as bigint)))")
-
-
 def walk(start: tuple[str, str, str], end: tuple[str, str, str], world: int = 3072) -> Column:
     """Array of the tiles (x, y, z) of a straight walk on the wrapping world: the longest way in unit steps.
 

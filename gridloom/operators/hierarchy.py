@@ -6,26 +6,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import matches
+from ..functions.exprs import ANY, matches
+from ..storage import materialize
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(ancestor, node, depth) of a tree (node, parent) of at most depth levels; keys only, one join a level."""
-    up = edges.filter("parent IS NOT NULL").select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    level = edges.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
-    out = level
-    for _ in range(depth):
-        level = level.join(up, F.col("ancestor") == F.col("_n")).select(F.col("_p").alias("ancestor"), "node", (F.col("depth") + 1).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, node, depth) of a forest (node, parent) of any depth, each node an ancestor of itself at depth 0.
+
+    Each round doubles the reach: pairs at most 2**k apart are joined with the pairs just 2**k apart, so a chain of n
+    levels takes log2(n) rounds. Rounds are written, which cuts lineage; the last one is empty. A null parent is a root; a
+    parent that is no node is an ancestor all the same; repeated edges give repeated pairs; an empty table gives none.
+    """
+    own = edges.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    step = edges.filter("parent IS NOT NULL").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth"))
+    out, reach = materialize(own.unionByName(step), "closure"), 1
+    leap = out.filter("depth = 1")
+    while True:
+        # from a node to all its ancestors up to 2 * reach: leap, then anything known from there
+        up = leap.select(F.col("ancestor").alias("_mid"), F.col("node").alias("_low"))
+        known = out.filter("depth > 0").select("ancestor", F.col("node").alias("_mid"), F.col("depth").alias("_d"))
+        far = up.join(known, "_mid").select("ancestor", F.col("_low").alias("node"), (F.col("_d") + reach).alias("depth"))
+        far = materialize(far, "closure")
+        if far.isEmpty():
+            return out
+        out, reach = materialize(out.unionByName(far), "closure"), 2 * reach
+        leap = out.filter(F.col("depth") == reach)
 
 
 def rolled_up(leaves: DataFrame, parents: list[tuple[DataFrame, str, str]], value: Column, key: str, name: str) -> DataFrame:
-    """Totals of value at every level: leaves are summed by key first, then sums climb parents (table, child, parent)."""
+    """level, node, and the total of value at every level: leaves are summed by key, then sums climb parents (table, child, parent)."""
     sums = leaves.groupBy(F.col(key).alias("node")).agg(F.sum(value).alias(name))
-    for table, child, parent in parents:
+    out = sums.select(F.lit(0).alias("level"), "node", name)
+    for level, (table, child, parent) in enumerate(parents, 1):
         sums = sums.join(table.select(F.col(child).alias("node"), F.col(parent).alias("up")), "node").groupBy(F.col("up").alias("node")).agg(F.sum(name).alias(name))
-    return sums
+        out = out.unionByName(sums.select(F.lit(level).alias("level"), F.col("node").cast("long").alias("node"), name))
+    return out
+
+
+def recursive_count(things: DataFrame, shape: int | Column, frame: int = ANY, quality: int = ANY, refuses: Column | None = None) -> DataFrame:
+    """owner, n: the quantity of matching things at any depth inside each container of things (id, parent, shape, frame,
+    quality, quantity). What a container that refuses the shape holds is not looked at, whole branches of it.
+
+    refuses: whether a container may not hold the shape; one of the same shape never does. Owners without any have no row.
+    """
+    pruned = (F.col("shape") == shape) | (F.lit(False) if refuses is None else refuses)
+    open_ = things.filter(~pruned).select(F.col("id").alias("parent"))
+    edges = things.select(F.col("id").alias("node"), "parent").join(open_, "parent", "left_semi").select("node", "parent")
+    wanted = things.filter(matches(F.col("shape"), shape) & matches(F.col("frame").bitwiseAND(31), frame) & matches(F.col("quality"), quality)).select(F.col("id").alias("node"), "quantity")
+    inside = closure(edges).filter("depth > 0")
+    return inside.join(wanted, "node").groupBy(F.col("ancestor").alias("owner")).agg(F.sum("quantity").alias("n"))
+
+
+def own_weight(quantity: Column, unit: Column, light: Column, counted: Column) -> Column:
+    """Of a stack, in tenths: a tenth of it for light shapes; light and countable ones weigh at least one."""
+    plain = F.when(light, F.call_function("div", quantity * unit, F.lit(10))).otherwise(quantity * unit)
+    return F.when(light | counted, F.greatest(plain, F.lit(1))).otherwise(plain)
+
+
+def carried_weight(things: DataFrame, pocket: Column) -> DataFrame:
+    """id, weight: of each thing (id, parent, weight) with all it holds; nothing within a pocket dimension counts."""
+    closed = things.filter(pocket).select(F.col("id").alias("parent"))
+    edges = things.select(F.col("id").alias("node"), "parent").join(closed, "parent", "left_anti").select("node", "parent")
+    lone = things.join(closed.withColumnRenamed("parent", "p"), F.col("parent") == F.col("p"), "left_semi").select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"))
+    all_ = closure(edges.unionByName(lone))
+    return all_.join(things.select(F.col("id").alias("node"), "weight"), "node").groupBy(F.col("ancestor").alias("id")).agg(F.sum("weight").alias("weight"))
+
+
+def with_locked_inside(things: DataFrame) -> DataFrame:
+    """id, inside_locked: whether any container round a thing (id, parent, locked), at any depth, is locked."""
+    above = closure(things.select(F.col("id").alias("node"), "parent")).filter("depth > 0")
+    locked = things.filter("locked").select(F.col("id").alias("ancestor"))
+    return things.select("id").join(above.join(locked, "ancestor", "left_semi").select(F.col("node").alias("id")).distinct().withColumn("inside_locked", F.lit(True)), "id", "left").select("id", F.coalesce("inside_locked", F.lit(False)).alias("inside_locked"))
+
+
+def admission(wishes: DataFrame, things: DataFrame, rules: DataFrame) -> DataFrame:
+    """item, box, reason of each wish to put item into box: null where it is let in, else the first test that fails.
+
+    things: id, parent, shape, locked, burning, spell, volume, capacity (0 has no bound); rules: box_shape, shape, accept.
+    Tests in order: shape (the same), locked, rule (a missing one accepts), fire (spells may burn), cycle (the box lies in
+    the item or is it), volume (what the box holds now and the item).
+    """
+    item = things.select(F.col("id").alias("item"), F.col("shape").alias("i_shape"), "burning", "spell", F.col("volume").alias("i_volume"))
+    held = things.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("box")).agg(F.sum("volume").alias("held"))
+    box = things.select(F.col("id").alias("box"), F.col("shape").alias("b_shape"), "locked", "capacity").join(held, "box", "left")
+    rule = rules.select(F.col("box_shape").alias("b_shape"), F.col("shape").alias("i_shape"), "accept")
+    chains = closure(things.select(F.col("id").alias("node"), "parent")).select(F.col("ancestor").alias("item"), F.col("node").alias("box"), F.lit(True).alias("cycle"))
+    all_ = wishes.join(item, "item").join(box, "box").join(rule, ["b_shape", "i_shape"], "left").join(chains, ["item", "box"], "left")
+    full = (F.col("capacity") > 0) & (F.col("i_volume") + F.coalesce("held", F.lit(0)) > F.col("capacity"))
+    tests = [("shape", F.col("b_shape") == F.col("i_shape")), ("locked", F.col("locked")), ("rule", ~F.coalesce("accept", F.lit(True))), ("fire", F.col("burning") & ~F.col("spell")), ("cycle", F.coalesce("cycle", F.lit(False))), ("volume", full)]
+    reason = F.lit(None).cast("string")
+    for name, fails in reversed(tests):
+        reason = F.when(fails, name).otherwise(reason)
+    return all_.select("item", "box", reason.alias("reason"))
 
 
 def count_objects(items: DataFrame, shape: int, frame: int = -359) -> DataFrame:

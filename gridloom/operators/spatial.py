@@ -44,11 +44,11 @@ def find_nearby(probes: DataFrame, objects: DataFrame, radius: int = 24, shape:
 
 
 def in_rectangle(probes: DataFrame, objects: DataFrame, width: int, height: int) -> DataFrame:
-    """Pairs of a probe and the objects in the width x height tiles from its corner on, of the same frame."""
+    """Pairs of a probe and the objects in the width x height tiles from its corner on, of the same shape and frame."""
     p = probes.select(*[F.col(c).alias(f"p_{c}") for c in probes.columns])
     p = p.withColumn("cx", F.explode(_covered(F.col("p_tx"), F.col("p_tx") + width - 1))).withColumn("cy", F.explode(_covered(F.col("p_ty"), F.col("p_ty") + height - 1)))
     inside = (F.pmod(F.col("tx") - F.col("p_tx"), F.lit(3072)) < width) & (F.pmod(F.col("ty") - F.col("p_ty"), F.lit(3072)) < height)
-    return p.join(_with_chunk(objects), ["cx", "cy"]).filter(inside & (F.col("frame") == F.col("p_frame"))).drop("cx", "cy")
+    return p.join(_with_chunk(objects), ["cx", "cy"]).filter(inside & (F.col("shape") == F.col("p_shape")) & (F.col("frame") == F.col("p_frame"))).drop("cx", "cy")
 
 
 def nearest(probes: DataFrame, objects: DataFrame, radius: int, distance: Column) -> DataFrame:
@@ -85,8 +85,120 @@ def smallest_tier(probes: DataFrame, objects: DataFrame, radii: tuple[int, ...])
 
 
 def enclosing(points: DataFrame, groups: DataFrame, reach: int = 20, size: int = 8) -> DataFrame:
-    """For each point the group whose footprint (up and left of its anchor) holds it: the highest at or below, else the lowest."""
+    """For each point the group whose footprint (up and left of its anchor) holds it: the highest at or below; where all lie
+    above, and between equals, the first in the order of results (ty, tx, tz descending, then id)."""
     hits = near(points, groups, reach).filter("id <> p_id").filter((F.pmod(F.col("tx") - F.col("p_tx"), F.lit(3072)) < size) & (F.pmod(F.col("ty") - F.col("p_ty"), F.lit(3072)) < size))
     above = F.col("tz") > F.col("p_tz")
-    order = W.partitionBy("p_id").orderBy(above, F.when(above, F.col("tz")).otherwise(-F.col("tz")), "id")
+    order = W.partitionBy("p_id").orderBy(above, F.when(~above, -F.col("tz")), F.desc("ty"), F.desc("tx"), F.desc("tz"), "id")
     return hits.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
+ANY_NPC, LIVE_NPC, EGG_LIKE, INVISIBLE, INVISIBLE_PARTY, TRANSPARENT = 4, 8, 16, 32, 64, 128  # fixed values
+
+
+def visible(mask: int, shape: int = -359) -> Column:
+    """What a search with a mask sees, over the flags npc, dead, egg_like, transparent, invisible, in_party.
+
+    A mask of just ANY_NPC counts for nothing once a shape is given."""
+    if shape > 0 and mask == ANY_NPC:
+        mask = 0
+    tests = []
+    if mask & ANY_NPC:
+        tests.append(F.col("npc"))
+    if mask & LIVE_NPC:
+        tests.append(F.col("npc") & ~F.col("dead"))
+    if not mask & EGG_LIKE:
+        tests.append(~F.col("egg_like"))
+    if not mask & TRANSPARENT:
+        tests.append(~F.col("transparent"))
+    if not mask & INVISIBLE:
+        tests.append(~F.col("invisible") | F.col("in_party") if mask & INVISIBLE_PARTY else ~F.col("invisible"))
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
+def find_masked(probes: DataFrame, objects: DataFrame, radius: int, mask: int = 0, shape: int = -359, frame: int = -359, quality: int = -359, leave_free: bool = False) -> DataFrame:
+    """find_nearby with a mask; an actor also counts by the shape it is disguised as; leave_free leaves out what is free to take."""
+    seen = objects.filter(visible(mask, shape))
+    if shape >= 0:
+        seen = seen.filter((F.col("shape") == shape) | (F.col("npc") & (F.col("disguise") == shape)))
+    if leave_free:
+        seen = seen.filter(~F.col("free"))
+    return find_nearby(probes, seen, radius, -359, frame, quality)
+
+
+def pick_opponent(hits: DataFrame, how: str) -> DataFrame:
+    """p_id, id of the weakest, strongest or nearest of hits (p_id, id, place, strength, dist, taken, fleeing, able).
+
+    The first of equals by place. Weakest is below 100. Nearest is within 64 after 16 more for one that another fights
+    (taken) and 32 more for one that flees or cannot act.
+    """
+    far = F.col("dist") + F.when(F.col("taken"), 16).otherwise(0) + F.when(F.col("fleeing") | ~F.col("able"), 32).otherwise(0)
+    score, bound = {"weakest": (F.col("strength"), F.col("strength") < 100), "strongest": (-F.col("strength"), F.col("strength") > -100), "nearest": (far, far < 64)}[how]
+    return hits.filter(bound).groupBy("p_id").agg(F.min_by("id", F.struct(score.alias("s"), "place")).alias("id"))
+
+
+def triggered(steps: DataFrame, eggs: DataFrame, most_reach: int) -> DataFrame:
+    """egg, step of the eggs that fire for steps.
+
+    steps: id, tx, ty, tz, from_tx, from_ty, main, in_party, actor, hour. eggs: id, tx, ty, tz, reach (the area is the
+    square round it, round the world), criteria, kind, nocturnal, once_done (hatched), auto_reset; reach is at most
+    most_reach. Fixed values: criteria 0 anywhere inside, 1 main actor enters, 2 party enters, 3 main actor leaves, 4 main
+    actor stands, 5 party stands, 6 thing lies, others never; kinds by name.
+    """
+    egg = eggs.select(*[F.col(c).alias(f"e_{c}" if c != "id" else "egg") for c in eggs.columns])
+    low, high = lambda c: F.col(f"e_{c}") - most_reach, lambda c: F.col(f"e_{c}") + most_reach
+    egg = egg.withColumn("cx", F.explode(_covered(low("tx"), high("tx")))).withColumn("cy", F.explode(_covered(low("ty"), high("ty"))))
+    both = _with_chunk(steps).join(egg, ["cx", "cy"])
+
+    def inside(x: str, y: str, shrink: int = 0) -> Column:
+        wide = 2 * F.col("e_reach") + 1 - 2 * shrink
+        strip = lambda c, e: F.pmod(F.col(c) - (F.col(e) - F.col("e_reach") + shrink), F.lit(3072)) < wide
+        return strip(x, "e_tx") & strip(y, "e_ty")
+
+    lift = F.col("tz") - F.col("e_tz")
+    now, before = inside("tx", "ty"), inside("from_tx", "from_ty")
+    within = lambda n: F.abs(lift) < n
+    kind = F.col("e_kind")
+    near_ = F.when(kind.isin("teleport", "intermap"), (lift == 0) & now).when(kind.isin("jukebox", "soundsfx", "voice"), now).otherwise((within(2) | ((kind == "missile") & within(5))) & now & ~before)
+    who = F.col("in_party")
+    fires = F.when(F.col("e_criteria") == 0, F.col("main") & now & (~F.col("e_hatched") | ~before))
+    fires = fires.when(F.col("e_criteria") == 1, F.col("main") & who & near_).when(F.col("e_criteria") == 2, who & near_)
+    fires = fires.when(F.col("e_criteria") == 3, F.col("main") & now & inside("from_tx", "from_ty", 1) & ~inside("tx", "ty", 1))
+    fires = fires.when(F.col("e_criteria") == 4, F.col("main") & (lift == 0) & now)
+    fires = fires.when(F.col("e_criteria") == 5, now & (lift == 0) & F.when(kind == "fire_field", F.col("actor")).otherwise(who))
+    fires = fires.when(F.col("e_criteria") == 6, within(4) & now & ~F.col("actor")).otherwise(False)
+    gated = (F.col("e_hatched") & ~F.col("e_auto_reset")) | (F.col("e_nocturnal") & (F.col("hour") > 4) & (F.col("hour") < 21))
+    return both.filter(fires & ~gated).select("egg", F.col("id").alias("step"))
+
+
+def located(cursors: DataFrame, objects: DataFrame, upwards: bool = False) -> DataFrame:
+    """cursor, found: the next object of the cursor's shape in the order of chunks (row by row), then id; null at the end.
+
+    One sort by shape instead of a search for each: of the rows of a shape in order the next one is the answer.
+    """
+    keyed = _with_chunk(objects).select("id", "shape", "cx", "cy")
+    order = [F.col(c).desc() if upwards else F.col(c) for c in ("cy", "cx", "id")]
+    ahead = keyed.withColumn("found", F.lead("id").over(W.partitionBy("shape").orderBy(*order)))
+    return ahead.join(cursors.select(F.col("id")), "id", "left_semi").select(F.col("id").alias("cursor"), "found")
+
+
+def free_spots(spots: DataFrame, blocked: DataFrame, reach: int, direction: int) -> DataFrame:
+    """id, x, y, d: the first free tile round each spot (id, tx, ty): the spot, else rings d = 1 .. reach, each from the
+    preferred direction on (0 north, clockwise; a ring starts north-west). blocked: tx, ty of taken tiles. No row if none is free."""
+    ring = (direction + 1) % 8
+    # The k-th tile of ring d, clockwise from its north-west corner.
+    k, d, side = F.col("k"), F.col("d"), F.call_function("div", F.col("k"), 2 * F.col("d"))
+    along = k % (2 * d)
+    x = F.when(d == 0, 0).when(side == 0, along - d).when(side == 1, d).when(side == 2, d - along).otherwise(-d)
+    y = F.when(d == 0, 0).when(side == 0, -d).when(side == 1, along - d).when(side == 2, d).otherwise(d - along)
+    rings = spots.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+    rings = rings.withColumn("n", F.explode(F.sequence(F.lit(0), F.greatest(8 * F.col("d") - 1, F.lit(0)))))
+    start = ring * d - F.call_function("div", d, F.lit(2))
+    rings = rings.withColumn("k", F.when(d == 0, 0).otherwise(F.pmod(start + F.col("n"), 8 * d)))
+    tiles = rings.select("id", "d", "n", F.pmod(F.col("tx") + x, F.lit(3072)).alias("x"), F.pmod(F.col("ty") + y, F.lit(3072)).alias("y"))
+    taken = blocked.select(F.col("tx").alias("x"), F.col("ty").alias("y")).distinct()
+    free = tiles.join(taken, ["x", "y"], "left_anti")
+    return free.groupBy("id").agg(F.min(F.struct("d", "n", "x", "y")).alias("b")).select("id", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.d").alias("d"))

@@ -24,3 +24,27 @@ def edges(rows: DataFrame, key: str, order: list[str], inside: Column) -> DataFr
 def resumed(due: Column, added: Column, paused_at: Column, resumed_at: Column) -> Column:
     """Due seconds after a pause: entries added in this pause are put off by its length."""
     return F.when(added >= paused_at, due + (resumed_at - paused_at)).otherwise(due)
+
+
+def popped(queue: DataFrame, now: Column) -> DataFrame:
+    """place, key, event_id of the entries of queue (key, event_id, due, seq) that are due by now: by due time, then as added."""
+    order = W.partitionBy("key").orderBy("due", "seq")
+    return queue.filter(F.col("due") <= now).withColumn("place", F.row_number().over(order)).select("key", "event_id", "place")
+
+
+def remaining(queue: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """key, delay: until the first entry of each of keys is due, 0 if it is, -1 without an entry."""
+    first = queue.groupBy("key").agg(F.min("due").alias("due"))
+    return keys.join(first, "key", "left").select("key", F.coalesce(F.greatest(F.col("due") - now, F.lit(0)), F.lit(-1)).alias("delay"))
+
+
+def cancelled(queue: DataFrame, cancels: DataFrame) -> DataFrame:
+    """queue without the first entry (by due, seq) of each key in cancels (key, n), n of them."""
+    place = F.row_number().over(W.partitionBy("key").orderBy("due", "seq"))
+    return queue.withColumn("_p", place).join(cancels, "key", "left").filter(F.col("_p") > F.coalesce("n", F.lit(0))).drop("_p", "n")
+
+
+def halted(scripts: DataFrame) -> DataFrame:
+    """Adds ended: when a later script of the same key replaces a script (key, started, seq, dont_halt); null if none does."""
+    later = F.lead("started").over(W.partitionBy("key").orderBy("started", "seq"))
+    return scripts.withColumn("ended", F.when(~F.col("dont_halt"), later))

@@ -53,17 +53,17 @@ def p1(spark, d):
     return spatial.find_nearby(_probes(obj), obj, 64, frame=7).groupBy("p_id").agg(F.count("*").alias("n"))
 
 
-@query("j2_rectangle", f"{having('obj')} SELECT p.id AS p_id, o.id FROM obj p JOIN obj o ON p.id % 100 = 0 AND (o.tx - p.tx + 3072) % 3072 < 200 AND (o.ty - p.ty + 3072) % 3072 < 100 AND o.frame = p.frame")
+@query("j2_rectangle", f"{having('obj')} SELECT p.id AS p_id, o.id FROM obj p JOIN obj o ON p.id % 100 = 0 AND (o.tx - p.tx + 3072) % 3072 < 200 AND (o.ty - p.ty + 3072) % 3072 < 100 AND o.frame = p.frame AND o.shape % 4 = p.shape % 4")
 def j2(spark, d):
-    obj = view(spark, d, "obj")
+    obj = view(spark, d, "obj").withColumn("shape", F.col("shape") % 4)  # few shapes, so that some match
     return spatial.in_rectangle(_probes(obj), obj, 200, 100).select("p_id", "id")
 
 
-@query("t2_nearest_flat", _PAIRS.format(r=96) + "SELECT p_id, arg_min(id, ((tx-p_tx)*(tx-p_tx)+(ty-p_ty)*(ty-p_ty)) * 1000000 + id) AS id, min((tx-p_tx)*(tx-p_tx)+(ty-p_ty)*(ty-p_ty)) AS d FROM hit WHERE id <> p_id GROUP BY p_id")
+@query("t2_nearest_flat", _PAIRS.format(r=96) + "SELECT p_id, arg_min(id, ((tx-p_tx)*(tx-p_tx)+(ty-p_ty)*(ty-p_ty)+(tz-p_tz)*(tz-p_tz)) * 1000000 + id) AS id, min((tx-p_tx)*(tx-p_tx)+(ty-p_ty)*(ty-p_ty)+(tz-p_tz)*(tz-p_tz)) AS d FROM hit WHERE id <> p_id AND (tx-p_tx)*(tx-p_tx)+(ty-p_ty)*(ty-p_ty)+(tz-p_tz)*(tz-p_tz) < 100000 GROUP BY p_id")
 def t2(spark, d):
     obj = view(spark, d, "obj")
-    dx, dy = F.col("tx") - F.col("p_tx"), F.col("ty") - F.col("p_ty")
-    return spatial.nearest(_probes(obj), obj, 96, dx * dx + dy * dy)
+    dx, dy, dz = F.col("tx") - F.col("p_tx"), F.col("ty") - F.col("p_ty"), F.col("tz") - F.col("p_tz")
+    return spatial.nearest(_probes(obj), obj, 96, dx * dx + dy * dy + dz * dz).filter("d < 100000")  # not round the world: across a seam it is far
 
 
 @query("t3_nearest_wrapped", _PAIRS.format(r=96) + "SELECT p_id, arg_min(id, greatest(dist, abs(tz - p_tz)) * 1000000 + id) AS id, min(greatest(dist, abs(tz - p_tz))) AS d FROM hit WHERE id <> p_id GROUP BY p_id")
@@ -78,7 +78,7 @@ def t4(spark, d):
     return spatial.k_nearest(_probes(obj), obj, 96, 5).select("p_id", "id", "d", F.col("place").cast("long"))
 
 
-@query("j4_enclosing_group", f"{having('obj')}, h AS (SELECT p.id AS p_id, o.id, o.tz, p.tz AS p_tz FROM obj p JOIN obj o ON p.id % 10 = 0 AND o.id <> p.id AND {_FLAT} <= 20 AND (o.tx - p.tx + 3072) % 3072 < 8 AND (o.ty - p.ty + 3072) % 3072 < 8) SELECT p_id, id FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY tz > p_tz, CASE WHEN tz > p_tz THEN tz ELSE -tz END, id) AS k FROM h) WHERE k = 1")
+@query("j4_enclosing_group", f"{having('obj')}, h AS (SELECT p.id AS p_id, o.id, o.tx, o.ty, o.tz, p.tz AS p_tz FROM obj p JOIN obj o ON p.id % 10 = 0 AND o.id <> p.id AND {_FLAT} <= 20 AND (o.tx - p.tx + 3072) % 3072 < 8 AND (o.ty - p.ty + 3072) % 3072 < 8) SELECT p_id, id FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY CASE WHEN tz <= p_tz THEN tz ELSE -1 END DESC, ty DESC, tx DESC, tz DESC, id) AS k FROM h) WHERE k = 1")
 def j4(spark, d):
     obj = view(spark, d, "obj")
     return spatial.enclosing(_probes(obj, 10), obj).select("p_id", "id")
@@ -162,45 +162,162 @@ def f21(spark, d):
     return view(spark, d, "item").groupBy(E.stack_frame(F.col("quantity")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("f10_clock", "SELECT hour(ts) // 3 AS slot, (minute(ts) + 7 - (minute(ts) + 7) % 15) % 60 AS rounded, count(*) AS n FROM events GROUP BY 1, 2")
+@query("f10_clock", "SELECT event_id, hour(ts) // 3 AS slot, dayofyear(ts) * 24 + hour(ts) AS hours, (dayofyear(ts) * 24 + hour(ts)) * 60 + minute(ts) AS minutes FROM events")
 def f10(spark, d):
-    t = _table(spark, d, "events")
-    late = F.minute("ts") + 7
-    return t.groupBy(F.call_function("div", F.hour("ts"), F.lit(3)).alias("slot"), ((late - late % 15) % 60).cast("long").alias("rounded")).agg(F.count("*").alias("n"))
+    day, hour = F.dayofyear("ts"), F.hour("ts")
+    return _table(spark, d, "events").select("event_id", F.call_function("div", hour, F.lit(3)).alias("slot"), (day * 24 + hour).cast("long").alias("hours"), ((day * 24 + hour) * 60 + F.minute("ts")).cast("long").alias("minutes"))
 
 
-@query("p8_substring", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_partkey LIMIT 20")
-def p8(spark, d):
-    return _table(spark, d, "part").filter(F.instr(F.lower("p_name"), "a") > 0).select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
+@query("f11_clock_increment", """WITH t AS (SELECT event_id, dayofyear(ts) AS d, hour(ts) AS h, minute(ts) AS m, event_id % 3000 AS more FROM events),
+r AS (SELECT *, more + 7 - (more + 7) % 15 AS inc FROM t), u AS (SELECT event_id, d * 1440 + h * 60 + m + inc AS total FROM r)
+SELECT event_id, total // 1440 AS day, total % 1440 // 60 AS hour, total % 60 AS minute FROM u""")
+def f11(spark, d):
+    after = E.clock_after(F.dayofyear("ts"), F.hour("ts"), F.minute("ts"), F.col("event_id") % 3000)
+    return _table(spark, d, "events").select("event_id", after.alias("t")).select("event_id", "t.day", "t.hour", "t.minute")
 
 
-@query("p8_substring_whole")
-def p8_whole(spark, d):
-    """Every part name and every document whose text holds the letters, in any case; where is the place of the first hit, from 1."""
+@query("p8_substring", "SELECT 'part' AS kind, p_partkey AS id, instr(lower(p_name), 'a') AS at FROM part WHERE contains(lower(p_name), 'a') UNION ALL SELECT 'document', doc_id, instr(lower(text), 'a') FROM documents WHERE contains(lower(text), 'a')")
+def p8(spark, d):
+    """Every part name and every document whose text holds the letters, in any case; at is the place of the first hit, from 1."""
     named = _table(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
     told = _table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    hit = named.unionByName(told).withColumn("where", F.instr(F.lower("text"), "a"))
-    return hit.filter(F.col("where") > 0).select("kind", "id", "where")
+    hit = named.unionByName(told).withColumn("at", F.instr(F.lower("text"), "a"))
+    return hit.filter(F.col("at") > 0).select("kind", "id", F.col("at").cast("long").alias("at"))
+
+
+_TREE = f"{having('thing')}, inside AS (SELECT parent AS owner, id FROM thing WHERE parent IN (SELECT id FROM thing WHERE {{ok}}) UNION ALL SELECT t.parent, i.id FROM inside i JOIN thing t ON t.id = i.owner WHERE t.parent IN (SELECT id FROM thing WHERE {{ok}})) "
+_HOLDS = "NOT (shape = 17 OR burning)"
 
 
-@query("a1_recursive_count", f"{having('item')} SELECT owner, sum(quantity)::BIGINT AS n FROM item WHERE shape = 17 AND frame % 32 = 3 GROUP BY owner")
+@query("a1_recursive_count", _TREE.format(ok=_HOLDS) + "SELECT owner, sum(quantity)::BIGINT AS n FROM inside JOIN thing USING (id) WHERE shape = 17 AND frame % 32 % 4 = 3 GROUP BY owner")
 def a1(spark, d):
-    return hierarchy.count_objects(view(spark, d, "item"), 17, 3)
+    """How many of a shape lie in each container, at any depth; frames are told apart by their low bits here, so that some match."""
+    things = view(spark, d, "thing").withColumn("frame", F.col("frame") % 4)
+    return hierarchy.recursive_count(things, 17, 3, refuses=F.col("burning")).select("owner", F.col("n").cast("long").alias("n"))
 
 
-@query("a3_rolled_up_weight", "SELECT c_nationkey AS node, sum(CAST(l_quantity AS BIGINT))::BIGINT AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query("a2_party_count", _TREE.format(ok=_HOLDS) + "SELECT owner % 3 AS party, sum(quantity)::BIGINT AS n FROM inside JOIN thing USING (id) WHERE shape = 17 AND owner IN (SELECT id FROM thing WHERE parent IS NULL) GROUP BY 1")
+def a2(spark, d):
+    """The counts of all members of a party: the roots of the forest are the members, of three parties."""
+    things = view(spark, d, "thing")
+    members = things.filter("parent IS NULL").select(F.col("id").alias("owner"))
+    return hierarchy.recursive_count(things, 17, refuses=F.col("burning")).join(members, "owner", "left_semi").groupBy((F.col("owner") % 3).alias("party")).agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("a3_rolled_up_weight", """WITH l AS (SELECT l_orderkey AS o, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY 1), o AS (SELECT o_custkey AS c, sum(w) AS w FROM l JOIN orders ON o = o_orderkey GROUP BY 1),
+c AS (SELECT c_nationkey AS n, sum(w) AS w FROM o JOIN customer ON c = c_custkey GROUP BY 1), n AS (SELECT n_regionkey AS r, sum(w) AS w FROM c JOIN nation ON n = n_nationkey GROUP BY 1)
+SELECT 0 AS level, o AS node, w::BIGINT AS weight FROM l UNION ALL SELECT 1, c, w::BIGINT FROM o UNION ALL SELECT 2, n, w::BIGINT FROM c UNION ALL SELECT 3, r, w::BIGINT FROM n""")
 def a3(spark, d):
-    return hierarchy.rolled_up(view(spark, d, "item"), [(_table(spark, d, "orders"), "o_orderkey", "o_custkey"), (_table(spark, d, "customer"), "c_custkey", "c_nationkey")], F.col("quantity"), "owner", "weight")
+    up = [("orders", "o_orderkey", "o_custkey"), ("customer", "c_custkey", "c_nationkey"), ("nation", "n_nationkey", "n_regionkey")]
+    return hierarchy.rolled_up(view(spark, d, "item"), [(_table(spark, d, t), child, parent) for t, child, parent in up], F.col("quantity"), "owner", "weight")
+
+
+_WEIGHT = "CASE WHEN light OR counted THEN greatest(CASE WHEN light THEN quantity * unit // 10 ELSE quantity * unit END, 1) ELSE quantity * unit END"
+
 
+@query("a3_carried_weight", _TREE.format(ok="NOT pocket") + f"SELECT t.id, (any_value({_WEIGHT.replace('light', 't.light').replace('counted', 't.counted').replace('quantity', 't.quantity').replace('unit', 't.unit')}) + coalesce(sum(w.weight), 0))::BIGINT AS weight FROM thing t LEFT JOIN inside i ON i.owner = t.id LEFT JOIN (SELECT id, {_WEIGHT} AS weight FROM thing) w ON w.id = i.id GROUP BY t.id")
+def a3_carried(spark, d):
+    things = view(spark, d, "thing").withColumn("weight", hierarchy.own_weight(F.col("quantity"), F.col("unit"), F.col("light"), F.col("counted")))
+    return hierarchy.carried_weight(things.select("id", "parent", "pocket", "weight"), F.col("pocket")).select("id", F.col("weight").cast("long").alias("weight"))
 
-@query("j8_closure", """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL FROM region),
-c AS (SELECT node AS ancestor, node, 0 AS depth FROM e UNION ALL SELECT e.parent, c.node, c.depth + 1 FROM c JOIN e ON e.node = c.ancestor WHERE e.parent IS NOT NULL) SELECT ancestor, node, CAST(depth AS INTEGER) AS depth FROM c""")
+
+@query("a4_volume_used", f"{having('thing')}, u AS (SELECT parent AS box, sum(volume)::BIGINT AS used FROM thing WHERE parent IS NOT NULL GROUP BY 1) SELECT id AS box, coalesce(used, 0) AS used, capacity = 0 OR coalesce(used, 0) + 5 <= capacity AS fits FROM thing LEFT JOIN u ON box = id")
+def a4(spark, d):
+    """The volume used in each thing, and whether something of volume 5 still fits; a capacity of 0 has no bound."""
+    things = view(spark, d, "thing")
+    used = things.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("box")).agg(F.sum("volume").alias("used"))
+    both = things.select(F.col("id").alias("box"), "capacity").join(used, "box", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    return both.select("box", "used", ((F.col("capacity") == 0) | (F.col("used") + 5 <= F.col("capacity"))).alias("fits"))
+
+
+@query("a5_warmth", "SELECT l_orderkey AS id, (-75 + sum(CASE WHEN l_linenumber <= 6 THEN l_quantity ELSE 0 END))::BIGINT AS warmth FROM (SELECT l_orderkey, l_linenumber, max(CAST(l_quantity AS BIGINT)) AS l_quantity FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def a5(spark, d):
+    """What is worn in the first six of seven places, over a base of -75; of several in a place the warmest."""
+    worn = view(spark, d, "item").groupBy("owner", "frame").agg(F.max("quantity").alias("warm"))
+    return worn.groupBy(F.col("owner").alias("id")).agg((F.sum(F.when(F.col("frame") <= 6, F.col("warm")).otherwise(0)) - 75).cast("long").alias("warmth"))
+
+
+@query("a7_opponents", f"""{having('thing')}, p AS (SELECT * FROM thing WHERE id % 100 = 0), h AS (SELECT p.id AS p_id, o.*, {_FLAT} AS dist FROM p, thing o WHERE o.npc AND o.id <> p.id AND {_FLAT} <= 60),
+s AS (SELECT *, CASE WHEN id % 3 = 0 THEN 16 ELSE 0 END + CASE WHEN quality = 2 OR dead THEN 32 ELSE 0 END + dist AS far FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY strength, ty DESC, tx DESC, tz DESC, id) AS weak, row_number() OVER (PARTITION BY p_id ORDER BY strength DESC, ty DESC, tx DESC, tz DESC, id) AS strong,
+ row_number() OVER (PARTITION BY p_id ORDER BY far, ty DESC, tx DESC, tz DESC, id) AS close FROM s)
+SELECT p_id, max(CASE WHEN weak = 1 THEN id END) AS weakest, max(CASE WHEN strong = 1 THEN id END) AS strongest, max(CASE WHEN close = 1 AND far < 64 THEN id END) AS nearest FROM k GROUP BY p_id""")
+def a7(spark, d):
+    things = view(spark, d, "thing")
+    hits = spatial.find_nearby(_probes(things), things.filter("npc"), 60).filter("id <> p_id")
+    hits = hits.select("p_id", "id", "place", "strength", "dist", (F.col("id") % 3 == 0).alias("taken"), (F.col("quality") == 2).alias("fleeing"), (~F.col("dead")).alias("able"))
+    pick = lambda how: spatial.pick_opponent(hits, how).withColumnRenamed("id", how)
+    return pick("weakest").join(pick("strongest"), "p_id").join(pick("nearest"), "p_id", "left")
+
+
+@query("p3_p4_p6_masks", f"""{having('thing')}, p AS (SELECT * FROM thing WHERE id % 100 = 0), h AS (SELECT p.id AS p_id, o.* FROM p, thing o WHERE {_FLAT} <= 48)
+SELECT p_id, count(*) FILTER (WHERE NOT egg_like AND NOT transparent AND NOT invisible) AS plain, count(*) FILTER (WHERE npc AND NOT dead AND NOT egg_like AND NOT transparent AND (NOT invisible OR in_party)) AS live,
+ count(*) FILTER (WHERE (shape = 7 OR npc AND disguise = 7) AND NOT egg_like AND NOT transparent AND NOT invisible) AS disguised, count(*) FILTER (WHERE NOT free) AS left_alone FROM h GROUP BY p_id""")
+def p3(spark, d):
+    things = view(spark, d, "thing")
+    probes = _probes(things)
+    M = spatial
+    kinds = {"plain": dict(mask=0), "live": dict(mask=M.LIVE_NPC | M.INVISIBLE_PARTY), "disguised": dict(mask=M.ANY_NPC, shape=7), "left_alone": dict(mask=M.EGG_LIKE | M.INVISIBLE | M.TRANSPARENT, leave_free=True)}
+    out = M.near(probes, things, 48).select("p_id").distinct()
+    for name, how in kinds.items():
+        out = out.join(M.find_masked(probes, things, 48, **how).groupBy("p_id").agg(F.count("*").alias(name)), "p_id", "left")
+    return out.select("p_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in kinds])
+
+
+@query("p5_default_radius", _PAIRS.format(r=24) + "SELECT p_id, count(*) AS n FROM hit GROUP BY p_id")
+def p5(spark, d):
+    obj = view(spark, d, "obj")
+    return spatial.near(_probes(obj), obj, -1).groupBy("p_id").agg(F.count("*").alias("n"))
+
+
+@query("p2_frame_mask", f"{having('thing')} SELECT (SELECT count(*) FROM thing WHERE frame = 3) AS whole, (SELECT count(*) FROM thing WHERE frame & 31 = 3) AS masked")
+def p2(spark, d):
+    frame = F.col("frame")
+    return view(spark, d, "thing").agg(F.count(F.when(E.matches(frame, 3), 1)).alias("whole"), F.count(F.when(E.matches(frame.bitwiseAND(31), 3), 1)).alias("masked"))
+
+
+@query("p9_p7_groups", f"{having('thing')} SELECT g AS \"group\", count(*) AS n FROM (SELECT DISTINCT shape, unnest(list_filter([CASE WHEN npc THEN 'npc' END, CASE WHEN egg_like THEN 'egg' END, CASE WHEN transparent THEN 'clear' END, CASE WHEN light THEN 'light' END], lambda x: x IS NOT NULL)) AS g FROM thing) GROUP BY 1")
+def p9(spark, d):
+    things = view(spark, d, "thing")
+    groups = {"npc": F.col("npc"), "egg": F.col("egg_like"), "clear": F.col("transparent"), "light": F.col("light")}
+    return dims.with_groups(things, groups).distinct().groupBy("group").agg(F.count("*").alias("n"))
+
+
+@query("p12_inside_locked", _TREE.format(ok="true") + "SELECT id, id IN (SELECT i.id FROM inside i JOIN thing t ON t.id = i.owner WHERE t.locked) AS inside_locked FROM thing")
+def p12(spark, d):
+    return hierarchy.with_locked_inside(view(spark, d, "thing"))
+
+
+_WISH = "w AS (SELECT id AS item, (id * 7 + 3) % (SELECT count(*) FROM thing) AS box FROM thing), rules AS (SELECT DISTINCT p_partkey % 64 AS box_shape, p_size % 64 AS shape, min(p_partkey) % 3 > 0 AS accept FROM part GROUP BY 1, 2)"
+
+
+@query("m1_p13_admission", _TREE.format(ok="true") + f""", {_WISH}, u AS (SELECT parent AS box, sum(volume) AS used FROM thing WHERE parent IS NOT NULL GROUP BY 1)
+SELECT w.item, w.box, CASE WHEN i.shape = b.shape THEN 'shape' WHEN b.locked THEN 'locked' WHEN NOT coalesce(r.accept, true) THEN 'rule' WHEN i.burning AND NOT i.spell THEN 'fire'
+ WHEN i.id = b.id OR c.id IS NOT NULL THEN 'cycle' WHEN b.capacity > 0 AND i.volume + coalesce(u.used, 0) > b.capacity THEN 'volume' END AS reason
+FROM w JOIN thing i ON i.id = w.item JOIN thing b ON b.id = w.box LEFT JOIN rules r ON r.box_shape = b.shape AND r.shape = i.shape LEFT JOIN u ON u.box = b.id LEFT JOIN (SELECT DISTINCT owner, id FROM inside) c ON c.owner = i.id AND c.id = b.id""")
+def m1(spark, d):
+    """Every thing is put into another; the rules come from parts."""
+    things = view(spark, d, "thing")
+    n = things.count()
+    wishes = things.select(F.col("id").alias("item"), ((F.col("id") * 7 + 3) % n).alias("box"))
+    rules = _table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("box_shape"), (F.col("p_size") % 64).alias("shape")).agg((F.min("p_partkey") % 3 > 0).alias("accept"))
+    return hierarchy.admission(wishes, things, rules)
+
+
+_EDGES = "e AS (SELECT 'l' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS node, 'o' || l_orderkey AS parent FROM lineitem GROUP BY ALL UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL FROM region)"
+
+
+@query("j8_closure", f"""WITH RECURSIVE {_EDGES}, c AS (SELECT node AS ancestor, node, 0 AS depth FROM e UNION ALL SELECT e.parent, c.node, c.depth + 1 FROM c JOIN e ON e.node = c.ancestor WHERE e.parent IS NOT NULL)
+SELECT ancestor, depth::INTEGER AS depth, count(*) AS n, max(node) AS last FROM c GROUP BY 1, 2""")
 def j8(spark, d):
-    name = lambda p, c: F.concat(F.lit(p), F.col(c))
-    e = _table(spark, d, "customer").select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("parent"))
-    e = e.unionByName(_table(spark, d, "nation").select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent")))
+    """For each node of the whole tree, from regions to line items, how many nodes lie at each depth below it, and the last of them."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    line = F.concat(F.lit("l"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    e = _table(spark, d, "lineitem").select(line.alias("node"), name("o", "l_orderkey").alias("parent")).distinct()
+    for t, node, parent in (("orders", "o_orderkey", "o_custkey"), ("customer", "c_custkey", "c_nationkey"), ("nation", "n_nationkey", "n_regionkey")):
+        e = e.unionByName(_table(spark, d, t).select(name(t[0], node).alias("node"), name({"o_custkey": "c", "c_nationkey": "n", "n_regionkey": "r"}[parent], parent).alias("parent")))
     e = e.unionByName(_table(spark, d, "region").select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent")))
-    return hierarchy.closure(e, 2)
+    return hierarchy.closure(e).groupBy("ancestor", "depth").agg(F.count("*").alias("n"), F.max("node").alias("last"))
 
 
 _STACKS = f"{having('item')}, s AS (SELECT *, coalesce(sum(quantity) OVER (PARTITION BY owner ORDER BY part, supp, price, frame, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(quantity) OVER (PARTITION BY owner) AS held FROM item) "
@@ -282,18 +399,7 @@ def w1(spark, d):
     return view(spark, d, "queue").select("event_id", F.row_number().over(W.partitionBy("k").orderBy("due", "event_id")).cast("long").alias("place"))
 
 
-@query("g1_grid_costs", """WITH RECURSIVE b AS (SELECT DISTINCT CAST(p_partkey % 24 AS INTEGER) AS x, CAST((p_partkey * 7) // 24 % 24 AS INTEGER) AS y FROM part WHERE p_partkey % 5 = 1 AND p_partkey < 400),
-g AS (SELECT 1 AS x, 0 AS y, 0 AS cost UNION SELECT g.x + dx, g.y + dy, g.cost + 1 FROM g, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) c(dy)
- WHERE (dx <> 0 OR dy <> 0) AND g.x + dx BETWEEN 0 AND 23 AND g.y + dy BETWEEN 0 AND 23 AND cost < 30 AND NOT EXISTS (SELECT 1 FROM b WHERE b.x = g.x + dx AND b.y = g.y + dy))
-SELECT x, y, min(cost) AS cost FROM g GROUP BY x, y""")
-def g1(spark, d):
-    p = F.col("p_partkey")
-    blocked = _table(spark, d, "part").filter((p % 5 == 1) & (p < 400)).select((p % 24).cast("int").alias("x"), (F.call_function("div", p * 7, F.lit(24)) % 24).cast("int").alias("y")).distinct()
-    start = blocked.sparkSession.createDataFrame([(0, 1, 0)], "search long, x int, y int")
-    return graph.grid_costs(start, blocked, 24, 30).drop("search")
-
-
-@query("g1_grid_costs_whole")
+@query("g1_grid_costs")
 def g1_whole(spark, d):
     """Each part is a tile of a 64 x 64 grid, a grid for every 4,096 keys, and searches a path from there to a tile at most 15 away."""
     p, size = F.col("p_partkey"), F.col("p_size")
@@ -305,13 +411,18 @@ def g1_whole(spark, d):
     return graph.paths(searches, tiles)
 
 
-@query("g3_straight_walk", f"""{having('obj')}, w AS (SELECT p.id, p.tx AS x0, p.ty AS y0, o.tx AS x1, o.ty AS y1, greatest(abs(o.tx - p.tx), abs(o.ty - p.ty), 1) AS n FROM obj p JOIN obj o ON o.id = p.id + 1 WHERE p.id % 1000 = 0),
-s AS (SELECT w.*, unnest(range(1, n + 1)) AS i FROM w) SELECT id, x0 + CAST(floor((x1 - x0) * i / n) AS BIGINT) AS x, y0 + CAST(floor((y1 - y0) * i / n) AS BIGINT) AS y FROM s""")
+@query("g3_straight_walk", f"""{having('obj')}, w AS (SELECT p.id, p.tx AS x0, p.ty AS y0, p.tz AS z0, CASE WHEN o.tx - p.tx >= 1536 THEN o.tx - p.tx - 3072 WHEN o.tx - p.tx <= -1536 THEN o.tx - p.tx + 3072 ELSE o.tx - p.tx END AS dx,
+ CASE WHEN o.ty - p.ty >= 1536 THEN o.ty - p.ty - 3072 WHEN o.ty - p.ty <= -1536 THEN o.ty - p.ty + 3072 ELSE o.ty - p.ty END AS dy, o.tz - p.tz AS dz FROM obj p JOIN obj o ON o.id = p.id + 1),
+n AS (SELECT *, greatest(abs(dx), abs(dy), abs(dz)) AS n FROM w), s AS (SELECT n.*, unnest(range(1, n + 1)) AS i FROM n),
+t AS (SELECT id, i, (x0 + sign(dx)::BIGINT * (i * abs(dx) // n) + 3072) % 3072 AS x, (y0 + sign(dy)::BIGINT * (i * abs(dy) // n) + 3072) % 3072 AS y, z0 + sign(dz)::BIGINT * (i * abs(dz) // n) AS z FROM s)
+SELECT id, count(*) AS steps, sum(x * i)::BIGINT AS xs, sum(y * i)::BIGINT AS ys, sum(z * i)::BIGINT AS zs FROM t GROUP BY id""")
 def g3(spark, d):
+    """From every object to its successor, in three dimensions round the world: the number of tiles, and sums of their places by step."""
     obj = view(spark, d, "obj")
-    to = obj.select((F.col("id") - 1).alias("id"), F.col("tx").alias("x1"), F.col("ty").alias("y1"))
-    walk = _probes(obj, 1000).join(to, "id").select("id", F.explode(graph.line("tx", "ty", "x1", "y1")).alias("t"))
-    return walk.select("id", "t.x", "t.y")
+    to = obj.select((F.col("id") - 1).alias("id"), F.col("tx").alias("x1"), F.col("ty").alias("y1"), F.col("tz").alias("z1"))
+    walk = obj.join(to, "id").select("id", graph.walk(("tx", "ty", "tz"), ("x1", "y1", "z1")).alias("w")).filter(F.size("w") > 0)
+    total = lambda c: F.aggregate(F.transform("w", lambda t, i: t[c] * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return walk.select("id", F.size("w").cast("long").alias("steps"), total("x").alias("xs"), total("y").alias("ys"), total("z").alias("zs"))
 
 
 @query("g3_straight_walk_whole")
@@ -324,16 +435,22 @@ def g3_whole(spark, d):
     return walk.select("id", (F.col("step") + 1).alias("step"), "t.x", "t.y", "t.z")
 
 
-@query("f22_checksums", "SELECT p_partkey, md5(p_name) AS digest, sha256(p_name) AS sha FROM part")
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(p_name, ''), lambda c: ord(c)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"
+
+
+@query("f22_checksums", f"WITH t AS (SELECT p_partkey, {_CRC} AS crc FROM part) SELECT p_partkey, crc, crc IN (SELECT crc FROM t WHERE p_partkey % 2 = 0) AS known FROM t")
 def f22(spark, d):
-    return _table(spark, d, "part").select("p_partkey", F.md5("p_name").alias("digest"), F.sha2("p_name", 256).alias("sha"))
+    """The CRC-32 of each name, and whether a golden table (that of the even parts) has it. SHA-1 is held against known values in a test."""
+    t = _table(spark, d, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("crc"))
+    golden = t.filter("p_partkey % 2 = 0").select("crc").distinct().withColumn("known", F.lit(True))
+    return t.join(golden, "crc", "left").select("p_partkey", "crc", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query("p10_hostility", f"{having('obj')} SELECT a.side AS a, b.side AS b, a.side <> 0 AND b.side <> 0 AND a.side <> b.side AS hostile FROM (SELECT DISTINCT side FROM obj) a, (SELECT DISTINCT side FROM obj) b")
 def p10(spark, d):
     sides = view(spark, d, "obj").select("side").distinct()
     other = sides.agg(F.collect_set("side").alias("bs"))  # four sides
-    return sides.join(F.broadcast(other)).select(F.col("side").alias("a"), F.explode("bs").alias("b")).withColumn("hostile", spatial.hostile(F.col("a"), F.col("b")))
+    return sides.withColumn("_", F.lit(0)).join(F.broadcast(other.withColumn("_", F.lit(0))), "_").select(F.col("side").alias("a"), F.explode("bs").alias("b")).withColumn("hostile", spatial.hostile(F.col("a"), F.col("b")))
 
 
 @query("so1_array_sets", "SELECT user_id, list_sort(list_distinct(list(event_type))) AS kinds FROM events GROUP BY 1")

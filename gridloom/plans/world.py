@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "obj": """SELECT o_orderkey AS id, (o_orderkey * 37) % 3072 AS tx, (o_custkey * 53 + o_orderkey * 7) % 3072 AS ty, o_orderkey % 16 AS tz,
  o_custkey % 1024 AS shape, o_orderkey % 64 AS frame, o_custkey % 256 AS quality, (o_orderkey + o_custkey) % 4 AS side FROM orders""",
+    "thing": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 > 0 THEN CAST((o_orderkey - o_orderkey % 2) / 2 AS BIGINT) END AS parent, (o_orderkey * 37) % 3072 AS tx,
+ (o_custkey * 53 + o_orderkey * 7) % 3072 AS ty, o_orderkey % 16 AS tz, o_custkey % 64 AS shape, o_orderkey % 64 AS frame, o_custkey % 8 AS quality, o_custkey % 7 = 0 AS npc,
+ o_orderkey % 11 = 0 AS dead, o_custkey % 13 IN (1, 2) AS egg_like, o_custkey % 17 = 3 AS transparent, o_orderkey % 6 = 1 AS invisible, o_orderkey % 4 = 1 AS in_party,
+ o_orderkey % 19 = 2 AS free, o_orderkey % 64 AS disguise, o_orderkey % 13 = 0 AS locked, o_custkey % 29 = 4 AS burning, o_custkey % 3 = 1 AS spell, o_orderkey % 17 = 0 AS pocket,
+ o_orderkey % 7 + 1 AS quantity, o_custkey % 9 AS unit, o_custkey % 10 = 3 AS light, o_custkey % 4 = 1 AS counted, o_orderkey % 5 + 1 AS volume, (o_custkey % 4) * 6 AS capacity,
+ o_custkey % 30 AS strength FROM orders""",
     "item": """SELECT l_orderkey AS owner, l_partkey % 1024 AS shape, l_linenumber AS frame, CAST(l_quantity AS BIGINT) AS quantity, l_partkey AS part, l_suppkey AS supp,
  l_extendedprice AS price FROM lineitem""",
     "dim": """SELECT p_partkey % 64 AS shape, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_partkey % 8 END AS frame, CASE WHEN p_partkey % 5 < 2 THEN -1 ELSE p_partkey % 4 END AS quality,
  p_partkey % 11 = 0 AS invalid, min(p_size) AS size FROM part GROUP BY 1, 2, 3, 4""",
     "queue": "SELECT event_id, user_id AS k, event_type AS kind, ts AS due, value FROM events",
 }
-TABLES = {"obj": ["orders"], "item": ["lineitem"], "dim": ["part"], "queue": ["events"]}
+TABLES = {"obj": ["orders"], "thing": ["orders"], "item": ["lineitem"], "dim": ["part"], "queue": ["events"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

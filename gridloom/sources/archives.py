@@ -9,7 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ def kind_of(data: bytes) -> str:
 
 def _flex(data: bytes) -> Iterator[bytes]:
     (count,) = struct.unpack_from("<I", data, FLEX_TITLE + 4)
-    for i in range(count):
+    for i in range(min(count, (len(data) - FLEX_HEADER) // 8)):  # an index may be cut short
         offset, size = struct.unpack_from("<II", data, FLEX_HEADER + 8 * i)
         yield data[offset : offset + size]
 
@@ -81,11 +81,64 @@ def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(r.path, kind, i, o) for i, o in enumerate(DECODERS[kind](data))], columns=["path", "kind", "num", "data"])
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """path, kind, num, data: the objects of each of files (path, content); each file is decoded in its own task."""
+    return files.select("path", "content").mapInPandas(_decode, "path string, kind string, num int, data binary")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, num, data: the objects of every archive under path; each file is decoded in its own task."""
+    """path, kind, num, data: the objects of every archive under path."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_decode, "path string, kind string, num int, data binary")
+    return decoded(spark.read.format("binaryFile").load(path))
+
+
+def _little(value: Column, size: int) -> Column:
+    return F.concat(*[F.lpad(F.hex(F.shiftright(value, 8 * i).bitwiseAND(255)), 2, "0") for i in range(size)])
+
+
+def _big(value: Column, size: int) -> Column:
+    return F.lpad(F.hex(value), 2 * size, "0")
+
+
+def _listed(objects: DataFrame) -> DataFrame:
+    """path and v: the objects (path, num, data) of each path in order of num, as hexadecimal text, with their sizes."""
+    row = F.struct("num", F.hex("data").alias("x"), F.length("data").cast("long").alias("n"))
+    return objects.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("v"))
+
+
+def _index(v: str, start: Column, entry) -> Column:
+    """The entries of an index (offset, size) of objects that lie one after the other from start on, joined."""
+    first = F.struct(start.alias("at"), F.lit("").alias("out"))
+    return F.aggregate(v, first, lambda acc, o: F.struct((acc["at"] + o["n"]).alias("at"), F.concat(acc["out"], entry(acc["at"], o["n"])).alias("out")), lambda acc: acc["out"])
+
+
+def as_flex(objects: DataFrame, title: str = "") -> DataFrame:
+    """path, content: an archive of the objects (path, num, data) of each path, numbered from 0 in order of num."""
+    n = F.size("v").cast("long")
+    head = title.encode()[: FLEX_TITLE - 1].ljust(FLEX_TITLE, b"\x00") + struct.pack("<I", FLEX_MAGIC)
+    index = _index("v", FLEX_HEADER + 8 * n, lambda at, size: F.concat(_little(F.when(size > 0, at).otherwise(F.lit(0).cast("long")), 4), _little(size, 4)))
+    body = F.array_join(F.transform("v", lambda o: o["x"]), "")
+    start = F.concat(F.lit(head.hex()), _little(n, 4), _little(F.lit(0xCC).cast("long"), 4), F.lit("00" * (FLEX_HEADER - FLEX_TITLE - 12)))
+    return _listed(objects).select("path", F.unhex(F.concat(start, index, body)).alias("content"))
+
+
+def as_table(objects: DataFrame) -> DataFrame:
+    """path, content: sizes and offsets, ended by a size of 65535, then the objects."""
+    index = _index("v", 6 * F.size("v").cast("long") + 2, lambda at, size: F.concat(_little(size, 2), _little(at, 4)))
+    body = F.array_join(F.transform("v", lambda o: o["x"]), "")
+    return _listed(objects).select("path", F.unhex(F.concat(index, F.lit("ffff"), body)).alias("content"))
+
+
+def as_iff(objects: DataFrame) -> DataFrame:
+    """path, content: entries of a type, a big-endian size and the object, padded to even; an empty object would end the file."""
+    entry = lambda o: F.concat(F.lit(b"DATA".hex()), _big(o["n"], 4), o["x"], F.when(o["n"] % 2 == 1, "00").otherwise(""))
+    body = F.array_join(F.transform("v", entry), "")
+    return _listed(objects).select("path", F.unhex(F.concat(F.lit(b"FORM".hex()), _big(F.call_function("div", F.length(body), F.lit(2)) + 4, 4), F.lit(b"TEXT".hex()), body)).alias("content"))
+
+
+def latest_of(rows: DataFrame) -> DataFrame:
+    """num, data: for each num of rows (num, rank, data) the non-empty object of highest rank."""
+    return rows.filter(F.length("data") > 0).groupBy("num").agg(F.max_by("data", "rank").alias("data"))
 
 
 def latest(archives: DataFrame, priority: dict[str, int]) -> DataFrame:
@@ -93,22 +146,38 @@ def latest(archives: DataFrame, priority: dict[str, int]) -> DataFrame:
     rank = F.lit(None).cast("int")
     for path, p in priority.items():
         rank = F.when(F.col("path").endswith(path), p).otherwise(rank)
-    live = archives.withColumn("rank", rank).filter((F.length("data") > 0) & F.col("rank").isNotNull())
-    return live.groupBy("num").agg(F.max_by("data", "rank").alias("data"))
+    return latest_of(archives.withColumn("rank", rank).filter(F.col("rank").isNotNull()))
+
+
+def message_file(lines: DataFrame) -> DataFrame:
+    """path, value: one file of the lines (section, place, line) of each section in order of place, within its marks."""
+    listed = lines.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("v"))
+    text = F.concat(F.lit("%%section "), F.col("section"), F.lit("\n"), F.array_join(F.transform("v", lambda x: x["line"]), "\n"), F.lit("\n%%endsection\n"))
+    return listed.select(F.lit("").alias("path"), "section", text.alias("t")).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("t")), "").alias("value"))
+
+
+def messages(files: DataFrame) -> DataFrame:
+    """section, idx, text of message files (path, value).
+
+    Lines stand within `%%section name` and `%%endsection`, or outside of sections (a null section). `index:text` has its
+    index in decimal, 0x hexadecimal or octal with a leading 0; `:text` has the next number of the file's one counter,
+    which only such lines move. Leading blanks, empty lines, # comments and lines without a colon are left out. Of lines
+    with the same section and index the last one counts. Each file is read by itself.
+    """
+    raw = files.select("path", F.posexplode(F.split("value", r"[\r\n]+")).alias("line", "s")).withColumn("s", F.regexp_replace("s", r"^[ \t\x08]+", ""))
+    before = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    s = F.col("s")
+    mark = F.when(s.startswith("%%section"), F.regexp_extract("s", r"^%%section[ \t\x08]*(.*)$", 1)).when(s.startswith("%%endsection"), "")
+    rows = raw.withColumn("section", F.nullif(F.last(mark, ignorenulls=True).over(before), F.lit("")))
+    rows = rows.withColumn("auto", F.sum(s.startswith(":").cast("int")).over(before) - 1)
+    rows = rows.filter(~s.startswith("%%section") & ~s.startswith("%%endsection") & ~s.startswith("#") & s.contains(":"))
+    low = F.lower(F.regexp_extract("s", r"^([^:]*):", 1))
+    number = F.when(low == "", F.col("auto")).when(low.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(low, 3, 16), 16, 10)).when(low.rlike("^0[0-7]*$"), F.conv(low, 8, 10)).when(low.rlike("^[0-9]+$"), low)
+    found = rows.select("path", "section", number.cast("int").alias("idx"), "line", F.regexp_extract("s", r"(?s)^[^:]*:(.*)$", 1).alias("text")).filter("idx IS NOT NULL")
+    return found.groupBy("path", "section", "idx").agg(F.max_by("text", "line").alias("text")).select("section", "idx", "text")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """section, idx, text of a message file: %%section name ... %%endsection, `index:text` or `:text`, # comments."""
-    files = spark.read.text(path, wholetext=True)  # lines need their order; a message file is one configuration file
-    raw = files.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "s"))
-    whole = W.orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    mark = F.when(F.col("s").startswith("%%section"), F.trim(F.regexp_extract("s", r"%%section\s+(\S+)", 1))).when(F.col("s").startswith("%%endsection"), "")
-    rows = raw.withColumn("section", F.nullif(F.last(mark, ignorenulls=True).over(whole), F.lit(""))).filter(~F.col("s").startswith("%%") & ~F.col("s").startswith("#") & F.col("s").contains(":"))
-    number = F.regexp_extract("s", r"^\s*(0[xX][0-9a-fA-F]+|\d+)?\s*:", 1)
-    low = F.lower(number)
-    value = F.when(number == "", None).when(low.startswith("0x"), F.conv(F.substring(low, 3, 16), 16, 10)).when(low.rlike("^0[0-7]+$"), F.conv(low, 8, 10)).otherwise(number).cast("int")
-    rows = rows.withColumn("given", value).withColumn("text", F.regexp_extract("s", r"^[^:]*:(.*)$", 1))
-    # An index goes on from the last one given: count the lines since.
-    base = F.last(F.when(F.col("given").isNotNull(), F.struct("given", "n")), ignorenulls=True).over(W.partitionBy("section").orderBy("line"))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("section").orderBy("line"))).withColumn("base", base)
-    return rows.select("section", F.coalesce(F.col("base.given") + F.col("n") - F.col("base.n"), F.col("n") - 1).alias("idx"), "text")
+    """section, idx, text of the message files under path; a message file is one configuration file, read whole."""
+    files = spark.read.text(path, wholetext=True)
+    return messages(files.select(F.col("_metadata.file_path").alias("path"), "value"))
