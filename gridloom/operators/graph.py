@@ -132,13 +132,13 @@ def paths(searches: DataFrame, tiles: DataFrame, parts: int = 8) -> DataFrame:
     return dealt.groupBy("grid", "deal").cogroup(copied.groupBy("grid", "deal")).applyInPandas(run, "search long, cost int, path array<struct<x:int,y:int>>")
 
 
-def walk(start: tuple[str, str, str], end: tuple[str, str, str], world: int = 3072) -> Column:
-    """Array of the tiles (x, y, z) of a straight walk on the wrapping world: the longest way in unit steps.
-
-    The other two ways are rounded towards the start; going nowhere has no tiles.
+def walked(rows: DataFrame, keys: list[str], start: tuple[str, str, str], end: tuple[str, str, str], world: int = 3072) -> DataFrame:
+    """keys, step, x, y, z: the tiles of a straight walk of each row on the wrapping world, step 1 on, the longest way in unit
+    steps. The other two ways are rounded towards the start; going nowhere has no tiles. Steps are rows of a generated
+    sequence, so the arithmetic stays in generated code.
     """
     raw = [f"({b} - {a})" for a, b in zip(start, end, strict=True)]
-    ways = [f"(case when {d} >= {world // 2} then {d} - {world} when {d} <= -{world // 2} then {d} + {world} else {d} end)" for d in raw]
-    n = "cast(greatest({}) as bigint)".format(", ".join(f"abs{d}" for d in ways))
-    tile = ", ".join(f"'{c}', cast(pmod({a} + cast(sign{d} as bigint) * (i * abs{d} div {n}), {world}) as bigint)" for c, a, d in zip("xyz", start, ways, strict=True))
-    return F.expr(f"transform(filter(sequence(0L, {n}), i -> i > 0), i -> named_struct({tile}))")
+    ways = [f"CASE WHEN {d} >= {world // 2} THEN {d} - {world} WHEN {d} <= -{world // 2} THEN {d} + {world} ELSE {d} END" for d in raw]
+    named = rows.selectExpr(*keys, *[f"CAST({a} AS BIGINT) AS _s{c}" for a, c in zip(start, "xyz", strict=True)], *[f"CAST({w} AS BIGINT) AS _d{c}" for w, c in zip(ways, "xyz", strict=True)])
+    long = named.withColumn("_n", F.expr("greatest(abs(_dx), abs(_dy), abs(_dz))")).filter("_n > 0").withColumn("step", F.explode(F.expr("sequence(1L, _n)")))
+    return long.selectExpr(*keys, "step", *[f"pmod(_s{c} + CAST(sign(_d{c}) AS BIGINT) * (step * abs(_d{c}) div _n), {world}) AS {c}" for c in "xyz"])

@@ -51,17 +51,17 @@ f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, n) AS k FROM c WH
 def t10(spark, d):
     """The first free tile within three rings, east first."""
     obj = view(spark, d, "obj")
-    return spatial.free_spots(_probes(obj).select("id", "tx", "ty"), obj, 3, 2)
+    return spatial.free_spots(_probes(obj).select("id", "tx", "ty"), obj, 3, 2).withColumn("d", F.col("d").cast("long"))
 
 
 _NEAR_THINGS = f"{having('thing')}, p AS (SELECT * FROM thing WHERE id % 100 = 0), h AS (SELECT p.id AS p_id, p.tz AS p_tz, o.*, {_FLAT} AS dist FROM p, thing o WHERE {_FLAT} <= {{r}}) "
 
 
-@query("c2_seat_occupied", _NEAR_THINGS.format(r=2) + "SELECT p_id AS id FROM h WHERE id <> p_id AND npc AND NOT dead AND NOT egg_like AND NOT transparent AND NOT invisible AND frame & 15 IN (10, 13) GROUP BY p_id")
+@query("c2_seat_occupied", _NEAR_THINGS.format(r=24) + "SELECT p_id AS id FROM h WHERE id <> p_id AND npc AND NOT dead AND NOT egg_like AND NOT transparent AND NOT invisible AND frame & 15 IN (10, 13) GROUP BY p_id")
 def c2(spark, d):
-    """Seats that a living actor within two tiles sits or bows on (two frames, the facing left out)."""
+    """Probes near which a living actor sits or bows (two frames, the facing left out), within 24 tiles so that there are some."""
     t = view(spark, d, "thing")
-    hits = spatial.find_masked(_probes(t), t, 2, spatial.LIVE_NPC).filter((F.col("id") != F.col("p_id")) & F.col("frame").bitwiseAND(15).isin(10, 13))
+    hits = spatial.find_masked(_probes(t), t, 24, spatial.LIVE_NPC).filter((F.col("id") != F.col("p_id")) & F.col("frame").bitwiseAND(15).isin(10, 13))
     return hits.select(F.col("p_id").alias("id")).distinct()
 
 

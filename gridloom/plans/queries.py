@@ -420,9 +420,8 @@ def g3(spark, d):
     """From every object to its successor, in three dimensions round the world: the number of tiles, and sums of their places by step."""
     obj = view(spark, d, "obj")
     to = obj.select((F.col("id") - 1).alias("id"), F.col("tx").alias("x1"), F.col("ty").alias("y1"), F.col("tz").alias("z1"))
-    walk = obj.join(to, "id").select("id", graph.walk(("tx", "ty", "tz"), ("x1", "y1", "z1")).alias("w")).filter(F.size("w") > 0)
-    total = lambda c: F.aggregate(F.transform("w", lambda t, i: t[c] * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
-    return walk.select("id", F.size("w").cast("long").alias("steps"), total("x").alias("xs"), total("y").alias("ys"), total("z").alias("zs"))
+    tiles = graph.walked(obj.join(to, "id"), ["id"], ("tx", "ty", "tz"), ("x1", "y1", "z1"))
+    return tiles.groupBy("id").agg(F.count("*").alias("steps"), *[F.sum(F.col(c) * F.col("step")).cast("long").alias(f"{c}s") for c in "xyz"])
 
 
 @query("g3_straight_walk_whole")
@@ -430,9 +429,7 @@ def g3_whole(spark, d):
     """From every object to its successor, in three dimensions over the seams; too long for SQL in a test."""
     obj = view(spark, d, "obj")
     to = obj.select((F.col("id") - 1).alias("id"), F.col("tx").alias("x1"), F.col("ty").alias("y1"), F.col("tz").alias("z1"))
-    tiles = graph.walk(("tx", "ty", "tz"), ("x1", "y1", "z1"))
-    walk = obj.join(to, "id").select("id", F.posexplode(tiles).alias("step", "t"))
-    return walk.select("id", (F.col("step") + 1).alias("step"), "t.x", "t.y", "t.z")
+    return graph.walked(obj.join(to, "id"), ["id"], ("tx", "ty", "tz"), ("x1", "y1", "z1"))
 
 
 _CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(p_name, ''), lambda c: ord(c)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"

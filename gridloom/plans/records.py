@@ -72,14 +72,14 @@ def s7_v2(spark, d):
     return records.fixed_objects(records.write_fixed(obj, 2), 2).groupBy("tx", "ty", "tz", "shape", "frame").agg(F.count("*").alias("n"))
 
 
-@query("s15_equipment", "SELECT p_partkey AS record, CAST(e AS INTEGER) AS elem, (p_partkey * 3 + e) % 65536 AS shape, p_size % 100 AS probability, (p_size + e) % 256 AS quantity FROM part, range(0, 10) r(e)")
+@query("s15_equipment", "SELECT p_partkey AS record, CAST(e AS INTEGER) AS elem, (p_partkey * 3 + e) % 65536 AS shape, CAST(p_size % 100 AS BIGINT) AS probability, CAST((p_size + e) % 256 AS BIGINT) AS quantity FROM part, range(0, 10) r(e)")
 def s15(spark, d):
     k, size, e = F.col("p_partkey"), F.col("p_size"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("elem")
     rows = _table(spark, d, "part").select(k.alias("record"), size, e).select("record", "elem", ((F.col("record") * 3 + F.col("elem")) % 65536).alias("shape"), (size % 100).alias("probability"), ((size + F.col("elem")) % 256).alias("quantity"))
     return records.equipment(records.write_equipment(rows))
 
 
-@query("s11_k3_schedules", "SELECT c_custkey AS npc, c_custkey * m % 8 AS time, m AS kind, c_custkey % 256 AS x, c_custkey * 3 % 256 AS y, count(*) AS n FROM customer, (VALUES (1), (3), (5)) v(m) WHERE m <= 1 + c_custkey % 5 GROUP BY ALL")
+@query("s11_k3_schedules", "SELECT c_custkey AS npc, c_custkey * m % 8 AS time, CAST(m AS BIGINT) AS kind, c_custkey % 256 AS x, c_custkey * 3 % 256 AS y, count(*) AS n FROM customer, (VALUES (1), (3), (5)) v(m) WHERE m <= 1 + c_custkey % 5 GROUP BY ALL")
 def s11(spark, d):
     """Schedules of four-byte entries behind a table of offsets, written for each thousand customers and read again."""
     k, m = F.col("npc"), F.col("kind")

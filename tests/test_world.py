@@ -82,8 +82,8 @@ def test_edge_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("edge_out").collect()) == sorted(want)
 
 
-def zombie(a, b):
-    """The steps of pathfinder/Zombie.cc, one after the other."""
+def stepped(a, b):
+    """The steps of a straight walk, one after the other."""
     d = [v - 3072 if v >= 1536 else v + 3072 if v <= -1536 else v for v in (q - p for p, q in zip(a, b, strict=True))]
     cur, sums, major = list(a), [0, 0, 0], max(map(abs, d))
     for _ in range(major):
@@ -97,8 +97,8 @@ def zombie(a, b):
 def test_walk(spark):
     ends = [((0, 0, 0), (5, 2, 1)), ((3070, 1, 3), (2, 3069, 0)), ((7, 7, 7), (7, 7, 7)), ((10, 10, 15), (12, 9, 0)), ((0, 0, 0), (1536, 1535, 2)), ((1536, 9, 0), (0, 9, 0)), ((100, 900, 4), (63, 2, 9))]
     df = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(ends)], "id long, a long, b long, c long, d long, e long, f long")
-    got = {r.id: [tuple(t) for t in r.w] for r in df.select("id", graph.walk(("a", "b", "c"), ("d", "e", "f")).alias("w")).collect()}
-    assert got == {i: list(zombie(a, b)) for i, (a, b) in enumerate(ends)}
+    got = graph.walked(df, ["id"], ("a", "b", "c"), ("d", "e", "f")).orderBy("id", "step").collect()
+    assert [(r.id, r.step, (r.x, r.y, r.z)) for r in got] == [(i, k, t) for i, (a, b) in enumerate(ends) for k, t in enumerate(stepped(a, b), 1)]
 
 
 def test_every_object_walks(spark):
