@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import gc
 import json
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir  # noqa: F401 (of all operators here)
+
 # Words are runs of anything but the six ASCII blanks.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,27 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only where it is unset in local mode (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + os.path.join(tempfile.gettempdir(), "gridloom_checkpoints")
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and survives lost executors. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver as one literal of the plan (no pandas or Python workers)."""
     names = [f.split()[0] for f in _fields(schema)]
