@@ -10,8 +10,8 @@ beyond the ``quantile`` of the chi-square distribution.
 
 Scale: DataFrame functions only. Counting is a narrow pass over the texts; the vectors (a few numbers a row) are
 written once, and every step is a map-side combined aggregation by group and by distance bin, so a source that
-holds a third of all rows costs each task a few partial rows. What is joined to the rows is written first, so that
-Spark knows its size before it picks a join. Groups of fewer than ``least_rows`` rows are pooled by language, and pools
+holds a third of all rows costs each task a few partial rows. What is joined to the rows is a row a group, broadcast up
+to ``MOST_BROADCAST`` groups. Groups of fewer than ``least_rows`` rows are pooled by language, and pools
 of fewer than that together; a text in a last pool of fewer is not put to the test. Only the number of groups still
 moving is collected.
 
@@ -22,6 +22,7 @@ pass through ``keep_good`` unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,7 @@ SYMBOLS = "#*$%&|<>"
 #: Statistic: least standard deviation.
 FEATURES = {"word_len": 0.08, "symbols": 0.05, "dup_lines": 0.25, "repeats": 0.25, "length": 0.50}
 BINS = 64  # distance bins for each doubling
+MOST_BROADCAST = 50_000  # groups, of at most 400 bytes each
 
 
 def chi2_quantile(p: float, d: int) -> float:
@@ -137,12 +139,12 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("*", *steps, " + ".join(f"y{i} * y{i}" for i in range(D)) + " AS d2")
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
+def _starts(vectors: DataFrame, near: Callable = F.broadcast) -> DataFrame:
     """Three first estimates of each group, by start s."""
     floors = list(FEATURES.values())
     quart = vectors.groupBy("g").agg(F.expr("count(*) AS n"), *[F.expr(f"percentile(round({x}, 2), array(0.25D, 0.5D, 0.75D)) AS q{i}") for i, x in enumerate(X)])
     quart = materialize(quart.selectExpr("g", "n", *[f"q{i}[1] AS m{i}" for i in range(D)], *[f"greatest((q{i}[2] - q{i}[0]) / 1.349D, {floors[i]!r}D) AS w{i}" for i in range(D)]), "mcd")
-    z = vectors.join(quart.drop("n"), "g").selectExpr("g", *[f"(x{i} - m{i}) / w{i} AS z{i}" for i in range(D)], "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(D)) + "), 1e-9D) AS size")
+    z = vectors.join(near(quart.drop("n")), "g").selectExpr("g", *[f"(x{i} - m{i}) / w{i} AS z{i}" for i in range(D)], "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(D)) + "), 1e-9D) AS size")
     z = z.selectExpr("g", *[f"tanh(z{i}) AS t{i}" for i in range(D)], *[f"z{i} / size AS u{i}" for i in range(D)])
     sums = z.groupBy("g").agg(*[F.expr(e) for e in [f"avg(t{i}) AS a{i}" for i in range(D)] + [f"avg({v}{i} * {v}{j}) AS {v}{i}_{j}" for v in "tu" for i, j in PAIRS]])
     got = quart.join(sums, "g")
@@ -155,10 +157,10 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return materialize(_cholesky(out), "mcd")
 
 
-def _concentrated(vectors: DataFrame, params: DataFrame, keep_share: float) -> DataFrame:
+def _concentrated(vectors: DataFrame, params: DataFrame, keep_share: float, near: Callable = F.broadcast) -> DataFrame:
     """g, s, n, now (the estimate given, with mid, the bin of its middle distance) and next (that of the nearest rows)."""
-    near = _distance(vectors.join(params.drop("n", "logdet"), "g")).selectExpr("g", "s", f"floor(log2(d2 + 1e-6D) * {BINS}) AS bin", *X)
-    sums = near.groupBy("g", "s", "bin").agg(*[F.expr(e) for e in ["count(*) AS k"] + [f"sum(x{i}) AS s{i}" for i in range(D)] + [f"sum(x{i} * x{j}) AS t{i}_{j}" for i, j in PAIRS]])
+    far = _distance(vectors.join(near(params.drop("n", "logdet")), "g")).selectExpr("g", "s", f"floor(log2(d2 + 1e-6D) * {BINS}) AS bin", *X)
+    sums = far.groupBy("g", "s", "bin").agg(*[F.expr(e) for e in ["count(*) AS k"] + [f"sum(x{i}) AS s{i}" for i in range(D)] + [f"sum(x{i} * x{j}) AS t{i}_{j}" for i, j in PAIRS]])
     sums = sums.selectExpr("*", "sum(k) OVER (PARTITION BY g, s) AS n", "sum(k) OVER (PARTITION BY g, s ORDER BY bin) - k AS before")
     part = lambda c: f"sum({c}) FILTER (WHERE before < {keep_share} * n)"
     got = sums.groupBy("g", "s").agg(*[F.expr(e) for e in ["max(n) AS n", f"{part('k')} AS h", "min(bin) FILTER (WHERE before + k >= 0.5 * n) AS mid"] + [f"{part(c)} AS {c}" for c in [f"s{i}" for i in range(D)] + [f"t{i}_{j}" for i, j in PAIRS]]])
@@ -168,17 +170,17 @@ def _concentrated(vectors: DataFrame, params: DataFrame, keep_share: float) -> D
     return materialize(new.join(old, ["g", "s"]), "mcd")
 
 
-def estimate(vectors: DataFrame, keep_share: float = 0.75, most_steps: int = 30) -> DataFrame:
+def estimate(vectors: DataFrame, keep_share: float = 0.75, most_steps: int = 30, near: Callable = F.broadcast) -> DataFrame:
     """Per group g of vectors (g, x0, x1, ...): size n, mean m{i}, triangle l{i}_{j}, logdet, scale (of squared distances)."""
-    params = _starts(vectors)
+    params = _starts(vectors, near)
     for _ in range(2):
-        got = _concentrated(vectors, params, keep_share)
+        got = _concentrated(vectors, params, keep_share, near)
         params = got.select("g", "s", "n", "next.*")
     best = got.groupBy("g").agg(F.min_by(F.struct("s", "n", "next"), F.struct("next.logdet", "s")).alias("x"))
     params = materialize(best.select("g", "x.s", "x.n", "x.next.*"), "mcd")
     done = None
     for step in range(most_steps):
-        got = _concentrated(vectors, params, keep_share)
+        got = _concentrated(vectors, params, keep_share, near)
         settled = (F.col("next.logdet") >= F.col("now.logdet") - 1e-4) | F.lit(step == most_steps - 1)
         final = got.filter(settled)
         done = final if done is None else done.unionByName(final)
@@ -215,10 +217,12 @@ def judge_quality(docs: DataFrame, with_doc: bool = True, least_words: int = 10,
     rows = counted.select("doc" if with_doc else F.struct("doc.doc_id").alias("doc"), *COUNTS, base.alias("base_failed"), lang.alias("lang"), source.alias("source"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
     rows = materialize(rows, "quality")
     groups = pooled(rows.filter(~F.col("base_failed")), least_rows)
+    # One row a group is broadcast where there are few, else joined as Spark sees fit (and splits what is skewed).
+    near = F.broadcast if groups.count() <= MOST_BROADCAST else (lambda df: df)
     keyed = rows.withColumn("own", _group(0, F.col("lang"), F.col("source")))
-    params = estimate(materialize(keyed.filter(~F.col("base_failed")).join(groups, "own").select("g", *X), "vectors"))
+    params = estimate(materialize(keyed.filter(~F.col("base_failed")).join(near(groups), "own").select("g", *X), "vectors"), near=near)
     best = materialize(groups.join(params.filter(F.col("n") >= least_rows), "g").drop("g", "n", "logdet"), "groups")
-    far = _distance(keyed.join(best, "own", "left")).withColumn("d2", F.col("d2") / F.col("scale"))
+    far = _distance(keyed.join(near(best), "own", "left")).withColumn("d2", F.col("d2") / F.col("scale"))
     outlier = F.coalesce(F.col("d2") > chi2_quantile(quantile, D), F.lit(False))
     return far.select("doc", *COUNTS, "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
 
