@@ -1,3 +1,3 @@
 """World views, registered queries and their SQL."""
 
-from . import events, places, queries, records, scalars  # noqa: F401 (each registers its queries)
+from . import events, places, queries, records, scalars, scripts  # noqa: F401 (each registers its queries)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,3 +182,22 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """section, idx, text of the message files under path; a message file is one configuration file, read whole."""
     files = spark.read.text(path, wholetext=True)
     return messages(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def _leaves(node: ElementTree.Element, path: str) -> Iterator[tuple[str, str]]:
+    text = (node.text or "").strip()
+    if text or not len(node):
+        yield path, text
+    for child in node:
+        yield from _leaves(child, f"{path}/{child.tag}")
+
+
+def _settings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [leaf for text in frame.value for root in [ElementTree.fromstring(text)] for leaf in _leaves(root, root.tag)]
+        yield pd.DataFrame(rows, columns=["path", "value"])
+
+
+def settings(files: DataFrame) -> DataFrame:
+    """path, value of each element with text or without children of trees of settings (value), names parted by slashes."""
+    return files.select("value").mapInPandas(_settings, "path string, value string")

@@ -7,9 +7,11 @@ empty table gives no rows; repeated rows are written and read as often as they c
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import CHUNK, bytes_of, little_endian
+from ..storage import materialize
 
 
 def _joined(rows: DataFrame, keys: list[str], order: list[str], record: Column, name: str = "content") -> DataFrame:
@@ -111,3 +113,24 @@ def patched(base: DataFrame, patch: DataFrame) -> DataFrame:
     """shape, value: of the patch where it has the shape, else of the base."""
     both = base.withColumn("_p", F.lit(0)).unionByName(patch.withColumn("_p", F.lit(1)))
     return both.groupBy("shape").agg(F.max_by("value", "_p").alias("value"))
+
+
+def write_terrains(tiles: DataFrame) -> DataFrame:
+    """terrain, content: the 256 tiles (terrain, i, shape, frame) of each terrain, row by row, two bytes a tile."""
+    return _joined(tiles, ["terrain"], ["i"], bytes_of(F.col("shape").bitwiseOR(F.shiftleft(F.col("frame"), 10)), 2))
+
+
+def terrains(files: DataFrame) -> DataFrame:
+    """terrain, x, y, shape, frame of files (terrain, content)."""
+    two = little_endian(F.col("record"), 0, 2)
+    place = F.col("place")
+    return _cut(files, 2, ["terrain"]).select("terrain", (place % CHUNK).cast("long").alias("x"), F.call_function("div", place, F.lit(CHUNK)).cast("long").alias("y"), two.bitwiseAND(1023).alias("shape"), F.shiftright(two, 10).bitwiseAND(31).alias("frame"))
+
+
+def renumbered(rows: DataFrame, order: str) -> DataFrame:
+    """Adds place, from 0, by order: ranges of it are sorted by themselves, and each is counted on from those before it."""
+    sorted_ = materialize(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "places")
+    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_k"))
+    before = counts.select("_part", (F.sum("_k").over(W.orderBy("_part")) - F.col("_k")).alias("_before"))  # a row a range
+    own = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
+    return sorted_.withColumn("_own", own).join(before, "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")

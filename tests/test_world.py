@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import exprs as E
-from gridloom.operators import graph, hierarchy, spatial
+from gridloom.functions.registry import Registry
+from gridloom.operators import graph, hierarchy, scripts, spatial
 from gridloom.plans import queries as world
 from gridloom.sources import archives
 
@@ -174,3 +175,24 @@ def test_sha1_of_known_values(spark):
 def test_truncated_flex():
     whole = archives.write_flex([b"one", b"two"])
     assert list(archives.DECODERS["flex"](whole[:136])) == [b""]  # an index cut after its first entry, nothing behind it
+
+
+def test_scripts():
+    play = lambda *a: list(scripts.play(*a))
+    assert play([70, scripts.CONT, 71, 72], 0, 9) == [(0, 0, 70), (0, 1, 1), (0, 2, 71), (1, 3, 72)]
+    assert play([70, scripts.REPEAT2, -1, 1, 1, 71], 0, 9) == [(0, 0, 70), (1, 1, 12), (1, 0, 70), (2, 1, 12), (2, 5, 71)]
+    assert [t for t, *_ in play([70, scripts.REPEAT, -1, 255], 0, 5)] == [0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]  # for ever
+    assert [s for s in play([scripts.WAIT_NEAR, 5, 71], 3, 9) if s[2] == 71] == [(4, 2, 71)]
+    assert play([scripts.DELAY_MINUTES, 2, 70], 0, 99) == [(0, 0, 40), (50, 2, 70)]
+    assert len(play([scripts.CONT, scripts.RESET], 0, 3)) == 4000 and len(play([scripts.REPEAT, 0, 255], 0, 1)) == 2000
+
+
+def test_registry():
+    known = Registry()
+    known.add("f", 1, lambda x: x)
+    with pytest.raises(ValueError):
+        known.add("f", 1, lambda x: x)
+    with pytest.raises(KeyError):
+        known.override("g", 1, lambda before, x: x)
+    with pytest.raises(KeyError):
+        known.call("g")
