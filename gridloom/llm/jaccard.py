@@ -425,8 +425,13 @@ def _component_key() -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     rows = joined(docs).withColumn("c", _component_key())
-    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k"))
+    # Components with many rows, 2**14 at most, are broadcast; their rows are dealt by themselves in the join of the others.
+    many = max(100, rows.count() >> 14)
+    large = materialize(least.filter(F.col("k") >= many).select("c", F.col("component_id").alias("large"), F.lit(True).alias("is_large")), "large")
+    dealt = rows.join(F.broadcast(large), "c", "left").withColumn("c", F.when(F.col("is_large"), F.concat(F.lit("l"), F.col("row"))).otherwise(F.col("c")))
+    both = dealt.join(least.filter(F.col("k") < many).drop("k"), "c", "left")
+    return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("is_large"), F.col("large")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard, lines, mixing, order_minhash, packing, pii, quality, queries, toxicity, urls, weak_labels
+from gridloom.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,6 +168,7 @@ def test_jaccard_components(spark):
     r = random.Random(1)
     base = [f"w{r.randint(0, 300)}" for _ in range(120)]
     docs = [(d, t) for d, t, _ in texts()]
+    docs += [(5_000 + i, " ".join(base[:100])) for i in range(150)]  # a component of many rows
     for i in range(60):  # near copies at all distances
         words = list(base)
         for _ in range(r.randint(0, 8)):
@@ -179,6 +181,41 @@ def test_jaccard_components(spark):
     assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == {k: (len(sets[k]), want[k]) for k in sets}
 
 
+def test_components(spark):
+    """Chains, a star and two rings against union and find; repeated edges and loops do not matter."""
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 501 + i) for i in range(80)] + [(900 + i, 900 + (i + 1) % 30) for i in range(30)] + [(r.randint(2000, 2100), r.randint(2000, 2100)) for _ in range(70)] + [(7, 7), (100, 101)]
+    up = {}
+
+    def top(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {x.node: x.label for x in got} == {k: top(k) for k in up} and len(got) == len(up)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, odd, empty):
+    """Nulls, blanks, repeated rows, a very long text and clashing columns through every stage; and no rows at all."""
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns, docs = docs.columns, stage(spark, docs, DIR)
+            docs = spark.createDataFrame(docs.collect(), odd.schema)
+            assert docs.columns == columns, name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+        assert out.count() >= docs.count() and (before > 0) == (out.count() > 0)
+
+
 def test_jaccard_odd(spark, odd, empty):
     got = sorted(map(tuple, jaccard.near_duplicates(odd).collect()), key=str)
     assert len(got) == len(ODD)
