@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage reads the documents its predecessor kept, from Parquet."""
+"""The corpus pipeline: each stage reads the documents its predecessor kept, from Parquet.
+
+Five of the ten operators are stages. URL verdicts (they judge pages), personal data, toxicity, weak labels and fingerprints
+are queries of their own.
+"""
 
 from __future__ import annotations
 
