@@ -90,7 +90,9 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of one text, in order of start and kind."""
     out: list[tuple[str, int, int]] = []
     done = dict.fromkeys((*KINDS, "dotted", "no digit"), 0)
-    low = text.lower() if text.isascii() else text.translate(_LOWER)  # as long as the text
+    low = text.lower()
+    if len(low) != len(text):  # a sign became two
+        low = text.translate(_LOWER)
     for last, (what, size) in automaton.iter(low):
         at = last - size + 1
         if what == "0":

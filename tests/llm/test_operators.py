@@ -539,7 +539,7 @@ def test_pii_accounts_and_urls():
     automaton = pii._automaton()
     found = lambda t: [(k, t[a:b]) for k, a, b in pii.spans_of(t, automaton) if k in ("url", "account")]
     for scheme in ("http", "HTTP", "Http"):
-        for lead in ("see", "sée", "😀"):
+        for lead in ("see", "sée", "😀", "İİ"):
             assert found(f"{lead} {scheme}://a.b/c, and") == [("url", f"{scheme}://a.b/c")]
     for n in (6, 60, 64, 65, 80, 5000):
         value = ("a1" * n)[:n]
