@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Keys that are broadcast in one join, at most.
+MOST_HOT = 1 << 14
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def by_key(rows: DataFrame, named: DataFrame, key: str, value: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the value that named (key, k: its rows in rows, value) has for a key that may hold most of the rows.
+
+    Keys of many rows, MOST_HOT at most, are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    many = max(100, total // MOST_HOT)
+    tagged = rows.join(F.broadcast(named.filter(F.col("k") >= many).select(key, value)), key, "left")
+    rest = tagged.filter(F.col(value).isNull()).drop(value).join(named.filter(F.col("k") < many).select(key, value), key, how)
+    return tagged.filter(F.col(value).isNotNull()).unionByName(rest)
+
+
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of u goes to the smallest of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+    return by_key(both.filter("v > u"), least, "u", "m", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """u and its smaller neighbours go to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    return by_key(down, least, "u", "m", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+
+
+def _ends() -> list[Column]:
+    return [F.struct(F.col("u").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("downs")), F.struct(F.col("v").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("downs"))]
+
+
+def settled(edges: DataFrame) -> bool:
+    """Do distinct edges (u > v) form stars, each around its smallest node?"""
+    ends = edges.select(F.inline(F.array(*_ends()))).groupBy("node").agg(F.sum("ups").alias("ups"), F.sum("downs").alias("downs"))
+    return ends.filter("ups > 1 or (ups = 1 and downs > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of edges (u, v); labels name themselves too."""
     now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
-    seen = mark(now)
-    while seen[0]:  # labels only fall, so this settles, after rounds that grow with the logarithm of the longest path
-        new = materialize(_small(_large(now)).filter("u <> v").distinct(), "edges")
+    while not settled(now):  # labels only fall, so this ends, after rounds that grow with the logarithm of the longest path
+        total = now.count()
+        new = materialize(_small(_large(now, total), total).filter("u <> v").distinct(), "edges")
         discard(now)
-        now, before, seen = new, seen, mark(new)
-        if seen == before:
-            break
+        now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label), as components gives them, after more edges (u, v): only their components are joined anew."""
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}l"))
+    named = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ul", "u").alias("u"), F.coalesce("vl", "v").alias("v"))
+    merged = materialize(components(named), "merged")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("k"))
+    moved = merged.filter("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to")).join(sizes, "label")
+    kept = by_key(labels, moved, "label", "to", labels.count(), "left").select("node", F.coalesce("to", "label").alias("label"))
+    return kept.unionByName(merged.join(labels.select("node"), "node", "left_anti"))

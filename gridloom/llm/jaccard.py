@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import content_id, discard, materialize, read, release
-from .components import components
+from .components import components, extended
 
 WIDTH = 5
 SKETCH_WORDS = 16
@@ -308,7 +308,7 @@ class Join:
         discard(self.sets)
         self.sets, self.reps = slim, reps
         release(self.spark)
-        self.links = None
+        self.labels = None
 
     def side(self, name: str, of: DataFrame) -> DataFrame:
         return of.select(F.col("node").alias(name), F.col("n").alias(f"{name}n"), *_sketch_columns(name))
@@ -340,15 +340,14 @@ class Join:
 
     def labelled(self) -> DataFrame:
         """lists with the label of each node (the node itself until it is joined)."""
-        if self.links is None:
+        if self.labels is None:
             return self.lists.withColumn("label", F.col("node"))
         return self.lists.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def add(self, edges: DataFrame) -> None:
-        if self.links is not None and edges.isEmpty():
+        if self.labels is not None and edges.isEmpty():
             return
-        self.links = edges if self.links is None else self.links.unionByName(edges)
-        self.labels = materialize(components(self.links), "labels")
+        self.labels = materialize(components(edges) if self.labels is None else extended(self.labels, edges), "labels")
 
     def lead(self, seed: int) -> None:
         """Compare each node with the likeliest of the four leaders it shares most keys with, where not yet joined."""

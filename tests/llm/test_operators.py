@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard, lines, mixing, order_minhash, packing, pii, quality, queries, toxicity, urls, weak_labels
-from gridloom.llm.components import components
+from gridloom.llm.components import components, extended
 
 DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -199,7 +199,15 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {x.node: x.label for x in got} == {k: top(k) for k in up} and len(got) == len(up)
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    none = spark.createDataFrame([], "u long, v long")
+    assert components(none).count() == 0
+    cut = len(edges) // 2  # the rest after a first half, and after nothing
+    for first in (edges[:cut], []):
+        more = extended(components(spark.createDataFrame(first, "u long, v long")), spark.createDataFrame(edges[len(first):], "u long, v long")).collect()
+        assert sorted(map(tuple, more)) == sorted(map(tuple, got))
+    star = [(5000, k) for k in range(5001, 6000)] + [(k, k + 1000) for k in range(5001, 5400)] + [(1, 6100)]  # a centre of many nodes
+    found = dict(map(tuple, extended(components(spark.createDataFrame(star, "u long, v long")), spark.createDataFrame([(6399, 3)], "u long, v long")).collect()))
+    assert set(found.values()) == {1} and {1, 3, 5000, 5999, 6001, 6399} <= found.keys()
 
 
 def test_pipeline_of_odd_tables(spark, odd, empty):
