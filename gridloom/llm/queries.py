@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, mixing, order_minhash, packing, pii, quality, toxicity, urls, weak_labels
+from . import bpe, collocations, fim, jaccard, lines, mixing, order_minhash, packing, pii, quality, toxicity, urls, weak_labels
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_urls": urls.op9_urls,
     "op10_order_minhash": order_minhash.op10_order_minhash,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_fim": fim.op12_fim,
+    "op13_bpe": bpe.op13_bpe,
 }
 
-ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op2_line_dedup_whole": lines.ORACLE_OP2_WHOLE, "op9_urls": urls.ORACLE_OP9}
+ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op2_line_dedup_whole": lines.ORACLE_OP2_WHOLE, "op9_urls": urls.ORACLE_OP9, "op11_collocations": collocations.ORACLE_OP11, "op12_fim": fim.ORACLE_OP12}
