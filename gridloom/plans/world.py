@@ -17,9 +17,16 @@ VIEWS = {
  l_extendedprice AS price FROM lineitem""",
     "dim": """SELECT p_partkey % 64 AS shape, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_partkey % 8 END AS frame, CASE WHEN p_partkey % 5 < 2 THEN -1 ELSE p_partkey % 4 END AS quality,
  p_partkey % 11 = 0 AS invalid, min(p_size) AS size FROM part GROUP BY 1, 2, 3, 4""",
+    # things with a size on a small part of each map, across its seam; a map for every 2,000
+    "solid": """SELECT o_orderkey AS id, CAST((o_orderkey - o_orderkey % 2000) / 2000 AS BIGINT) AS map, (3040 + (o_orderkey * 37) % 64) % 3072 AS tx, (3040 + (o_custkey * 53 + o_orderkey * 7) % 64) % 3072 AS ty,
+ o_orderkey % 12 AS tz, o_custkey % 3 + 1 AS xs, o_orderkey % 2 + 1 AS ys, CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE o_custkey % 4 + 1 END AS zs, o_orderkey % 64 AS frame, o_custkey % 11 = 0 AS dead,
+ CASE o_custkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS kind, o_orderkey % 50 = 0 AS whole, o_custkey % 5 AS light FROM orders""",
+    # stacks of eight things that do not overlap, with gaps below some
+    "stack": """SELECT id, map, x AS tx, y AS ty, (id % 8 * 4 + x % 2 * 2 + y % 2) * 5 + cust % 3 AS tz, id % 2 + 1 AS xs, cust % 2 + 1 AS ys, cust % 3 + 1 AS zs, cust % 7 > 0 AS movable, id % 9 = 0 AS gone FROM
+ (SELECT o_orderkey AS id, o_custkey AS cust, CAST((o_orderkey - o_orderkey % 18432) / 18432 AS BIGINT) AS map, CAST((o_orderkey % 384 - o_orderkey % 8) / 8 AS BIGINT) AS x, CAST((o_orderkey % 18432 - o_orderkey % 384) / 384 AS BIGINT) AS y FROM orders)""",
     "queue": "SELECT event_id, user_id AS k, event_type AS kind, ts AS due, value FROM events",
 }
-TABLES = {"obj": ["orders"], "thing": ["orders"], "item": ["lineitem"], "dim": ["part"], "queue": ["events"]}
+TABLES = {"obj": ["orders"], "solid": ["orders"], "stack": ["orders"], "thing": ["orders"], "item": ["lineitem"], "dim": ["part"], "queue": ["events"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
