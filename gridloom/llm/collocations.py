@@ -3,7 +3,7 @@
 N-grams are exploded into rows, hash-aggregated by language, joined with the counts of their first and last parts, scored in
 Decimal, anti-joined with their one-word extensions and ranked by a window.
 
-Two words that are not frequent together cannot be part of a frequent phrase. A first pass counts pairs under 64-bit names
+Two words that are not frequent together cannot be part of a frequent phrase. A first pass counts pairs under short names
 and keeps those of `least` occurrences in a bit table of fixed size, the only thing that is broadcast; the second pass
 explodes single words and the n-grams of which each pair is in the table. A wrong bit (two pairs with one bit) only lets rows
 through that the exact count drops, so the result does not depend on the table's size. Rows are counted within a task before
@@ -29,8 +29,9 @@ from .common import materialize, read
 
 BLANKS, CUTS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"  # fixed values
 WORD, BLANK, CUT = range(3)
-BLOCK = 16 << 20  # bytes of text counted together in a task
+BLOCK = 12 << 20  # bytes of text counted together in a task
 FILTER_BITS = 1 << 27  # 16 MB
+PAIR_BITS = 40  # of a pair's name while pairs are counted: a third less to shuffle than 64, and strangers rarely meet
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,7 +80,7 @@ class Words:
 def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     out = (left * _MIX) ^ (right + (left >> np.uint64(31)))
     out ^= out >> np.uint64(29)
-    return out * _MIX
+    return (out * _MIX) >> np.uint64(64 - PAIR_BITS)
 
 
 def texts_in_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[tuple[list[bytes], list[str]]]:
