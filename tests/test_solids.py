@@ -123,7 +123,7 @@ def test_odd_probes_and_empty_tables(spark):
     full = solids.spans(spark.createDataFrame([(i, 0, x, y, 0, 1, 1, 200) for i, (x, y) in enumerate((x, y) for x in range(3, 8) for y in range(3, 8))], THING))
     spot = spark.createDataFrame([(1, 0, 5, 5, 0, 1, 1, 1)], THING)
     assert solids.free_places(spot, full, 2, 0, 1).count() == 0
-    assert solids.free_places(spot, full, 3, 0, 1).head()[1:] == (5, 2, 0, 3)  # straight north of it
+    assert solids.free_places(spot, full, 3, 0, 1).head()[1:] == (4, 2, 0, 3)  # where the range about north begins
     assert solids.roofs(none.withColumn("kind", F.lit(1)).withColumn("whole", F.lit(False)).withColumn("seq", F.lit(0))).count() == 0
 
 
