@@ -29,7 +29,7 @@ from .common import materialize, read
 
 BLANKS, CUTS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"  # fixed values
 WORD, BLANK, CUT = range(3)
-BLOCK = 12 << 20  # bytes of text counted together in a task
+BLOCK = 4 << 20  # bytes of text counted together before rows leave Python
 FILTER_BITS = 1 << 27  # 16 MB
 PAIR_BITS = 40  # of a pair's name while pairs are counted: a third less to shuffle than 64, and strangers rarely meet
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,12 +86,12 @@ def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def texts_in_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[tuple[list[bytes], list[str]]]:
     """Rows (lang, text) in blocks of bytes; a longer text is cut after a sign that ends a piece."""
     texts, langs, held = [], [], 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).fill_null("und").to_pylist(), batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist(), strict=True):
-            for part in _parts(text, block):
-                texts.append(part)
+    for part in (batch.slice(low, 500) for batch in batches for low in range(0, batch.num_rows, 500)):
+        for lang, text in zip(part.column(0).fill_null("und").to_pylist(), part.column(1).cast(pa.binary()).fill_null(b"").to_pylist(), strict=True):
+            for piece in _parts(text, block):
+                texts.append(piece)
                 langs.append(lang)
-                held += len(part)
+                held += len(piece)
                 if held >= block:
                     yield texts, langs
                     texts, langs, held = [], [], 0
