@@ -140,40 +140,83 @@ def pick_opponent(hits: DataFrame, how: str) -> DataFrame:
     return hits.filter(bound).groupBy("p_id").agg(F.min_by("id", F.struct(score.alias("s"), "place")).alias("id"))
 
 
-def triggered(steps: DataFrame, eggs: DataFrame, most_reach: int) -> DataFrame:
-    """egg, step of the eggs that fire for steps.
+FIELDS = ("fire_field", "sleep_field", "poison_field", "caltrops_field", "campfire_field", "mirror_object")  # fixed values: kinds that any actor sets off
 
-    steps: id, tx, ty, tz, from_tx, from_ty, main, in_party, actor, hour. eggs: id, tx, ty, tz, reach (the area is the
-    square round it, round the world), criteria, kind, nocturnal, once_done (hatched), auto_reset; reach is at most
-    most_reach. Fixed values: criteria 0 anywhere inside, 1 main actor enters, 2 party enters, 3 main actor leaves, 4 main
-    actor stands, 5 party stands, 6 thing lies, others never; kinds by name.
-    """
+
+def _inside(x: str, y: str, shrink: int = 0) -> Column:
+    """Whether a tile of a step lies in the square of an egg (columns e_), less a rim."""
+    wide = 2 * F.col("e_reach") + 1 - 2 * shrink
+    strip = lambda c, e: F.pmod(F.col(c) - (F.col(e) - F.col("e_reach") + shrink), F.lit(3072)) < wide
+    return strip(x, "e_tx") & strip(y, "e_ty")
+
+
+def _spread_eggs(eggs: DataFrame) -> DataFrame:
+    """Eggs in every chunk that their own square meets; ones without a reach or a place are in none."""
     egg = eggs.select(*[F.col(c).alias(f"e_{c}" if c != "id" else "egg") for c in eggs.columns])
-    low, high = lambda c: F.col(f"e_{c}") - most_reach, lambda c: F.col(f"e_{c}") + most_reach
-    egg = egg.withColumn("cx", F.explode(_covered(low("tx"), high("tx")))).withColumn("cy", F.explode(_covered(low("ty"), high("ty"))))
-    both = _with_chunk(steps).join(egg, ["cx", "cy"])
+    side = lambda c: _covered(F.col(f"e_{c}") - F.col("e_reach"), F.col(f"e_{c}") + F.col("e_reach"))
+    return egg.withColumn("_cx", F.explode(side("tx"))).withColumn("_cy", F.explode(side("ty")))
+
+
+def _chunks_of(steps: DataFrame, x: str, y: str) -> DataFrame:
+    return steps.withColumn("_cx", F.floor(F.col(x) / CHUNK)).withColumn("_cy", F.floor(F.col(y) / CHUNK))
+
+
+def _daytime() -> Column:
+    return F.col("e_nocturnal") & (F.col("hour") > 4) & (F.col("hour") < 21)
 
-    def inside(x: str, y: str, shrink: int = 0) -> Column:
-        wide = 2 * F.col("e_reach") + 1 - 2 * shrink
-        strip = lambda c, e: F.pmod(F.col(c) - (F.col(e) - F.col("e_reach") + shrink), F.lit(3072)) < wide
-        return strip(x, "e_tx") & strip(y, "e_ty")
 
+def triggered(steps: DataFrame, eggs: DataFrame) -> DataFrame:
+    """egg, step of the eggs that fire for steps.
+
+    steps: id, tx, ty, tz, from_tx, from_ty, main, in_party, actor, hour. eggs: id, tx, ty, tz, reach (the area is the
+    square round it, round the world), criteria, kind, nocturnal, hatched, auto_reset. Fixed values: criteria 0 main actor inside, 1 party enters, 2 main actor enters, 3 main actor
+    leaves, 4 main actor stands, 5 party stands (any actor on a field), 6 thing lies, others never; kinds by name.
+
+    A null in a tested column does not fire; a step and an egg meet once, however often chunks bring them together; repeated
+    rows fire as often as they come; other columns are dropped.
+    """
+    both = _chunks_of(steps, "tx", "ty").join(_spread_eggs(eggs), ["_cx", "_cy"])
     lift = F.col("tz") - F.col("e_tz")
-    now, before = inside("tx", "ty"), inside("from_tx", "from_ty")
+    now, before = _inside("tx", "ty"), _inside("from_tx", "from_ty")
     within = lambda n: F.abs(lift) < n
     kind = F.col("e_kind")
     near_ = F.when(kind.isin("teleport", "intermap"), (lift == 0) & now).when(kind.isin("jukebox", "soundsfx", "voice"), now).otherwise((within(2) | ((kind == "missile") & within(5))) & now & ~before)
     who = F.col("in_party")
     fires = F.when(F.col("e_criteria") == 0, F.col("main") & now & (~F.col("e_hatched") | ~before))
-    fires = fires.when(F.col("e_criteria") == 1, F.col("main") & who & near_).when(F.col("e_criteria") == 2, who & near_)
-    fires = fires.when(F.col("e_criteria") == 3, F.col("main") & now & inside("from_tx", "from_ty", 1) & ~inside("tx", "ty", 1))
+    fires = fires.when(F.col("e_criteria") == 1, who & near_).when(F.col("e_criteria") == 2, F.col("main") & who & near_)
+    fires = fires.when(F.col("e_criteria") == 3, F.col("main") & now & _inside("from_tx", "from_ty", 1) & ~_inside("tx", "ty", 1))
     fires = fires.when(F.col("e_criteria") == 4, F.col("main") & (lift == 0) & now)
-    fires = fires.when(F.col("e_criteria") == 5, now & (lift == 0) & F.when(kind == "fire_field", F.col("actor")).otherwise(who))
+    fires = fires.when(F.col("e_criteria") == 5, now & (lift == 0) & F.when(kind.isin(*FIELDS), F.col("actor")).otherwise(who))
     fires = fires.when(F.col("e_criteria") == 6, within(4) & now & ~F.col("actor")).otherwise(False)
-    gated = (F.col("e_hatched") & ~F.col("e_auto_reset")) | (F.col("e_nocturnal") & (F.col("hour") > 4) & (F.col("hour") < 21))
+    gated = (F.col("e_hatched") & ~F.col("e_auto_reset")) | _daytime()
     return both.filter(fires & ~gated).select("egg", F.col("id").alias("step"))
 
 
+def untriggered(steps: DataFrame, eggs: DataFrame) -> DataFrame:
+    """egg, step of the hatched eggs that a step of the main actor sets back, shaped as for triggered; eggs also have revocable.
+
+    A step concerns an egg if it begins or ends in its square. By day a nocturnal one is always set back; others when the main
+    actor walks out (0, and sounds of 1 and 2), walks in over the rim (3), or is off its tiles or level (4, and 5 for the party
+    or, on a field, any actor); those of 1 and 2 that are no sounds by any step but one that would fire them, teleports never.
+    """
+    when_hatched = eggs.filter("hatched AND revocable")
+    spread = _spread_eggs(when_hatched)
+    now, before = _inside("tx", "ty"), _inside("from_tx", "from_ty")
+    main = steps.filter("main")
+    ends = _chunks_of(main, "tx", "ty").join(spread, ["_cx", "_cy"]).filter(now)
+    begins = _chunks_of(main, "from_tx", "from_ty").join(spread, ["_cx", "_cy"]).filter(before & ~now)  # what ends inside is above
+    both = ends.unionByName(begins)
+    lift, kind, who = F.col("tz") - F.col("e_tz"), F.col("e_kind"), F.col("in_party")
+    level = (F.abs(lift) < 2) | ((kind == "missile") & (F.abs(lift) < 5))
+    off = ~now | (lift != 0)
+    close = F.when(kind.isin("teleport", "intermap"), False).when(kind.isin("jukebox", "soundsfx", "voice"), ~now & before).otherwise(~(level & now & ~before))
+    back = F.when(F.col("e_criteria") == 0, before & ~now).when(F.col("e_criteria").isin(1, 2), who & close)
+    back = back.when(F.col("e_criteria") == 3, before & ~_inside("from_tx", "from_ty", 1) & _inside("tx", "ty", 1)).when(F.col("e_criteria") == 4, off)
+    back = back.when(F.col("e_criteria") == 5, off & F.when(kind.isin(*FIELDS), F.col("actor")).otherwise(who))
+    back = back.when(F.col("e_criteria") == 6, (~now | (F.abs(lift) >= 4)) & ~F.col("actor")).otherwise(False)
+    return both.filter(_daytime() | back).select("egg", F.col("id").alias("step"))
+
+
 def located(cursors: DataFrame, objects: DataFrame, upwards: bool = False) -> DataFrame:
     """cursor, found: the next object of the cursor's shape in the order of chunks (row by row), then id; null at the end.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import temporal
+from ..streaming import timers
 from .queries import query
 from .world import view
 
@@ -38,3 +39,13 @@ def w12(spark, d):
     q, _ = _queue(spark, d)
     scripts = q.select("key", "event_id", F.col("due").alias("started"), "seq", (F.col("event_id") % 4 == 0).alias("dont_halt"))
     return temporal.halted(scripts).select("event_id", "ended")
+
+
+@query("w1_w3_fired", """WITH q AS (SELECT user_id AS key, event_id, epoch_us(ts) // 1000 AS at FROM events), n AS (SELECT min(at) + (max(at) - min(at)) // 2 AS now FROM q)
+SELECT key, event_id, at + event_id % 7 * 1000 AS due FROM q, n WHERE at + event_id % 7 * 1000 <= now AND NOT (event_id % 3 = 0 AND event_id % 7 > 2)""")
+def w1_fired(spark, d):
+    """Entries due some seconds after they are added; a third is cancelled two seconds on, too late for some. The stream's twin."""
+    q, now = _queue(spark, d)
+    adds = q.select("key", F.col("due").alias("at"), "seq", F.lit("add").alias("what"), "event_id", (F.col("due") + F.col("event_id") % 7 * 1000).alias("due"))
+    cancels = adds.filter("event_id % 3 = 0").select("key", (F.col("at") + 2000).alias("at"), "seq", F.lit("cancel").alias("what"), "event_id", F.lit(None).cast("long").alias("due"))
+    return timers.fired(adds.unionByName(cancels), now)

@@ -8,26 +8,44 @@ from ..operators import dims, spatial
 from .queries import _FLAT, _probes, _table, query
 from .world import having, view
 
-_KINDS = ("monster", "teleport", "jukebox", "missile", "fire_field")
+_KINDS = ("monster", "teleport", "jukebox", "missile", "fire_field", "poison_field", "caltrops_field")
 _STEPS = """m AS (SELECT id, tx, ty, tz, (tx + id % 3 - 1 + 3072) % 3072 AS from_tx, (ty + id % 5 % 3 - 1 + 3072) % 3072 AS from_ty, id % 2 = 0 AS main, in_party OR id % 3 = 0 AS in_party, npc OR id % 2 = 0 AS actor, id % 24 AS hour FROM thing),
-e AS (SELECT id AS egg, tx, ty, tz, shape % 32 AS reach, quality AS criteria, ['monster', 'teleport', 'jukebox', 'missile', 'fire_field'][id % 5 + 1] AS kind, id % 4 = 0 AS nocturnal, id % 6 = 0 AS hatched, id % 12 = 0 AS auto_reset FROM thing WHERE egg_like)"""
+e AS (SELECT id AS egg, tx, ty, tz, shape % 32 AS reach, quality AS criteria, ['monster', 'teleport', 'jukebox', 'missile', 'fire_field', 'poison_field', 'caltrops_field'][id % 7 + 1] AS kind, id % 4 = 0 AS nocturnal, id % 6 = 0 AS hatched, id % 12 = 0 AS auto_reset FROM thing WHERE egg_like)"""
 _IN = "(({x} - e.tx + e.reach - {s} + 6144) % 3072 < 2 * e.reach + 1 - 2 * {s} AND ({y} - e.ty + e.reach - {s} + 6144) % 3072 < 2 * e.reach + 1 - 2 * {s})"
 _NOW, _OLD, _NOW1, _OLD1 = (_IN.format(x=x, y=y, s=s) for x, y, s in (("m.tx", "m.ty", 0), ("from_tx", "from_ty", 0), ("m.tx", "m.ty", 1), ("from_tx", "from_ty", 1)))
 _NEAR = f"CASE WHEN kind IN ('teleport', 'intermap') THEN m.tz = e.tz WHEN kind IN ('jukebox', 'soundsfx', 'voice') THEN true ELSE (abs(m.tz - e.tz) < 2 OR kind = 'missile' AND abs(m.tz - e.tz) < 5) AND NOT {_OLD} END"
 
 
-@query("j3_w5_w6_triggers", f"""{having('thing')}, {_STEPS}
-SELECT egg, id AS step FROM m JOIN e ON {_NOW} WHERE NOT (hatched AND NOT auto_reset) AND NOT (nocturnal AND hour > 4 AND hour < 21) AND
- CASE criteria WHEN 0 THEN main AND (NOT hatched OR NOT {_OLD}) WHEN 1 THEN main AND in_party AND {_NEAR} WHEN 2 THEN in_party AND {_NEAR} WHEN 3 THEN main AND {_OLD1} AND NOT {_NOW1}
- WHEN 4 THEN main AND m.tz = e.tz WHEN 5 THEN m.tz = e.tz AND CASE WHEN kind = 'fire_field' THEN actor ELSE in_party END WHEN 6 THEN abs(m.tz - e.tz) < 4 AND NOT actor ELSE false END""")
-def j3(spark, d):
-    """Every thing steps once; the egg-like ones are the regions."""
+def _steps_and_eggs(spark, d):
     t = view(spark, d, "thing")
     k = F.col("id")
     steps = t.select("id", "tx", "ty", "tz", F.pmod(F.col("tx") + k % 3 - 1, F.lit(3072)).alias("from_tx"), F.pmod(F.col("ty") + k % 5 % 3 - 1, F.lit(3072)).alias("from_ty"), (k % 2 == 0).alias("main"), (F.col("in_party") | (k % 3 == 0)).alias("in_party"), (F.col("npc") | (k % 2 == 0)).alias("actor"), (k % 24).alias("hour"))
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 7 + 1).cast("int"))
     eggs = t.filter("egg_like").select("id", "tx", "ty", "tz", (F.col("shape") % 32).alias("reach"), F.col("quality").alias("criteria"), kind.alias("kind"), (k % 4 == 0).alias("nocturnal"), (k % 6 == 0).alias("hatched"), (k % 12 == 0).alias("auto_reset"))
-    return spatial.triggered(steps, eggs, 31)
+    return steps, eggs
+
+
+@query("j3_w5_w6_triggers", f"""{having('thing')}, {_STEPS}
+SELECT egg, id AS step FROM m JOIN e ON {_NOW} WHERE NOT (hatched AND NOT auto_reset) AND NOT (nocturnal AND hour > 4 AND hour < 21) AND
+ CASE criteria WHEN 0 THEN main AND (NOT hatched OR NOT {_OLD}) WHEN 1 THEN in_party AND {_NEAR} WHEN 2 THEN main AND in_party AND {_NEAR} WHEN 3 THEN main AND {_OLD1} AND NOT {_NOW1}
+ WHEN 4 THEN main AND m.tz = e.tz WHEN 5 THEN m.tz = e.tz AND CASE WHEN kind LIKE '%_field' THEN actor ELSE in_party END WHEN 6 THEN abs(m.tz - e.tz) < 4 AND NOT actor ELSE false END""")
+def j3(spark, d):
+    """Every thing steps once; the egg-like ones are the regions."""
+    return spatial.triggered(*_steps_and_eggs(spark, d))
+
+
+_OFF = f"(NOT {_NOW} OR m.tz <> e.tz)"
+_CLOSE = f"CASE WHEN kind IN ('teleport', 'intermap') THEN false WHEN kind IN ('jukebox', 'soundsfx', 'voice') THEN NOT {_NOW} AND {_OLD} ELSE NOT ((abs(m.tz - e.tz) < 2 OR kind = 'missile' AND abs(m.tz - e.tz) < 5) AND {_NOW} AND NOT {_OLD}) END"
+
+
+@query("w7_untriggered", f"""{having('thing')}, {_STEPS}
+SELECT egg, id AS step FROM m JOIN e ON {_NOW} OR {_OLD} WHERE main AND egg % 5 < 4 AND hatched AND (nocturnal AND hour > 4 AND hour < 21 OR
+ CASE criteria WHEN 0 THEN {_OLD} AND NOT {_NOW} WHEN 1 THEN in_party AND {_CLOSE} WHEN 2 THEN in_party AND {_CLOSE} WHEN 3 THEN {_OLD} AND NOT {_OLD1} AND {_NOW1} WHEN 4 THEN {_OFF}
+ WHEN 5 THEN {_OFF} AND CASE WHEN kind LIKE '%_field' THEN actor ELSE in_party END WHEN 6 THEN (NOT {_NOW} OR abs(m.tz - e.tz) >= 4) AND NOT actor ELSE false END)""")
+def w7(spark, d):
+    """Hatched regions that a step of the main actor sets back; a fifth cannot be."""
+    steps, eggs = _steps_and_eggs(spark, d)
+    return spatial.untriggered(steps, eggs.withColumn("revocable", F.col("id") % 5 < 4))
 
 
 @query("t9_next_of_shape", f"{having('obj')} SELECT id AS cursor, lead(id) OVER (PARTITION BY shape ORDER BY ty // 16, tx // 16, id) AS found FROM obj")
