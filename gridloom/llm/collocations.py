@@ -3,11 +3,11 @@
 N-grams are exploded into rows, hash-aggregated by language, joined with the counts of their first and last parts, scored in
 Decimal, anti-joined with their one-word extensions and ranked by a window.
 
-Two words that are not frequent together cannot be part of a frequent phrase. A first pass counts pairs under short names
-and keeps those of `least` occurrences in a bit table of fixed size, the only thing that is broadcast; the second pass
-explodes single words and the n-grams of which each pair is in the table. A wrong bit (two pairs with one bit) only lets rows
-through that the exact count drops, so the result does not depend on the table's size. Rows are counted within a task before
-they leave it, under integers that stand for the words themselves.
+What is not frequent cannot be part of a frequent phrase. A first pass counts pairs under short names and keeps those of
+`least` occurrences in a bit table of fixed size, the only kind of thing that is broadcast; a second one does so for longer
+n-grams of which each pair is in the table. The third pass explodes single words and the n-grams that are in the tables, as
+text. A wrong bit (two n-grams with one bit) only lets rows through that the exact count drops, so the result does not depend
+on the tables' size. Rows are counted within a task before they leave it, under integers that stand for the words themselves.
 
 Null texts count as empty, a null language is `und` (as is one of that name). Repeated rows count again, equal scores go by
 count, then by phrase in the order of its UTF-8 bytes. Other columns are not looked at; an empty table gives no phrases.
@@ -31,7 +31,7 @@ BLANKS, CUTS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"  # fixed values
 WORD, BLANK, CUT = range(3)
 BLOCK = 4 << 20  # bytes of text counted together before rows leave Python
 FILTER_BITS = 1 << 27  # 16 MB
-PAIR_BITS = 40  # of a pair's name while pairs are counted: a third less to shuffle than 64, and strangers rarely meet
+NAME_BITS = 40  # of a name while names are counted: a third less to shuffle than 64, and strangers rarely meet
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,10 +77,34 @@ class Words:
         return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for w, k in zip(self.word_of.to_pylist(), self.lang_of.tolist(), strict=True)), np.uint64, len(self.lang_of))
 
 
-def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def joined_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Names of n-grams from those of all but the last word and of the last word."""
     out = (left * _MIX) ^ (right + (left >> np.uint64(31)))
     out ^= out >> np.uint64(29)
-    return (out * _MIX) >> np.uint64(64 - PAIR_BITS)
+    return out * _MIX
+
+
+def grams(words: Words, max_n: int, likely: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, places and names of the n-grams of 2 to max_n words; with a bit table those of which every pair is in it."""
+    own = words.names()[words.ids]
+    linked = np.append(words.follows, False) if len(words.ids) else np.zeros(0, bool)
+    at, names = np.arange(len(words.ids)), own
+    for n in range(2, max_n + 1):
+        names, at = names[linked[at + n - 2]], at[linked[at + n - 2]]
+        if not len(at):
+            return
+        names = joined_names(names, own[at + n - 1])
+        if n == 2 and likely is not None:
+            known = contains(likely, names)
+            linked[:] = False
+            linked[at[known]] = True
+            at, names = at[known], names[known]
+        yield n, at, names
+
+
+def contains(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+    place = (names >> np.uint64(64 - NAME_BITS)) & np.uint64(32 * len(table) - 1)
+    return ((table[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & 1).astype(bool)
 
 
 def texts_in_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -111,30 +135,30 @@ def _parts(text: bytes, block: int) -> Iterator[bytes]:
     yield text[low:] if low else text
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts, langs in texts_in_blocks(batches):
-        words = Words(texts, langs)
-        names = words.names()
-        at = np.flatnonzero(words.follows)
-        if len(at):
-            pairs, n = np.unique(pair_names(names[words.ids[at]], names[words.ids[at + 1]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
+def _count(least_n: int, max_n: int, table=None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, langs in texts_in_blocks(batches):
+            for n, _, names in grams(Words(texts, langs), max_n, table and table.value):
+                if n >= least_n and len(names):
+                    found, counts = np.unique(names >> np.uint64(64 - NAME_BITS), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["name", "n"])
+
+    return run
 
 
-def frequent_pairs(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit table of the pairs that occur `least` times: of fixed size, so it may be brought to the driver and broadcast."""
-    pairs = texts.mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    place = F.expr(f"pair & {bits - 1}L")
-    slots = pairs.groupBy(F.shiftright(place, 5).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, CAST(pair & 31 AS INT)))").alias("bits"))
+def frequent_names(texts: DataFrame, count, least: int, bits: int) -> np.ndarray:
+    """Bit table of the names that occur `least` times: of fixed size, so it may be brought to the driver and broadcast."""
+    names = texts.mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    slot = F.shiftright(F.expr(f"name & {bits - 1}L"), 5)
+    slots = names.groupBy(slot.alias("slot")).agg(F.expr("bit_or(shiftleft(1L, CAST(name & 31 AS INT)))").alias("bits"))
     out = np.zeros(bits // 32, np.uint32)
     rows = slots.toArrow()
     out[rows["slot"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return out
 
 
-def _explode(table, max_n: int, bits: int):
+def _explode(table, max_n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = table.value
         for texts, langs in texts_in_blocks(batches):
             words = Words(texts, langs)
             if not len(words.ids):
@@ -144,24 +168,16 @@ def _explode(table, max_n: int, bits: int):
             total = np.bincount(words.lang_of, counts, len(words.langs)).astype(np.int64)
             yield _rows(words, words.lang_of, 1, words.word_of, counts)
             yield _rows(words, np.arange(len(words.langs)), 0, pa.array([b""] * len(words.langs), pa.large_binary()), total)
-            name = words.names()
-            at = np.flatnonzero(words.follows)
-            pairs = pair_names(name[words.ids[at]], name[words.ids[at + 1]]) & np.uint64(bits - 1)
-            kept = (likely[(pairs >> np.uint64(5)).astype(np.int64)] >> (pairs & np.uint64(31)).astype(np.uint32)) & 1
-            ok = np.zeros(len(words.ids), bool)
-            ok[at] = kept.astype(bool)
-            gram, phrase, at = words.ids, words.word_of, np.arange(len(words.ids))
-            for n in range(2, max_n + 1):
-                at = at[at < len(words.ids) - n + 1]
-                at = at[ok[at + n - 2]]
+            gram, phrase = words.ids, words.word_of
+            for n, at, names in grams(words, max_n, table.value):
+                at = at[contains(table.value, names) & (gram[at] >= 0)]
                 if not len(at):
                     break
                 # an n-gram is the number of its first n - 1 words and its last word
                 known, first, inverse, counts = np.unique(gram[at] * n_words + words.ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
-                head, tail = known // n_words, known % n_words
-                phrase = pc.binary_join_element_wise(phrase.take(pa.array(head)), words.word_of.take(pa.array(tail)), pa.scalar(b" ", pa.large_binary()))
+                phrase = pc.binary_join_element_wise(phrase.take(pa.array(known // n_words)), words.word_of.take(pa.array(known % n_words)), pa.scalar(b" ", pa.large_binary()))
                 yield _rows(words, words.lang_of[words.ids[at[first]]], n, phrase, counts)
-                gram = np.zeros(len(words.ids), np.int64)
+                gram = np.full(len(words.ids), -1)
                 gram[at] = inverse
 
     return run
@@ -175,8 +191,11 @@ def _rows(words: Words, lang: np.ndarray, n: int, phrase: pa.Array, counts: np.n
 def counted(docs: DataFrame, max_n: int, least: int, bits: int = FILTER_BITS) -> DataFrame:
     """lang, words, phrase, f: all phrases of 1 to max_n words that occur `least` times; the row of no words has the language's total."""
     texts = docs.select(F.col("lang").cast("string"), "text")
-    table = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least, bits))
-    rows = texts.mapInArrow(_explode(table, max_n, bits), "lang string, words int, phrase string, f long")
+    send = docs.sparkSession.sparkContext.broadcast
+    likely = frequent_names(texts, _count(2, 2), least, bits)
+    if max_n > 2:
+        likely |= frequent_names(texts, _count(3, max_n, send(likely)), least, bits)
+    rows = texts.mapInArrow(_explode(send(likely), max_n), "lang string, words int, phrase string, f long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
 
 
