@@ -1,135 +1,104 @@
-"""Bounded least-cost search on a grid, and straight walks."""
+"""Least costs of many searches at once over a graph of steps, and straight walks."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..storage import materialize
 
-STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+NODE = ["grid", "x", "y"]
 
 
-def _spread(open_: np.ndarray, x: int, y: int, bound: int) -> np.ndarray:
-    """Steps from (x, y) to each tile over open ones, -1 where not reached within bound."""
-    cost = np.full(open_.shape, -1, np.int32)
-    cost[x, y] = 0
-    wave = np.zeros(open_.shape, bool)
-    wave[x, y] = True
-    for step in range(1, bound + 1):
-        wide = np.pad(wave, 1)
-        wave = np.zeros_like(wave)
-        for dx, dy in STEPS:
-            wave |= wide[1 + dx : 1 + dx + open_.shape[0], 1 + dy : 1 + dy + open_.shape[1]]
-        wave &= open_ & (cost < 0)
-        if not wave.any():
-            break
-        cost[wave] = step
-    return cost
+def neighbour_steps(tiles: DataFrame, cost: Column) -> DataFrame:
+    """grid, x, y, to_x, to_y, cost: the steps between neighbours (eight a tile) of tiles (grid, x, y, and more).
 
+    cost is an expression over the columns of the tile left and, with to_ before their names, of the tile entered; null where
+    there is no way. Tiles that are not there cannot be entered or left; repeated tiles give repeated steps.
+    """
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
+    left = tiles.withColumn("_d", F.explode(around)).withColumns({"to_x": F.col("x") + F.col("_d.dx"), "to_y": F.col("y") + F.col("_d.dy")})
+    entered = tiles.select("grid", *[F.col(c).alias(f"to_{c}") for c in tiles.columns if c != "grid"])
+    return left.join(entered, ["grid", "to_x", "to_y"]).withColumn("cost", cost).filter("cost IS NOT NULL").select(*NODE, "to_x", "to_y", "cost")
 
-def grid_costs(searches: DataFrame, blocked: DataFrame, size: int, bound: int) -> DataFrame:
-    """(search, x, y, cost) of the tiles each search (search, x, y) reaches around blocked (x, y), eight neighbours.
 
-    Searches run side by side, each in its task; what is broadcast is the grid, at most 512 x 512 cells.
-    """
-    if size > 512:
-        raise ValueError("the grid is broadcast and must stay small")
-    ship(searches.sparkSession)
-    open_ = np.ones((size, size), bool)
-    for r in blocked.filter(F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1)).distinct().collect():  # size * size at most
-        open_[r.x, r.y] = False
-    grid = searches.sparkSession.sparkContext.broadcast(open_)
+def actor_cost() -> Column:
+    """Of a step of an actor over tiles with blocked, avoid, lift, poison and paved: three, more where it is to be avoided or the
+    lift changes, twice on poisoned ground, one less on pavement (fixed values)."""
+    c = F.col
+    plain = 3 * (1 + c("to_avoid").cast("int") + (c("lift") != c("to_lift")).cast("int"))
+    ground = F.when(c("to_poison") & (c("to_lift") == 0), 2 * plain).otherwise(plain)
+    return F.when(~c("to_blocked"), ground - c("to_paved").cast("int"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for s in frame.itertuples():
-                cost = _spread(grid.value, s.x, s.y, bound)
-                x, y = np.nonzero(cost >= 0)
-                yield pd.DataFrame({"search": s.search, "x": x.astype("int32"), "y": y.astype("int32"), "cost": cost[x, y]})
 
-    return searches.select("search", "x", "y").mapInPandas(run, "search long, x int, y int, cost int")
+def at_tile(x: Column, y: Column) -> Column:
+    """The goal of walking: that tile."""
+    return (F.col("x") == x) & (F.col("y") == y)
 
 
-_AROUND = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]  # the reference's order
+def at_line(x: Column, y: Column) -> Column:
+    """The goal of one coordinate: the other one is null."""
+    return F.when(x.isNull(), F.col("y") == y).when(y.isNull(), F.col("x") == x).otherwise(at_tile(x, y))
 
 
-def step_cost(old: tuple, new: tuple) -> int:
-    """Cost of a step between neighbours (blocked, avoid, lift, poison, paved), -1 where blocked."""
-    if new[0]:
-        return -1
-    cost = 3 * (1 + bool(new[1]) + (old[2] != new[2]))
-    return cost * (2 if new[3] and new[2] == 0 else 1) - bool(new[4])
+def within_reach(x: Column, y: Column, reach: int | Column) -> Column:
+    """The goal of an approach: a tile at most reach away."""
+    return F.greatest(F.abs(F.col("x") - x), F.abs(F.col("y") - y)) <= reach
 
 
-def find_path(tiles: dict[tuple[int, int], tuple], start: tuple[int, int], goal: tuple[int, int]) -> tuple[int, list[tuple[int, int]]]:
-    """(cost, tiles after start) by A* as in the reference, ties last in first out; (-1, []) without a path in bounds."""
+def outside(left: Column, top: Column, width: Column, height: Column) -> Column:
+    """The goal of leaving a rectangle."""
+    return ~F.col("x").between(left, left + width - 1) | ~F.col("y").between(top, top + height - 1)
 
-    def estimate(t: tuple[int, int]) -> int:
-        dx, dy = abs(goal[0] - t[0]), abs(goal[1] - t[1])
-        return 2 * max(dx, dy) + min(dx, dy)
 
-    most = max(74, 3 * estimate(start))
-    # A chain for each total cost, the first one on the left; node: cost, total, parent, open
-    chains, nodes, best = [deque() for _ in range(most + 1)], {start: [0, estimate(start), None, True]}, estimate(start)
-    chains[best].append(start)
-    while True:
-        while best < most and not chains[best]:
-            best += 1
-        if best >= most:
-            return -1, []
-        tile = chains[best].popleft()
-        node = nodes[tile]
-        node[3] = False
-        if tile == goal:
-            path = []
-            while nodes[tile][2] is not None:
-                path.append(tile)
-                tile = nodes[tile][2]
-            return node[0], path[::-1]
-        for dx, dy in _AROUND:
-            to = tile[0] + dx, tile[1] + dy
-            if to not in tiles or (step := step_cost(tiles[tile], tiles[to])) < 0:
-                continue
-            cost, seen = node[0] + step, nodes.get(to)
-            if seen and seen[0] <= cost or (total := cost + estimate(to)) >= most:
-                continue
-            if seen and seen[3]:
-                chain = chains[seen[1]]
-                was_last = chain[-1] == to
-                chain.remove(to)
-                if was_last:
-                    chain.rotate(-1)  # the reference's chain then ends with its first one
-            nodes[to] = [cost, total, tile, True]
-            chains[total].appendleft(to)
-            best = min(best, total)
-
-
-def paths(searches: DataFrame, tiles: DataFrame, parts: int = 8) -> DataFrame:
-    """(search, cost, path) of each search (search, grid, x0, y0, x1, y1) over tiles (grid, x, y, blocked, avoid, lift, poison, paved).
-
-    Tiles that are not there are blocked. Grids lie in tasks of their own, each in so many parts of its searches.
+def _doubled(steps: DataFrame) -> DataFrame:
+    """Steps and pairs of steps, the least of each pair of places; `by` lists the places entered."""
+    on = steps.select("grid", F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("to_x").alias("end_x"), F.col("to_y").alias("end_y"), F.col("cost").alias("more"), F.col("by").alias("then"))
+    two = steps.join(on, ["grid", "to_x", "to_y"]).filter("NOT (end_x = x AND end_y = y)")
+    two = two.select(*NODE, F.col("end_x").alias("to_x"), F.col("end_y").alias("to_y"), (F.col("cost") + F.col("more")).alias("cost"), F.concat("by", "then").alias("by"))
+    best = steps.unionByName(two).groupBy(*NODE, "to_x", "to_y").agg(F.min(F.struct("cost", "by")).alias("b"))
+    return best.select(*NODE, "to_x", "to_y", "b.cost", "b.by")
+
+
+def least_costs(searches: DataFrame, steps: DataFrame, goal: Column, bound: Column, lower: Column | None = None, doublings: int = 1) -> DataFrame:
+    """search, cost, path of each of searches (search, grid, x, y, and what goal, bound and lower name): the least cost below
+    bound of a way over steps to a place that is a goal, and the places entered; of equally cheap ways the one of least places
+    in order. No way: a null cost and no path. A search that begins at a goal costs 0.
+
+    goal and lower (a lower bound of what is left, 0 without) are expressions over the search's columns and the place x, y; costs
+    are not negative. All searches advance together: each round joins the places that were improved with the steps from there,
+    and keeps the least cost of a search and place. Ways that cannot stay below the bound or below the goal found so far end.
+    Rounds stop when nothing improves, after as many as the longest cheapest way has steps, fewer by half for each doubling,
+    which takes pairs of steps as steps. Searches must have distinct names; nulls in their place reach nothing.
     """
-    ship(searches.sparkSession)
-
-    def run(looked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        at = {(r.x, r.y): (r.blocked, r.avoid, r.lift, r.poison, r.paved) for r in held.itertuples()}
-        outside = (False, False, 0, False, False)
-        out = []
-        for s in looked.itertuples():
-            here = at if (s.x0, s.y0) in at else at | {(s.x0, s.y0): outside}
-            cost, path = find_path(here, (s.x0, s.y0), (s.x1, s.y1))
-            out.append((s.search, cost, [{"x": x, "y": y} for x, y in path]))
-        return pd.DataFrame(out, columns=["search", "cost", "path"])
-
-    dealt = searches.withColumn("deal", F.pmod(F.xxhash64("search"), F.lit(parts)).cast("int"))
-    copied = tiles.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.groupBy("grid", "deal").cogroup(copied.groupBy("grid", "deal")).applyInPandas(run, "search long, cost int, path array<struct<x:int,y:int>>")
+    lower = F.lit(0) if lower is None else lower
+    ways = steps.select(*NODE, "to_x", "to_y", "cost", F.array(F.struct(F.col("to_x").alias("x"), F.col("to_y").alias("y"))).alias("by"))
+    ways = ways.groupBy(*NODE, "to_x", "to_y").agg(F.min(F.struct("cost", "by")).alias("b")).select(*NODE, "to_x", "to_y", "b.cost", "b.by")
+    for _ in range(doublings):
+        ways = _doubled(materialize(ways, "ways"))
+    ways = materialize(ways.select("grid", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("cost").alias("_c"), "by"), "ways")
+    own = searches.withColumn("_bound", bound)
+    kind = ways.schema["by"].dataType
+    constant = [c for c in own.columns if c not in ("search", "x", "y")]
+    start = own.withColumns({"_cost": F.lit(0).cast("long"), "_path": F.array().cast(kind), "_new": F.lit(True)})
+    state = materialize(start.filter(lower < F.col("_bound")), "reached")
+    while True:
+        found = state.filter(goal).groupBy("search").agg(F.min("_cost").alias("_found"))
+        front = state.filter(F.col("_new") & ~F.coalesce(goal, F.lit(False))).withColumnsRenamed({"x": "_x", "y": "_y"})
+        on = front.join(ways, ["grid", "_x", "_y"]).withColumns({"_cost": F.col("_cost") + F.col("_c"), "_path": F.concat("_path", "by"), "_new": F.lit(True)})
+        both = state.withColumn("_new", F.lit(False)).unionByName(on.select(*state.columns))
+        both = both.join(found, "search", "left")
+        still = F.col("_cost") + lower
+        both = both.filter((still < F.col("_bound")) & (F.col("_found").isNull() | (still <= F.col("_found"))))
+        # the least of a search and place; it is new unless it was there already
+        best = F.min(F.struct("_cost", "_path", "_new")).alias("_b")
+        merged = both.groupBy("search", "x", "y").agg(best, *[F.first(c).alias(c) for c in constant])
+        merged = merged.withColumns({"_cost": F.col("_b._cost"), "_path": F.col("_b._path"), "_new": F.col("_b._new")}).select(*state.columns)
+        state = materialize(merged, "reached")
+        if state.filter("_new").isEmpty():
+            break
+    reached = state.filter(goal).groupBy("search").agg(F.min(F.struct("_cost", "_path")).alias("b"))
+    return searches.select("search").join(reached, "search", "left").select("search", F.col("b._cost").alias("cost"), F.coalesce("b._path", F.array().cast(kind)).alias("path"))
 
 
 def walked(rows: DataFrame, keys: list[str], start: tuple[str, str, str], end: tuple[str, str, str], world: int = 3072) -> DataFrame:

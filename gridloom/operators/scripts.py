@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,45 +16,70 @@ CONT, RESET, REPEAT, REPEAT2, WAIT_NEAR, DELAY_TICKS, DELAY_MINUTES, DELAY_HOURS
 TICKS_A_MINUTE, FOREVER = 25, 255
 
 
+class Rule(NamedTuple):
+    """What an operation with its arguments does: its length, when it holds its place, and where it jumps, for how many ticks it
+    waits, and whether the tick goes on after it. jump and hold see its arguments, how often it has jumped, and the observer."""
+
+    length: int = 1
+    jump: Callable[[list[int], int, bool], int | None] = lambda args, jumped, near: None
+    wait: Callable[[list[int]], int | None] = lambda args: None  # a tick in which nothing waits takes one
+    goes_on: bool = False
+    forgets: bool = False  # whether it counts its jumps anew once they are used up
+
+
+def _turns(args: list[int], jumped: int, near: bool) -> int | None:
+    return args[0] if args[1] == FOREVER or jumped < args[1] else None
+
+
+def _delay(ticks: int) -> Rule:
+    return Rule(2, wait=lambda args: args[0] * ticks)
+
+
+PLAIN = Rule()
+RULES = {
+    CONT: Rule(goes_on=True),
+    REPEAT: Rule(3, _turns, goes_on=True),
+    REPEAT2: Rule(4, _turns, goes_on=True, forgets=True),
+    WAIT_NEAR: Rule(2, lambda args, jumped, near: 0 if near else None),
+    WAIT_FAR: Rule(2, lambda args, jumped, near: None if near else 0),
+    DELAY_TICKS: _delay(1),
+    DELAY_MINUTES: _delay(TICKS_A_MINUTE),
+    DELAY_HOURS: _delay(60 * TICKS_A_MINUTE),
+}
+
+
 def play(code: list[int], near_until: int, last_tick: int, most_at_once: int = 1000) -> Iterator[tuple[int, int, int]]:
     """(tick, place, operation) of each step until last_tick. The observer is near before the tick near_until.
 
     A tick runs one operation, and on as long as CONT follows or a loop turns. REPEAT goes back by its offset as often as its
-    count says (255 for ever); REPEAT2 then restores the count. A loop that turns without end within a tick is cut after
-    most_at_once steps and goes on a tick later.
+    count says (255 for ever); REPEAT2 does so again each time it is reached, after the count that follows the first. A loop
+    that turns without end within a tick is cut after most_at_once steps and goes on a tick later.
     """
-    code, at, tick = list(code), 0, 0
+    at = tick = steps = 0
+    waits = None
+    jumped: dict[int, int] = {}
+    counts: dict[int, int] = {}
     while at < len(code) and tick <= last_tick:
-        wait, on, steps = 1, True, 0
-        while at < len(code) and (on or code[at] == CONT) and steps < most_at_once:
-            op, here, on, steps = code[at], at, False, steps + 1
-            arg = lambda k, here=here: code[here + k] if here + k < len(code) else 0
-            after = at + 1
-            if op == CONT:
-                on = True
-            elif op == RESET:
-                after = 0
-            elif op in (REPEAT, REPEAT2):
-                on, size = True, 3 if op == REPEAT else 4
-                left = arg(2)
-                if left > 0:
-                    if left != FOREVER:
-                        code[here + 2] = left - 1
-                    after = max(0, here + arg(1))
-                else:
-                    if op == REPEAT2 and here + 2 < len(code):
-                        code[here + 2] = arg(3)
-                    after = here + size
-            elif op in (WAIT_NEAR, WAIT_FAR):
-                after = here if (tick < near_until) == (op == WAIT_NEAR) else here + 2
-            elif op in (DELAY_TICKS, DELAY_MINUTES, DELAY_HOURS):
-                wait = arg(1) * {DELAY_TICKS: 1, DELAY_MINUTES: TICKS_A_MINUTE, DELAY_HOURS: 60 * TICKS_A_MINUTE}[op]
-                after = here + 2
-            yield tick, here, op
-            at = after
-        tick += max(wait, 0)
-        if not wait and steps >= most_at_once:
-            tick += 1
+        op, here = code[at], at
+        rule = RULES.get(op, PLAIN)
+        args = [*code[at + 1 : at + 4], 0, 0, 0]
+        args[1] = counts.get(here, args[1])
+        offset = rule.jump(args, jumped.get(here, 0), tick < near_until)
+        yield tick, here, op
+        steps += 1
+        waits = waits if rule.wait(args) is None else rule.wait(args)
+        if op == RESET:
+            at = 0
+        elif offset is None:
+            if rule.forgets:
+                jumped[here], counts[here] = 0, args[2]
+            at += rule.length
+        else:
+            jumped[here] = jumped.get(here, 0) + 1
+            at = max(0, at + offset)
+        if not ((rule.goes_on or (at < len(code) and code[at] == CONT)) and steps < most_at_once):
+            tick += max(1 if waits is None else waits, int(steps >= most_at_once))
+            waits, steps = None, 0
 
 
 def run_scripts(scripts: DataFrame, last_tick: int) -> DataFrame:

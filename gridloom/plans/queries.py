@@ -399,16 +399,58 @@ def w1(spark, d):
     return view(spark, d, "queue").select("event_id", F.row_number().over(W.partitionBy("k").orderBy("due", "event_id")).cast("long").alias("place"))
 
 
-@query("g1_grid_costs")
-def g1_whole(spark, d):
-    """Each part is a tile of a 64 x 64 grid, a grid for every 4,096 keys, and searches a path from there to a tile at most 15 away."""
+def _grids(spark, d):
+    """Each part is a tile of a 64 x 64 grid, a grid for every 4,096 keys, and the start of a search."""
     p, size = F.col("p_partkey"), F.col("p_size")
     x, y = (p % 64).cast("int"), (F.call_function("div", p, F.lit(64)) % 64).cast("int")
     part = _table(spark, d, "part").select(p, size, F.call_function("div", p, F.lit(4096)).alias("grid"), x.alias("x"), y.alias("y"))
     tiles = part.select("grid", "x", "y", (size % 4 == 1).alias("blocked"), (size % 5 == 2).alias("avoid"), (size % 3).alias("lift"), (size % 7 == 3).alias("poison"), (size % 11 == 4).alias("paved"))
+    return part, graph.neighbour_steps(tiles, graph.actor_cost())
+
+
+def _toward(x1, y1):
+    """Twice the larger way: no step costs less than 2."""
+    return 2 * F.greatest(F.abs(F.col("x") - x1), F.abs(F.col("y") - y1))
+
+
+@query("g1_grid_costs")
+def g1_whole(spark, d):
+    """A path from each part's tile to one at most 15 away, below 74 or three times an estimate. No SQL: least costs of many searches."""
+    part, steps = _grids(spark, d)
+    p, size, x1, y1 = F.col("p_partkey"), F.col("p_size"), F.col("x1"), F.col("y1")
     near = lambda c, by: F.least(F.greatest(F.col(c) + (by % 31 - 15), F.lit(0)), F.lit(63)).cast("int")
-    searches = part.select(p.alias("search"), "grid", F.col("x").alias("x0"), F.col("y").alias("y0"), near("x", size).alias("x1"), near("y", p * 7).alias("y1"))
-    return graph.paths(searches, tiles)
+    searches = part.select(p.alias("search"), "grid", "x", "y", near("x", size).alias("x1"), near("y", p * 7).alias("y1"))
+    dx, dy = F.abs(x1 - F.col("x")), F.abs(y1 - F.col("y"))
+    searches = searches.withColumn("most", F.greatest(F.lit(74), 3 * (2 * F.greatest(dx, dy) + F.least(dx, dy))))
+    return graph.least_costs(searches, steps, graph.at_tile(x1, y1), F.col("most"), _toward(x1, y1))
+
+
+@query("g2_one_coordinate")
+def g2_line(spark, d):
+    """From each part's tile to the nearest by cost of a column or a row up to seven away."""
+    part, steps = _grids(spark, d)
+    p, size = F.col("p_partkey"), F.col("p_size")
+    line = lambda c, here: F.when(here, F.least(F.greatest(F.col(c) + size % 15 - 7, F.lit(0)), F.lit(63)))
+    searches = part.select(p.alias("search"), "grid", "x", "y", line("x", p % 2 == 0).alias("x1"), line("y", p % 2 == 1).alias("y1"))
+    x1, y1 = F.col("x1"), F.col("y1")
+    return graph.least_costs(searches, steps, graph.at_line(x1, y1), F.lit(60), 2 * F.coalesce(F.abs(F.col("x") - x1), F.abs(F.col("y") - y1)))
+
+
+@query("g2_approach")
+def g2_near(spark, d):
+    """From each part's tile to within two tiles of another one, which may itself be blocked."""
+    part, steps = _grids(spark, d)
+    p, size, x1, y1 = F.col("p_partkey"), F.col("p_size"), F.col("x1"), F.col("y1")
+    searches = part.select(p.alias("search"), "grid", "x", "y", F.least(F.greatest(F.col("x") + size % 21 - 10, F.lit(0)), F.lit(63)).alias("x1"), F.least(F.greatest(F.col("y") + p * 5 % 21 - 10, F.lit(0)), F.lit(63)).alias("y1"))
+    return graph.least_costs(searches, steps, graph.within_reach(x1, y1, 2), F.lit(60), F.greatest(_toward(x1, y1) - 4, F.lit(0)))
+
+
+@query("g2_off_screen")
+def g2_off(spark, d):
+    """From each part's tile out of a screen of nine by seven tiles round it."""
+    part, steps = _grids(spark, d)
+    searches = part.select(F.col("p_partkey").alias("search"), "grid", "x", "y", (F.col("x") - 4).alias("left"), (F.col("y") - 3).alias("top"))
+    return graph.least_costs(searches, steps, graph.outside(F.col("left"), F.col("top"), F.lit(9), F.lit(7)), F.lit(40))
 
 
 @query("g3_straight_walk", f"""{having('obj')}, w AS (SELECT p.id, p.tx AS x0, p.ty AS y0, p.tz AS z0, CASE WHEN o.tx - p.tx >= 1536 THEN o.tx - p.tx - 3072 WHEN o.tx - p.tx <= -1536 THEN o.tx - p.tx + 3072 ELSE o.tx - p.tx END AS dx,

@@ -109,51 +109,6 @@ def test_every_object_walks(spark):
     assert got == {i: (gap(p, obj[i + 1]), obj[i + 1]) for i, p in obj.items() if i + 1 in obj}
 
 
-def least_cost(tiles, start, goal, most):
-    """Dijkstra over the same steps, only through tiles whose cost and estimate stay under most."""
-    left, done = [(0, start)], set()
-    while left:
-        cost, t = heapq.heappop(left)
-        if t == goal:
-            return cost
-        if t in done:
-            continue
-        done.add(t)
-        for to in ((t[0] + i, t[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j):
-            dx, dy = abs(goal[0] - to[0]), abs(goal[1] - to[1])
-            step = graph.step_cost(tiles[t], tiles[to]) if to in tiles else -1
-            if step >= 0 and cost + step + 2 * max(dx, dy) + min(dx, dy) < most:
-                heapq.heappush(left, (cost + step, to))
-    return -1
-
-
-def test_step_costs():
-    flat = (False, False, 0, False, False)
-    assert [graph.step_cost(flat, t) for t in (flat, (True, False, 0, False, False), (False, True, 0, False, False), (False, False, 1, True, False), (False, False, 0, True, True))] == [3, -1, 6, 6, 5]
-
-
-def test_paths_cost_least():
-    r = random.Random(5)
-    tiles = {(x, y): (r.random() < 0.3, r.random() < 0.2, r.randint(0, 1), r.random() < 0.2, False) for x in range(20) for y in range(20)}
-    found = 0
-    for _ in range(200):
-        a, b = r.choice(list(tiles)), r.choice(list(tiles))
-        dx, dy = abs(a[0] - b[0]), abs(a[1] - b[1])
-        cost, path = graph.find_path(tiles, a, b)
-        assert cost == least_cost(tiles, a, b, max(74, 3 * (2 * max(dx, dy) + min(dx, dy))))
-        if cost > 0:
-            found += 1
-            assert path[-1] == b and sum(graph.step_cost(tiles[p], tiles[q]) for p, q in zip([a, *path], path)) == cost
-            assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 for p, q in zip([a, *path], path))
-    assert found > 50
-
-
-def test_every_part_searches(spark):
-    out = {r.search: (r.cost, len(r.path)) for r in world.QUERIES["g1_grid_costs"](spark, DIR).collect()}
-    assert sorted(out) == sorted(r.p_partkey for r in spark.read.parquet(f"{DIR}/part.parquet").collect())
-    assert sum(c > 0 for c, _ in out.values()) > 20 and all((c > 0) == (n > 0) for c, n in out.values())
-
-
 def test_every_name_and_text_is_searched(spark):
     got = sorted(map(tuple, world.QUERIES["p8_substring"](spark, DIR).collect()))
     sql = "SELECT 'part', p_partkey, instr(lower(p_name), 'a') FROM '{0}/part.parquet' WHERE contains(lower(p_name), 'a') UNION ALL SELECT 'document', doc_id, instr(lower(text), 'a') FROM '{0}/documents.parquet' WHERE contains(lower(text), 'a')"
