@@ -14,23 +14,25 @@ def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, node, depth) of a forest (node, parent) of any depth, each node an ancestor of itself at depth 0.
 
     Each round doubles the reach: pairs at most 2**k apart are joined with the pairs just 2**k apart, so a chain of n
-    levels takes log2(n) rounds. Rounds are written, which cuts lineage; the last one is empty. A null parent is a root; a
-    parent that is no node is an ancestor all the same; repeated edges give repeated pairs; an empty table gives none.
+    levels takes log2(n) rounds. Each round writes only its new pairs, which cuts lineage; the last one is empty. A null
+    parent is a root; a parent that is no node is an ancestor all the same; repeated edges give repeated pairs; a null node
+    counts as one that nothing lies in; an empty table gives none. A node that is its own ancestor is an error: it is found as soon as the
+    reach covers its circle, whatever else the table holds.
     """
     own = edges.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
-    step = edges.filter("parent IS NOT NULL").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth"))
-    out, reach = materialize(own.unionByName(step), "closure"), 1
-    leap = out.filter("depth = 1")
-    while True:
+    last = materialize(edges.filter("parent IS NOT NULL").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")), "closure")
+    above, reach = last, 1
+    while not last.isEmpty():
+        circle = last.filter("ancestor = node").head()
+        if circle:
+            raise ValueError(f"{circle.node} lies in itself, {circle.depth} levels down")
         # from a node to all its ancestors up to 2 * reach: leap, then anything known from there
-        up = leap.select(F.col("ancestor").alias("_mid"), F.col("node").alias("_low"))
-        known = out.filter("depth > 0").select("ancestor", F.col("node").alias("_mid"), F.col("depth").alias("_d"))
-        far = up.join(known, "_mid").select("ancestor", F.col("_low").alias("node"), (F.col("_d") + reach).alias("depth"))
-        far = materialize(far, "closure")
-        if far.isEmpty():
-            return out
-        out, reach = materialize(out.unionByName(far), "closure"), 2 * reach
-        leap = out.filter(F.col("depth") == reach)
+        leap = last.filter(F.col("depth") == reach).select(F.col("ancestor").alias("_mid"), F.col("node").alias("_low"))
+        known = above.select("ancestor", F.col("node").alias("_mid"), F.col("depth").alias("_d"))
+        far = leap.join(known, "_mid").select("ancestor", F.col("_low").alias("node"), (F.col("_d") + reach).alias("depth"))
+        last = materialize(far, "closure")
+        above, reach = above.unionByName(last), 2 * reach
+    return own.unionByName(above)
 
 
 def rolled_up(leaves: DataFrame, parents: list[tuple[DataFrame, str, str]], value: Column, key: str, name: str) -> DataFrame:

@@ -122,6 +122,19 @@ def test_closure_of_any_depth(spark):
     assert hierarchy.closure(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("circle", [[(1, 1)], [(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 4), (4, 5), (5, 1)]])
+def test_closure_of_a_circle_is_an_error(spark, circle):
+    chain = [(i, i - 1 if i > 10 else None) for i in range(10, 40)] + [(50, 1)]
+    with pytest.raises(ValueError, match="lies in itself"):
+        hierarchy.closure(spark.createDataFrame(chain + circle, "node long, parent long"))
+
+
+def test_closure_of_odd_edges(spark):
+    got = hierarchy.closure(spark.createDataFrame([(1, 9), (2, 1), (2, 1), (None, 1), (3, None)], "node long, parent long")).collect()
+    want = [(1, 1, 0), (2, 2, 0), (2, 2, 0), (None, None, 0), (3, 3, 0), (9, 1, 1), (1, 2, 1), (1, 2, 1), (1, None, 1), (9, 2, 2), (9, 2, 2), (9, None, 2)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_sha1_of_known_values(spark):
     got = spark.createDataFrame([("abc",), ("",)], "s string").select(F.sha1("s")).collect()
     assert [r[0] for r in got] == ["a9993e364706816aba3e25717850c26c9cd0d89d", "da39a3ee5e6b4b0d3255bfef95601890afd80709"]
