@@ -89,11 +89,6 @@ def _columns(cleaned: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL has it: lines under 20 characters are left out."""
-    return _columns(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), least_chars=20))
-
-
-def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is not blank, as in the pipeline."""
     return _columns(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -102,7 +97,7 @@ ORACLE_OP2 = r"""
 WITH l AS (
   SELECT doc_id, coalesce('s' || source, '') AS site, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents
 ), t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-s AS (SELECT line, min(doc_id) AS first FROM t WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT site) >= 5),
+s AS (SELECT line, min(doc_id) AS first FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 5),
 m AS (SELECT t.*, s.line IS NOT NULL AS spread, s.line IS NOT NULL AND t.doc_id IS DISTINCT FROM s.first AS gone FROM t LEFT JOIN s ON t.line = s.line),
 g AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (spread) AS n_spread, count(*) FILTER (gone) AS n_removed,
@@ -113,5 +108,3 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spr
        CAST(length(coalesce(clean, '')) AS BIGINT) AS n_chars, sha256(coalesce(clean, '')) AS clean_sha256
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
-
-ORACLE_OP2_WHOLE = ORACLE_OP2.replace("length(line) >= 20", "line <> ''")

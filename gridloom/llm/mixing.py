@@ -8,8 +8,8 @@ whose words fit up to a short run of documents, of that run whatever still fits
 and one more document where that comes nearer.
 
 Scale: one pass counts words and writes each row with its size and key. The prefix is found by histogram levels of four
-bits of the key, each a map-side combined aggregation of at most 16 sums a pattern, until the run is short (so the
-number of levels grows with the logarithm of the rows); a source with a third of all rows is never in one task. What
+bits of the key, each a map-side combined aggregation of at most 16 sums a pattern, until the run is short
+(``MOST_RUN`` documents, so the number of levels grows with the logarithm of the rows); a source with a third of all rows is never in one task. What
 the driver holds is a row a pattern, at most ``max_patterns``; where there are more, the patterns of fewest words
 count for the first of their sources alone.
 
@@ -29,6 +29,7 @@ from .common import materialize, read, small_table
 
 Source = str | None
 KEY_BITS, LEVEL_BITS = 60, 4
+MOST_RUN = 256  # documents of a pattern that are chosen among one by one; the steps on them grow with its square
 
 
 def targets_of(sizes: dict[Source, int], weights: dict[Source, float], most: float = 3.0) -> dict[Source, float]:
@@ -155,7 +156,7 @@ def plan_mix(rows: DataFrame, given: dict[int, int], words: dict[int, int], coun
     spark = rows.sparkSession
     passes = {p: g // words[p] if words[p] else 0 for p, g in given.items()}
     gaps = {p: g - passes[p] * words[p] for p, g in given.items()}
-    runs = _crossing(rows, {p: g for p, g in gaps.items() if g > 0}, counts, max(16, (1 << 16) // max(1, len(gaps))))
+    runs = _crossing(rows, {p: g for p, g in gaps.items() if g > 0}, counts, MOST_RUN)
     plan = small_table(spark, [(p, passes[p], *runs.get(p, (0, 0, gaps[p]))) for p in given], "p int;passes int;upto long;until long;gap long")
     # Of the run, a short list: in order of key as long as the largest still fits, then the largest that fit, then again those that may be repeated.
     run = rows.join(F.broadcast(plan), "p").filter((F.col("key") >= F.col("upto")) & (F.col("key") < F.col("until")) & (F.col("size") > 0))

@@ -7,7 +7,6 @@ from . import bpe, collocations, fim, jaccard, lines, mixing, order_minhash, pac
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_line_dedup": lines.op2_line_dedup,
-    "op2_line_dedup_whole": lines.op2_line_dedup_whole,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_weak_labels": weak_labels.op4_weak_labels,
     "op5_quality_rules": quality.op5_quality_rules,
@@ -21,4 +20,4 @@ QUERIES = {
     "op13_bpe": bpe.op13_bpe,
 }
 
-ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op2_line_dedup_whole": lines.ORACLE_OP2_WHOLE, "op9_urls": urls.ORACLE_OP9, "op11_collocations": collocations.ORACLE_OP11, "op12_fim": fim.ORACLE_OP12}
+ORACLES = {"op2_line_dedup": lines.ORACLE_OP2, "op9_urls": urls.ORACLE_OP9, "op11_collocations": collocations.ORACLE_OP11, "op12_fim": fim.ORACLE_OP12}

@@ -699,3 +699,15 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DIR).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     assert len({r.sequence_id for r in rows}) * 2048 - sum(r.length for r in rows) < 2048 * len({r.sequence_id >> 40 for r in rows})
+
+
+def test_mixing_of_few_sources_grows_with_its_rows(spark):
+    """Two sources: eight times the rows take no more than some eight times as long (they took the square of it once)."""
+    took = []
+    for n in (4000, 4000, 32_000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.repeat(F.lit("w "), (F.col("id") * 7919 % 90 + 1).cast("int")).alias("text"))
+        start = time.time()
+        rows = mixing.mix_sources(docs).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+        took.append(time.time() - start)
+        assert all(abs(r.n - r.target) <= 1 for r in rows) and len(rows) == 2
+    assert took[2] < 9 * took[1] + 5
