@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..sources import archives, records
+from ..sources import actors, archives, records
 from ..shipping import ship
 from .queries import _table, query
 from .world import having, view
@@ -79,14 +79,47 @@ def s15(spark, d):
     return records.equipment(records.write_equipment(rows))
 
 
-@query("s11_k3_schedules", "SELECT c_custkey AS npc, c_custkey * m % 8 AS time, CAST(m AS BIGINT) AS kind, c_custkey % 256 AS x, c_custkey * 3 % 256 AS y, count(*) AS n FROM customer, (VALUES (1), (3), (5)) v(m) WHERE m <= 1 + c_custkey % 5 GROUP BY ALL")
-def s11(spark, d):
-    """Schedules of four-byte entries behind a table of offsets, written for each thousand customers and read again."""
+_SLOTS = """SELECT c_custkey AS npc, c_custkey * m % 8 AS time, CAST(m AS BIGINT) AS kind, c_custkey * 7 % 3072 AS tx, c_custkey * 31 % 3072 AS ty, {tz} AS tz, {days} AS days, count(*) AS n
+ FROM customer, (VALUES (1), (3), (5)) v(m) WHERE m <= 1 + c_custkey % 5 GROUP BY ALL"""
+
+
+def _slots(spark, d, form, scripts=()):
     k, m = F.col("npc"), F.col("kind")
     rows = _table(spark, d, "customer").select(F.col("c_custkey").alias("npc"), F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("kind")).filter(m <= 1 + k % 5)
-    rows = rows.select("npc", (k * m % 8).alias("time"), "kind", (k % 256).alias("x"), (k * 3 % 256).alias("y"))
-    files = records.write_schedules(rows, 1000)
-    return records.schedules(files, 1000).groupBy("npc", "time", "kind", "x", "y").agg(F.count("*").alias("n"))
+    rows = rows.select("npc", (k * m % 8).alias("time"), "kind", (k * 7 % 3072).alias("tx"), (k * 31 % 3072).alias("ty"), (k % 16).alias("tz"), (k % 128).alias("days"))
+    return actors.write_schedules(rows, 1000, form, scripts)
+
+
+def _slots_read(files):
+    return actors.schedules(files).groupBy("npc", "time", "kind", "tx", "ty", "tz", "days").agg(F.count("*").alias("n"))
+
+
+@query("s11_k3_schedules", _SLOTS.format(tz="CAST(0 AS BIGINT)", days="CAST(127 AS BIGINT)"))
+def s11(spark, d):
+    """Schedules of four-byte entries behind a table of offsets, written for each thousand customers and read again."""
+    return _slots_read(_slots(spark, d, actors.SHORT))
+
+
+@query("s11_schedules_named", _SLOTS.format(tz="c_custkey % 16", days="c_custkey % 128"))
+def s11_named(spark, d):
+    """Entries of eight bytes with height and days, behind names of scripts."""
+    return _slots_read(_slots(spark, d, actors.NAMED, ("patrol", "sleep at the inn")))
+
+
+def _npc_value(f, i, key="c_custkey"):
+    """A field's value, in SQL that both read: some number of its width."""
+    return f"({key} * {2 * i + 7} + {i * i}) % {1 << f.width()} - {(1 << f.width()) // 2 if f.signed else 0}"
+
+
+_NPC_FIELDS = ", ".join(f"{'c_custkey % 144' if f.name == 'sid' else _npc_value(f, i)} AS {f.name}" for i, f in enumerate(actors.NPC))
+
+
+@query("s10_k3_npcs", f"""WITH n AS (SELECT c_custkey AS npc, left(c_name, 15) AS name, {_NPC_FIELDS} FROM customer)
+SELECT npc, sid % 12 * 256 + x AS tx, sid // 12 * 256 + y AS ty, name, {', '.join(f.name for f in actors.NPC)} FROM n""")
+def s10(spark, d):
+    """Actors with all bit-packed fields, written for each hundred customers and read again."""
+    rows = _table(spark, d, "customer").selectExpr("c_custkey AS npc", "c_name AS name", *_NPC_FIELDS.split(", "))
+    return actors.npcs(actors.write_npcs(rows))
 
 
 @query("s14_k6_messages", "SELECT 'names' AS section, CAST(p_partkey AS INTEGER) AS idx, p_name AS text FROM part WHERE p_partkey % 10 > 0")

@@ -1,4 +1,4 @@
-"""Packed records as tables, and their writers, in columns: fixed objects, equipment, schedules, attributes.
+"""Packed records as tables, and their writers, in columns: fixed objects, equipment, attributes, terrains.
 
 Layouts are fixed by their formats. A file is a row with its bytes in ``content``; a truncated last record is left out; an
 empty table gives no rows; repeated rows are written and read as often as they come.
@@ -63,35 +63,6 @@ def equipment(files: DataFrame, each: int = 100) -> DataFrame:
     return rows.select((F.col("file") * each + F.call_function("div", place, F.lit(10))).alias("record"), (place % 10).cast("int").alias("elem"), little_endian(r, 0, 2).alias("shape"), little_endian(r, 2, 1).alias("probability"), little_endian(r, 3, 1).alias("quantity"))
 
 
-def write_schedules(rows: DataFrame, each: int) -> DataFrame:
-    """file, content: a count of NPCs, where the entries of each end, then entries (npc, time, kind, x, y) of four bytes.
-
-    An entry holds time in the low three bits and kind above, then x, y and the superchunk's byte, 0 here. NPCs are those
-    of each file from file * each on; one without rows has no entries.
-    """
-    entry = F.concat(bytes_of(F.col("time").bitwiseOR(F.shiftleft(F.col("kind"), 3)), 1), bytes_of(F.col("x"), 1), bytes_of(F.col("y"), 1), F.unhex(F.lit("00")))
-    rows = rows.withColumn("file", F.call_function("div", F.col("npc"), F.lit(each)))
-    body = _joined(rows, ["file"], ["npc", "time", "kind", "x", "y"], entry, "body")
-    counts = rows.groupBy("file", (F.col("npc") % each).alias("i")).agg(F.count("*").alias("k")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("i", "k"))).alias("of"))
-    places = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long")), lambda i: F.coalesce(F.col("of")[i], F.lit(0).cast("long")))
-    ends = F.aggregate(places, F.array(F.lit(0).cast("long")), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + k)))
-    offsets = F.transform(F.slice(ends, 2, each), lambda n: F.concat(F.lpad(F.hex(n.bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(n, 8).bitwiseAND(255)), 2, "0")))
-    return body.join(counts, "file").select("file", F.concat(bytes_of(F.lit(each).cast("long"), 4), F.unhex(F.array_join(offsets, "")), "body").alias("content"))
-
-
-def schedules(files: DataFrame, each: int) -> DataFrame:
-    """npc, time, kind, x, y: the entries of an NPC lie between the end of those before it and its own."""
-    c = F.col("content")
-    n = little_endian(c, 0, 4)
-    of = files.select("file", "content", n.alias("n"), F.explode(F.expr(f"sequence(0, cast({each} as int) - 1)")).alias("i"))
-    word = lambda at: F.conv(F.hex(F.concat(F.expr(f"substring(content, {at} + 2, 1)"), F.expr(f"substring(content, {at} + 1, 1)"))), 16, 10).cast("long")
-    of = of.filter(F.col("i") < F.col("n")).withColumn("end", word("4 + 2 * i")).withColumn("start", F.when(F.col("i") == 0, 0).otherwise(word("4 + 2 * (i - 1)")))
-    entries = of.filter("end > start").withColumn("e", F.explode(F.expr("sequence(start, end - 1)")))
-    r = entries.select((F.col("file") * each + F.col("i")).alias("npc"), F.expr("substring(content, cast(4 + 2 * n + 4 * e + 1 as int), 4)").alias("r"))
-    b = lambda i: little_endian(F.col("r"), i, 1)
-    return r.select("npc", b(0).bitwiseAND(7).alias("time"), F.shiftright(b(0), 3).alias("kind"), b(1).alias("x"), b(2).alias("y"))
-
-
 def write_attributes(rows: DataFrame) -> DataFrame:
     """content: a count (one byte, or 255 and two bytes) and records of shape and value, two bytes each."""
     listed = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("shape", F.hex(F.concat(bytes_of(F.col("shape"), 2), bytes_of(F.col("value"), 2))).alias("r")))).alias("v"))
