@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..sources import actors, archives, records
+from ..sources import actors, archives, records, snapshots
+from ..storage import new_path
 from ..shipping import ship
 from .queries import _table, query
 from .world import having, view
@@ -145,3 +146,26 @@ def s12(spark, d):
     patch = part.filter("shape % 3 = 0").withColumn("value", F.col("value") + 100)
     both = [records.attributes(records.write_attributes(t)) for t in (part, patch)]
     return records.patched(*both)
+
+
+_SAVED = "SELECT 'save' || p_partkey // 100 AS archive, 'u7/' || p_name || p_partkey AS name, md5(p_name || p_type) AS digest FROM part"
+
+
+def _saved(spark, d, form):
+    part = _table(spark, d, "part")
+    files = part.select(F.concat(F.lit("save"), F.call_function("div", F.col("p_partkey"), F.lit(100))).alias("archive"), F.concat(F.lit("u7/"), "p_name", "p_partkey").alias("name"), F.concat("p_name", "p_type").cast("binary").alias("data"))
+    path = new_path(spark, "saves")
+    snapshots.save(files.filter("archive = 'save0'"), path, form)
+    snapshots.save(files, path, form)
+    return snapshots.restore(spark, path).select("archive", "name", F.md5("data").alias("digest"))
+
+
+@query("s18_k5_saved_flex", _SAVED)
+def s18_flex(spark, d):
+    """Two versions of a saved state as Flex archives of a hundred files each; the later one is read."""
+    return _saved(spark, d, "flex")
+
+
+@query("s18_k5_saved_zip", _SAVED)
+def s18_zip(spark, d):
+    return _saved(spark, d, "zip")
