@@ -54,6 +54,45 @@ def names_of(rows: DataFrame, frames: DataFrame, messages: DataFrame, shapes: Da
     return all_.select("id", name.when(kind % 2 == 1, F.concat(other, "msg_text")).otherwise(F.concat("msg_text", other)).alias("name"))
 
 
+def display_names(things: DataFrame, frames: DataFrame, messages: DataFrame, shapes: DataFrame, actors: DataFrame) -> DataFrame:
+    """id, name: what is shown for things (id, shape, frame, quality, live_npc: whose body it is).
+
+    frames: shape, frame, kind, msg, other; messages: idx, text; shapes: shape, name, has_quality, has_quantity, body; actors: npc,
+    name, unused, met. Each is keyed by its first columns (of repeated rows the largest counts).
+
+    The message of the frame stands for the shape's name where there is one. Kinds below 0 have no name (-255: the shape's). From
+    kind 1 on, on shapes with a quality or bodies, another text is joined to it, before it for odd kinds and behind it for even
+    ones: the other message (else the shape's name), from kind 3 on the name of the actor that the quality or the body stands for,
+    if that one is in use, has a name and, for a body, was met; otherwise the other message alone (none for negative ones but -255,
+    which is the shape's name). Names that are not joined show their quantity: `a/b/c/d` is `a bc` for one and `n bd` for more, with
+    fewer parts `?`; others have the number before them. Nulls are texts that are not there: the name is then empty.
+    """
+    best = lambda df, keys: df.groupBy(*keys).agg(F.max(F.struct(*[c for c in df.columns if c not in keys])).alias("_r")).select(*keys, "_r.*")
+    named = best(frames.select("shape", "frame", "kind", "msg", "other"), ["shape", "frame"])
+    text = best(messages.select("idx", "text"), ["idx"])
+    said = lambda c: text.select(F.col("idx").alias(c), F.col("text").alias(f"_{c}"))
+    shape = best(shapes.select("shape", F.col("name").alias("_shape"), "has_quality", "has_quantity", "body"), ["shape"])
+    actor = best(actors.select(F.col("npc").alias("_npc"), F.col("name").alias("_own"), "unused", "met"), ["_npc"])
+    rows = things.select("id", "shape", "frame", "quality", "live_npc").join(named, ["shape", "frame"], "left").join(shape, "shape", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    body = flag("body")
+    rows = rows.withColumn("_npc", F.when(~body, F.col("quality")).when(F.col("quality") == 1, F.col("live_npc")))
+    rows = rows.join(said("msg"), "msg", "left").join(said("other"), "other", "left").join(actor, "_npc", "left")
+    kind, plain, other = F.coalesce("kind", F.lit(-255)), F.col("_shape"), F.col("_other")
+    known = F.col("unused").isNotNull() & ~flag("unused") & (~body | flag("met")) & (F.coalesce("_own", F.lit("")) != "")
+    joined = (kind >= 1) & F.col("_msg").isNotNull() & (flag("has_quality") | body)
+    with_actor, with_other = joined & (kind >= 3) & known, joined & (kind < 3)
+    second = F.when(with_actor, F.col("_own")).otherwise(F.coalesce(other, plain, F.lit("")))
+    alone = F.when(joined, F.when(other.isNotNull(), other).when((F.col("other") < 0) & (F.col("other") != -255), "").otherwise(plain)).when((kind == 0) & F.col("_msg").isNotNull(), F.col("_msg")).otherwise(plain)
+    n, parts = F.when(flag("has_quantity"), F.coalesce("quality", F.lit(0)).bitwiseAND(127)).otherwise(1), F.split("_alone", "/", 4)
+    one = F.concat(F.when(parts[0] != "", F.concat(parts[0], F.lit(" "))).otherwise(""), parts[1], parts[2])
+    many = F.concat(n.cast("string"), F.lit(" "))
+    shown = F.when(~F.contains("_alone", F.lit("/")), F.when(n <= 1, F.col("_alone")).otherwise(F.concat(many, "_alone"))).when(F.size(parts) < 4, "?").when(n <= 1, one).otherwise(F.concat(many, parts[1], F.get(parts, F.lit(3))))
+    rows = rows.withColumn("_alone", alone)
+    pair = F.when(kind % 2 == 1, F.concat(second, "_msg")).otherwise(F.concat("_msg", second))
+    return rows.select("id", F.when((kind < 0) & (kind != -255), "").when(with_actor | with_other, pair).otherwise(F.coalesce(F.when(F.col("_alone") == "", "").otherwise(shown), F.lit(""))).alias("name"))
+
+
 def with_groups(shapes: DataFrame, groups: dict[str, Column]) -> DataFrame:
     """A row (shape, group) for each group that a shape is in."""
     named = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in groups.items()]), lambda g: g.isNotNull())

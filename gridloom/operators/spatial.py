@@ -22,18 +22,20 @@ def _covered(low: Column, high: Column) -> Column:
 
 
 def _with_chunk(objects: DataFrame) -> DataFrame:
-    return objects.withColumn("cx", F.floor(F.col("tx") / CHUNK)).withColumn("cy", F.floor(F.col("ty") / CHUNK))
+    return _chunks_of(objects, "tx", "ty")
 
 
-def near(probes: DataFrame, objects: DataFrame, radius: int) -> DataFrame:
-    """Pairs of a probe (columns prefixed p_) and an object within radius, by wrapped distance; column dist."""
+def near(probes: DataFrame, objects: DataFrame, radius: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a probe (columns prefixed p_) and an object within radius, by wrapped distance; column dist (one of the object's of
+    that name is replaced). keys must agree as well, such as a map. Repeated rows pair as often as they come; a null place pairs
+    with nothing; empty tables give no pairs."""
     radius = 24 if radius < 0 else radius
     if radius > LARGEST_RADIUS:
         raise ValueError("the square would meet itself round the world")
-    p = probes.select(*[F.col(c).alias(f"p_{c}") for c in probes.columns])
-    p = p.withColumn("cx", F.explode(_covered(F.col("p_tx") - radius, F.col("p_tx") + radius))).withColumn("cy", F.explode(_covered(F.col("p_ty") - radius, F.col("p_ty") + radius)))
+    p = probes.select(*[F.col(c).alias(f"p_{c}") for c in probes.columns], *[F.col(k) for k in keys])
+    p = p.withColumn("_cx", F.explode(_covered(F.col("p_tx") - radius, F.col("p_tx") + radius))).withColumn("_cy", F.explode(_covered(F.col("p_ty") - radius, F.col("p_ty") + radius)))
     dist = chebyshev(F.col("p_tx"), F.col("p_ty"), F.col("tx"), F.col("ty"))
-    return p.join(_with_chunk(objects), ["cx", "cy"]).withColumn("dist", dist).filter(F.col("dist") <= radius).drop("cx", "cy")
+    return p.join(_with_chunk(objects), ["_cx", "_cy", *keys]).withColumn("dist", dist).filter(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
 def find_nearby(probes: DataFrame, objects: DataFrame, radius: int = 24, shape: int = -359, frame: int = -359, quality: int = -359) -> DataFrame:
@@ -46,9 +48,9 @@ def find_nearby(probes: DataFrame, objects: DataFrame, radius: int = 24, shape:
 def in_rectangle(probes: DataFrame, objects: DataFrame, width: int, height: int) -> DataFrame:
     """Pairs of a probe and the objects in the width x height tiles from its corner on, of the same shape and frame."""
     p = probes.select(*[F.col(c).alias(f"p_{c}") for c in probes.columns])
-    p = p.withColumn("cx", F.explode(_covered(F.col("p_tx"), F.col("p_tx") + width - 1))).withColumn("cy", F.explode(_covered(F.col("p_ty"), F.col("p_ty") + height - 1)))
+    p = p.withColumn("_cx", F.explode(_covered(F.col("p_tx"), F.col("p_tx") + width - 1))).withColumn("_cy", F.explode(_covered(F.col("p_ty"), F.col("p_ty") + height - 1)))
     inside = (F.pmod(F.col("tx") - F.col("p_tx"), F.lit(3072)) < width) & (F.pmod(F.col("ty") - F.col("p_ty"), F.lit(3072)) < height)
-    return p.join(_with_chunk(objects), ["cx", "cy"]).filter(inside & (F.col("shape") == F.col("p_shape")) & (F.col("frame") == F.col("p_frame"))).drop("cx", "cy")
+    return p.join(_with_chunk(objects), ["_cx", "_cy"]).filter(inside & (F.col("shape") == F.col("p_shape")) & (F.col("frame") == F.col("p_frame"))).drop("_cx", "_cy")
 
 
 def nearest(probes: DataFrame, objects: DataFrame, radius: int, distance: Column) -> DataFrame:
@@ -222,8 +224,8 @@ def located(cursors: DataFrame, objects: DataFrame, upwards: bool = False) -> Da
 
     One sort by shape instead of a search for each: of the rows of a shape in order the next one is the answer.
     """
-    keyed = _with_chunk(objects).select("id", "shape", "cx", "cy")
-    order = [F.col(c).desc() if upwards else F.col(c) for c in ("cy", "cx", "id")]
+    keyed = _with_chunk(objects).select("id", "shape", "_cx", "_cy")
+    order = [F.col(c).desc() if upwards else F.col(c) for c in ("_cy", "_cx", "id")]
     ahead = keyed.withColumn("found", F.lead("id").over(W.partitionBy("shape").orderBy(*order)))
     return ahead.join(cursors.select(F.col("id")), "id", "left_semi").select(F.col("id").alias("cursor"), "found")
 

@@ -170,3 +170,29 @@ def j7(spark, d):
     t = view(spark, d, "thing")
     refs = t.select("id", F.when(k % 4 == 0, -356).when(k % 4 == 1, -(k % 50) - 1).when(k % 4 == 2, k + 1).otherwise(10_000_000_000).alias("ref"))
     return dims.resolved(refs, t.select(F.col("id").alias("found")), 0)
+
+
+@query("j10_display_names", f"""{having('thing')}, f AS (SELECT DISTINCT shape, frame % 8 AS frame, [-255, -1, 0, 1, 2, 3, 4][(shape + frame % 8) % 7 + 1] AS kind, (shape * 3 + frame % 8) % 40 AS msg, (shape + frame % 8 * 5) % 45 - 3 AS other FROM thing WHERE (shape + frame % 8) % 6 > 0),
+m AS (SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN 'a/' || p_brand || '//s' WHEN 1 THEN p_name ELSE 'x/' || p_brand END AS text FROM part WHERE p_partkey % 40 < 30),
+s AS (SELECT shape, '/' || shape || '/y/ies' AS name, shape % 2 = 0 AS has_quality, shape % 3 = 0 AS has_quantity, shape % 7 = 0 AS body FROM (SELECT DISTINCT shape FROM thing) WHERE shape % 11 > 0),
+a AS (SELECT s_suppkey AS npc, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS own, s_suppkey % 4 = 3 AS unused, s_suppkey % 2 = 1 AS met FROM supplier),
+j AS (SELECT o.id, coalesce(kind, -255) AS kind, msg.text AS mt, other, oth.text AS ot, s.name AS sn, coalesce(has_quality, false) AS hq, coalesce(has_quantity, false) AS hn, coalesce(body, false) AS body, o.quality AS q, a.own, a.unused, a.met
+ FROM thing o LEFT JOIN f ON f.shape = o.shape AND f.frame = o.frame % 8 LEFT JOIN s ON s.shape = o.shape LEFT JOIN m msg ON msg.idx = f.msg LEFT JOIN m oth ON oth.idx = f.other LEFT JOIN a ON a.npc = CASE WHEN NOT coalesce(body, false) THEN o.quality WHEN o.quality = 1 THEN o.id % 10 END),
+k AS (SELECT *, kind >= 1 AND mt IS NOT NULL AND (hq OR body) AS joined, coalesce(NOT unused AND (NOT body OR met) AND own <> '', false) AS known FROM j),
+n AS (SELECT *, CASE WHEN joined THEN CASE WHEN ot IS NOT NULL THEN ot WHEN other < 0 AND other <> -255 THEN '' ELSE sn END WHEN kind = 0 AND mt IS NOT NULL THEN mt ELSE sn END AS alone, CASE WHEN hn THEN q & 127 ELSE 1 END AS n FROM k),
+p AS (SELECT *, string_split(alone, '/') AS w FROM n)
+SELECT id, CASE WHEN kind < 0 AND kind <> -255 THEN '' WHEN joined AND kind >= 3 AND known THEN CASE WHEN kind % 2 = 1 THEN own || mt ELSE mt || own END WHEN joined AND kind < 3 THEN CASE WHEN kind % 2 = 1 THEN coalesce(ot, sn, '') || mt ELSE mt || coalesce(ot, sn, '') END
+ WHEN alone IS NULL OR alone = '' THEN '' WHEN len(w) = 1 THEN CASE WHEN n <= 1 THEN alone ELSE n || ' ' || alone END WHEN len(w) < 4 THEN '?' WHEN n <= 1 THEN CASE WHEN w[1] <> '' THEN w[1] || ' ' ELSE '' END || w[2] || w[3] ELSE n || ' ' || w[2] || array_to_string(w[4:], '/') END AS name FROM p""")
+def j10_shown(spark, d):
+    """Names with quantities, templates, qualities and the names of actors; some messages are templates, some incomplete ones."""
+    t = view(spark, d, "thing").withColumn("frame", F.col("frame") % 8)
+    frame, shape = F.col("frame"), F.col("shape")
+    kind = F.element_at(F.array(*map(F.lit, (-255, -1, 0, 1, 2, 3, 4))), ((shape + frame) % 7 + 1).cast("int"))
+    frames = t.filter((shape + frame) % 6 > 0).select("shape", "frame", kind.alias("kind"), ((shape * 3 + frame) % 40).alias("msg"), ((shape + frame * 5) % 45 - 3).alias("other")).distinct()
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("a/"), "p_brand", F.lit("//s"))).when(k % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lit("x/"), "p_brand"))
+    messages = _table(spark, d, "part").filter(k % 40 < 30).select(k.alias("idx"), text.alias("text"))
+    shapes = t.select("shape").distinct().filter("shape % 11 > 0").select("shape", F.concat(F.lit("/"), "shape", F.lit("/y/ies")).alias("name"), (shape % 2 == 0).alias("has_quality"), (shape % 3 == 0).alias("has_quantity"), (shape % 7 == 0).alias("body"))
+    n = F.col("s_suppkey")
+    actors = _table(spark, d, "supplier").select(n.alias("npc"), F.when(n % 5 == 0, "").otherwise(F.col("s_name")).alias("name"), (n % 4 == 3).alias("unused"), (n % 2 == 1).alias("met"))
+    return dims.display_names(t.withColumn("live_npc", F.col("id") % 10), frames, messages, shapes, actors)

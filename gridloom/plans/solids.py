@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import solids
+from ..operators import composites, solids
 from ..operators.solids import EDIT, FLY, SWIM, WALK
 from .queries import _probes, query
 from .world import having, view
@@ -129,3 +129,37 @@ def g5_lights(spark, d):
 @query("g5_ice_quarters", f"{having('solid')} SELECT map, tx // 16 AS cx, ty // 16 AS cy, bit_or(CAST(1 << CAST(tx % 16 // 8 + 2 * (ty % 16 // 8) AS INTEGER) AS INTEGER)) AS ice FROM solid WHERE kind = 2 GROUP BY ALL")
 def g5_ice(spark, d):
     return solids.ice_quarters(_tops(spark, d))
+
+
+_FLAT_SOLID = "greatest(least(abs(p.tx - o.tx), 3072 - abs(p.tx - o.tx)), least(abs(p.ty - o.ty), 3072 - abs(p.ty - o.ty)))"
+
+
+@query("c1_bed_taken", f"""{having('solid')} SELECT p.id, EXISTS (SELECT 1 FROM solid o WHERE o.map = p.map AND {_FLAT_SOLID} <= 2 AND o.tz // 5 = p.tz // 5 AND NOT o.dead AND (p.tx - o.tx + 3072) % 3072 < p.xs AND (p.ty - o.ty + 3072) % 3072 < p.ys AND o.id <> p.id + p.id % 3) AS taken
+FROM solid p WHERE kind = 1""")
+def c1_bed(spark, d):
+    """Whether anyone alive but its owner stands in the footprint of a bed, on its floor."""
+    things = view(spark, d, "solid")
+    beds = things.filter("kind = 1").withColumn("actor", F.col("id") + F.col("id") % 3)
+    return composites.beds_taken(beds, things.filter("NOT dead"))
+
+
+@query("c5_unattended_plates", f"""{having('solid')}, f AS (SELECT * FROM solid p WHERE kind = 2 AND NOT dead AND NOT EXISTS (SELECT 1 FROM solid o WHERE o.light = 4 AND o.map = p.map AND {_FLAT_SOLID} <= 2))
+SELECT p.id AS p_id, o.id, row_number() OVER (PARTITION BY p.id ORDER BY greatest({_FLAT_SOLID}, abs(o.tz - p.tz)), o.id) AS place FROM solid p JOIN f o ON o.map = p.map AND {_FLAT_SOLID} <= 32 AND o.tz // 5 = p.tz // 5 WHERE p.id % 100 = 0""")
+def c5_plates(spark, d):
+    """Plates near each probe that nobody stands by, in the order in which they are fetched."""
+    things = view(spark, d, "solid")
+    plates = things.filter("kind = 2").withColumn("temporary", F.col("dead"))
+    return composites.unattended(_probes(things), plates, things.filter("light = 4")).withColumn("place", F.col("place").cast("long"))
+
+
+_EDGE = "CASE WHEN d{c} > 0 THEN least(abs(p.t{c} - (o.t{c} - o.{c}s + 1 + 3072) % 3072), 3072 - abs(p.t{c} - (o.t{c} - o.{c}s + 1 + 3072) % 3072)) WHEN d{c} < 0 THEN least(abs((p.t{c} - p.{c}s + 1 + 3072) % 3072 - o.t{c}), 3072 - abs((p.t{c} - p.{c}s + 1 + 3072) % 3072 - o.t{c})) ELSE 0 END"
+_WAY = "CASE WHEN o.{c} - p.{c} >= 1536 THEN o.{c} - p.{c} - 3072 WHEN o.{c} - p.{c} <= -1536 THEN o.{c} - p.{c} + 3072 ELSE o.{c} - p.{c} END"
+
+
+@query("c8_nearest_by_edges", f"""{having('solid')}, h AS (SELECT p, o, {_WAY.format(c='tx')} AS dx, {_WAY.format(c='ty')} AS dy FROM solid p JOIN solid o ON o.map = p.map AND o.id <> p.id AND {_FLAT_SOLID} <= 20 WHERE p.id % 100 = 0),
+g AS (SELECT p.id AS p_id, o.id AS id, o.tx AS tx, o.ty AS ty, o.tz AS tz, greatest({_EDGE.format(c='x')}, {_EDGE.format(c='y')}, CASE WHEN p.tz < o.tz THEN greatest(o.tz - p.tz - p.zs, 0) WHEN p.tz > o.tz THEN greatest(p.tz - o.tz - o.zs, 0) ELSE 0 END) AS far FROM h)
+SELECT p_id, id, far FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY far, ty DESC, tx DESC, tz DESC, id) AS k FROM g WHERE far < 1000) WHERE k = 1""")
+def c8_edges(spark, d):
+    """The thing whose edges are nearest to each probe's."""
+    things = view(spark, d, "solid")
+    return composites.nearest_by_edges(_probes(things), things, 20)
