@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..sources import actors, archives, records, snapshots
+from ..sources import actors, archives, records, snapshots, streams
 from ..storage import new_path
 from ..shipping import ship
 from .queries import _table, query
@@ -169,3 +169,22 @@ def s18_flex(spark, d):
 @query("s18_k5_saved_zip", _SAVED)
 def s18_zip(spark, d):
     return _saved(spark, d, "zip")
+
+
+@query("s16_functions", """WITH r AS (SELECT p_partkey % 700 * 150 AS id, p_partkey // 500 % 4 AS rank, p_partkey // 500 % 4 >= 2 AS patch, p_partkey AS place, p_name || p_partkey AS body FROM part WHERE p_partkey % 700 < 500 OR p_partkey % 3 = 0)
+SELECT id, md5(arg_max(body, (CASE WHEN patch THEN 4 ELSE 0 END + rank) * 10000000 + place)) AS digest,
+ CASE WHEN count(*) FILTER (patch) > 0 AND count(*) FILTER (NOT patch) > 0 THEN md5(arg_max(body, rank * 10000000 + place) FILTER (NOT patch)) WHEN count(*) FILTER (patch) > 1 THEN md5(arg_min(body, rank * 10000000 + place) FILTER (patch)) END AS original FROM r GROUP BY id""")
+def s16(spark, d):
+    """Functions in two files and two patches, with ids of two and of four bytes; a patch keeps what it replaces."""
+    k = F.col("p_partkey")
+    rank = F.call_function("div", k, F.lit(500)) % 4
+    rows = _table(spark, d, "part").filter((k % 700 < 500) | (k % 3 == 0)).select(rank.alias("rank"), (rank >= 2).alias("patch"), k.alias("place"), (k % 700 * 150).alias("id"), F.concat("p_name", k.cast("string")).cast("binary").alias("data"))
+    found = streams.in_force(streams.functions(streams.write_functions(rows)))
+    return found.select("id", F.md5("data").alias("digest"), F.md5("original").alias("original"))
+
+
+@query("s20_feed", "SELECT user_id AS file, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS place, event_id % 58 AS kind, md5(props) AS digest FROM events")
+def s20(spark, d):
+    """Messages of each user, recorded as a feed and read again."""
+    rows = _table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("seq"), (F.col("event_id") % 58).alias("kind"), F.col("props").cast("binary").alias("data"))
+    return streams.feed(streams.write_feed(rows)).select("file", "place", "kind", F.md5("data").alias("digest"))
