@@ -1,10 +1,10 @@
 """Quality classifier from weak labels: EM over heuristic labellers, then a hashed linear scorer.
 
 Method: eight heuristic labellers vote good, bad or abstain on every text. A document's votes are one of 3**8
-patterns; patterns are counted over all documents, and expectation-maximisation on the counts estimates the share of
-good texts and each labeller's vote probabilities given either class, from overlaps alone (no given labels). The estimate is
-the most probable one under a prior: that a labeller condemns few good texts is worth ``trust`` votes with ``false_rate``
-of them wrong for every vote cast (kinds of bad text exclude each other, so without it one of them becomes "good"). The
+patterns; patterns are counted over all documents, and expectation-maximisation on the counts estimates the shares of
+good texts and of several kinds of bad ones and each labeller's vote probabilities given each of these classes, from
+overlaps alone (no given labels). What overlaps cannot tell apart, texts that one labeller alone condemns, a prior
+decides: that a labeller condemns one good text in a hundred (``false_rate``), worth ``worth`` votes however many are cast. The
 posterior of its pattern is the soft label on which a logistic scorer over hashed words and binned statistics is
 trained, on a bounded sample: by a hash of the content, so whatever the files are cut to, ``most_rows`` rows of at most
 ``most_words`` words each and ``most_chars`` characters together.
@@ -88,24 +88,33 @@ def features(words: list[bytes], s: tuple[float, ...]) -> tuple[np.ndarray, np.n
     return np.concatenate([ids, extra]), np.concatenate([np.full(len(ids), 1 / max(len(ids), 1)), np.ones(len(extra))])
 
 
-def learn_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, trust: float = 16.0, false_rate: float = 0.005) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior of good, vote probabilities [labeller, class (good, bad), vote] of those who vote, posterior of good by pattern given."""
-    cast = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
-    post = np.where((cast == BAD).any(axis=1), 0.1, 0.9)  # labellers are trusted to start with
+def learn_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, false_rate: float = 0.01, worth: float = 100.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Prior of good, vote probabilities [labeller, class (good, bad), vote] of those who vote, posterior of good by pattern given.
+
+    Latent classes: good texts, and a kind of bad text for each labeller, which begins as the texts that it condemns. Votes are
+    independent given the class. Probabilities of bad are those of all kinds together.
+    """
+    n = len(LABELLERS)
+    cast = (patterns[:, None] // 3 ** np.arange(n)) % 3
+    blamed = (cast == BAD).astype(float)
+    some = blamed.sum(axis=1, keepdims=True)
+    post = np.where(some > 0, np.concatenate([np.full_like(some, 0.1), 0.9 * blamed / np.maximum(some, 1)], axis=1), np.eye(1, n + 1))
     for _ in range(rounds):
-        soft = np.stack([post, 1 - post], axis=1) * counts[:, None]
-        prior = np.clip(soft[:, 0].sum() / max(counts.sum(), 1), 0.01, 0.99)
-        prob = np.empty((len(LABELLERS), 2, 3))
+        soft = post * counts[:, None]
+        share = soft.sum(axis=0) + np.array([float(n)] + [1.0] * n)  # of nothing known, good and bad are as likely
+        prob = np.empty((n, n + 1, 3))
         for v in (GOOD, BAD):
-            prob[:, :, v] = ((cast == v)[:, :, None] * soft[:, None, :]).sum(axis=0) + 0.5
-        believed = trust * prob[:, :, 1:].sum(axis=(1, 2))
-        prob[:, 0, BAD] += believed * false_rate
-        prob[:, 0, GOOD] += believed * (1 - false_rate)
+            prob[:, :, v] = np.einsum("pj,pk->jk", (cast == v).astype(float), soft) + 0.5
+        prob[:, 0, BAD] += worth * false_rate
+        prob[:, 0, GOOD] += worth * (1 - false_rate)
         prob[:, :, 1:] /= prob[:, :, 1:].sum(axis=2, keepdims=True)
-        prob[:, :, ABSTAIN] = 1.0  # says nothing of either class
-        logs = np.log(prob)[np.arange(len(LABELLERS))[None, :], :, cast].sum(axis=1)
-        post = 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0] + np.log((1 - prior) / prior), -50, 50)))
-    return float(prior), prob, post
+        prob[:, :, ABSTAIN] = 1.0  # says nothing of any class
+        logs = np.log(prob)[np.arange(n)[None, :], :, cast].sum(axis=1) + np.log(share / share.sum())
+        post = np.exp(logs - logs.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+    bad = share[1:] / share[1:].sum()
+    two = np.stack([prob[:, 0, :], np.einsum("jkv,k->jv", prob[:, 1:, :], bad)], axis=1)
+    return float(share[0] / share.sum()), two, post[:, 0]
 
 
 def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, epochs: int = 6, rate: float = 0.3, seed: int = 3) -> tuple[np.ndarray, float]:

@@ -711,3 +711,25 @@ def test_mixing_of_few_sources_grows_with_its_rows(spark):
         took.append(time.time() - start)
         assert all(abs(r.n - r.target) <= 1 for r in rows) and len(rows) == 2
     assert took[2] < 9 * took[1] + 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_labellers_accuracies_are_recovered_from_votes_alone(seed):
+    rng, n, size = np.random.default_rng(seed), 20_000, len(weak_labels.LABELLERS)
+    share, bad = np.array([0.8, 0.1, 0.06, 0.04]), np.full((4, size), 0.01)
+    bad[1, [0, 1]], bad[2, [2, 3, 4]], bad[3, [5, 6]] = (0.9, 0.8), (0.85, 0.7, 0.6), (0.95, 0.9)
+    kind = rng.choice(4, n, p=share)
+    cast = np.where(rng.random((n, size)) < 0.05, weak_labels.ABSTAIN, np.where(rng.random((n, size)) < bad[kind], weak_labels.BAD, weak_labels.GOOD))
+    patterns, at, counts = np.unique((cast * 3 ** np.arange(size)).sum(axis=1), return_inverse=True, return_counts=True)
+    prior, prob, post = weak_labels.learn_labellers(patterns, counts.astype(float))
+    assert abs(prior - 0.8) < 0.03
+    assert np.abs(prob[:, 0, weak_labels.BAD] - bad[0]).max() < 0.01
+    assert np.abs(prob[:, 1, weak_labels.BAD] - share[1:] @ bad[1:] / 0.2).max() < 0.04
+    assert ((post[at] >= 0.5) == (kind == 0)).mean() > 0.95
+
+
+def test_labellers_of_odd_votes():
+    none, one = np.zeros(0, np.int64), np.array([0])
+    assert weak_labels.learn_labellers(none, none.astype(float))[2].shape == (0,)
+    prior, prob, post = weak_labels.learn_labellers(one, np.array([5.0]))  # everyone abstains
+    assert 0 < prior < 1 and post[0] > 0.49 and np.isfinite(prob).all()
