@@ -35,6 +35,27 @@ def closure(edges: DataFrame) -> DataFrame:
     return own.unionByName(above)
 
 
+def paths(objects: DataFrame) -> DataFrame:
+    """Adds root, depth and path (ids from the root down) to objects (id, parent) of any depth.
+
+    One round a level; each is written. An object whose parent is not there is a root. Objects in a circle have no root and
+    no row. Ids must be distinct.
+    """
+    there = objects.select(F.col("id").alias("parent")).distinct()
+    lost = objects.filter("parent IS NOT NULL").join(there, "parent", "left_anti").select("id")
+    roots = objects.filter("parent IS NULL").select("id").unionByName(lost)
+    level = objects.join(roots, "id", "left_semi").withColumns({"root": F.col("id"), "depth": F.lit(0), "path": F.array("id")})
+    out = level = materialize(level, "paths")
+    inner = objects.join(roots, "id", "left_anti")
+    while True:
+        above = level.select(F.col("id").alias("parent"), "root", (F.col("depth") + 1).alias("depth"), F.col("path").alias("_up"))
+        level = inner.join(above, "parent").withColumn("path", F.concat("_up", F.array("id"))).drop("_up").select(*out.columns)
+        level = materialize(level, "paths")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
 def rolled_up(leaves: DataFrame, parents: list[tuple[DataFrame, str, str]], value: Column, key: str, name: str) -> DataFrame:
     """level, node, and the total of value at every level: leaves are summed by key, then sums climb parents (table, child, parent)."""
     sums = leaves.groupBy(F.col(key).alias("node")).agg(F.sum(value).alias(name))
@@ -126,6 +147,37 @@ def added(stacks: DataFrame, owner: str, amount: Column, most: int, order: list[
     return rows.withColumn("given", F.least(F.greatest(amount - F.coalesce(before, F.lit(0)), F.lit(0)), F.col("room"))).drop("room")
 
 
+def added_within(requests: DataFrame, things: DataFrame, shape: int, frame: int, unit: int, most: int) -> DataFrame:
+    """req, filled, created, remainder, fillings (id, given) of requests (req, box, delta) to put delta of a shape into boxes.
+
+    things: id, parent, shape, frame, quantity, weight (own, in tenths), closed, limit (of weight a box bears, in whole units; 0
+    has none). unit is the weight of one in hundredths. What the outermost container round a box can still bear bounds what is
+    added; stacks of the shape (and frame, unless that is the wildcard) are filled up to most, first those of the box by id, then
+    those of the boxes in it, depth first; a box that is closed or of the shape itself is not looked into, whole branches of it.
+    The rest becomes new stacks of the box; what does not fit, or all of it if the box is closed, remains. Requests see things as
+    they are, not each other; boxes that are not there and deltas below 1 (or null) add nothing.
+    """
+    placed = materialize(paths(things.select("id", "parent")), "placed")
+    open_ = things.filter(~F.coalesce("closed", F.lit(False)) & (F.col("shape") != shape)).select(F.col("id").alias("parent"))
+    edges = things.select(F.col("id").alias("node"), "parent").join(open_, "parent", "left_semi").select("node", "parent")
+    whole = carried_weight(things.select("id", "parent", "weight").withColumn("_no", F.lit(False)), F.col("_no"))
+    load = placed.select("id", "root").join(whole.select(F.col("id").alias("root"), "weight"), "root").select(F.col("id").alias("box"), "weight")
+    boxes = things.select(F.col("id").alias("box"), "limit").join(open_.select(F.col("parent").alias("box")), "box", "left_semi").join(load, "box")
+    asked = requests.select("req", "box", F.greatest(F.coalesce("delta", F.lit(0)), F.lit(0)).cast("long").alias("delta")).join(boxes, "box", "left")
+    spare = F.floor((F.col("limit") * 100 - F.col("weight") * 10) / F.lit(max(unit, 1))).cast("long")
+    fits = F.when(F.col("weight").isNull(), 0).when((F.coalesce("limit", F.lit(0)) == 0) | F.lit(unit == 0), F.col("delta")).otherwise(F.least("delta", F.greatest(spare, F.lit(0))))
+    asked = asked.withColumn("fits", fits.cast("long")).select("req", "box", "delta", "fits")
+    stacks = things.filter((F.col("shape") == shape) & matches(F.col("frame"), frame) & (F.col("quantity") < most)).select(F.col("id").alias("node"), "parent", (F.lit(most) - F.col("quantity")).alias("room"))
+    stacks = stacks.join(placed.select(F.col("id").alias("parent"), "path"), "parent").join(closure(edges).filter("depth > 0"), "node")
+    rows = asked.filter("fits > 0").join(stacks.withColumnRenamed("ancestor", "box"), "box")
+    before = F.coalesce(F.sum("room").over(W.partitionBy("req").orderBy("path", "node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    given = F.least(F.greatest(F.col("fits") - before, F.lit(0)), F.col("room")).cast("long")
+    filled = rows.withColumn("given", given).filter("given > 0").groupBy("req").agg(F.sum("given").alias("filled"), F.array_sort(F.collect_list(F.struct(F.col("node").alias("id"), "given"))).alias("fillings"))
+    done, none = asked.join(filled, "req", "left"), F.array().cast("array<struct<id:bigint,given:bigint>>")
+    have = F.coalesce("filled", F.lit(0)).cast("long")
+    return done.select("req", have.alias("filled"), (F.col("fits") - have).alias("created"), (F.col("delta") - F.col("fits")).alias("remainder"), F.coalesce("fillings", none).alias("fillings"))
+
+
 def has_all(have: DataFrame, needed: DataFrame, owner: str, key: str) -> DataFrame:
     """Owners that have every needed key (relational division)."""
     want = needed.select(key).distinct()

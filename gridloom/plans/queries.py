@@ -501,3 +501,22 @@ def so1(spark, d):
 def m4(spark, d):
     kept = view(spark, d, "obj").filter(~((F.col("shape") % 10 == 3) & (F.col("frame") == 9)))
     return kept.select("id", F.when(F.col("id") % 6 == 0, (F.col("tx") + 5) % 3072).otherwise(F.col("tx")).alias("tx"), "frame")
+
+
+@query("m2_added_within", f"""{having('thing')}, x AS (SELECT id, parent, id % 3 AS shape, frame % 2 AS frame, quantity, quantity * unit AS weight, burning AS closed, id % 7 * 20 AS cap FROM thing),
+t AS (SELECT id, id AS root, [id] AS path FROM x WHERE parent IS NULL UNION ALL SELECT c.id, t.root, list_append(t.path, c.id) FROM x c JOIN t ON c.parent = t.id),
+o AS (SELECT id FROM x WHERE NOT closed AND shape <> 1), c AS (SELECT o.id AS box, o.id AS node FROM o UNION ALL SELECT c.box, x.id FROM c JOIN x ON x.parent = c.node WHERE c.node IN (SELECT id FROM o)),
+w AS (SELECT root, sum(weight)::BIGINT AS weight FROM t JOIN x USING (id) GROUP BY 1),
+r AS (SELECT id AS req, id AS box, id % 40 AS delta FROM thing),
+a AS (SELECT req, box, delta, CASE WHEN o.id IS NULL THEN 0 WHEN cap = 0 THEN delta ELSE least(delta, greatest(CAST(floor((cap * 100 - w.weight * 10) / 30) AS BIGINT), 0)) END AS fits FROM r JOIN x ON x.id = box JOIN t ON t.id = box JOIN w USING (root) LEFT JOIN o ON o.id = box),
+s AS (SELECT a.req, a.fits, x.id, 8 - x.quantity AS room, sum(8 - x.quantity) OVER (PARTITION BY a.req ORDER BY p.path, x.id ROWS UNBOUNDED PRECEDING) - (8 - x.quantity) AS before FROM a JOIN c ON c.box = a.box AND c.node <> c.box JOIN x ON x.id = c.node JOIN t p ON p.id = x.parent WHERE x.shape = 1 AND x.frame = 1 AND x.quantity < 8 AND fits > 0),
+g AS (SELECT req, id, least(greatest(fits - before, 0), room)::BIGINT AS given FROM s), h AS (SELECT req, sum(given)::BIGINT AS filled, sum(id * given)::BIGINT AS mark FROM g WHERE given > 0 GROUP BY req)
+SELECT a.req, coalesce(filled, 0) AS filled, fits - coalesce(filled, 0) AS created, delta - fits AS remainder, coalesce(mark, 0) AS mark FROM a LEFT JOIN h USING (req)""")
+def m2_within(spark, d):
+    """Some of a shape put into each thing as a box: what it bears, stacks in it at any depth, new stacks, and what remains."""
+    t = view(spark, d, "thing")
+    k = F.col("id")
+    things = t.select("id", "parent", (k % 3).alias("shape"), (F.col("frame") % 2).alias("frame"), "quantity", (F.col("quantity") * F.col("unit")).alias("weight"), F.col("burning").alias("closed"), (k % 7 * 20).alias("limit"))
+    got = hierarchy.added_within(t.select(k.alias("req"), k.alias("box"), (k % 40).alias("delta")), things, 1, 1, 30, 8)
+    mark = F.aggregate("fillings", F.lit(0).cast("long"), lambda acc, f: acc + f["id"] * f["given"])
+    return got.select("req", "filled", "created", "remainder", mark.alias("mark"))

@@ -16,8 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import TILES, bytes_of
+from ..operators.hierarchy import paths
 from ..shipping import ship
-from ..storage import materialize
 
 WIDE, LIFTED, SPECIAL, SLOT = 254, 253, 255, 2
 LENGTHS = (6, 10, 12, 13, 14, 18)
@@ -126,27 +126,6 @@ def superchunk(tx: Column, ty: Column) -> Column:
     return (F.call_function("div", ty, F.lit(SUPERCHUNK)) * ACROSS + F.call_function("div", tx, F.lit(SUPERCHUNK))).cast("int")
 
 
-def paths(objects: DataFrame) -> DataFrame:
-    """Adds root, depth and path (ids from the root down) to objects (id, parent) of any depth.
-
-    One round a level; each is written. An object whose parent is not there is a root. Objects in a circle have no root and
-    no row. Ids must be distinct.
-    """
-    there = objects.select(F.col("id").alias("parent")).distinct()
-    lost = objects.filter("parent IS NOT NULL").join(there, "parent", "left_anti").select("id")
-    roots = objects.filter("parent IS NULL").select("id").unionByName(lost)
-    level = objects.join(roots, "id", "left_semi").withColumns({"root": F.col("id"), "depth": F.lit(0), "path": F.array("id")})
-    out = level = materialize(level, "paths")
-    inner = objects.join(roots, "id", "left_anti")
-    while True:
-        above = level.select(F.col("id").alias("parent"), "root", (F.col("depth") + 1).alias("depth"), F.col("path").alias("_up"))
-        level = inner.join(above, "parent").withColumn("path", F.concat("_up", F.array("id"))).drop("_up").select(*out.columns)
-        level = materialize(level, "paths")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-
-
 def _record(holds: Column) -> Column:
     """The bytes of one record, length and marks included."""
     c = F.col
