@@ -48,3 +48,29 @@ def halted(scripts: DataFrame) -> DataFrame:
     """Adds ended: when a later script of the same key replaces a script (key, started, seq, dont_halt); null if none does."""
     later = F.lead("started").over(W.partitionBy("key").orderBy("started", "seq"))
     return scripts.withColumn("ended", F.when(~F.col("dont_halt"), later))
+
+
+def cache_changes(visits: DataFrame, block: int, reach: int, across: int, width: int = 1 << 24) -> DataFrame:
+    """key, at, seq, bx, by, loaded: the blocks that each of visits (key, at, seq, x, y) of a viewer brings in (true) or lets go (false).
+
+    A block is block x block places; those within reach of the visit's one are held, round a world of `across` blocks: two round
+    each chunk (block 1, reach 2) or one round each superchunk (block 16, reach 1) by the rules of the worlds read here. The first
+    visit of a key brings in all. Visits go by at, then seq, which together must be distinct for a key; those with a null among
+    key, at or place are left out. Time is cut into spans of `width`, each sorted by itself, and a span begins where the one
+    before it ended, so a viewer with most of the visits is many groups.
+    """
+    rows = visits.filter("key IS NOT NULL AND at IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select("key", "at", F.coalesce("seq", F.lit(0)).alias("seq"), *[F.floor(F.col(c) / block).cast("int").alias(f"_{c}") for c in "xy"])
+    rows = rows.withColumn("_span", F.floor(F.col("at") / width))
+    here = F.struct("_x", "_y")
+    ends = rows.groupBy("key", "_span").agg(F.max_by(here, F.struct("at", "seq")).alias("end"))
+    begin = ends.select("key", "_span", F.lag("end").over(W.partitionBy("key").orderBy("_span")).alias("_begin"))
+    rows = rows.withColumn("_before", F.lag(here).over(W.partitionBy("key", "_span").orderBy("at", "seq"))).join(begin, ["key", "_span"])
+    rows = rows.withColumn("_before", F.coalesce("_before", "_begin"))
+    moved = rows.filter(F.col("_before").isNull() | (F.col("_before._x") != F.col("_x")) | (F.col("_before._y") != F.col("_y")))
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    around = lambda x, y: F.array_distinct(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(F.pmod(x + i, F.lit(across)).alias("bx"), F.pmod(y + j, F.lit(across)).alias("by"))))))
+    now = around(F.col("_x"), F.col("_y"))
+    old = F.when(F.col("_before").isNull(), F.slice(now, 1, 0)).otherwise(around(F.col("_before._x"), F.col("_before._y")))
+    changes = lambda blocks, loaded: F.transform(blocks, lambda b: F.struct(b["bx"].alias("bx"), b["by"].alias("by"), F.lit(loaded).alias("loaded")))
+    both = F.concat(changes(F.array_except(now, old), True), changes(F.array_except(old, now), False))
+    return moved.select("key", "at", "seq", F.explode(both).alias("c")).select("key", "at", "seq", "c.*")
