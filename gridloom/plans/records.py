@@ -123,29 +123,32 @@ def s10(spark, d):
     return actors.npcs(actors.write_npcs(rows))
 
 
-@query("s14_k6_messages", "SELECT 'names' AS section, CAST(p_partkey AS INTEGER) AS idx, p_name AS text FROM part WHERE p_partkey % 10 > 0")
+@query("s14_k6_messages", "SELECT 'names' || p_partkey // 200 AS section, CAST(p_partkey AS INTEGER) AS idx, p_name AS text FROM part WHERE p_partkey % 10 > 0")
 def s14(spark, d):
-    """Names written as lines of a section and read again; some lines are comments."""
+    """Names written as lines of a section for every two hundred, in a file for every thousand, and read again; some are comments."""
     k = F.col("p_partkey")
     line = F.when(k % 10 == 0, F.concat(F.lit("# "), "p_name")).when(k % 10 < 4, F.concat(F.lit("  0x"), F.lower(F.hex(k)), F.lit(":"), "p_name")).otherwise(F.concat(k.cast("string"), F.lit(":"), "p_name"))
-    return archives.messages(archives.message_file(_table(spark, d, "part").select(F.lit("names").alias("section"), k.alias("place"), line.alias("line"))))
+    part = lambda n: F.call_function("div", k, F.lit(n)).cast("string")
+    return archives.messages(archives.message_files(_table(spark, d, "part").select(part(1000).alias("path"), F.concat(F.lit("names"), part(200)).alias("section"), k.alias("place"), line.alias("line"))))
 
 
-@query("s13_text_tables", "SELECT 'warmth' AS section, CAST(p_partkey AS INTEGER) AS entry, [CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), p_brand] AS fields FROM part")
+@query("s13_text_tables", "SELECT 'warmth' || p_partkey // 1000 AS section, CAST(p_partkey % 1000 AS INTEGER) AS entry, [CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), p_brand] AS fields FROM part")
 def s13(spark, d):
-    """Lines of a section with fields parted by slashes."""
-    lines = _table(spark, d, "part").select(F.lit("warmth").alias("section"), F.col("p_partkey").alias("place"), F.concat(F.lit(":"), F.concat_ws("/", "p_partkey", "p_size", "p_brand")).alias("line"))
-    found = archives.messages(archives.message_file(lines))
+    """Lines of a section with fields parted by slashes, a file for every thousand parts."""
+    k = F.call_function("div", F.col("p_partkey"), F.lit(1000)).cast("string")
+    lines = _table(spark, d, "part").select(k.alias("path"), F.concat(F.lit("warmth"), k).alias("section"), F.col("p_partkey").alias("place"), F.concat(F.lit(":"), F.concat_ws("/", "p_partkey", "p_size", "p_brand")).alias("line"))
+    found = archives.messages(archives.message_files(lines))
     return found.select("section", F.col("idx").alias("entry"), F.split("text", "/").alias("fields"))
 
 
-@query("s12_k4_attributes", "SELECT p_partkey % 512 AS shape, CAST(max(CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 1000 + p_size + 100 ELSE p_size END) % 1000 AS BIGINT) AS value FROM (SELECT * FROM part WHERE p_partkey < 512) GROUP BY 1")
+@query("s12_k4_attributes", """WITH t AS (SELECT p_partkey // 512 AS file, p_partkey % 512 AS shape, CAST(p_size AS BIGINT) AS value, p_partkey % 3 = 0 AS modified FROM part)
+SELECT file, shape, value + CASE WHEN modified THEN 100 ELSE 0 END AS value FROM t""")
 def s12(spark, d):
-    """Binary records keyed by shape, base then patch: the patch holds only what was modified."""
-    part = _table(spark, d, "part").filter("p_partkey < 512").select(F.col("p_partkey").alias("shape"), F.col("p_size").cast("long").alias("value"))
-    patch = part.filter("shape % 3 = 0").withColumn("value", F.col("value") + 100)
-    both = [records.attributes(records.write_attributes(t)) for t in (part, patch)]
-    return records.patched(*both)
+    """Binary records keyed by shape, a file for every 512 parts, base then patch: the patch holds only what was modified."""
+    k = F.col("p_partkey")
+    base = _table(spark, d, "part").select(F.call_function("div", k, F.lit(512)).alias("file"), (k % 512).alias("shape"), F.col("p_size").cast("long").alias("value"), (k % 3 == 0).alias("modified"))
+    patch = base.filter("modified").withColumn("value", F.col("value") + 100)
+    return records.patched(*[records.attributes(records.write_attributes(t)) for t in (base, patch)])
 
 
 _SAVED = "SELECT 'save' || p_partkey // 100 AS archive, 'u7/' || p_name || p_partkey AS name, md5(p_name || p_type) AS digest FROM part"

@@ -79,15 +79,19 @@ def f19(spark, d):
 _BLOCKED = "b AS (SELECT DISTINCT tx AS x, ty AS y FROM thing WHERE volume > 2)"
 
 
-@query("g4_line_of_sight", f"""{having('thing')}, {_BLOCKED}, w AS (SELECT p.id, o.id AS to_id, p.tx AS x0, p.ty AS y0, o.tx - p.tx AS dx, o.ty - p.ty AS dy, o.tz - p.tz AS dz, p.tz AS z0 FROM thing p JOIN thing o ON o.id <> p.id AND p.id % 100 = 0 AND abs(o.tx - p.tx) <= 40 AND abs(o.ty - p.ty) <= 40),
-n AS (SELECT *, greatest(abs(dx), abs(dy), abs(dz)) AS n FROM w), s AS (SELECT n.*, unnest(range(1, greatest(n, 1))) AS i FROM n), t AS (SELECT id, to_id, x0 + sign(dx)::BIGINT * (i * abs(dx) // n) AS x, y0 + sign(dy)::BIGINT * (i * abs(dy) // n) AS y FROM s)
+_ROUND = "CASE WHEN o.{0} - p.{0} >= 1536 THEN o.{0} - p.{0} - 3072 WHEN o.{0} - p.{0} <= -1536 THEN o.{0} - p.{0} + 3072 ELSE o.{0} - p.{0} END"
+_CLOSE_BY = "least(abs(o.{0} - p.{0}), 3072 - abs(o.{0} - p.{0})) <= 40"
+
+
+@query("g4_line_of_sight", f"""{having('thing')}, {_BLOCKED}, w AS (SELECT p.id, o.id AS to_id, p.tx AS x0, p.ty AS y0, {_ROUND.format('tx')} AS dx, {_ROUND.format('ty')} AS dy, o.tz - p.tz AS dz FROM thing p JOIN thing o ON o.id <> p.id AND p.id % 100 = 0 AND {_CLOSE_BY.format('tx')} AND {_CLOSE_BY.format('ty')}),
+n AS (SELECT *, greatest(abs(dx), abs(dy), abs(dz)) AS n FROM w), s AS (SELECT n.*, unnest(range(1, greatest(n, 1))) AS i FROM n), t AS (SELECT id, to_id, (x0 + sign(dx)::BIGINT * (i * abs(dx) // n) + 3072) % 3072 AS x, (y0 + sign(dy)::BIGINT * (i * abs(dy) // n) + 3072) % 3072 AS y FROM s)
 SELECT id, to_id, NOT EXISTS (SELECT 1 FROM t JOIN b USING (x, y) WHERE t.id = n.id AND t.to_id = n.to_id) AS seen FROM n""")
 def g4(spark, d):
-    """Whether no large thing stands on the tiles between two things at most 40 apart; ways over the seams are left out here."""
+    """Whether no large thing stands on the tiles between two things at most 40 apart, round the world."""
     from ..operators import spatial
 
     t = view(spark, d, "thing")
-    pairs = spatial.near(_probes(t), t, 40).filter("id <> p_id AND abs(tx - p_tx) <= 40 AND abs(ty - p_ty) <= 40")
+    pairs = spatial.near(_probes(t), t, 40).filter("id <> p_id")
     pairs = pairs.select(F.col("p_id").alias("id"), F.col("id").alias("to_id"), "p_tx", "p_ty", "p_tz", "tx", "ty", "tz")
     ways = graph.walked(pairs, ["id", "to_id", "tx", "ty", "tz"], ("p_tx", "p_ty", "p_tz"), ("tx", "ty", "tz"))
     last = F.max("step").over(W.partitionBy("id", "to_id"))
@@ -112,13 +116,26 @@ def m6(spark, d):
     return records.renumbered(kept.unionByName(new), "at").select("place", "terrain", "size")
 
 
-@query("s9_terrains", "SELECT p_partkey AS terrain, i % 16 AS x, i // 16 AS y, (p_partkey * 7 + i) % 1024 AS shape, p_size % 32 AS frame FROM part, range(0, 256) r(i) WHERE p_partkey < 64")
+def _terrains(spark, d, wide):
+    k = F.col("terrain")
+    tiles = _table(spark, d, "part").select(F.col("p_partkey").alias("terrain"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    tiles = tiles.select("terrain", "i", ((k * 7 + F.col("i")) % (65536 if wide else 1024)).alias("shape"), ((F.col("p_size") + F.col("i")) % (256 if wide else 32)).alias("frame"))
+    return records.terrains(records.write_terrains(tiles, wide), wide).select("terrain", "x", "y", "shape", F.col("frame").cast("int").alias("frame"))
+
+
+_TERRAINS = "SELECT p_partkey AS terrain, i % 16 AS x, i // 16 AS y, (p_partkey * 7 + i) % {0} AS shape, CAST((p_size + i) % {1} AS INTEGER) AS frame FROM part, range(0, 256) r(i)"
+
+
+@query("s9_terrains", _TERRAINS.format(1024, 32))
 def s9(spark, d):
-    """Terrains of sixteen by sixteen tiles of two bytes, written and read again."""
-    part = _table(spark, d, "part").filter("p_partkey < 64")
-    tiles = part.select(F.col("p_partkey").alias("terrain"), F.col("p_size"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
-    tiles = tiles.select("terrain", "i", ((F.col("terrain") * 7 + F.col("i")) % 1024).alias("shape"), (F.col("p_size") % 32).alias("frame"))
-    return records.terrains(records.write_terrains(tiles)).select("terrain", "x", "y", "shape", F.col("frame").cast("int").alias("frame"))
+    """Terrains of sixteen by sixteen tiles of two bytes, one for each part, written and read again."""
+    return _terrains(spark, d, False)
+
+
+@query("s9_terrains_wide", _TERRAINS.format(65536, 256))
+def s9_wide(spark, d):
+    """Tiles of three bytes."""
+    return _terrains(spark, d, True)
 
 
 @query("s17_config", "SELECT 'config/nations/n' || n_nationkey AS path, n_name AS value FROM nation UNION ALL SELECT 'config/regions', CAST(count(*) AS VARCHAR) FROM region")

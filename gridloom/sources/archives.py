@@ -150,11 +150,11 @@ def latest(archives: DataFrame, priority: dict[str, int]) -> DataFrame:
     return latest_of(archives.withColumn("rank", rank).filter(F.col("rank").isNotNull()))
 
 
-def message_file(lines: DataFrame) -> DataFrame:
-    """path, value: one file of the lines (section, place, line) of each section in order of place, within its marks."""
-    listed = lines.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("v"))
+def message_files(lines: DataFrame) -> DataFrame:
+    """path, value: a file of the lines (path, section, place, line) of each path, those of a section in order of place within its marks."""
+    listed = lines.groupBy("path", "section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("v"))
     text = F.concat(F.lit("%%section "), F.col("section"), F.lit("\n"), F.array_join(F.transform("v", lambda x: x["line"]), "\n"), F.lit("\n%%endsection\n"))
-    return listed.select(F.lit("").alias("path"), "section", text.alias("t")).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("t")), "").alias("value"))
+    return listed.select("path", text.alias("t")).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("t")), "").alias("value"))
 
 
 def messages(files: DataFrame) -> DataFrame:

@@ -64,38 +64,43 @@ def equipment(files: DataFrame, each: int = 100) -> DataFrame:
 
 
 def write_attributes(rows: DataFrame) -> DataFrame:
-    """content: a count (one byte, or 255 and two bytes) and records of shape and value, two bytes each."""
-    listed = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("shape", F.hex(F.concat(bytes_of(F.col("shape"), 2), bytes_of(F.col("value"), 2))).alias("r")))).alias("v"))
+    """file, content: of each file of rows (file, shape, value) a count (one byte, or 255 and two bytes) and records of shape and
+    value, two bytes each."""
+    record = F.hex(F.concat(bytes_of(F.col("shape"), 2), bytes_of(F.col("value"), 2)))
+    listed = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("shape", record.alias("r")))).alias("v"))
     n = F.size("v").cast("long")
     head = F.when(n < 255, bytes_of(n, 1)).otherwise(F.concat(F.unhex(F.lit("FF")), bytes_of(n, 2)))
-    return listed.select(F.concat(head, F.unhex(F.array_join(F.transform("v", lambda x: x["r"]), ""))).alias("content"))
+    return listed.select("file", F.concat(head, F.unhex(F.array_join(F.transform("v", lambda x: x["r"]), ""))).alias("content"))
 
 
 def attributes(files: DataFrame) -> DataFrame:
-    """shape, value of the records of a file, after its count."""
+    """file, shape, value of the records of files (file, content), after their count."""
     c = F.col("content")
     wide = little_endian(c, 0, 1) == 255
-    body = files.select(F.expr("substring(content, CASE WHEN hex(substring(content, 1, 1)) = 'FF' THEN 4 ELSE 2 END)").alias("content"), F.when(wide, little_endian(c, 1, 2)).otherwise(little_endian(c, 0, 1)).alias("n"))
-    rows = _cut(body, 4, ["n"]).filter(F.col("place") < F.col("n"))
-    return rows.select(little_endian(F.col("record"), 0, 2).alias("shape"), little_endian(F.col("record"), 2, 2).alias("value"))
+    body = files.select("file", F.expr("substring(content, CASE WHEN hex(substring(content, 1, 1)) = 'FF' THEN 4 ELSE 2 END)").alias("content"), F.when(wide, little_endian(c, 1, 2)).otherwise(little_endian(c, 0, 1)).alias("n"))
+    rows = _cut(body, 4, ["file", "n"]).filter(F.col("place") < F.col("n"))
+    return rows.select("file", little_endian(F.col("record"), 0, 2).alias("shape"), little_endian(F.col("record"), 2, 2).alias("value"))
 
 
 def patched(base: DataFrame, patch: DataFrame) -> DataFrame:
-    """shape, value: of the patch where it has the shape, else of the base."""
+    """file, shape, value: of the patch where it has the shape, else of the base."""
     both = base.withColumn("_p", F.lit(0)).unionByName(patch.withColumn("_p", F.lit(1)))
-    return both.groupBy("shape").agg(F.max_by("value", "_p").alias("value"))
+    return both.groupBy("file", "shape").agg(F.max_by("value", "_p").alias("value"))
 
 
-def write_terrains(tiles: DataFrame) -> DataFrame:
-    """terrain, content: the 256 tiles (terrain, i, shape, frame) of each terrain, row by row, two bytes a tile."""
+def write_terrains(tiles: DataFrame, wide: bool = False) -> DataFrame:
+    """terrain, content: the 256 tiles (terrain, i, shape, frame) of each terrain, row by row: two bytes a tile, or three in the wide
+    form, which has shapes of sixteen bits and frames of eight."""
+    if wide:
+        return _joined(tiles, ["terrain"], ["i"], F.concat(bytes_of(F.col("shape"), 2), bytes_of(F.col("frame"), 1)))
     return _joined(tiles, ["terrain"], ["i"], bytes_of(F.col("shape").bitwiseOR(F.shiftleft(F.col("frame"), 10)), 2))
 
 
-def terrains(files: DataFrame) -> DataFrame:
-    """terrain, x, y, shape, frame of files (terrain, content)."""
-    two = little_endian(F.col("record"), 0, 2)
-    place = F.col("place")
-    return _cut(files, 2, ["terrain"]).select("terrain", (place % CHUNK).cast("long").alias("x"), F.call_function("div", place, F.lit(CHUNK)).cast("long").alias("y"), two.bitwiseAND(1023).alias("shape"), F.shiftright(two, 10).bitwiseAND(31).alias("frame"))
+def terrains(files: DataFrame, wide: bool = False) -> DataFrame:
+    """terrain, x, y, shape, frame of files (terrain, content) of either form."""
+    two, place = little_endian(F.col("record"), 0, 2), F.col("place")
+    shape, frame = (two, little_endian(F.col("record"), 2, 1)) if wide else (two.bitwiseAND(1023), F.shiftright(two, 10).bitwiseAND(31))
+    return _cut(files, 3 if wide else 2, ["terrain"]).select("terrain", (place % CHUNK).cast("long").alias("x"), F.call_function("div", place, F.lit(CHUNK)).cast("long").alias("y"), shape.alias("shape"), frame.alias("frame"))
 
 
 def renumbered(rows: DataFrame, order: str) -> DataFrame:
