@@ -24,7 +24,7 @@ def rows(columns, records):
 @pytest.mark.parametrize("name", sorted(world.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got = [r.asDict() for r in world.QUERIES[name](spark, DIR).collect()]
     rel = con.sql(world.ORACLES[name])
