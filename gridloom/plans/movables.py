@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs as E
 from ..operators import spatial
 from ..sources import movables
 from ..storage import new_path

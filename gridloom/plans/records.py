@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs as E
 from ..sources import actors, archives, records, snapshots, streams
 from ..storage import new_path
 from ..shipping import ship

@@ -1,7 +1,5 @@
 """Every world query against its SQL, and units of the rules that differ from SQL."""
 
-import heapq
-import random
 
 import duckdb
 import pytest
