@@ -18,6 +18,7 @@ from ..shipping import ship
 
 FLEX_MAGIC, FLEX_TITLE, FLEX_HEADER = 0xFFFF1A00, 80, 128
 TABLE_END = 0xFFFF
+BATCH_BYTES = 8 << 20  # of objects that a task gives on at once, about
 
 
 def kind_of(data: bytes) -> str:
@@ -75,15 +76,24 @@ def write_flex(objects: list[bytes], title: str = "") -> bytes:
 
 
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "kind", "num", "data"]
     for frame in frames:
-        for r in frame.itertuples():
-            data = bytes(r.content)
+        rows, held = [], 0
+        for path, content in frame[["path", "content"]].itertuples(index=False):
+            data = bytes(content)
             kind = kind_of(data)
-            yield pd.DataFrame([(r.path, kind, i, o) for i, o in enumerate(DECODERS[kind](data))], columns=["path", "kind", "num", "data"])
+            for i, o in enumerate(DECODERS[kind](data)):
+                rows.append((path, kind, i, o))
+                held += len(o)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """path, kind, num, data: the objects of each of files (path, content); each file is decoded in its own task."""
+    """path, kind, num, data: the objects of each of files (path, content); a file is decoded by one task, small ones together."""
     return files.select("path", "content").mapInPandas(_decode, "path string, kind string, num int, data binary")
 
 

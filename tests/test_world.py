@@ -162,3 +162,16 @@ def test_registry():
         known.override("g", 1, lambda before, x: x)
     with pytest.raises(KeyError):
         known.call("g")
+
+
+def test_small_files_are_decoded_together():
+    """Before, each file was a table of its own."""
+    import pandas as pd
+
+    from gridloom.sources import archives
+
+    files = pd.DataFrame({"path": [str(i) for i in range(1000)], "content": [b"x"] * 1000})
+    out = list(archives._decode(iter([files])))
+    assert len(out) == 1 and list(out[0].path) == list(files.path) and set(out[0].kind) == {"flat"}
+    large = files.head(3).assign(content=[bytes(archives.BATCH_BYTES)] * 3)
+    assert [len(t) for t in archives._decode(iter([large]))] == [1, 1, 1]
