@@ -49,4 +49,4 @@ def s19(spark, d):
     movables.store(w, path, 2)
     probes = _probes(w).filter("tx < 600 AND ty < 900")
     found = movables.stored(spark, path, movables.reached(probes, 24)).drop("map_id", "sid")
-    return spatial.near(probes, found, 24).filter("map = p_map").select("p_id", "id", "dist")
+    return spatial.near(probes, found, 24, ("map",)).select("p_id", "id", "dist")

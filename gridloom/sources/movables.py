@@ -163,17 +163,19 @@ def write_movables(objects: DataFrame, parts: int = 1) -> DataFrame:
 
 
 def store(objects: DataFrame, path: str, files: int = 1) -> None:
-    """Write objects (map, tx, ty, and more) by map and superchunk; a hot one is spread over `files` tasks and files."""
+    """Write objects (map, tx, ty, and more) in a directory for each superchunk, of all maps, in order of the map, so that there
+    are 144 directories however many maps, and a scan for some maps passes over the row groups of others; a directory is spread
+    over `files` tasks and files by place."""
     rows = objects.withColumn("map_id", F.col("map")).withColumn("sid", superchunk(F.col("tx"), F.col("ty")))
     spread = F.pmod(F.xxhash64("tx", "ty"), F.lit(files))
-    rows.repartition("map_id", "sid", spread).write.partitionBy("map_id", "sid").parquet(path)
+    rows.repartition("sid", spread).sortWithinPartitions("sid", "map_id").write.partitionBy("sid").parquet(path)
 
 
 def stored(spark: SparkSession, path: str, needed: DataFrame | None = None) -> DataFrame:
     """The objects under path; with needed (map_id, sid) only those of these superchunks.
 
-    Up to MOST_PRUNED of them are named in the scan's filter, so that no other directory is listed or read; more are joined,
-    which prunes while the query runs if Spark finds it worth while.
+    Up to MOST_PRUNED of them are named in the scan's filter, so that no other directory is listed or read, nor row groups of other
+    maps; of more only the superchunks and the range of maps are named. In the end they are joined.
     """
     rows = spark.read.parquet(path)
     if needed is None:
@@ -182,6 +184,9 @@ def stored(spark: SparkSession, path: str, needed: DataFrame | None = None) -> D
     named = needed.limit(MOST_PRUNED + 1).collect()
     if len(named) <= MOST_PRUNED:
         rows = rows.filter(F.col("map_id").isin(sorted({r.map_id for r in named})) & F.col("sid").isin(sorted({r.sid for r in named})))
+    else:
+        ends = needed.agg(F.min("map_id").alias("low"), F.max("map_id").alias("high"), F.collect_set("sid").alias("sids")).head()
+        rows = rows.filter(F.col("map_id").between(ends.low, ends.high) & F.col("sid").isin(sorted(ends.sids)))
     return rows.join(needed, ["map_id", "sid"], "left_semi")
 
 

@@ -95,3 +95,13 @@ def test_only_the_superchunks_that_are_reached_are_read(spark, tmp_path, monkeyp
     assert {r.id for r in movables.stored(spark, path, needed).collect()} == got
     assert movables.stored(spark, path, needed.filter("false")).count() == 0
     assert movables.stored(spark, path).count() == 4000
+
+
+def test_a_stored_world_has_few_directories_however_many_maps(spark, tmp_path):
+    """Before, each map had directories of its own."""
+    world = spark.range(3000).select("id", (F.col("id") % 300).alias("map"), (F.col("id") * 37 % 512).alias("tx"), (F.col("id") * 101 % 512).alias("ty"))
+    movables.store(world, (tmp_path / "world").as_uri(), 2)
+    assert sum(p.is_dir() for p in (tmp_path / "world").rglob("*")) == 4
+    probes = spark.createDataFrame([(7, 300, 300)], "map long, tx long, ty long")
+    got = {r.id for r in movables.stored(spark, (tmp_path / "world").as_uri(), movables.reached(probes, 10)).collect()}
+    assert got == {r.id for r in world.filter("map = 7 AND tx >= 256 AND ty >= 256").collect()}
