@@ -131,12 +131,11 @@ def s14(spark, d):
     return archives.messages(archives.message_files(_table(spark, d, "part").select(part(1000).alias("path"), F.concat(F.lit("names"), part(200)).alias("section"), k.alias("place"), line.alias("line"))))
 
 
-@query("s13_text_tables", "SELECT 'warmth' || p_partkey // 1000 AS section, CAST(p_partkey % 1000 AS INTEGER) AS entry, [CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), p_brand] AS fields FROM part")
+@query("s13_text_tables", "SELECT 'warmth' AS section, CAST(p_partkey AS INTEGER) AS entry, [CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), p_brand] AS fields FROM part")
 def s13(spark, d):
-    """Lines of a section with fields parted by slashes, a file for every thousand parts."""
-    k = F.call_function("div", F.col("p_partkey"), F.lit(1000)).cast("string")
-    lines = _table(spark, d, "part").select(k.alias("path"), F.concat(F.lit("warmth"), k).alias("section"), F.col("p_partkey").alias("place"), F.concat(F.lit(":"), F.concat_ws("/", "p_partkey", "p_size", "p_brand")).alias("line"))
-    found = archives.messages(archives.message_files(lines))
+    """Lines of one section of one file with fields parted by slashes, written in parts of a thousand lines and read again."""
+    lines = _table(spark, d, "part").select(F.lit("table").alias("path"), F.lit("warmth").alias("section"), F.col("p_partkey").alias("place"), F.concat(F.lit(":"), F.concat_ws("/", "p_partkey", "p_size", "p_brand")).alias("line"))
+    found = archives.messages(archives.message_parts(lines, 1000))
     return found.select("section", F.col("idx").alias("entry"), F.split("text", "/").alias("fields"))
 
 

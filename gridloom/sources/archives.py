@@ -167,24 +167,43 @@ def message_files(lines: DataFrame) -> DataFrame:
     return listed.select("path", text.alias("t")).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("t")), "").alias("value"))
 
 
+def message_parts(lines: DataFrame, each: int) -> DataFrame:
+    """path, part, value: as message_files, but a file is cut between lines into parts, of the places of a section that share
+    place div each."""
+    rows = lines.withColumn("_slice", F.floor(F.col("place") / each))
+    own, whole = W.partitionBy("path", "section").orderBy("_slice"), W.partitionBy("path").orderBy("section", "_slice")
+    marks = rows.select("path", "section", "_slice").distinct().select("*", F.row_number().over(whole).alias("part"), F.lag("_slice").over(own).isNull().alias("_first"), F.lead("_slice").over(own).isNull().alias("_last"))
+    listed = rows.groupBy("path", "section", "_slice").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("v")).join(marks, ["path", "section", "_slice"])
+    head = F.when(F.col("_first"), F.concat(F.lit("%%section "), "section", F.lit("\n"))).otherwise("")
+    return listed.select("path", "part", F.concat(head, F.array_join(F.transform("v", lambda x: x["line"]), "\n"), F.lit("\n"), F.when(F.col("_last"), "%%endsection\n").otherwise("")).alias("value"))
+
+
 def messages(files: DataFrame) -> DataFrame:
-    """section, idx, text of message files (path, value).
+    """section, idx, text of message files (path, value; with a column part those of one path are cut between lines, in its order).
 
     Lines stand within `%%section name` and `%%endsection`, or outside of sections (a null section). `index:text` has its
     index in decimal, 0x hexadecimal or octal with a leading 0; `:text` has the next number of the file's one counter,
     which only such lines move. Leading blanks, empty lines, # comments and lines without a colon are left out. Of lines
     with the same section and index the last one counts. Each file is read by itself.
     """
-    raw = files.select("path", F.posexplode(F.split("value", r"[\r\n]+")).alias("line", "s")).withColumn("s", F.regexp_replace("s", r"^[ \t\x08]+", ""))
-    before = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    keys = ["path", "part"]
+    raw = (files if "part" in files.columns else files.withColumn("part", F.lit(0))).select(*keys, F.posexplode(F.split("value", r"[\r\n]+")).alias("line", "s")).withColumn("s", F.regexp_replace("s", r"^[ \t\x08]+", ""))
+    before = W.partitionBy(*keys).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     s = F.col("s")
     mark = F.when(s.startswith("%%section"), F.regexp_extract("s", r"^%%section[ \t\x08]*(.*)$", 1)).when(s.startswith("%%endsection"), "")
-    rows = raw.withColumn("section", F.nullif(F.last(mark, ignorenulls=True).over(before), F.lit("")))
+    raw = raw.withColumn("_mark", mark)
+    rows = raw.withColumn("section", F.last("_mark", ignorenulls=True).over(before))
     rows = rows.withColumn("auto", F.sum(s.startswith(":").cast("int")).over(before) - 1)
+    if "part" in files.columns:  # a part goes on with the section and the count of those before it: a row a part
+        sums = raw.groupBy(*keys).agg(F.sum(s.startswith(":").cast("long")).alias("_n"), F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("line"))).alias("_mark"))
+        earlier = W.partitionBy("path").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        carried = sums.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.last("_mark", ignorenulls=True).over(earlier).alias("_carried"))
+        rows = rows.join(carried, keys).withColumn("section", F.coalesce("section", "_carried")).withColumn("auto", F.col("auto") + F.col("_n"))
+    rows = rows.withColumn("section", F.nullif("section", F.lit("")))
     rows = rows.filter(~s.startswith("%%section") & ~s.startswith("%%endsection") & ~s.startswith("#") & s.contains(":"))
     low = F.lower(F.regexp_extract("s", r"^([^:]*):", 1))
     number = F.when(low == "", F.col("auto")).when(low.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(low, 3, 16), 16, 10)).when(low.rlike("^0[0-7]*$"), F.conv(low, 8, 10)).when(low.rlike("^[0-9]+$"), low)
-    found = rows.select("path", "section", number.cast("int").alias("idx"), "line", F.regexp_extract("s", r"(?s)^[^:]*:(.*)$", 1).alias("text")).filter("idx IS NOT NULL")
+    found = rows.select("path", "section", number.cast("int").alias("idx"), F.struct("part", "line").alias("line"), F.regexp_extract("s", r"(?s)^[^:]*:(.*)$", 1).alias("text")).filter("idx IS NOT NULL")
     return found.groupBy("path", "section", "idx").agg(F.max_by("text", "line").alias("text")).select("section", "idx", "text")
 
 

@@ -175,3 +175,13 @@ def test_small_files_are_decoded_together():
     assert len(out) == 1 and list(out[0].path) == list(files.path) and set(out[0].kind) == {"flat"}
     large = files.head(3).assign(content=[bytes(archives.BATCH_BYTES)] * 3)
     assert [len(t) for t in archives._decode(iter([large]))] == [1, 1, 1]
+
+
+def test_a_file_in_parts_keeps_its_section_and_count(spark):
+    from gridloom.sources import archives
+
+    lines = spark.createDataFrame([("f", s, i, f":{s}{i}" if i % 4 else f"# {i}") for s in "ab" for i in range(25)], "path string, section string, place long, line string")
+    whole, parts = archives.message_files(lines), archives.message_parts(lines, 4)
+    assert parts.count() == 14  # before, a file was one row however long
+    read = lambda files: sorted(map(tuple, archives.messages(files).collect()))
+    assert read(parts) == read(whole) and len(read(whole)) == 36
