@@ -108,8 +108,10 @@ def c7(spark, d):
 def c8(spark, d):
     """Of a list the nearest, the first of equals."""
     t = view(spark, d, "thing")
-    hits = spatial.find_nearby(_probes(t), t, 64, quality=5).filter("id <> p_id").withColumn("far", F.greatest("dist", F.abs(F.col("tz") - F.col("p_tz"))))
-    return hits.groupBy("p_id").agg(F.min_by(F.struct("id", "far"), F.struct("far", "place")).alias("b")).select("p_id", "b.id", "b.far")
+    place = [F.desc("ty"), F.desc("tx"), F.desc("tz"), "id"]
+    listed = t.filter("quality = 5").select("id", "tx", "ty", "tz")
+    far = F.greatest("dist", F.abs(F.col("tz") - F.col("p_tz")))
+    return spatial.first_by(_probes(t).select(*listed.columns), listed, 64, 1, far, place, lambda r: r + 1).select("p_id", "id", F.col("d").alias("far"))
 
 
 @query("c11_party_aboard", f"{having('thing')}, p AS (SELECT * FROM thing WHERE id % 100 = 0), m AS (SELECT p.id AS p_id, (o.tx - p.tx + 3072) % 3072 < 12 AND (o.ty - p.ty + 3072) % 3072 < 12 AS aboard FROM p JOIN thing o ON o.in_party AND o.id // 100 = p.id // 100) SELECT p_id AS id, bool_and(aboard) AS all_aboard, count(*) FILTER (WHERE aboard) AS n FROM m GROUP BY 1")

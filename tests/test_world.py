@@ -185,3 +185,21 @@ def test_a_file_in_parts_keeps_its_section_and_count(spark):
     assert parts.count() == 14  # before, a file was one row however long
     read = lambda files: sorted(map(tuple, archives.messages(files).collect()))
     assert read(parts) == read(whole) and len(read(whole)) == 36
+
+
+def test_dense_objects_do_not_multiply_the_pairs_of_the_nearest(spark, monkeypatch):
+    from gridloom.operators import spatial
+
+    objects = spark.range(4000).select("id", (F.col("id") % 60).alias("tx"), (F.col("id") * 7 % 61).alias("ty"), (F.col("id") % 5).alias("tz"))
+    probes = objects.filter("id % 100 = 0")
+    tried, near = [], spatial.near
+    monkeypatch.setattr(spatial, "near", lambda p, o, r, keys=(): tried.append(r) or near(p, o, r, keys))
+    got = sorted((r.p_id, r.place, r.id, r.d) for r in spatial.k_nearest(probes, objects, 96, 3).collect())
+    assert tried[0] < 96 and tried[-1] == 96  # before, all within 96 were paired at once
+    rows = objects.collect()
+    gap = lambda a, b: min(abs(a - b), 3072 - abs(a - b))
+    want = []
+    for p in (r for r in rows if r.id % 100 == 0):
+        far = sorted((max(gap(p.tx, o.tx), gap(p.ty, o.ty), abs(p.tz - o.tz)), o.id) for o in rows if o.id != p.id)[:3]
+        want += [(p.id, i, o, d) for i, (d, o) in enumerate(far, 1)]
+    assert got == sorted(want)
