@@ -118,7 +118,10 @@ def m6(spark, d):
 
 def _terrains(spark, d, wide):
     k = F.col("terrain")
-    tiles = _table(spark, d, "part").select(F.col("p_partkey").alias("terrain"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    # parts are dealt before they become 256 tiles each, so that tiles are made where they are written; a named number of tasks
+    # keeps few bytes of parts from being put into one
+    dealt = _table(spark, d, "part").select(F.col("p_partkey").alias("terrain"), "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "terrain")
+    tiles = dealt.select("terrain", "p_size", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
     tiles = tiles.select("terrain", "i", ((k * 7 + F.col("i")) % (65536 if wide else 1024)).alias("shape"), ((F.col("p_size") + F.col("i")) % (256 if wide else 32)).alias("frame"))
     return records.terrains(records.write_terrains(tiles, wide), wide).select("terrain", "x", "y", "shape", F.col("frame").cast("int").alias("frame"))
 

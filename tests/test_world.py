@@ -203,3 +203,10 @@ def test_dense_objects_do_not_multiply_the_pairs_of_the_nearest(spark, monkeypat
         far = sorted((max(gap(p.tx, o.tx), gap(p.ty, o.ty), abs(p.tz - o.tz)), o.id) for o in rows if o.id != p.id)[:3]
         want += [(p.id, i, o, d) for i, (d, o) in enumerate(far, 1)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["s9_terrains", "s9_terrains_wide"])
+def test_tiles_of_terrains_are_not_shuffled(spark, name):
+    """Before, the tiles of a part were dealt out one by one."""
+    plan = world.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Generate explode(") < plan.index("Exchange hashpartitioning")
