@@ -91,13 +91,7 @@ def g4(spark, d):
     from ..operators import spatial
 
     t = view(spark, d, "thing")
-    pairs = spatial.near(_probes(t), t, 40).filter("id <> p_id")
-    pairs = pairs.select(F.col("p_id").alias("id"), F.col("id").alias("to_id"), "p_tx", "p_ty", "p_tz", "tx", "ty", "tz")
-    ways = graph.walked(pairs, ["id", "to_id", "tx", "ty", "tz"], ("p_tx", "p_ty", "p_tz"), ("tx", "ty", "tz"))
-    last = F.max("step").over(W.partitionBy("id", "to_id"))
-    large = t.filter("volume > 2").select(F.col("tx").alias("x"), F.col("ty").alias("y")).distinct()
-    hidden = ways.withColumn("n", last).filter("step < n").join(large, ["x", "y"], "left_semi").select("id", "to_id").distinct().withColumn("seen", F.lit(False))
-    return pairs.select("id", "to_id").join(hidden, ["id", "to_id"], "left").select("id", "to_id", F.coalesce("seen", F.lit(True)).alias("seen"))
+    return spatial.seen(_probes(t), t.withColumn("blocks", F.col("volume") > 2), 40)
 
 
 @query("a10_profile", "SELECT event_type AS phase, count(*) AS calls, sum(epoch_us(ts) % 1000000)::BIGINT AS micros FROM events GROUP BY 1")
