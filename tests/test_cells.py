@@ -73,3 +73,45 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = plan_of(world.QUERIES[name](spark, DIR))
     dealt = [line for line in plan.splitlines() if "Exchange" in line]
     assert dealt and not [line for line in dealt if "p_id" in line or "x#" in line and "hashpartitioning(x#" in line or "to_id" in line]
+
+
+KINDS = ["monster", "teleport", "jukebox", "missile", "fire_field", None]
+
+
+def steps_and_eggs(spark, seed):
+    r = random.Random(seed)
+    place = lambda: (r.choice([3066, 0, 6]) + r.randrange(6)) % 3072
+    flag = lambda: r.choice([True, False, None])
+    steps = [(i, *(p := (place(), place())), r.randrange(6), (p[0] + r.randrange(-2, 3)) % 3072 if i % 9 else None, (p[1] + r.randrange(-2, 3)) % 3072, flag(), flag(), flag(), r.choice([3, 12, None])) for i in range(150)]
+    eggs = [(i, place(), place(), r.randrange(6), r.choice([0, 1, 3, 9, 1535, 1600, None]), r.choice([*range(8), None]), r.choice(KINDS), flag(), flag(), flag(), flag()) for i in range(200)]
+    columns = "id long, tx long, ty long, tz long, from_tx long, from_ty long, main boolean, in_party boolean, actor boolean, hour long"
+    of_eggs = "id long, tx long, ty long, tz long, reach long, criteria long, kind string, nocturnal boolean, hatched boolean, auto_reset boolean, revocable boolean"
+    return spark.createDataFrame(steps, columns), spark.createDataFrame(eggs, of_eggs)
+
+
+IN = "(pmod({x} - e.tx + e.reach - {s}, 3072) < 2 * e.reach + 1 - 2 * {s} AND pmod({y} - e.ty + e.reach - {s}, 3072) < 2 * e.reach + 1 - 2 * {s})"
+NOW, OLD, NOW1, OLD1 = (IN.format(x=x, y=y, s=s) for s in (0, 1) for x, y in (("m.tx", "m.ty"), ("from_tx", "from_ty")))
+ON_LEVEL = "(abs(m.tz - e.tz) < 2 OR kind = 'missile' AND abs(m.tz - e.tz) < 5)"
+NEAR = f"CASE WHEN kind = 'teleport' THEN m.tz = e.tz WHEN kind = 'jukebox' THEN true ELSE {ON_LEVEL} AND NOT {OLD} END"
+FIRES = f"""{NOW} AND NOT (hatched AND NOT auto_reset) AND NOT (nocturnal AND hour > 4 AND hour < 21) AND CASE criteria WHEN 0 THEN main AND (NOT hatched OR NOT {OLD}) WHEN 1 THEN in_party AND {NEAR}
+ WHEN 2 THEN main AND in_party AND {NEAR} WHEN 3 THEN main AND {OLD1} AND NOT {NOW1} WHEN 4 THEN main AND m.tz = e.tz WHEN 5 THEN m.tz = e.tz AND CASE WHEN kind = 'fire_field' THEN actor ELSE in_party END WHEN 6 THEN abs(m.tz - e.tz) < 4 AND NOT actor ELSE false END"""
+CLOSE = f"CASE WHEN kind = 'teleport' THEN false WHEN kind = 'jukebox' THEN NOT {NOW} AND {OLD} ELSE NOT ({ON_LEVEL} AND {NOW} AND NOT {OLD}) END"
+OFF = f"(NOT {NOW} OR m.tz <> e.tz)"
+SETS_BACK = f"""({NOW} OR {OLD} AND NOT {NOW}) AND main AND revocable AND hatched AND (nocturnal AND hour > 4 AND hour < 21 OR CASE criteria WHEN 0 THEN {OLD} AND NOT {NOW} WHEN 1 THEN in_party AND {CLOSE} WHEN 2 THEN in_party AND {CLOSE}
+ WHEN 3 THEN {OLD} AND NOT {OLD1} AND {NOW1} WHEN 4 THEN {OFF} WHEN 5 THEN {OFF} AND CASE WHEN kind = 'fire_field' THEN actor ELSE in_party END WHEN 6 THEN (NOT {NOW} OR abs(m.tz - e.tz) >= 4) AND NOT actor ELSE false END)"""
+
+
+@pytest.mark.parametrize("operator, rule", [(spatial.triggered, FIRES), (spatial.untriggered, SETS_BACK)])
+def test_triggers_by_all_pairs_with_nulls(spark, operator, rule):
+    steps, eggs = steps_and_eggs(spark, 5)
+    want = spark.sql(f"SELECT e.id AS egg, m.id AS step FROM {{m}} m CROSS JOIN {{e}} e WHERE {rule}", m=steps, e=eggs).collect()
+    got = operator(steps, eggs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 50
+
+
+@pytest.mark.parametrize("name", ["j3_w5_w6_triggers", "w7_untriggered"])
+def test_triggers_are_merged_and_never_broadcast(spark, name):
+    plan = plan_of(world.QUERIES[name](spark, DIR))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    conditions = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert max(map(len, conditions)) < 1500  # the method of a larger one is not compiled
