@@ -67,10 +67,14 @@ def cache_changes(visits: DataFrame, block: int, reach: int, across: int, width:
     rows = rows.withColumn("_before", F.lag(here).over(W.partitionBy("key", "_span").orderBy("at", "seq"))).join(begin, ["key", "_span"])
     rows = rows.withColumn("_before", F.coalesce("_before", "_begin"))
     moved = rows.filter(F.col("_before").isNull() | (F.col("_before._x") != F.col("_x")) | (F.col("_before._y") != F.col("_y")))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    around = lambda x, y: F.array_distinct(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(F.pmod(x + i, F.lit(across)).alias("bx"), F.pmod(y + j, F.lit(across)).alias("by"))))))
-    now = around(F.col("_x"), F.col("_y"))
-    old = F.when(F.col("_before").isNull(), F.slice(now, 1, 0)).otherwise(around(F.col("_before._x"), F.col("_before._y")))
-    changes = lambda blocks, loaded: F.transform(blocks, lambda b: F.struct(b["bx"].alias("bx"), b["by"].alias("by"), F.lit(loaded).alias("loaded")))
-    both = F.concat(changes(F.array_except(now, old), True), changes(F.array_except(old, now), False))
-    return moved.select("key", "at", "seq", F.explode(both).alias("c")).select("key", "at", "seq", "c.*")
+    # the blocks round a place as rows, so the arithmetic stays in generated code; in a small world each block once
+    offsets = range(-reach, reach + 1) if 2 * reach < across else range(across)
+    moved = moved.select("key", "at", "seq", F.explode(F.array(F.lit(True), F.lit(False))).alias("loaded"), "_x", "_y", F.col("_before._x").alias("_px"), F.col("_before._y").alias("_py"))
+    for c in "xy":
+        now, old = F.when(F.col("loaded"), F.col(f"_{c}")).otherwise(F.col(f"_p{c}")), F.when(F.col("loaded"), F.col(f"_p{c}")).otherwise(F.col(f"_{c}"))
+        moved = moved.withColumns({f"_now{c}": now, f"_old{c}": old})
+    moved = moved.filter("_nowx IS NOT NULL")
+    for c in "xy":
+        moved = moved.withColumn("_k", F.explode(F.array(*map(F.lit, offsets)))).withColumn(f"b{c}", F.pmod(F.col(f"_now{c}") + F.col("_k"), F.lit(across))).drop("_k")
+    held = lambda c: F.pmod(F.col(f"b{c}") - F.col(f"_old{c}") + reach, F.lit(across)) <= 2 * reach
+    return moved.filter(~F.coalesce(held("x") & held("y"), F.lit(False))).select("key", "at", "seq", "bx", "by", "loaded")
