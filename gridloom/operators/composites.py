@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import TILES, footprint_gap, height_gap
-from .spatial import near
+from .spatial import first_by, near
 
 FLOOR = 5  # fixed value: levels a floor
 
@@ -45,10 +45,14 @@ def unattended(probes: DataFrame, plates: DataFrame, actors: DataFrame, radius:
 
 def nearest_by_edges(probes: DataFrame, things: DataFrame, radius: int, bound: int = 1000) -> DataFrame:
     """p_id, id, far: of things (id, map, tx, ty, tz, xs, ys, zs) with an anchor within radius of a probe the one whose edges are
-    nearest to the probe's, below bound; of equals the first in the order of results (ty, tx, tz descending, then id)."""
+    nearest to the probe's, below bound; of equals the first in the order of results (ty, tx, tz descending, then id).
+
+    Edges are nearer than anchors by less than the largest size, so a square that grows with the probe settles it."""
     columns = ("id", "map", "tx", "ty", "tz", "xs", "ys", "zs")
-    hits = near(probes.select(*columns), things.select(*columns), radius, ("map",)).filter("id <> p_id")
     flat = [footprint_gap(F.col(f"p_t{c}"), F.col(f"t{c}"), F.col(f"p_{c}s"), F.col(f"{c}s")) for c in "xy"]
     far = F.greatest(*flat, height_gap(F.col("p_tz"), F.col("tz"), F.col("p_zs"), F.col("zs")))
-    order = F.struct("far", -F.col("ty"), -F.col("tx"), -F.col("tz"), "id")
-    return hits.withColumn("far", far).filter(F.col("far") < bound).groupBy("p_id").agg(F.min_by(F.struct("id", "far"), order).alias("b")).select("p_id", "b.id", "b.far")
+    largest = lambda rows: rows.agg(F.max(F.greatest("xs", "ys"))).head()[0] or 1
+    size = max(largest(probes), largest(things), 1)
+    order = [F.desc("ty"), F.desc("tx"), F.desc("tz"), "id"]
+    best = first_by(probes.select(*columns), things.select(*columns), radius, 1, far, order, lambda r: r + 2 - size, ("map",), bound, size)
+    return best.select("p_id", "id", F.col("d").alias("far"))

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.operators import spatial
+from gridloom.functions import exprs
+from gridloom.operators import composites, spatial
 from gridloom.plans import queries as world
 
 DIR = "/root/testdata/sf0.001"
@@ -115,3 +117,18 @@ def test_triggers_are_merged_and_never_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     conditions = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert max(map(len, conditions)) < 1500  # the method of a larger one is not compiled
+
+
+def test_edges_are_sought_in_a_growing_square(spark, monkeypatch):
+    r, seen = random.Random(3), []
+    rows = [(i, i % 2, (3060 + r.randrange(40)) % 3072, (3060 + r.randrange(40)) % 3072, r.randrange(9), r.randrange(1, 4), r.randrange(1, 4), r.randrange(3)) for i in range(400)]
+    rows += [(900, 0, 1500, 1500, 0, 1, 1, 1), (901, 0, 1513, 1490, 0, 3, 1, 1), (902, 1, 1500, 1501, 0, 1, 1, 1)]  # one with a far neighbour, one with none on its map
+    things = spark.createDataFrame(rows, "id long, map long, tx long, ty long, tz long, xs long, ys long, zs long")
+    monkeypatch.setattr(spatial, "near", lambda p, o, radius, *rest, near=spatial.near: seen.append((radius, p.count())) or near(p, o, radius, *rest))
+    got = {x.p_id: (x.id, x.far) for x in composites.nearest_by_edges(things.filter("id % 4 = 0 OR id > 900"), things, 20).collect()}
+    flat = "{{p}} p JOIN {{o}} o ON o.map = p.map AND o.id <> p.id AND {0} <= 20".format("greatest(least(abs(p.tx - o.tx), 3072 - abs(p.tx - o.tx)), least(abs(p.ty - o.ty), 3072 - abs(p.ty - o.ty)))")
+    pairs = spark.sql(f"SELECT p.id AS p_id, o.*, p.tx AS p_tx, p.ty AS p_ty, p.tz AS p_tz, p.xs AS p_xs, p.ys AS p_ys, p.zs AS p_zs FROM {flat}", p=things.filter("id % 4 = 0 OR id > 900"), o=things)
+    far = F.greatest(*[exprs.footprint_gap(F.col(f"p_t{c}"), F.col(f"t{c}"), F.col(f"p_{c}s"), F.col(f"{c}s")) for c in "xy"], exprs.height_gap(F.col("p_tz"), F.col("tz"), F.col("p_zs"), F.col("zs")))
+    want = pairs.withColumn("far", far).groupBy("p_id").agg(F.min(F.struct("far", -F.col("ty"), -F.col("tx"), -F.col("tz"), "id")).alias("b")).select("p_id", "b.id", "b.far").collect()
+    assert got == {x.p_id: (x.id, x.far) for x in want} and 900 in got and 902 not in got
+    assert seen[-1][0] == 20 and seen[-1][1] < 10  # only what nothing is near to is sought that far
