@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spatial
 from ..sources import movables
-from ..storage import new_path
+from ..storage import materialize, new_path
 from .queries import _FLAT, _probes, query
 from .world import having, view
 
@@ -32,7 +32,9 @@ def _written(spark, d):
 def s8(spark, d):
     """Things in containers of any depth, written as two files a superchunk and read again; lifts beyond 15 need the extended form."""
     found = movables.movables(_written(spark, d))
-    own = found.withColumn("id", F.col("shape").cast("long") + F.shiftleft(F.col("quality").cast("long"), 16))
+    id_ = (F.col("shape").cast("long") + F.shiftleft(F.col("quality").cast("long"), 16)).alias("id")
+    # written, as both sides of the join below would else sort, write and read all files for themselves
+    own = materialize(found.select(*movables.KEYS, "seq", "parent_seq", id_, "depth", "x", "y", "lift", "frame", "kind", "flags"), "records")
     above = own.select(*movables.KEYS, F.col("seq").alias("parent_seq"), F.col("id").alias("parent"))
     both = own.join(above, [*movables.KEYS, "parent_seq"], "left")
     return both.select("id", "parent", "depth", "map_id", "sid", "x", "y", "lift", "frame", "kind", "flags")

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.plans import queries as world
 from gridloom.sources import movables
 
+DIR = "/root/testdata/sf0.001"
 OBJECT = "id long, parent long, map long, tx long, ty long, lift int, shape int, frame int, quality int, flags int, slot int, kind string"
 SIMPLE = bytes([6, 0x12, 0x34, 5, 0x08, 0x70, 9])  # shape 5, frame 2, lift 7
 
@@ -105,3 +107,8 @@ def test_a_stored_world_has_few_directories_however_many_maps(spark, tmp_path):
     probes = spark.createDataFrame([(7, 300, 300)], "map long, tx long, ty long")
     got = {r.id for r in movables.stored(spark, (tmp_path / "world").as_uri(), movables.reached(probes, 10)).collect()}
     assert got == {r.id for r in world.filter("map = 7 AND tx >= 256 AND ty >= 256").collect()}
+
+
+def test_files_are_written_and_read_once(spark):
+    plan = world.QUERIES["s8_k2_movables"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "Window" not in plan  # a join of the records with themselves would do both twice
