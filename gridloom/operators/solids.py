@@ -22,6 +22,7 @@ LEVELS = 256  # fixed value
 WALK, SWIM, FLY, ETHEREAL, LEVITATE, EDIT = 1, 2, 4, 8, 16, 32
 WATER, SOLID = 2, 4  # fixed values: bits of a terrain
 TILE = ["map", "x", "y"]
+_ROWS, _CUT = 250_000, 10  # things for each task that falls are dealt to; rounds after which their levels are written
 
 
 def _tiles(things: DataFrame, *keep: str | Column) -> DataFrame:
@@ -178,30 +179,48 @@ def fallen(things: DataFrame, max_drop: int = 100, within: int | None = None) ->
     rounds then touch only tiles in which something moved. Each round lowers something or is the last, and moves work
     upwards through a stack, so it ends within the height of the highest stack in rounds. Things that overlap in height
     within a tile count as standing on the nearest one whose base is not above theirs (ties by id).
+
+    The tiles are dealt twice and kept, by tile and by thing, and so are the levels of the things. A round shuffles what
+    moved and what is above that, but never all tiles or things; the side that is kept is neither shuffled nor sorted.
     """
+    conf = things.sparkSession.conf
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), -(-things.count() // _ROWS))
+    few = lambda df: df.hint("shuffle_hash")
     up = W.partitionBy(*TILE).orderBy("tz", "id")
-    cells = _tiles(things.filter("zs > 0"), "id", "tz", "movable", "gone").withColumn("place", F.row_number().over(up))
     under = F.last(F.when(~F.col("gone"), F.col("id")), ignorenulls=True).over(up.rowsBetween(W.unboundedPreceding, -1))
-    cells = materialize(cells.withColumn("under", under), "cells")
-    pairs = materialize(cells.filter("movable AND NOT gone").select("id", "under").distinct(), "standing")
-    base = materialize(things.filter("zs > 0 AND NOT gone").groupBy("id").agg(F.min("tz").alias("tz"), F.max("zs").alias("zs")), "heights")
-    state, fell, freed = base, None, cells.filter("gone")
-    while True:
-        lowest = freed.groupBy(*TILE).agg(F.min("place").alias("from"))
-        ids = cells.join(lowest, TILE).filter("movable AND NOT gone AND place > from").select("id").distinct()
-        mine = pairs.join(ids, "id", "left_semi").join(state.select(F.col("id").alias("under"), (F.col("tz") + F.col("zs")).alias("top")), "under", "left")
-        floors = mine.groupBy("id").agg(F.max(F.coalesce("top", F.lit(0))).alias("floor"), F.min(F.coalesce("top", F.lit(0))).alias("lowest"))
-        falls = (F.col("floor") < F.col("tz")) & (F.col("tz") - 1 - F.col("lowest") <= max_drop)
-        if within is not None:
-            falls = falls & (F.col("tz") - F.col("lowest") <= within)
-        moved = floors.join(state, "id").filter(falls).select("id", F.col("floor").cast(base.schema["tz"].dataType).alias("tz"))
-        moved = materialize(moved, "fell")
-        if moved.isEmpty():
-            break
-        fell = moved if fell is None else materialize(fell.join(moved, "id", "left_anti").unionByName(moved), "fallen")
-        state = base.join(fell.withColumnRenamed("tz", "now"), "id", "left").select("id", F.coalesce("now", "tz").alias("tz"), "zs")
-        freed = cells.join(moved.select("id"), "id", "left_semi")
-    return base.select("id", "tz").filter("false") if fell is None else fell
+    cells = _tiles(things.filter("zs > 0"), "id", "tz", "movable", "gone").repartition(tasks, *TILE)
+    cells = cells.select(*TILE, "id", "movable", "gone", F.row_number().over(up).alias("place"), under.alias("under")).persist()
+    on = F.coalesce("under", "id").alias("on")  # the ground is looked up at the thing itself, or all on it would meet in one task
+    feet = cells.filter("movable AND NOT gone").select("id", *TILE, "place", on, F.col("under").isNull().alias("ground")).repartition(tasks, "id").persist()
+    base = things.filter("zs > 0 AND NOT gone").select("id", "tz", "zs").repartition(tasks, "id").groupBy("id").agg(F.min("tz").alias("tz"), F.max("zs").alias("zs"))
+    state = base.withColumn("was", F.col("tz")).persist()
+    kept, freed, rounds = [cells, feet, state], cells.filter("gone"), 0
+    try:
+        while True:
+            lowest = freed.groupBy(*TILE).agg(F.min("place").alias("from"))
+            ids = cells.join(few(lowest), TILE).filter("movable AND NOT gone AND place > from").select("id").distinct()
+            mine = feet.join(few(ids), "id", "left_semi").select("id", "on", "ground").distinct()
+            tops = state.select(F.col("id").alias("on"), (F.col("tz") + F.col("zs")).alias("top"))
+            top = F.when(~F.col("ground") & F.col("top").isNotNull(), F.col("top")).otherwise(0)
+            floors = tops.join(few(mine), "on").groupBy("id").agg(F.max(top).alias("floor"), F.min(top).alias("lowest"))
+            falls = (F.col("floor") < F.col("tz")) & (F.col("tz") - 1 - F.col("lowest") <= max_drop)
+            if within is not None:
+                falls = falls & (F.col("tz") - F.col("lowest") <= within)
+            moved = state.join(few(floors), "id").filter(falls).select("id", F.col("floor").cast(state.schema["tz"].dataType).alias("now"))
+            moved = materialize(moved, "fell")
+            if moved.isEmpty():
+                return materialize(state.filter("tz < was").select("id", "tz"), "fallen")
+            for before in kept[2:-1]:  # this round has read the levels that came of it
+                before.unpersist()
+            kept[2:], rounds = [state], rounds + 1
+            state = state.join(few(moved), "id", "left").select("id", F.coalesce("now", "tz").alias("tz"), "zs", "was")
+            if rounds % _CUT == 0:
+                state = materialize(state, "levels").repartition(tasks, "id")
+            kept.append(state.persist())
+            freed = feet.join(few(moved), "id", "left_semi")
+    finally:
+        for df in kept:
+            df.unpersist()
 
 
 def roofs(things: DataFrame, level_: int | None = None) -> DataFrame:

@@ -87,6 +87,31 @@ def test_falling_of_random_towers(spark, seed):
         assert got == want
 
 
+def shuffled(spark, since):
+    """Records shuffled by the stages after one, and the last stage."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > since), max(s.stageId() for s in stages)
+
+
+@pytest.mark.parametrize("within", [None, 17])
+def test_rounds_do_not_shuffle_what_stays(spark, within):
+    tower = [(k, 0, 1, 1, 3 * k, 1, 1, 1, True, k % 3 == 0) for k in range(9)]  # gaps of two and five levels, several rounds
+    still = [(100 + k, 0, 10 + k % 3000, 10 + k // 3000, 0, 1, 1, 1, True, False) for k in range(20_000)]
+    things = spark.createDataFrame(tower + still, FALL)
+    spark.range(1).repartition(2).collect()
+    _, since = shuffled(spark, -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {tuple(r) for r in solids.fallen(things, 100, within).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    names = [f.split()[0] for f in FALL.split(", ")]
+    assert got == simulate([dict(zip(names, r, strict=True)) for r in tower], 100, within) == {(1, 0), (2, 1), (4, 2), (5, 3), (7, 4), (8, 5)}
+    assert shuffled(spark, since)[0] < 4 * len(still)  # three times at the start, whatever the number of rounds
+
+
 def test_nothing_falls_without_a_gap_or_things(spark):
     rows = [(1, 0, 5, 5, 0, 1, 1, 3, True, False), (2, 0, 5, 5, 3, 1, 1, 1, True, False), (3, 0, 9, 9, 4, 1, 1, 1, False, False), (4, 0, 9, 9, 2, 1, 1, 2, True, True)]
     assert solids.fallen(spark.createDataFrame(rows, FALL)).count() == 0
