@@ -107,6 +107,23 @@ def test_every_object_walks(spark):
     assert got == {i: (gap(p, obj[i + 1]), obj[i + 1]) for i, p in obj.items() if i + 1 in obj}
 
 
+def test_walks_are_dealt_to_all_tasks(spark):
+    tiles = world.QUERIES["g3_straight_walk_whole"](spark, DIR)
+    assert tiles.select(F.spark_partition_id()).distinct().count() == 4  # one, where the objects were only read by the size of their file
+
+
+def test_walk_from_outside_the_world(spark):
+    rows = [(1, -3, 6000, 2, 4, 6001, 0), (2, 3071, 0, 0, 3075, -4, 0), (3, 0, 0, 3000, 4000, 0, 3071)]
+    got = graph.walked(spark.createDataFrame(rows, "id long, a long, b long, c long, d long, e long, f long"), ["id"], ("a", "b", "c"), ("d", "e", "f")).collect()
+    wrap = lambda d: d - 3072 if d >= 1536 else d + 3072 if d <= -1536 else d
+    want = set()
+    for i, *ends in rows:
+        d = [wrap(b - a) for a, b in zip(ends[:3], ends[3:], strict=True)]
+        n = max(map(abs, d))
+        want |= {(i, k, *[(a + (1 if v > 0 else -1) * (k * abs(v) // n)) % 3072 for a, v in zip(ends[:3], d, strict=True)]) for k in range(1, n + 1)}
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
 def test_every_name_and_text_is_searched(spark):
     got = sorted(map(tuple, world.QUERIES["p8_substring"](spark, DIR).collect()))
     sql = "SELECT 'part', p_partkey, instr(lower(p_name), 'a') FROM '{0}/part.parquet' WHERE contains(lower(p_name), 'a') UNION ALL SELECT 'document', doc_id, instr(lower(text), 'a') FROM '{0}/documents.parquet' WHERE contains(lower(text), 'a')"
