@@ -227,3 +227,14 @@ def test_tiles_of_terrains_are_not_shuffled(spark, name):
     """Before, the tiles of a part were dealt out one by one."""
     plan = world.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Generate explode(") < plan.index("Exchange hashpartitioning")
+
+
+def test_walks_that_repeat_each_other_are_written_together(spark, tmp_path):
+    """Before, walks came in the order of a hash, and the same rows took up twice the disk."""
+    d = "/root/testdata/sf0.01"
+    world.QUERIES["g3_straight_walk_whole"](spark, d).write.parquet(str(tmp_path / "together"))
+    world._tiles_to_next(world._to_next(world.view(spark, d, "obj"))).write.parquet(str(tmp_path / "apart"))
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet"))
+    assert size("together") < 0.75 * size("apart")
+    together, apart = (spark.read.parquet(str(tmp_path / name)).agg(F.count("*"), F.sum(F.xxhash64("id", "step", "x", "y", "z").cast("decimal(38, 0)"))).head() for name in ("together", "apart"))
+    assert together == apart
