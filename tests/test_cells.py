@@ -77,6 +77,23 @@ def test_pairs_are_not_shuffled(spark, name):
     assert dealt and not [line for line in dealt if "p_id" in line or "x#" in line and "hashpartitioning(x#" in line or "to_id" in line]
 
 
+@pytest.mark.parametrize("radius, rows", [(0, 1 << 17), (24, 50), (60, 1), (1527, 1 << 17)])
+def test_ids_nearby_are_those_of_find_nearby(spark, monkeypatch, radius, rows):
+    monkeypatch.setattr(spatial, "_ROWS", rows)
+    things = [(*t[:4], t[4], t[0] % 3, 0) for t in crowd(150, 4)] + [(200, None, 4, 0, 1, 0, 0), (201, 3, None, 0, 1, 0, 0), (202, 3, 3, None, 1, 0, 0), (None, 3, 3, None, 1, 0, 0), (204, 3, 3, 5, 1, 0, 0), (205, 3075, -2, 5, 1, 0, 0)]
+    df = spark.createDataFrame(things, "id long, tx long, ty long, tz long, shape long, frame long, quality long")
+    probes = df.filter("id % 3 = 0 OR id > 200")
+    for wanted in ({}, {"shape": 1}, {"frame": 7}):
+        got, want = (sorted(map(tuple, f(probes, df, radius, **wanted).select("p_id", "id", "dist", "place").collect()), key=lambda t: (t[0], t[3])) for f in (spatial.nearby_ids, spatial.find_nearby))
+        assert got == want and bool(want) == ("frame" not in wanted)
+
+
+def test_pairs_are_not_sorted(spark):
+    """Before, all pairs of a cell were sorted to number them."""
+    plan = plan_of(world.QUERIES["j1_find_nearby"](spark, DIR))
+    assert "Window" not in plan and "Join" not in plan
+
+
 KINDS = ["monster", "teleport", "jukebox", "missile", "fire_field", None]
 
 
