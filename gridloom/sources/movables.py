@@ -8,9 +8,12 @@ of any Spark source, so they may lie in any store that Spark reads.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ def _swapped(byte: int) -> int:
 def records(data: bytes, classes: dict[int, str]) -> Iterator[tuple]:
     """The records of a file in order, with the number of the one that holds each. A record that is cut short ends the file."""
     at, seq, slot, open_ = 0, -1, None, []
-    last, out = None, []
+    last = None  # the record before: given out when no special record can follow it any more
     while at < len(data):
         size, wide, lifted = data[at], 0, False
         at += 1
@@ -52,7 +55,7 @@ def records(data: bytes, classes: dict[int, str]) -> Iterator[tuple]:
             if at + 3 > len(data) or at + 3 + (n := data[at + 1] | data[at + 2] << 8) > len(data):
                 break
             if last is not None:
-                out[last][-2] += 1
+                last[-2] += 1
             at += 3 + n
             continue
         if size in (WIDE, LIFTED):
@@ -89,12 +92,17 @@ def records(data: bytes, classes: dict[int, str]) -> Iterator[tuple]:
         else:
             kind, type_, quality, flags = class_ or "container", b[4] | b[5] << 8, b[7], b[11]
         holder = open_[-1][0] if open_ else None
-        out.append([seq, holder, len(open_), kind, entry[0], entry[1], lift if lifted else lift & 15, shape, frame, quality, flags, type_, npc, slot, 0, entry])
-        last = seq
+        if last is not None:
+            yield tuple(last)
+        last = [seq, holder, len(open_), kind, entry[0], entry[1], lift if lifted else lift & 15, shape, frame, quality, flags, type_, npc, slot, 0, entry]
         if type_ and kind not in ("egg", "spellbook", "stone"):
             open_.append((seq, slot))
             slot = None
-    yield from map(tuple, out)
+    if last is not None:
+        yield tuple(last)
+
+
+_RECORDS = 1 << 13  # records a batch
 
 
 def _reader(classes: dict[int, str]):
@@ -104,8 +112,9 @@ def _reader(classes: dict[int, str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for map_id, sid, part, content in frame.itertuples(index=False):
-                rows = [(map_id, sid, part, *r) for r in records(content or b"", classes)]
-                yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
+                found = records(content or b"", classes)
+                while rows := [(map_id, sid, part, *r) for r in itertools.islice(found, _RECORDS)]:
+                    yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
 
     return run
 
@@ -143,23 +152,41 @@ def _record(holds: Column) -> Column:
     return F.concat(worn, mark, hex_(length, 1), hex_(c("x"), 1), hex_(c("y"), 1), shape, rest)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A file of each run of records; _first marks where one begins."""
+    head, content = None, bytearray()
+    whole = lambda: pa.RecordBatch.from_arrays([*head.columns, pa.array([bytes(content)])], [*KEYS, "content"])
+    for batch in batches:
+        cuts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False)).tolist()
+        for low, high in itertools.pairwise([*([0] if cuts[:1] != [0] else []), *cuts, batch.num_rows]):
+            if low or cuts[:1] == [0]:
+                if head is not None:
+                    yield whole()
+                head, content = batch.select(KEYS).slice(low, 1), bytearray()
+            content += b"".join(batch.column("_record").slice(low, high - low).drop_null().to_pylist())
+    if head is not None:
+        yield whole()
+
+
 def write_movables(objects: DataFrame, parts: int = 1) -> DataFrame:
     """map_id, sid, part, content: files of objects (id, parent, map, tx, ty, lift, shape, frame, quality, flags, slot, kind).
 
     kind: simple, temporary, body or container; what holds something must be one of the last two. Objects lie in the file of
     their outermost container's superchunk, in one of `parts` files by a hash of it; what is worn (slot) is so marked, and the
-    mark holds for what follows it in the same container until the next, so give all or none in a container a slot.
+    mark holds for what follows it in the same container until the next, so give all or none in a container a slot. Records stream
+    in the order of their files, and a task holds the bytes of one file at a time.
     """
+    ship(objects.sparkSession)
     rows = paths(objects)
     place = rows.filter("depth = 0").select("root", F.col("map").alias("map_id"), superchunk(F.col("tx"), F.col("ty")).alias("sid"))
     rows = rows.join(place, "root").withColumn("part", F.pmod(F.xxhash64("root"), F.lit(parts)).cast("int"))
     own = W.partitionBy(*KEYS).orderBy("path")
     after = F.coalesce(F.lead("depth").over(own), F.lit(0))
-    rows = rows.withColumns({"_after": after, "x": F.col("tx") % SUPERCHUNK, "y": F.col("ty") % SUPERCHUNK})
+    rows = rows.withColumns({"_after": after, "_first": F.row_number().over(own) == 1, "x": F.col("tx") % SUPERCHUNK, "y": F.col("ty") % SUPERCHUNK})
     ends = F.repeat(F.lit("01"), F.greatest(F.col("depth") - F.col("_after"), F.lit(0)))
-    rows = rows.select(*KEYS, "path", F.concat(_record(F.col("_after") > F.col("depth")), ends).alias("_hex"))
-    listed = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("path", "_hex"))).alias("_v"))
-    return listed.select(*KEYS, F.unhex(F.array_join("_v._hex", "")).alias("content"))
+    rows = rows.select(*KEYS, "path", "_first", F.unhex(F.concat(_record(F.col("_after") > F.col("depth")), ends)).alias("_record"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEYS)
+    return rows.sortWithinPartitions(*KEYS, "path").drop("path").mapInArrow(_joined, f"{kinds}, content binary")
 
 
 def store(objects: DataFrame, path: str, files: int = 1) -> None:

@@ -112,3 +112,32 @@ def test_a_stored_world_has_few_directories_however_many_maps(spark, tmp_path):
 def test_files_are_written_and_read_once(spark):
     plan = world.QUERIES["s8_k2_movables"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "Window" not in plan  # a join of the records with themselves would do both twice
+
+
+def test_records_of_a_file_are_never_gathered_as_rows(spark):
+    """Before, all records of all files of a task lay in memory as arrays of paths and text."""
+    files = movables.write_movables(objects(spark))
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_a_file_is_read_in_batches(monkeypatch):
+    """Before, all records of a file made one batch."""
+    import pandas as pd
+
+    monkeypatch.setattr(movables, "_RECORDS", 4)
+    data = SIMPLE * 10 + bytes([255, 1, 2, 0, 9, 9])
+    got = list(movables._reader({})(iter([pd.DataFrame({"map_id": [1, 1], "sid": [2, 3], "part": [0, 0], "content": [data, None]})])))
+    assert [len(b) for b in got] == [4, 4, 2] and [s for b in got for s in b["special"]] == [0] * 9 + [1]
+    assert list(pd.concat(got)["seq"]) == list(range(10))
+
+
+def test_files_are_joined_over_batches_of_records():
+    import pyarrow as pa
+
+    rows = [(1, None, 0, True, b"a"), (1, None, 0, False, b"b"), (1, None, 0, False, None), (1, 2, 0, True, b"c"), (1, 3, 1, True, b"d"), (1, 3, 1, False, b"e")]
+    table = pa.table(dict(zip([*movables.KEYS, "_first", "_record"], map(list, zip(*rows)), strict=True)))
+    for size in range(1, 7):
+        got = [tuple(r.values()) for b in movables._joined(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert got == [(1, None, 0, b"ab"), (1, 2, 0, b"c"), (1, 3, 1, b"de")]
+    assert list(movables._joined(iter([]))) == []
